@@ -13,6 +13,7 @@ import heapq
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -75,6 +76,9 @@ class Vocabulary:
             self.values[at[here]] = values[here]
             keys, values, at = keys[~here], values[~here], (at[~here] + 1) & ((1 << self.bits) - 1)
 
+        ids = self.byte_ids
+        self.byte_pairs = self.rank(np.repeat(ids, 256), np.tile(ids, 256))
+
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
@@ -98,10 +102,12 @@ class Vocabulary:
         lengths = np.array([len(p) for p in pieces])
         inside = np.arange(width) < lengths[:, None]
         ids = np.full((n, width), -1, dtype=np.int32)
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
+        raw = np.zeros((n, width), dtype=np.int32)
+        raw[inside] = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        ids[inside] = self.byte_ids[raw[inside]]
         ranks = np.full((n, width), NEVER, dtype=np.int32)
-        ranks[:, :-1] = self.rank(ids[:, :-1], ids[:, 1:])
-        rows, out, columns = np.arange(n), [None] * n, np.arange(width)
+        ranks[:, :-1] = np.where(inside[:, 1:], self.byte_pairs[raw[:, :-1] << 8 | raw[:, 1:]], NEVER)
+        rows, out = np.arange(n), [None] * n
         while len(rows):
             best = ranks.argmin(axis=1)
             least = ranks[np.arange(len(rows)), best]
@@ -113,16 +119,18 @@ class Vocabulary:
                 rows, ids, ranks, best, least = rows[go_on], ids[go_on], ranks[go_on], best[go_on], least[go_on]
                 if not len(rows):
                     break
-            at = np.arange(len(rows))
-            source = np.minimum(columns + (columns > best[:, None]), width - 1)
-            gone = np.broadcast_to(columns == width - 1, ids.shape)
-            ids = np.where(gone, -1, np.take_along_axis(ids, source, axis=1))
-            ranks = np.where(gone, NEVER, np.take_along_axis(ranks, source, axis=1))
+            # Every row loses the right half of its pair, so all rows close up together and the matrix gets narrower by a column.
+            at, width = np.arange(len(rows)), ids.shape[1] - 1
+            stays = np.ones(ids.shape, dtype=bool)
+            stays[at, best + 1] = False
+            ids, ranks = ids[stays].reshape(-1, width), ranks[stays].reshape(-1, width)
             ids[at, best] = least
-            after = np.minimum(best + 1, width - 1)
-            ranks[at, best] = self.rank(ids[at, best], np.where(after > best, ids[at, after], -1))
+            right = np.where(best + 1 < width, ids[at, np.minimum(best + 1, width - 1)], -1)
+            left = np.where(best > 0, ids[at, np.maximum(best - 1, 0)], -1)
+            both = self.rank(np.concatenate([least, left]), np.concatenate([right, least]))
+            ranks[at, best] = both[: len(rows)]
             some = np.flatnonzero(best > 0)
-            ranks[some, best[some] - 1] = self.rank(ids[some, best[some] - 1], ids[some, best[some]])
+            ranks[some, best[some] - 1] = both[len(rows) + some]
         return out
 
     def merge_long(self, piece: bytes) -> np.ndarray:
@@ -159,7 +167,7 @@ class Vocabulary:
             else:
                 buckets.setdefault(max(4, 1 << (len(piece) - 1).bit_length()), []).append(i)
         for width, own in buckets.items():
-            step = max(1, 1_000_000 // width)
+            step = max(1, 200_000 // width)
             for k in range(0, len(own), step):
                 some = own[k : k + step]
                 for i, ids in zip(some, self.merge_matrix([pieces[i] for i in some], width), strict=True):
@@ -198,11 +206,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the number of ids of each text."""
         split = [self.split(t) for t in texts]
-        new = {p for pieces in split for p in pieces}.difference(self.index)
+        new = set(chain.from_iterable(split)).difference(self.index)
         if new:
             if len(self.index) + len(new) > KNOWN_PIECES and self.index:
                 self.forget()
-                new = {p for pieces in split for p in pieces}
+                new = set(chain.from_iterable(split))
             order = sorted(new)
             found = self.known.encode_pieces([p.encode() for p in order])
             self.index.update(zip(order, range(len(self.lengths), len(self.lengths) + len(order)), strict=True))
@@ -210,9 +218,8 @@ class Encoder:
             self.lengths = np.concatenate([self.lengths, lengths])
             self.flat = np.concatenate([self.flat, *found])
             self.starts = np.cumsum(self.lengths) - self.lengths
-        index = self.index.__getitem__
         n = np.fromiter(map(len, split), dtype=np.int64, count=len(split))
-        at = np.fromiter((index(p) for pieces in split for p in pieces), dtype=np.int64, count=int(n.sum()))
+        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n.sum()))
         lengths = self.lengths[at]
         ids = self.flat[gather(self.starts[at], lengths)].astype(np.int32)
         upto = np.concatenate([[0], np.cumsum(lengths)])
@@ -223,6 +230,12 @@ class Encoder:
         return ids, counts
 
 
+@lru_cache(maxsize=2)
+def encoder(file: bytes, pattern: str) -> Encoder:
+    """One for each Python worker, so that pieces are known from one task to the next."""
+    return Encoder(vocabulary(file), pattern)
+
+
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     start = held = end = 0
     for end, size in enumerate(sizes, 1):
@@ -251,13 +264,13 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
     schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("array<int>").alias(ids_column)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(file.value), pattern)
+        own = encoder(file.value, pattern)
         for batch in batches:
             texts = batch.column(len(others))
             sizes = np.nan_to_num(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), nan=0)
             for start, end in slices(sizes.tolist(), SLICE):
                 part = batch.slice(start, end - start)
-                ids, counts = encoder.encode([t or "" for t in part.column(len(others)).to_pylist()])
+                ids, counts = own.encode([t or "" for t in part.column(len(others)).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], lists], names=[*others, ids_column])

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import mixing, quality, sharding, urls
+from scriptorium.llm import bpe, mixing, quality, secrets, sharding, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,6 +19,21 @@ def op1_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents(spark, sf_dir), n_shards=40)
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))))
+
+
+def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(documents(spark, sf_dir)).select(
+        "doc_id",
+        "n_assign",
+        "n_access",
+        "n_hex",
+        F.sha2(secrets.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.rule_table(spark))
 
@@ -30,4 +46,4 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("chars_distance", "common_distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_sharding, op6_url_rules, op7_pfair_mixing, op9_divergence_rules)}
+QUERIES = {f.__name__: f for f in (op1_prefix_sharding, op2_byte_bpe, op5_linked_secrets, op6_url_rules, op7_pfair_mixing, op9_divergence_rules)}
