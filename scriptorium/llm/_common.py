@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,6 +41,23 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends the Python files of this subpackage to the executors, whose workers may have another path."""
+    context = spark.sparkContext
+    if getattr(context, "_scriptorium_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    top = os.path.dirname(os.path.dirname(here))
+    path = os.path.join(tempfile.mkdtemp(prefix="scriptorium-"), "scriptorium_llm.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        z.write(os.path.join(os.path.dirname(here), "__init__.py"), "scriptorium/__init__.py")
+        for name in sorted(os.listdir(here)):
+            if name.endswith(".py"):
+                z.write(os.path.join(here, name), os.path.relpath(os.path.join(here, name), top))
+    context.addPyFile(path)
+    context._scriptorium_shipped = True
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

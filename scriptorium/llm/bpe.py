@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm._common import ship
+
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text that a slice holds, unless one text alone has more.
 SLICE = 4_000_000
@@ -259,6 +261,7 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
     recognised: their strings are ordinary text. Null and empty texts have no ids. Other columns stay as they are, but one of the
     name ids_column is replaced; repeated rows are encoded alike and an empty table gives an empty result.
     """
+    ship(df.sparkSession)
     file = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     others = [c for c in df.columns if c not in (text_column, ids_column)]
     schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("array<int>").alias(ids_column)).schema
@@ -280,6 +283,7 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
 
 def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded", path: str | None = None) -> DataFrame:
     """df with a column of the decoded bytes (binary) beside the ids; null ids give no bytes. Ids outside the vocabulary fail."""
+    ship(df.sparkSession)
     file = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
     others = [c for c in df.columns if c not in (ids_column, bytes_column)]
     schema = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{ids_column}`").cast("array<int>").alias(ids_column), F.lit(None).cast("binary").alias(bytes_column)).schema

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, mixing, quality, secrets, sharding, urls
+from scriptorium.llm import bpe, jaccard, mixing, quality, secrets, sharding, topk, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,6 +23,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir))
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).select(
         "doc_id",
@@ -42,8 +46,12 @@ def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op8_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("chars_distance", "common_distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_sharding, op2_byte_bpe, op5_linked_secrets, op6_url_rules, op7_pfair_mixing, op9_divergence_rules)}
+QUERIES = {f.__name__: f for f in (op1_prefix_sharding, op2_byte_bpe, op3_jaccard_join, op5_linked_secrets, op6_url_rules, op7_pfair_mixing, op8_kd_search, op9_divergence_rules)}
