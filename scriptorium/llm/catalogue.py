@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, jaccard, mixing, quality, secrets, sharding, topk, urls
+from scriptorium.llm import bpe, jaccard, licenses, mixing, quality, quoting, secrets, sharding, topk, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -27,6 +27,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir))
 
 
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def op5_linked_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir)).select(
         "doc_id",
@@ -54,4 +58,22 @@ def op9_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("chars_distance", "common_distance")
 
 
-QUERIES = {f.__name__: f for f in (op1_prefix_sharding, op2_byte_bpe, op3_jaccard_join, op5_linked_secrets, op6_url_rules, op7_pfair_mixing, op8_kd_search, op9_divergence_rules)}
+def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quoting.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_prefix_sharding,
+        op2_byte_bpe,
+        op3_jaccard_join,
+        op4_license_templates,
+        op5_linked_secrets,
+        op6_url_rules,
+        op7_pfair_mixing,
+        op8_kd_search,
+        op9_divergence_rules,
+        op10_quote_linking,
+    )
+}

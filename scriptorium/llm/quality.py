@@ -50,7 +50,7 @@ def repeated_words(w: Column) -> dict[str, Column]:
     }
 
 
-def features(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",)) -> DataFrame:
+def features(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",), carry: bool = False) -> DataFrame:
     """keep, lang, the base counts, and chars and common as arrays of counts (common is null for languages without a list)."""
     x = whole(F.col("text"))
     only = lambda unwanted: F.length(F.regexp_replace(x, f"[^{unwanted}]+", "")).cast("long")
@@ -58,6 +58,7 @@ def features(df: DataFrame, text_column: str = "text", lang_column: str = "lang"
         *[F.col(f"input.`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)],
         F.coalesce(F.col(f"input.`{lang_column}`"), F.lit("")).alias("lang"),
         F.col(f"input.`{text_column}`").alias("text"),
+        *([F.struct("input.*").alias("row")] if carry else []),
     )
     lines = F.filter(F.split(x, "\n"), lambda line: F.btrim(line, F.lit("\x20\x09\x0b\x0c\x0d")) != "")
     held = held.withColumns({"_w": words(F.col("text")), "_lines": lines})
@@ -93,6 +94,7 @@ def features(df: DataFrame, text_column: str = "text", lang_column: str = "lang"
         "n_repeat_words",
         F.array(lower, "_upper", "_digit", "n_symbols", "_punctuation", "_other", space).alias("_chars"),
         F.when(F.col("_bins").isNotNull(), F.concat("_bins", F.array(F.col("n_words") - total(F.col("_bins"))))).alias("_common"),
+        *(["row"] if carry else []),
     )
 
 
@@ -105,7 +107,7 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",), max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON) -> DataFrame:
+def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",), max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON, carry: bool = False) -> DataFrame:
     """keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, common_distance.
 
     base_failed: fewer than 50 words, or over half of them in windows that repeat. kept: not base_failed, and no distance over its
@@ -113,7 +115,7 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", k
     have no words and fail. A null language is a language of its own. Repeated rows are judged alike; an empty table gives an empty
     result.
     """
-    found = stage(features(df, text_column, lang_column, keep))
+    found = stage(features(df, text_column, lang_column, keep, carry))
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
     n_common = 1 + len(next(iter(COMMON.values())))
     references = found.groupBy("_lang").agg(sums("_chars", len(CLASSES)).alias("_ref_chars"), sums("_common", n_common).alias("_ref_common"))
@@ -126,5 +128,10 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", k
         .withColumn("common_distance", js_distance(F.col("_common"), F.col("_ref_common")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~(failed | F.coalesce(far_chars, F.lit(False)) | F.coalesce(far_common, F.lit(False))))
-        .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
+        .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance", *(["row"] if carry else []))
+
+
+def filtered(df: DataFrame, **options) -> DataFrame:
+    """The rows of df that judge() keeps."""
+    return judge(df, keep=(), carry=True, **options).where("kept").select("row.*")
     )
