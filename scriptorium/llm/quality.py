@@ -129,9 +129,9 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", k
         .withColumn("base_failed", failed)
         .withColumn("kept", ~(failed | F.coalesce(far_chars, F.lit(False)) | F.coalesce(far_common, F.lit(False))))
         .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance", *(["row"] if carry else []))
+    )
 
 
 def filtered(df: DataFrame, **options) -> DataFrame:
     """The rows of df that judge() keeps."""
     return judge(df, keep=(), carry=True, **options).where("kept").select("row.*")
-    )

@@ -38,10 +38,13 @@ SPAN = "array<struct<start: long, kind: int, stop: long>>"
 
 
 def spans_of(text: Column, kind: str) -> Column:
-    """The matches of a kind as (start, kind, stop) in code points; the gap before each match gives its place."""
+    """The matches of a kind as (start, kind, stop) in code points; the gap before each match gives its place.
+
+    Gaps are anchored to the end of the match before, or the search beyond the last match would start again at every character.
+    """
     pattern, group, least = (BASE | WEAK)[kind]
     matches = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
-    gaps = F.regexp_extract_all(text, F.lit(rf"([\s\S]*?)(?:{pattern})"), F.lit(1))
+    gaps = F.regexp_extract_all(text, F.lit(rf"\G([\s\S]*?)(?:{pattern})"), F.lit(1))
     counted = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(group + 1))
     both = F.zip_with(F.arrays_zip(gaps.alias("gap"), matches.alias("match")), counted, lambda m, c: F.struct(F.length(m["gap"]).alias("gap"), F.length(m["match"]).alias("n"), F.length(c).alias("counted")))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("found"))
