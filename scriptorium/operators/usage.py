@@ -73,7 +73,7 @@ def purchase_guard(subs: DataFrame, wanted: Column) -> DataFrame:
 def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS) -> DataFrame:
     """attempts with accepted: at least window_ms after the user's last accepted one. A fold over one user's ordered attempts."""
     kind = dict(attempts.dtypes)[order]
-    listed = attempts.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(ts).alias("ms"), F.col(order).alias("id")))).alias("all"))
+    listed = attempts.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(order).alias("id")))).alias("all"))
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<id:{kind},ok:boolean>>").alias("out"))
 
     def step(a: Column, x: Column) -> Column:

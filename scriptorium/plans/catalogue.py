@@ -1,4 +1,6 @@
-"""Registered queries and the SQL that each is checked against."""
+"""All registered queries and the SQL that each is checked against."""
 
-QUERIES = {}
-ORACLES = {}
+from scriptorium.plans import article_queries, corpus_queries, ledger_queries, retrieval_queries, text_queries, usage_queries, write_queries  # noqa: F401
+from scriptorium.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -1,0 +1,101 @@
+"""Keyed writes, retention, alerts and token streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from scriptorium.operators import writes as W
+from scriptorium.plans.registry import query
+from scriptorium.sources.views import table, view
+from scriptorium.streaming import alerts as AL
+
+
+@query("select user_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def upsert_latest(spark, d):
+    return W.latest(table(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "value")
+
+
+@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'click') where n = 1 and user_id not in (select user_id from events where event_type = 'purchase' and event_id % 7 = 0)")
+def insert_ignore(spark, d):
+    e = table(spark, d, "events")
+    have = e.where("event_type = 'purchase' and event_id % 7 = 0").select("user_id").distinct()
+    return W.insert_ignore(have, e.where("event_type = 'click'"), ["user_id"], F.col("event_id")).select("user_id", "event_id")
+
+
+@query("select user_identifier, case when u.k is not null then 'pro' else s.tier end as tier from subs s left join (select distinct concat('user:', user_id) as k from events where event_type = 'purchase') u on u.k = s.user_identifier", "subs")
+def org_upsert(spark, d):
+    subs = view(spark, d, "subs").select("user_identifier", "tier")
+    paid = table(spark, d, "events").where("event_type = 'purchase'").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("user_identifier")).distinct().withColumn("tier", F.lit("pro"))
+    return W.upsert(subs, paid.join(subs.select("user_identifier"), "user_identifier", "left_semi"), ["user_identifier"])
+
+
+@query("select user_identifier, case when status = 'pending' and age_ms > 600000 then 'cancelled' else status end as status from subs", "subs")
+def keyed_update(spark, d):
+    return W.keyed_update(view(spark, d, "subs"), F.expr("status = 'pending' and age_ms > 600000"), status="cancelled").select("user_identifier", "status")
+
+
+@query("select id from corpus where not starts_with(id, 'c1:')", "corpus")
+def prefix_delete(spark, d):
+    return W.delete_prefix(view(spark, d, "corpus"), "id", "c1:").select("id")
+
+
+@query("select c.id, c.vec_id from corpus c where exists (select 1 from moderation m where m.doc_id = c.vec_id and m.estado_moderacion <> 'rechazado')", "corpus moderation")
+def cascade_delete(spark, d):
+    kept = view(spark, d, "moderation").where("estado_moderacion <> 'rechazado'")
+    return W.cascade_delete(view(spark, d, "corpus"), kept, "vec_id", "doc_id").select("id", "vec_id")
+
+
+@query("select event_id, case when u.user_identifier is not null then f.user_identifier end as user_identifier from (select event_id, concat('user:', user_id) as user_identifier from events) f left join (select distinct user_identifier from usage where tier <> 'free') u on u.user_identifier = f.user_identifier", "usage")
+def feedback_join(spark, d):
+    feedback = table(spark, d, "events").select("event_id", F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("user_identifier"))
+    return W.set_null_delete(feedback, view(spark, d, "usage").where("tier <> 'free'"), "user_identifier", "user_identifier").select("event_id", "user_identifier")
+
+
+@query("select user_identifier, tier from subs where user_identifier = 'user:7'", "subs")
+def rls_view(spark, d):
+    return W.visible(view(spark, d, "subs"), "authenticated", "user:7").select("user_identifier", "tier")
+
+
+@query(
+    """select user_identifier, array_to_string(list_filter([case when status not in ('active', 'trialing', 'past_due') then 'status' end, case when age_ms >= 2000000 then 'age' end,
+       case when provider_sub_id is null then 'sub' end], lambda x: x is not null), ',') as violations from subs""",
+    "subs",
+)
+def constraint_split(spark, d):
+    rows = W.checked(view(spark, d, "subs"), status=F.col("status").isin("active", "trialing", "past_due"), age=F.col("age_ms") < 2_000_000, sub=F.col("provider_sub_id").isNotNull())
+    return rows.select("user_identifier", F.array_join("violations", ",").alias("violations"))
+
+
+@query("select event_id from events where event_type <> 'error' or ts >= (select max(ts) from events) - interval 7 day")
+def retention_filter(spark, d):
+    e = table(spark, d, "events")
+    last = e.agg(F.max("ts").alias("last"))  # one row
+    return e.crossJoin(F.broadcast(last)).where("event_type <> 'error' or ts >= last - interval 7 days").select("event_id")
+
+
+@query("select user_id, event_id, nth from (select user_id, event_id, row_number() over (partition by user_id order by ts, event_id) as nth from events where event_type in ('error', 'signup')) where nth <= 8")
+def retry_attempts(spark, d):
+    nth = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    return table(spark, d, "events").where(F.col("event_type").isin("error", "signup")).withColumn("nth", nth).where("nth <= 8").select("user_id", "event_id", "nth")
+
+
+@query(
+    """select id, value, place from (select user_id as id, arg_max(event_id, event_id) as value, row_number() over (order by min(event_id) desc) as place from events where event_type <> 'error' group by user_id) where place <= 20"""
+)
+def alerts_merge(spark, d):
+    e = table(spark, d, "events").where("event_type <> 'error'")
+    return AL.merged(e, "user_id", "event_id", 20).select(F.col("user_id").alias("id"), F.col("event_id").alias("value"), "place")
+
+
+@query("select event_id, case event_type when 'view' then 25 when 'click' then 50 when 'purchase' then 100 else 0 end as progress, event_type = 'error' as is_finding from events")
+def alert_progress(spark, d):
+    return AL.progress(table(spark, d, "events")).select("event_id", "progress", "is_finding")
+
+
+@query("select conv_id, string_agg(substr(text, 1, 12), '' order by turn) as answer, count(*) as n_chunks from conversations group by conv_id")
+def sse_parse(spark, d):
+    """Token streams: each turn arrives as a data line; the deltas of a stream are joined in order, and malformed lines are left out."""
+    delta = F.to_json(F.struct(F.substring("text", 1, 12).alias("delta")))
+    lines = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n: comment\ndata: {broken\n")).alias("chunk"))
+    return AL.joined_deltas(lines, "conv_id", "seq", "chunk").withColumnRenamed("text", "answer")

@@ -1,0 +1,51 @@
+"""Alert merging and token streams, as batch DataFrames and over streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+#: Alerts kept, newest first (fixed value).
+KEEP = 200
+ALERT = "id string, kind string, message string, timestamp string, metadata map<string,string>"
+KINDS = ("info", "warning", "critical")
+PROGRESS = {"view": 25, "click": 50, "purchase": 100}
+
+
+def merged(alerts: DataFrame, key: str, seq: str, keep: int = KEEP) -> DataFrame:
+    """The latest version of each alert at the place where it first appeared; the keep newest places, newest first.
+
+    Places are ordered after aggregation, by a top-n that each partition cuts before the shuffle.
+    """
+    others = [c for c in alerts.columns if c not in (key, seq)]
+    grouped = alerts.groupBy(key).agg(F.min(seq).alias("_first"), F.max(F.struct(seq, *others)).alias("_last"))
+    newest = grouped.orderBy(F.desc("_first")).limit(keep)
+    place = F.row_number().over(Window.orderBy(F.desc("_first")))  # over keep rows
+    return newest.select(key, "_last.*", place.alias("place"))
+
+
+def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Alerts of JSON lines; a line that is no JSON becomes an info alert, an alert of an unknown kind or without id goes."""
+    held = lines.withColumn("_a", F.from_json(column, ALERT))
+    plain = ~F.trim(column).startswith("{")
+    wrapped = F.struct(F.sha2(column, 256).alias("id"), F.lit("info").alias("kind"), F.col(column).alias("message"), F.lit("").alias("timestamp"), F.lit(None).cast("map<string,string>").alias("metadata"))
+    return held.select(F.when(plain, wrapped).otherwise(F.col("_a")).alias("a")).select("a.*").where(F.col("id").isNotNull() & F.col("kind").isin(*KINDS) & F.col("message").isNotNull())
+
+
+def progress(alerts: DataFrame, kind: str = "event_type") -> DataFrame:
+    share = F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in PROGRESS.items()], F.lit(0))
+    return alerts.withColumns({"progress": share, "is_finding": F.col(kind) == "error"})
+
+
+def joined_deltas(chunks: DataFrame, key: str, seq: str, chunk: str, done: str = "[DONE]") -> DataFrame:
+    """The text of each token stream: chunks joined in order, split into lines, and the deltas of its data lines joined.
+
+    Partial lines are completed by the next chunk; lines after done and malformed JSON are left out. A stream is one answer, so its
+    chunks fit a row.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(chunk).alias("c"))))
+    whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("all"), F.count("*").alias("n_chunks"))
+    before_done = F.substring_index("all", "data: " + done, 1)
+    lines = F.filter(F.split(before_done, "\n"), lambda x: x.startswith("data: "))
+    deltas = F.transform(lines, lambda x: F.get_json_object(F.substring(x, 7, 1_000_000), "$.delta"))
+    return whole.select(key, F.array_join(F.array_compact(deltas), "").alias("text"), "n_chunks")
