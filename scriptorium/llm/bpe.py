@@ -22,13 +22,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import ship
+from scriptorium.llm._common import give_back, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text that a slice holds, unless one text alone has more.
-SLICE = 4_000_000
+SLICE = 1_500_000
 #: Pieces that a task remembers before it starts afresh, and the longest that it remembers.
-KNOWN_PIECES, KNOWN_LENGTH = 400_000, 64
+KNOWN_PIECES, KNOWN_LENGTH = 150_000, 64
 #: Pieces of more bytes are merged one by one with a heap, as rounds over a matrix would take time quadratic in their length.
 MATRIX_WIDTH = 128
 NEVER = np.iinfo(np.int32).max
@@ -277,6 +277,7 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], lists], names=[*others, ids_column])
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_column}`").cast("string").alias(text_column)).mapInArrow(run, schema)
 
@@ -292,7 +293,7 @@ def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded"
         known = vocabulary(file.value)
         for batch in batches:
             counts = np.nan_to_num(pa.compute.list_value_length(batch.column(len(others))).to_numpy(zero_copy_only=False), nan=0)
-            for start, end in slices(counts.tolist(), SLICE // 4):
+            for start, end in slices(counts.tolist(), SLICE // 3):
                 part = batch.slice(start, end - start)
                 ids = part.column(len(others)).flatten().to_numpy(zero_copy_only=False)
                 raw, lengths = known.decode(ids)
@@ -300,6 +301,7 @@ def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded"
                 ends = np.concatenate([[0], np.cumsum(counts[start:end].astype(np.int64))])
                 column = pa.BinaryArray.from_buffers(pa.binary(), end - start, [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(raw)])
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*others, ids_column, bytes_column])
+        give_back()
 
     return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{ids_column}`").cast("array<int>").alias(ids_column)).mapInArrow(run, schema)
 
