@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.sources.shipping import ship
 
 #: Patterns that a row's source must match to count as the instrument asked for.
 SOURCES = tuple((name, pattern.split(r"|")[-1] if name.startswith("CODIGO_PROCESAL") else pattern) for name, pattern in T.INSTRUMENTS)
@@ -114,28 +115,21 @@ def cut(text: str, size: int, overlap: int, marks: tuple[str, ...], reach_over:
 
 def chunks(df: DataFrame, text_column: str = "text", size: int = 1400, overlap: int = 120, marks: tuple[str, ...] = (" ",), reach_over: bool = False) -> DataFrame:
     """df's other columns, seq and chunk. Where a piece ends depends on where the one before did, so it is a loop, in Arrow batches."""
+    ship(df.sparkSession)
     others = [c for c in df.columns if c != text_column]
     schema = df.select(*others, F.lit(0).alias("seq"), F.lit("").alias("chunk")).schema
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            batch["piece"] = [list(enumerate(cut_pieces(t or "", size, overlap, marks, reach_over))) for t in batch.pop(text_column)]
+            batch["piece"] = [list(enumerate(cut(t or "", size, overlap, marks, reach_over))) for t in batch.pop(text_column)]
             batch = batch.explode("piece", ignore_index=True).dropna(subset=["piece"])
             batch["seq"] = [p[0] for p in batch["piece"]]
             batch["chunk"] = [p[1] for p in batch.pop("piece")]
             yield batch[[*others, "seq", "chunk"]].astype({"seq": "int32"})
 
-    cut_pieces = _by_value(cut)
     return df.select(*others, text_column).mapInPandas(run, schema)
 
 
-def _by_value(function):
-    """A copy that travels with the job, so that workers need no import of this package."""
-    import types
-
-    return types.FunctionType(function.__code__, {"__builtins__": __builtins__}, function.__name__)
-
-
 def chunks_by_space(df: DataFrame, text_column: str = "text") -> DataFrame:
     return chunks(df, text_column, 1400, 120, (" ",))
 
