@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import os
 import tempfile
 import uuid
-import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.shipping import ship
+
+__all__ = ["give_back", "lower_ascii", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
+
 #: White space between words, as a regular expression class and as the characters themselves.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -44,23 +46,6 @@ def stage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ship(spark: SparkSession) -> None:
-    """Sends the Python files of this subpackage to the executors, whose workers may have another path."""
-    context = spark.sparkContext
-    if getattr(context, "_scriptorium_shipped", False):
-        return
-    here = os.path.dirname(os.path.abspath(__file__))
-    top = os.path.dirname(os.path.dirname(here))
-    path = os.path.join(tempfile.mkdtemp(prefix="scriptorium-"), "scriptorium_llm.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        z.write(os.path.join(os.path.dirname(here), "__init__.py"), "scriptorium/__init__.py")
-        for name in sorted(os.listdir(here)):
-            if name.endswith(".py"):
-                z.write(os.path.join(here, name), os.path.relpath(os.path.join(here, name), top))
-    context.addPyFile(path)
-    context._scriptorium_shipped = True
-
-
 def give_back() -> None:
     """Returns a worker's free memory to the system; workers stay alive between tasks, beside those of other stages."""
     with contextlib.suppress(OSError, AttributeError):
@@ -87,9 +72,5 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+"))
 
 
-def text_hash(*columns: Column) -> Column:
-    return F.xxhash64(*columns)
-
-
 def total(array: Column) -> Column:
     return F.aggregate(array, F.lit(0).cast("long"), lambda a, x: a + x)
