@@ -25,7 +25,7 @@ COMMON = {
 }
 MIN_WORDS = 50
 #: Distances from 0 to 1. Characters are compared from MIN_WORDS words on, common words from MIN_COMMON words on.
-MAX_CHARS, MAX_COMMON, MIN_COMMON = 0.3, 0.3, 150
+MAX_CHARS, MAX_COMMON, MIN_COMMON = 0.32, 0.3, 150
 CLASSES = ("lower", "upper", "digit", "symbol", "punctuation", "other", "space")
 
 
