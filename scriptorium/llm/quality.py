@@ -26,6 +26,8 @@ COMMON = {
 MIN_WORDS = 50
 #: Distances from 0 to 1. Characters are compared from MIN_WORDS words on, common words from MIN_COMMON words on.
 MAX_CHARS, MAX_COMMON, MIN_COMMON = 0.32, 0.3, 150
+#: References of up to so many languages (under 1 kB each) are broadcast; more are joined by shuffling.
+BROADCAST_LANGUAGES = 10_000
 CLASSES = ("lower", "upper", "digit", "symbol", "punctuation", "other", "space")
 
 
@@ -119,6 +121,8 @@ def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", k
     sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
     n_common = 1 + len(next(iter(COMMON.values())))
     references = found.groupBy("_lang").agg(sums("_chars", len(CLASSES)).alias("_ref_chars"), sums("_common", n_common).alias("_ref_common"))
+    if found.select("_lang").distinct().count() <= BROADCAST_LANGUAGES:
+        references = F.broadcast(references)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far_chars = (F.col("n_words") >= MIN_WORDS) & (F.col("chars_distance") > max_chars)
     far_common = (F.col("n_words") >= MIN_COMMON) & (F.col("common_distance") > max_common)

@@ -109,7 +109,8 @@ def scan(df: DataFrame, text_column: str = "text", id_column: str = "doc_id", sc
     rows = stage(held.select(*kept, *(["row"] if carry else [])))
     parts = rows.where("size(parts) > 1").select("k2", F.coalesce(F.hash("k1"), F.lit(0)).alias("k1"), F.explode("parts").alias("p")).select("k1", "k2", "p.*").distinct()
     linked = link(parts, scope).withColumnRenamed("k1", "hashed")
-    found = rows.withColumn("hashed", F.coalesce(F.hash("k1"), F.lit(0))).join(linked, ["hashed", "k2"], "left")
+    some = rows.where("size(parts) > 1").withColumn("hashed", F.coalesce(F.hash("k1"), F.lit(0))).join(linked, ["hashed", "k2"], "left")
+    found = rows.where("coalesce(size(parts), 0) <= 1").withColumn("weak", F.lit(None).cast(SPAN)).unionByName(some.drop("hashed"))
     spans = F.when(F.col("weak").isNull(), F.col("base")).otherwise(F.concat("base", "weak"))
     return found.select(F.col("k1").alias(id_column), *[f"n_{k}" for k in BASE], "base", spans.alias("spans"), *(["row"] if carry else []))
 
