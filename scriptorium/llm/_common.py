@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from scriptorium.sources.shipping import ship
 
-__all__ = ["give_back", "lower_ascii", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
+__all__ = ["give_back", "lower_ascii", "maybe_among", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
 
 #: White space between words, as a regular expression class and as the characters themselves.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
+#: Bits of a hash that maybe_among() tells apart.
+BITS = 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -57,6 +59,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def maybe_among(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with a column maybe, false only where column is not in keys; both hold 64-bit hashes.
+
+    A bitmap over the first BITS bits of keys is broadcast: 8 MB at most at any size. More keys let more rows through and lose none.
+    """
+    bit = lambda c: F.shiftrightunsigned(c, 64 - BITS)
+    one = keys.toDF("_key").select(F.shiftright(bit("_key"), 15).alias("_cell"), bit("_key").bitwiseAND(F.lit(32767)).alias("_at"))
+    maps = one.groupBy("_cell").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    at = bit(column).bitwiseAND(F.lit(32767)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(at, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = df.withColumn("_cell", F.shiftright(bit(column), 15)).join(F.broadcast(maps), "_cell", "left")
+    return held.withColumn("maybe", F.coalesce(F.getbit(byte, at.bitwiseAND(F.lit(7))) == 1, F.lit(False))).drop("_cell", "_bits")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
