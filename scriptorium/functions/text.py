@@ -176,3 +176,12 @@ def route(text: Column, mode: Column) -> Column:
 
 def evidence_needed(text: Column, forced: Column) -> Column:
     return forced | found(text, CORPUS_NAMED) | found(text, EVIDENCE_ASKED) | article_number(text).isNotNull()
+
+
+def plan_param(value: Column) -> Column:
+    """The tier that a URL's parameter names, or null for anything but the paid tiers."""
+    return F.when(value.isin("pro", "academico"), value)
+
+
+def without_nul(text: Column) -> Column:
+    return F.regexp_replace(text, r"\x00", "")

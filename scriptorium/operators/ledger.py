@@ -112,3 +112,24 @@ def reconciled(subs: DataFrame, canonical: DataFrame) -> DataFrame:
         .when(F.col("outcome") == "verified", "candidate").when((F.col("outcome") == "not_active") & ~active, "match").otherwise("manual_review")
     )
     return verified(subs, canonical).withColumn("action", action)
+
+
+def cancelled(subs: DataFrame, answer: Column) -> DataFrame:
+    """subs with the outcome of a user's request to cancel, and the status and tier that it leaves.
+
+    answer: the provider's HTTP status, null if it could not be reached. 422 means that nothing was left to cancel, which is success.
+    """
+    done = answer.between(200, 299) | (answer == 422)
+    outcome = (
+        F.when(F.coalesce("provider_sub_id", F.lit("")) == "", "no_subscription").when(~F.col("status").eqNullSafe(F.lit("active")), "not_active")
+        .when(answer.isNull(), "provider_unreachable").when(done, "cancelled").otherwise("provider_error")
+    )
+    held = subs.withColumn("outcome", outcome)
+    ends = F.col("outcome") == "cancelled"
+    return held.withColumns({"status": F.when(ends, "cancelled").otherwise(F.col("status")), "tier": F.when(ends, "free").otherwise(F.col("tier"))})
+
+
+def plan_matches(plan_id: Column, tier: Column, plans: dict[str, str]) -> Column:
+    """Whether the provider's plan is the one that is configured for the tier; a missing plan never is."""
+    wanted = F.coalesce(*[F.when(tier == t, F.lit(p)) for t, p in plans.items()])
+    return F.coalesce(plan_id == wanted, F.lit(False))

@@ -135,3 +135,21 @@ def event_status(spark, d):
 def key_backfill(spark, d):
     key = F.when(F.col("event_id") % 4 != 0, F.col("event_id").cast("string"))
     return table(spark, d, "events").select("event_id", F.coalesce(key, F.concat(F.lit("legacy-tx:tx"), F.col("event_id").cast("string"))).alias("key"))
+
+
+@query(
+    """select user_identifier, outcome, case when outcome = 'cancelled' then 'cancelled' else status end as status, case when outcome = 'cancelled' then 'free' else tier end as tier from (
+        select *, case when provider_sub_id is null then 'no_subscription' when status <> 'active' then 'not_active' when http is null then 'provider_unreachable'
+            when http = 204 or http = 422 then 'cancelled' else 'provider_error' end as outcome
+        from (select *, case age_ms // 60000 % 4 when 0 then 204 when 1 then 422 when 2 then 500 end as http from subs))""",
+    "subs",
+)
+def cancel_decision(spark, d):
+    http = F.expr("case age_ms div 60000 % 4 when 0 then 204 when 1 then 422 when 2 then 500 end")
+    return L.cancelled(view(spark, d, "subs"), http).select("user_identifier", "outcome", "status", "tier")
+
+
+@query("select sub_id, coalesce(plan = case tier when 'pro' then 'P-1' when 'academico' then 'P-2' end, false) as matches from (select sub_id, plan_tier as tier, case when status = 'ACTIVE' then 'P-1' when custom_uid <> 'user:0' then 'P-2' end as plan from canonical)", "canonical")
+def plan_match(spark, d):
+    plan = F.expr("case when status = 'ACTIVE' then 'P-1' when custom_uid <> 'user:0' then 'P-2' end")
+    return view(spark, d, "canonical").select("sub_id", L.plan_matches(plan, F.col("plan_tier"), {"pro": "P-1", "academico": "P-2"}).alias("matches"))

@@ -241,3 +241,16 @@ def model_choice(spark, d):
 def analytics_log_rows(spark, d):
     q = view(spark, d, "questions")
     return q.select("conv_id", "turn", F.substring(T.anonymised_question(F.col("content")), 1, 2000).alias("question"), T.user_hash(F.concat(F.lit("user:"), F.col("conv_id").cast("string")), SALT).alias("user_hash"), "mode")
+
+
+@query("select c_custkey, case when v in ('pro', 'academico') then v end as tier from (select c_custkey, case c_custkey % 4 when 0 then 'pro' when 1 then 'academico' when 2 then 'admin' end as v from customer)")
+def plan_param(spark, d):
+    value = F.expr("case c_custkey % 4 when 0 then 'pro' when 1 then 'academico' when 2 then 'admin' end")
+    return table(spark, d, "customer").select("c_custkey", T.plan_param(value).alias("tier"))
+
+
+@query("select doc_id, length(replace(text, chr(0), '')) as n, sha256(replace(text, chr(0), '')) as digest from documents")
+def nul_strip(spark, d):
+    marked = F.concat(F.lit("\x00"), "text", F.lit("\x00"))
+    clean = T.without_nul(marked)
+    return table(spark, d, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.sha2(clean, 256).alias("digest"))
