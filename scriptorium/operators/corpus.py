@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -47,6 +47,18 @@ def known_by_hash(rows: DataFrame, corpus: DataFrame, content: str) -> DataFrame
     return rows.withColumn("_hash", F.sha2(content, 256)).join(have, "_hash", "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_hash", "_known")
 
 
+def numeric_places(df: DataFrame, key: str, width: int = 10_000) -> DataFrame:
+    """df with place, the rank (from 1) of each key, a number as text, in numeric order; keys are distinct.
+
+    Keys fall into ranges of width numbers. Ranges are ranked apart, each after the counts of those below it, so no task sorts all.
+    """
+    ranged = df.withColumn("_number", F.col(key).cast("long")).withColumn("_range", F.floor(F.col("_number") / width))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    below = counts.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_below"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy("_number"))
+    return ranged.join(below, "_range").withColumn("place", F.col("_below") + own).drop("_number", "_range", "_below")
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

@@ -12,6 +12,7 @@ from scriptorium.functions import vectors as V
 
 CAP, TEMPLATE_CAP, IN_FORCE = 20, 10, 3
 MAX_CITATIONS, CITATION_LENGTH = 5, 600
+QUERY_BLOCK, MOST_SENT = 64, 10_000
 
 
 def optional(df: DataFrame, **wanted) -> DataFrame:
@@ -62,12 +63,15 @@ def fused(corpus: DataFrame, query: Sequence[float], coleccion: str | None = Non
 
 
 def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
-    """Top-k for each row of queries (query_id, query). Queries are a stated set of a few vectors, packed into one array.
+    """Top-k for each row of queries (query_id, query), a stated set that meets the corpus in blocks of about QUERY_BLOCK vectors.
 
-    Each corpus row scores all queries where it stands and only k rows a partition and query are shuffled.
+    Each corpus row scores a block where it stands and only k rows a partition and query are shuffled. Up to MOST_SENT queries are
+    sent to every executor; more of them meet the corpus by pairs of partitions.
     """
-    packed = queries.agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    rows = corpus.crossJoin(F.broadcast(packed)).select(key, "embedding", F.explode("queries").alias("q"))
+    n = queries.count()
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n // QUERY_BLOCK + 1))
+    packed = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
+    rows = corpus.crossJoin(F.broadcast(packed) if n <= MOST_SENT else packed).select(key, "embedding", F.explode("queries").alias("q"))
     similar = rows.select("q.query_id", key, V.cosine_similarity(F.col("embedding"), F.col("q.query")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return similar.withColumn("rank", rank).where(F.col("rank") <= k)

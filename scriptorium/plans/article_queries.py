@@ -145,7 +145,7 @@ def article_fetch(spark, d):
 
 
 @query(
-    """select cast(doc_id as varchar) || ':' || lpad(cast(seq as varchar), 3, '0') as chunk_id, 'passage: [' || lang || ' · ' || source || '] ' || substr(text, 1, 30) as passage,
+    """select cast(doc_id as varchar) || ':' || lpad(cast(seq as varchar), 3, '0') as chunk_id, 'passage: [' || lang || ' · ' || source || '] ' || text as passage,
        coalesce(nullif(nullif(case when seq % 2 = 0 then '' else lang end, ''), 'None'), source) as origin
        from (select doc_id, lang, source, text, n_chars % 7 as seq from documents)"""
 )
@@ -154,6 +154,6 @@ def chunk_rows(spark, d):
     some = lambda c: F.nullif(F.nullif(c, F.lit("")), F.lit("None"))
     return table(spark, d, "documents").select(
         F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.lpad(seq, 3, "0")).alias("chunk_id"),
-        F.concat(F.lit("passage: ["), "lang", F.lit(" · "), "source", F.lit("] "), F.substring("text", 1, 30)).alias("passage"),
+        F.concat(F.lit("passage: ["), "lang", F.lit(" · "), "source", F.lit("] "), "text").alias("passage"),
         F.coalesce(some(F.when(F.col("n_chars") % 7 % 2 == 0, "").otherwise(F.col("lang"))), "source").alias("origin"),
     )

@@ -18,12 +18,12 @@ def corpus_count_by_collection(spark, d):
 
 @query(
     """select coalesce(l.coleccion, r.coleccion) as coleccion, coalesce(l.n, 0) as here, coalesce(r.n, 0) as loaded, coalesce(r.n, 0) >= coalesce(l.n, 0) as complete
-       from (select coleccion, count(*) as n from corpus group by 1) l full join (select coleccion, count(*) as n from corpus where vec_id % 3 <> 0 or coleccion = 'c1' group by 1) r on r.coleccion = l.coleccion""",
+       from (select coleccion, count(*) as n from corpus group by 1) l full join (select coleccion, count(*) as n from corpus where not es_norma_vigente or coleccion = 'c1' group by 1) r on r.coleccion = l.coleccion""",
     "corpus",
 )
 def corpus_load_completeness(spark, d):
     corpus = view(spark, d, "corpus")
-    return C.completeness(corpus, corpus.where("vec_id % 3 <> 0 or coleccion = 'c1'"), "coleccion")
+    return C.completeness(corpus, corpus.where("not es_norma_vigente or coleccion = 'c1'"), "coleccion")
 
 
 @query(
@@ -54,13 +54,10 @@ def count_verification(spark, d):
     return docs.groupBy("lang").agg(F.count("*").alias("n")).join(expected, "lang")
 
 
-@query("select num_articulo, row_number() over (order by cast(num_articulo as int)) as place from editorial where cast(num_articulo as int) < 60", "editorial")
+@query("select num_articulo, row_number() over (order by cast(num_articulo as int)) as place from editorial", "editorial")
 def numeric_key_sort(spark, d):
-    """The first keys of the manifest in numeric, not alphabetic, order."""
-    first = view(spark, d, "editorial").where(F.col("num_articulo").cast("int") < 60)
-    from pyspark.sql import Window
-
-    return first.select("num_articulo", F.row_number().over(Window.orderBy(F.col("num_articulo").cast("int"))).alias("place"))
+    """The keys of the manifest in numeric, not alphabetic, order."""
+    return C.numeric_places(view(spark, d, "editorial").select("num_articulo"), "num_articulo")
 
 
 @query("select user_identifier, age_ms from subs order by age_ms, user_identifier limit 50", "subs")
@@ -68,10 +65,10 @@ def latest_first(spark, d):
     return view(spark, d, "subs").orderBy("age_ms", "user_identifier").limit(50).select("user_identifier", "age_ms")
 
 
-@query("select a.id, exists (select 1 from articles b where b.doc_id % 2 = 1 and sha256(b.contenido) = sha256(a.contenido)) as known from articles a where a.doc_id % 2 = 0", "articles")
+@query("select a.id, exists (select 1 from articles b where b.es_norma_vigente and sha256(b.contenido) = sha256(a.contenido)) as known from articles a", "articles")
 def corpus_dedupe_by_hash(spark, d):
     rows = view(spark, d, "articles")
-    return C.known_by_hash(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1"), "contenido").select("id", "known")
+    return C.known_by_hash(rows, rows.where("es_norma_vigente"), "contenido").select("id", "known")
 
 
 @query("select fuente_tipo, num_articulo, count(*) as n from articles group by all having count(*) > 1", "articles")
@@ -116,11 +113,11 @@ def ingest_first_rejection(spark, d):
 
 @query(
     """select json_object('norm', d.source, 'num', a.num_articulo, 'content', a.contenido, 'hash', sha256(a.contenido)) as line
-       from articles a join documents d on d.doc_id = a.doc_id where a.doc_id % 5 = 0 and not regexp_matches(a.contenido, '[\\x00-\\x08\\x0b-\\x1f/]')""",
+       from articles a join documents d on d.doc_id = a.doc_id """,
     "articles",
 )
 def ingest_jsonl(spark, d):
-    rows = packed(spark, d).where("doc_id % 5 = 0").where(~F.col("contenido").rlike(r"[\x00-\x08\x0b-\x1f/]"))
+    rows = packed(spark, d)
     return rows.select(F.to_json(F.struct(F.col("norm_id").alias("norm"), F.col("num_articulo").alias("num"), F.col("contenido").alias("content"), F.sha2("contenido", 256).alias("hash"))).alias("line"))
 
 

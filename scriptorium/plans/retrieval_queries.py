@@ -71,11 +71,11 @@ def retrieval_templates(spark, d):
     """select query_id, id, rank, round(similarity, 6) as similarity from (
         select q.vec_id as query_id, c.id, list_cosine_similarity(c.embedding::double[], q.embedding::double[]) as similarity,
                row_number() over (partition by q.vec_id order by list_cosine_similarity(c.embedding::double[], q.embedding::double[]) desc, c.id) as rank
-        from corpus c, embeddings q where q.vec_id < 8) where rank <= 5""",
+        from corpus c, embeddings q where q.vec_id % 100 = 0) where rank <= 5""",
     "corpus",
 )
 def retrieval_multi_query(spark, d):
-    questions = table(spark, d, "embeddings").where("vec_id < 8").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    questions = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
     return rounded(R.nearest_of_each(view(spark, d, "corpus"), questions, 5), "query_id", "id", "rank")
 
 
@@ -99,11 +99,11 @@ def vector_mean_pool(spark, d):
 
 
 @query(
-    """select doc_id, h from (select doc_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(substr(lang || source, 1, 40), ''), lambda c: unicode(c)::bigint)),
+    """select doc_id, h from (select doc_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(lang || source, ''), lambda c: unicode(c)::bigint)),
        lambda h, c: (h * 31 + c) & 4294967295) as h from documents)"""
 )
 def text_hash31(spark, d):
-    return table(spark, d, "documents").select("doc_id", V.hash31(F.substring(F.concat("lang", "source"), 1, 40)).alias("h"))
+    return table(spark, d, "documents").select("doc_id", V.hash31(F.concat("lang", "source")).alias("h"))
 
 
 @query()
@@ -112,19 +112,19 @@ def fake_embedding(spark, d):
     return docs.select("doc_id", F.size("v").alias("dims"), F.round(V.norm(F.col("v")), 6).alias("length"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 
-@query("select vec_id, '[' || array_to_string(list_transform(embedding[1:4], lambda x: format('{:.6f}', x::double)), ',') || ']' as literal from embeddings where vec_id < 100")
+@query("select vec_id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', x::double)), ',') || ']' as literal from embeddings")
 def vector_literal(spark, d):
-    return table(spark, d, "embeddings").where("vec_id < 100").select("vec_id", V.literal(F.slice("embedding", 1, 4)).alias("literal"))
+    return table(spark, d, "embeddings").select("vec_id", V.literal(F.col("embedding")).alias("literal"))
 
 
 FRAGMENTS = """(select c.vec_id as pos, c.num_articulo, d.text as contenido, c.fuente, c.es_norma_vigente, c.jurisdiccion,
     case when c.vec_id % 3 = 0 then 'sentencia' else 'codigo' end as fuente_tipo, (c.vec_id % 100) / 100.0 as relevancia, c.vec_id // 20 as question
-    from corpus c join documents d on d.doc_id = c.vec_id where c.vec_id < 200)"""
+    from corpus c join documents d on d.doc_id = c.vec_id)"""
 
 
 def fragments(spark, d) -> DataFrame:
     """Fragments as a retrieval returns them: positions, articles, sources and texts."""
-    corpus = view(spark, d, "corpus").where("vec_id < 200")
+    corpus = view(spark, d, "corpus")
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("contenido"))
     kind = F.when(F.col("vec_id") % 3 == 0, "sentencia").otherwise("codigo")
     joined = corpus.drop("embedding").join(docs, "vec_id").withColumns({"fuente_tipo": kind, "relevancia": (F.col("vec_id") % 100) / 100.0, "question": F.expr("vec_id div 20"), "pos": F.col("vec_id")})
@@ -177,11 +177,11 @@ WEB = """(select page_id, url, html, (page_id % 10) / 10.0 as score, page_id //
         select *, row_number() over (partition by search order by page_id) as nth from (
           select *, row_number() over (partition by search, key order by page_id) as same from (
             select search, page_id, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')) as key,
-                   regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^www\\.', '') as domain, substr(trim(regexp_replace(substr(html, 1, 900), '\\s+', ' ', 'g')), 1, 450) as snippet
+                   regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^www\\.', '') as domain, substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 450) as snippet
             from {WEB} where score >= 0.3)) where same = 1) where nth <= 5"""
 )
 def web_results_clean(spark, d):
     pages = table(spark, d, "pages").withColumns({"score": (F.col("page_id") % 10) / 10.0, "search": F.expr("page_id div 10")}).where("score >= 0.3")
-    held = pages.select("search", "page_id", T.normal_url(F.col("url")).alias("key"), T.domain(F.col("url")).alias("domain"), T.snippet(F.substring("html", 1, 900)).alias("snippet"))
+    held = pages.select("search", "page_id", T.normal_url(F.col("url")).alias("key"), T.domain(F.col("url")).alias("domain"), T.snippet(F.col("html")).alias("snippet"))
     first = held.withColumn("same", F.row_number().over(Window.partitionBy("search", "key").orderBy("page_id"))).where("same = 1")
     return first.withColumn("nth", F.row_number().over(Window.partitionBy("search").orderBy("page_id"))).where("nth <= 5").select("search", "page_id", "domain", "snippet")

@@ -9,6 +9,7 @@ from scriptorium.plans.registry import query
 from scriptorium.sources.views import table, view
 
 SALT = "scriptorium-2026"
+UPLOAD_CAP = 20_000
 
 
 def rx(pattern: str) -> str:
@@ -143,19 +144,20 @@ def query_sanitise(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sanitised_query(F.col("text")).alias("asked"))
 
 
-@query("select doc_id, length(text) > 2000 as truncated, substr(text, 1, 2000) as text from (select doc_id, replace(text, chr(0), '') as text from documents)")
+@query("select doc_id, length(text) > 20000 as truncated, substr(text, 1, 20000) as text from (select doc_id, replace(text, chr(0), '') as text from documents)")
 def upload_normalise(spark, d):
+    """Uploads are cut at UPLOAD_CAP characters, which the flag tells."""
     clean = F.regexp_replace("text", r"\x00", "")
-    return table(spark, d, "documents").select("doc_id", (F.length(clean) > 2000).alias("truncated"), F.substring(clean, 1, 2000).alias("text"))
+    return table(spark, d, "documents").select("doc_id", (F.length(clean) > UPLOAD_CAP).alias("truncated"), F.substring(clean, 1, UPLOAD_CAP).alias("text"))
 
 
 MONTHS = T.DATES.replace("á", "á")
 
 
-@query(f"select doc_id, regexp_matches(x, '(?i){T.DATES}') as dated from (select doc_id, case doc_id % 4 when 0 then 'el 5 de mayo de 2020 ' when 1 then '05/11/2021 ' when 2 then '5 de mayo ' else '' end || substr(text, 1, 50) as x from documents)")
+@query(f"select doc_id, regexp_matches(x, '(?i){T.DATES}') as dated from (select doc_id, case doc_id % 4 when 0 then 'el 5 de mayo de 2020 ' when 1 then '05/11/2021 ' when 2 then '5 de mayo ' else '' end || text as x from documents)")
 def date_mentions(spark, d):
     lead = F.expr("case doc_id % 4 when 0 then 'el 5 de mayo de 2020 ' when 1 then '05/11/2021 ' when 2 then '5 de mayo ' else '' end")
-    return table(spark, d, "documents").select("doc_id", F.rlike(F.concat(lead, F.substring("text", 1, 50)), F.lit("(?iu)" + T.DATES)).alias("dated"))
+    return table(spark, d, "documents").select("doc_id", F.rlike(F.concat(lead, "text"), F.lit("(?iu)" + T.DATES)).alias("dated"))
 
 
 @query(
@@ -196,7 +198,7 @@ def api_key_parse(spark, d):
        from (select c_custkey, case when c_custkey % 3 = 0 then c_name else '{"p":"academico","u":"' || c_name || '"}' end as packed from customer)"""
 )
 def custom_id_parse(spark, d):
-    packed = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.to_json(F.struct(F.lit("academico").alias("p"), F.substring("c_name", 1, 100).alias("u"))))
+    packed = F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(F.to_json(F.struct(F.lit("academico").alias("p"), F.col("c_name").alias("u"))))
     is_json = packed.startswith("{")
     plan = F.when(is_json, F.coalesce(F.get_json_object(packed, "$.p"), F.lit("pro"))).otherwise("pro")
     return table(spark, d, "customer").select("c_custkey", plan.alias("plan"), F.when(is_json, F.get_json_object(packed, "$.u")).otherwise(packed).alias("uid"))

@@ -16,10 +16,10 @@ def upsert_latest(spark, d):
     return W.latest(table(spark, d, "events"), ["user_id"], F.desc("ts"), F.desc("event_id")).select("user_id", "event_type", "value")
 
 
-@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'click') where n = 1 and user_id not in (select user_id from events where event_type = 'purchase' and event_id % 7 = 0)")
+@query("select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) as n from events where event_type = 'click') where n = 1 and user_id not in (select user_id from events where event_type = 'purchase' and value > 90)")
 def insert_ignore(spark, d):
     e = table(spark, d, "events")
-    have = e.where("event_type = 'purchase' and event_id % 7 = 0").select("user_id").distinct()
+    have = e.where("event_type = 'purchase' and value > 90").select("user_id").distinct()
     return W.insert_ignore(have, e.where("event_type = 'click'"), ["user_id"], F.col("event_id")).select("user_id", "event_id")
 
 
@@ -93,9 +93,9 @@ def alert_progress(spark, d):
     return AL.progress(table(spark, d, "events")).select("event_id", "progress", "is_finding")
 
 
-@query("select conv_id, string_agg(substr(text, 1, 12), '' order by turn) as answer, count(*) as n_chunks from conversations group by conv_id")
+@query("select conv_id, string_agg(text, '' order by turn) as answer, count(*) as n_chunks from conversations group by conv_id")
 def sse_parse(spark, d):
     """Token streams: each turn arrives as a data line; the deltas of a stream are joined in order, and malformed lines are left out."""
-    delta = F.to_json(F.struct(F.substring("text", 1, 12).alias("delta")))
+    delta = F.to_json(F.struct(F.col("text").alias("delta")))
     lines = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n: comment\ndata: {broken\n")).alias("chunk"))
     return AL.joined_deltas(lines, "conv_id", "seq", "chunk").withColumnRenamed("text", "answer")

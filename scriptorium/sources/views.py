@@ -24,7 +24,7 @@ VIEWS = {
         "select concat('SUB-', c_custkey) as sub_id, case when c_acctbal > 0 then 'ACTIVE' else 'SUSPENDED' end as status,"
         " case when c_custkey % 11 = 0 then 'other' when c_custkey % 2 = 0 then 'pro' else 'academico' end as plan_tier,"
         " case when c_custkey % 13 = 0 then 'user:0' else concat('user:', c_custkey) end as custom_uid"
-        " from customer where c_custkey % 7 <> 0"
+        " from customer where c_mktsegment <> 'MACHINERY'"
     ),
     "corpus": (
         "select concat('c', label % 3, ':', vec_id) as id, vec_id, concat('c', label % 3) as coleccion, concat('0', 1 + label % 2) as materia,"
@@ -38,15 +38,15 @@ VIEWS = {
     ),
     "articles": (
         "select concat('a', doc_id) as id, doc_id, cast(doc_id % 50 + 1 as varchar(9)) as num_articulo,"
-        " case when doc_id % 7 = 0 then concat('ARTICULO ', doc_id % 50 + 1, '.- [Cliente_Anonimo] ', substr(text, 1, 120))"
-        " when doc_id % 5 = 0 then substr(text, 1, 120) else concat('ARTICULO ', doc_id % 50 + 1, '.- ', substr(text, 1, 120)) end as contenido,"
+        " case when doc_id % 7 = 0 then concat('ARTICULO ', doc_id % 50 + 1, '.- [Cliente_Anonimo] ', coalesce(text, ''))"
+        " when doc_id % 5 = 0 then coalesce(text, '') else concat('ARTICULO ', doc_id % 50 + 1, '.- ', coalesce(text, '')) end as contenido,"
         " case doc_id % 4 when 0 then 'Codigo Penal' when 1 then 'Codigo Procesal Penal' when 2 then 'Codigo Civil' else null end as fuente,"
         " case when doc_id % 3 = 0 then 'sentencia' else 'codigo' end as fuente_tipo,"
         " case when doc_id % 4 = 2 then '02_CIVIL' else '01_PENAL' end as materia, doc_id % 6 <> 0 as es_norma_vigente from documents"
     ),
     "editorial": (
         "select cast(doc_id as varchar(19)) as num_articulo, case when doc_id % 10 < 7 then 'contaminado' else 'limpio' end as estado"
-        " from documents where doc_id % 17 <> 0"
+        " from documents where source <> 'src2'"
     ),
     "billing": (
         "select event_id, ts, concat('user:', user_id) as user_identifier,"
@@ -67,7 +67,7 @@ VIEWS = {
         "select conv_id, turn, role, concat(case conv_id % 8 when 0 then concat('Que dice el articulo ', conv_id % 50 + 1, ' del Codigo Penal sobre el plazo: ')"
         " when 1 then 'Cual es el plazo para el recurso de apelacion: ' when 2 then concat('Texto del art. ', conv_id % 50 + 1, ' ')"
         " when 3 then 'Segun el corpus, ' when 4 then concat('Articulo ', conv_id % 50 + 1, ' del Codigo Procesal Penal: ') when 5 then 'Cita la fuente civil: '"
-        " when 6 then concat('art ', conv_id % 50 + 1, ' codigo civil ') else '' end, substr(text, 1, 60)) as content,"
+        " when 6 then concat('art ', conv_id % 50 + 1, ' codigo civil ') else '' end, coalesce(text, '')) as content,"
         " case conv_id % 5 when 0 then 'sala_ia' when 1 then 'analisis' when 2 then 'documento' when 3 then 'sala_penal' else 'analisis_penal' end as mode"
         " from conversations"
     ),
@@ -77,12 +77,13 @@ VIEWS = {
         " case when doc_id % 6 = 0 then 'Tel 2234-5678 ' else '' end, case when doc_id % 7 = 0 then concat('mail a', doc_id, '@mail.example.hn ') else '' end,"
         " case when doc_id % 11 = 0 then concat('RTN: ', 10000000000000 + doc_id, ' ') else '' end,"
         " case when doc_id % 13 = 0 then concat('Expediente: ', 1000 + doc_id % 99, '-', 2000 + doc_id % 20, ' ') else '' end,"
-        " substr(text, 1, 400)) as text from documents"
+        " coalesce(text, '')) as text from documents"
     ),
-    # Statute texts: three headings around passages, page lines, trailing blanks and blank lines.
+    # Statute texts: three headings around the halves of a text, page lines, trailing blanks and blank lines.
     "statutes": (
-        "select doc_id, source, concat('Preambulo ', chr(13), chr(10), substr(text, 1, 20), '  ', chr(10), chr(10), chr(10), chr(10), 'ARTICULO ', doc_id % 9 + 1, '.- ', replace(substr(text, 1, 60), chr(10), ' '),"
-        " chr(10), 'Pagina 3 de 9', chr(10), 'Articulo ', doc_id % 9 + 2, ': ', replace(substr(text, 61, 60), chr(10), ' '), chr(10), '  ', 'ARTICULO ', doc_id % 9 + 9, ' fin', chr(10)) as text from documents"
+        "select doc_id, source, concat('Preambulo ', chr(13), chr(10), source, '  ', chr(10), chr(10), chr(10), chr(10), 'ARTICULO ', doc_id % 9 + 1, '.- ', replace(substr(text, 1, half), chr(10), ' '),"
+        " chr(10), 'Pagina 3 de 9', chr(10), 'Articulo ', doc_id % 9 + 2, ': ', replace(substr(text, half + 1), chr(10), ' '), chr(10), '  ', 'ARTICULO ', doc_id % 9 + 9, ' fin', chr(10)) as text"
+        " from (select doc_id, source, coalesce(text, '') as text, cast(floor(length(coalesce(text, '')) / 2) as int) as half from documents)"
     ),
     # One package of articles for each source, with defects in chosen ones.
     "packages": (
