@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.llm import bpe, jaccard, mixing, quality, secrets
-from scriptorium.llm._common import stage
+from scriptorium.llm._common import stage, whole
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,10 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_chars, the token ids and their number, and whether they decode to the text."""
-    found = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "n_chars", F.col("text").alias("kept_text"), "text")))
-    same = F.coalesce("kept_text", F.lit("")).cast("binary") == F.col("decoded")
+    digest = lambda c: F.unhex(F.sha2(c, 256))
+    kept = docs.select("doc_id", "lang", "source", "n_chars", digest(whole(F.col("text")).cast("binary")).alias("digest"), "text")
+    found = bpe.decode(bpe.encode(kept))
+    same = F.col("digest") == digest(F.coalesce("decoded", F.lit(b"")))
     return found.select("doc_id", "lang", "source", "n_chars", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
 
