@@ -1,23 +1,14 @@
-"""Corpus ingestion: completeness, rules in order, review states, moderation and the keyword analyser."""
+"""Corpus ingestion: completeness, rules in order, review states and moderation."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions import text as T
-
 # States, roles and thresholds.
 LEGAL_STATES = ("vigente", "derogado", "reformado", "pendiente_verificacion")
 SENIOR = "abogado_revisor_senior"
 MIN_SCORE = 0.6
-#: Elements of a charge sheet: how many of the words must stand in it.
-ELEMENTS = {
-    "intent": (1, ("dolo", "intención", "voluntad")),
-    "force": (2, ("violencia", "amenaza", "fuerza", "intimidación")),
-    "evidence": (2, ("testigo", "documento", "pericia", "evidencia")),
-    "circumstance": (1, ("lugar", "hora", "fecha")),
-}
 
 
 def completeness(here: DataFrame, loaded: DataFrame, key: str) -> DataFrame:
@@ -110,18 +101,3 @@ def moderated(rows: DataFrame, auto_approve: bool = False) -> DataFrame:
     any_pii = F.col("pii") | (F.col("third") & ~failed)
     decision = F.when(failed, "en_revision").when(~F.col("legit"), "rechazado").when(any_pii | (F.col("score") < MIN_SCORE) | F.lit(not auto_approve), "en_revision").otherwise("aprobado")
     return rows.withColumns({"decision": decision, "pii": any_pii})
-
-
-def charge_sheet(df: DataFrame, text_column: str) -> DataFrame:
-    """df with a flag for each element that its text supports, and the defects illicit, undated and collective."""
-    x = F.lower(text_column)
-    has = lambda words: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w)))
-    flags = {name: has(words) >= least for name, (least, words) in ELEMENTS.items()}
-    return df.withColumns(
-        flags
-        | {
-            "illicit": x.contains("allanamiento") & ~x.contains("con orden judicial"),
-            "undated": ~x.rlike("(?u)" + T.DATES),
-            "collective": x.contains("los imputados") & ~x.contains("cada imputado"),
-        }
-    )

@@ -12,6 +12,7 @@ from scriptorium.functions import vectors as V
 
 CAP, TEMPLATE_CAP, IN_FORCE = 20, 10, 3
 MAX_CITATIONS, CITATION_LENGTH = 5, 600
+TEMPLATE_SIMILARITY = 0.75
 QUERY_BLOCK, MOST_SENT = 64, 10_000
 
 
@@ -105,6 +106,35 @@ def percentage(share: Column) -> Column:
     return F.concat(F.floor(share * 100 + 0.5).cast("string"), F.lit("%"))
 
 
+def numbered_blocks(rows: DataFrame, key: str, order: str, line: Column, between: str = "\n\n") -> DataFrame:
+    """One text for each key, named block: a line for each of its rows in order; line may use n, the row's number from 1.
+
+    The rows of one key are the few that a question retrieved (at most CAP + IN_FORCE).
+    """
+    lines = rows.withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(order))).select(key, "n", line.alias("line"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"])
+    return lines.groupBy(key).agg(F.array_join(listed, between).alias("block"))
+
+
+def community_blocks(found: DataFrame, key: str, order: str) -> DataFrame:
+    """Contributions of users (kind, content), numbered."""
+    return numbered_blocks(found, key, order, F.concat(F.lit("[Comunidad "), F.col("n").cast("string"), F.lit("] ("), F.col("kind"), F.lit(")\n"), F.col("content")))
+
+
+def web_blocks(found: DataFrame, key: str, order: str) -> DataFrame:
+    """Web results (title, domain, url, snippet), numbered."""
+    head = F.concat(F.lit("[Web "), F.col("n").cast("string"), F.lit("] "), F.col("title"))
+    fields = F.concat(F.lit("\n  Dominio: "), F.col("domain"), F.lit("\n  URL:     "), F.col("url"), F.lit('\n  Fragmento: "'), F.col("snippet"), F.lit('"'))
+    return numbered_blocks(found, key, order, F.concat(head, fields))
+
+
+def template_blocks(found: DataFrame, key: str, order: str) -> DataFrame:
+    """Templates (title, similarity, variables, content) of TEMPLATE_SIMILARITY or more, numbered, with the variables to fill in."""
+    head = F.concat(F.lit("[PLANTILLA "), F.col("n").cast("string"), F.lit("] "), F.col("title"), F.lit(" (similitud: "), percentage(F.col("similarity")), F.lit(")\n"))
+    line = F.concat(head, F.lit("Variables a completar: "), F.array_join("variables", ", "), F.lit("\n\n"), F.col("content"))
+    return numbered_blocks(found.where(F.col("similarity") >= TEMPLATE_SIMILARITY), key, order, line, "\n\n---\n\n")
+
+
 def context_blocks(fragments: DataFrame, key: str, order: str, content: str = "contenido") -> DataFrame:
     """One text for each key: its fragments in order, numbered, with article, label and relevance.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators import charges as H
 from scriptorium.operators import corpus as C
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import FLAG
@@ -142,21 +143,36 @@ def moderation_decision(spark, d):
     return C.moderated(rows, auto_approve=True).select("doc_id", "decision", "pii")
 
 
-SHEET = "(select doc_id, lower(text || case doc_id % 6 when 0 then ' dolo amenaza violencia' when 1 then ' el 5 de mayo de 2020 allanamiento sin orden' when 2 then ' testigo documento pericia' when 3 then ' gravedad los imputados' else '' end) as x from documents)"
+SHEETS = {
+    0: " solicita prisión preventiva del imputado acusado por el delito de robo, código penal, fecha hora lugar, testigo, autor, el 5 de mayo de 2020",
+    1: " registro y allanamiento sin más, el 05/11/2021",
+    2: " confesó el hecho; llamadas y comunicaciones",
+    3: " imputado con domicilio conocido; delito de hurto tipificado en el decreto; prueba: consta; realizó; se pide; gravedad del delito; todos ellos",
+    4: " gravedad del delito: imputado, dni, fecha, hora, lugar, artículo, decreto, informe, coautor, requerimiento, el 1 de enero de 2020",
+    5: " imputado, dni, fecha, hora, lugar, artículo, decreto, informe, coautor, requerimiento, arraigo",
+    6: "",
+}
+TAILS = "case doc_id % 7 " + " ".join(f"when {k} then '{v}'" for k, v in SHEETS.items()) + " end"
 
 
 def present(words) -> str:
     return " + ".join(f"cast(contains(x, '{w}') as int)" for w in words)
 
 
+COUNTED = "(select *, " + ", ".join(f"({present(words)}) >= {least} as {name}" for name, (least, words) in H.ELEMENTS.items()) + ", "
+COUNTED += ", ".join(f"(regexp_matches(x, '{'|'.join(yes)}') and not regexp_matches(x, '{'|'.join(no)}')) as {name}" for name, (yes, no) in (H.ALERTS | H.DEFECTS).items())
+COUNTED += f", not regexp_matches(t, '{H.DATED}') as undated from (select doc_id, text || {TAILS} as t, lower(text || {TAILS}) as x from documents))"
+FLAGS = [*H.ELEMENTS, *H.ALERTS, *H.DEFECTS, "undated"]
+
+
 @query(
-    "select doc_id, "
-    + ", ".join(f"({present(words)}) >= {least} as {name}" for name, (least, words) in C.ELEMENTS.items())
-    + ", (contains(x, 'allanamiento') and not contains(x, 'con orden judicial')) as illicit, not regexp_matches(x, '"
-    + T.DATES
-    + "') as undated, (contains(x, 'los imputados') and not contains(x, 'cada imputado')) as collective from "
-    + SHEET
+    f"""select doc_id, too_short, {", ".join(f"case when not too_short then {n} end as {n}" for n in FLAGS)}, case when not too_short then missing end as missing,
+        not too_short and missing = 0 and not (abstract_gravity or collective or undated) as complies,
+        case when too_short then '{H.TRIAL}' when confession or search or interception then '{H.NULLITY}' when missing >= 3 then '{H.NO_ACTION}' when not facts and (not role or collective) then '{H.NULLITY}'
+            when (not custody or abstract_gravity) and missing <= 1 then '{H.CUSTODY}' when undated then '{H.DISMISSAL}' else '{H.TRIAL}' end as strategy
+        from (select *, length(trim(t)) < {H.SHORTEST} as too_short, {" + ".join(f"cast(not {n} as int)" for n in H.ELEMENTS)} as missing from {COUNTED})"""
 )
 def charge_analyser(spark, d):
-    tail = F.expr("case doc_id % 6 when 0 then ' dolo amenaza violencia' when 1 then ' el 5 de mayo de 2020 allanamiento sin orden' when 2 then ' testigo documento pericia' when 3 then ' gravedad los imputados' else '' end")
-    return C.charge_sheet(table(spark, d, "documents").select("doc_id", F.concat("text", tail).alias("text")), "text").select("doc_id", *C.ELEMENTS, "illicit", "undated", "collective")
+    """Charge sheets: whole texts with an ending that holds the terms of one outcome."""
+    sheets = table(spark, d, "documents").select("doc_id", F.concat("text", F.expr(TAILS)).alias("text"))
+    return H.analysed(sheets, "text").select("doc_id", "too_short", *FLAGS, "missing", "complies", "strategy")

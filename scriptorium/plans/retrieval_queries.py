@@ -181,7 +181,49 @@ WEB = """(select page_id, url, html, (page_id % 10) / 10.0 as score, page_id //
             from {WEB} where score >= 0.3)) where same = 1) where nth <= 5"""
 )
 def web_results_clean(spark, d):
+    return web_results(spark, d).select("search", "page_id", "domain", "snippet")
+
+
+def web_results(spark, d) -> DataFrame:
     pages = table(spark, d, "pages").withColumns({"score": (F.col("page_id") % 10) / 10.0, "search": F.expr("page_id div 10")}).where("score >= 0.3")
-    held = pages.select("search", "page_id", T.normal_url(F.col("url")).alias("key"), T.domain(F.col("url")).alias("domain"), T.snippet(F.col("html")).alias("snippet"))
+    held = pages.select("search", "page_id", "url", T.normal_url(F.col("url")).alias("key"), T.domain(F.col("url")).alias("domain"), T.snippet(F.col("html")).alias("snippet"))
     first = held.withColumn("same", F.row_number().over(Window.partitionBy("search", "key").orderBy("page_id"))).where("same = 1")
-    return first.withColumn("nth", F.row_number().over(Window.partitionBy("search").orderBy("page_id"))).where("nth <= 5").select("search", "page_id", "domain", "snippet")
+    return first.withColumn("nth", F.row_number().over(Window.partitionBy("search").orderBy("page_id"))).where("nth <= 5")
+
+
+CLEAN = f"""(select *, row_number() over (partition by search order by page_id) as n from (
+    select *, row_number() over (partition by search, key order by page_id) as same from (
+      select search, page_id, url, lower(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')) as key,
+             regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^www\\.', '') as domain, substr(trim(regexp_replace(html, '\\s+', ' ', 'g')), 1, 450) as snippet
+      from {WEB} where score >= 0.3)) where same = 1)"""
+
+
+@query(
+    f"""select search, string_agg('[Web ' || n || '] page ' || page_id || chr(10) || '  Dominio: ' || domain || chr(10) || '  URL:     ' || url || chr(10) || '  Fragmento: "' || snippet || '"', chr(10) || chr(10) order by n) as block
+        from {CLEAN} where n <= 5 group by search"""
+)
+def context_web(spark, d):
+    found = web_results(spark, d).withColumn("title", F.concat(F.lit("page "), F.col("page_id").cast("string")))
+    return R.web_blocks(found, "search", "page_id")
+
+
+@query(
+    """select question, string_agg('[Comunidad ' || n || '] (' || source || ')' || chr(10) || text, chr(10) || chr(10) order by n) as block
+       from (select *, doc_id // 20 as question, row_number() over (partition by doc_id // 20 order by doc_id) as n from moderation where estado_moderacion = 'aprobado') group by question""",
+    "moderation",
+)
+def context_community(spark, d):
+    approved = view(spark, d, "moderation").where("estado_moderacion = 'aprobado'")
+    return R.community_blocks(approved.select(F.expr("doc_id div 20").alias("question"), "doc_id", F.col("source").alias("kind"), F.col("text").alias("content")), "question", "doc_id")
+
+
+@query(
+    """select question, string_agg('[PLANTILLA ' || n || '] ' || source || ' (similitud: ' || cast(floor(similarity * 100 + 0.5) as bigint) || '%)' || chr(10) || 'Variables a completar: ' || lang || ', ' || source || chr(10) || chr(10) || text,
+       chr(10) || chr(10) || '---' || chr(10) || chr(10) order by n) as block
+       from (select *, doc_id // 20 as question, row_number() over (partition by doc_id // 20 order by doc_id) as n from (select *, (n_chars % 100) / 100.0 as similarity from documents) where similarity >= 0.75) group by question"""
+)
+def context_template(spark, d):
+    docs = table(spark, d, "documents").select(
+        F.expr("doc_id div 20").alias("question"), "doc_id", F.col("source").alias("title"), ((F.col("n_chars") % 100) / 100.0).alias("similarity"), F.array("lang", "source").alias("variables"), F.col("text").alias("content")
+    )
+    return R.template_blocks(docs, "question", "doc_id")
