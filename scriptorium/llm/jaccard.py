@@ -168,13 +168,17 @@ class Region:
         shared = self.shared(pivot)
         ball = self.linked(pivot, shared)
         yield from join(pivot, ball)
-        # Two in the ball are connected through the pivot, so each further link has an end outside it.
+        # Two in the ball are connected through the pivot, so each further link has an end outside it. That end may lie beyond others;
+        # the ball's members among others then ask for it, unless all beyond are in the ball too.
+        asked = ~ball
+        if others is not None:
+            beyond = np.ones(len(ball), dtype=bool)
+            beyond[others.start : others.stop] = False
+            asked = ~beyond & (~ball | (beyond & ~ball).any())
         near = 1 - shared / (self.sizes + self.sizes[pivot] - shared)
         radius = 1 - self.percent / 100 + 1e-9
-        for i in np.flatnonzero(~ball).tolist() if others is None else others:
-            if i == pivot or others is not None and ball[i]:
-                continue
-            if (np.abs(near - near[i]) <= radius).sum() > 1:
+        for i in np.flatnonzero(asked).tolist():
+            if i != pivot and (np.abs(near - near[i]) <= radius).sum() > 1:
                 yield from join(i, self.linked(i, self.shared(i)))
 
 

@@ -117,3 +117,20 @@ def result_empty(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert jaccard.dedupe(df).count() == 0
     return jaccard.similar(df).collect()
+
+
+def test_blocks_link_the_ball_of_one_with_the_outside_of_the_other(spark):
+    make = lambda changed: " ".join("x" if i in changed else f"w{i}" for i in range(200))
+    p, i, j = make(()), make((60, 61)), make((60, 61, 120, 121, 122, 123, 124, 125))
+    texts = {n: t for n, t in enumerate((p, i, j))}
+    linked = {(a, b) for a, b in ((0, 1), (1, 2), (0, 2)) if len({c for _, _, c in brute([(a, texts[a]), (b, texts[b])])}) == 1}
+    assert linked == {(0, 1), (1, 2)}
+    # Names of which the first two fall into one block of two and the third into the other.
+    block = {r["node"]: r["block"] for r in spark.range(64).selectExpr("id as node", "pmod(xxhash64(id), 2) as block").collect()}
+    one, two = ([n for n in block if block[n] == b] for b in (0, 1))
+    for x, y in ((one, two), (two, one)):
+        names = [x[0], x[1], y[0]]
+        rows = [(7, n, 198, t, False, 2) for n, t in zip(names, texts.values(), strict=True)]
+        regions = spark.createDataFrame(rows, "region long, node long, n long, text string, ball boolean, chunks long")
+        edges = jaccard.join_blocks(regions, 3, 90)
+        assert {r["component"] for r in components(edges).collect()} == {min(names)} and components(edges).count() == 3
