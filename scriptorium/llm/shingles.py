@@ -43,7 +43,9 @@ def hashed(texts: list[bytes], width: int) -> list[np.ndarray]:
         return [np.zeros(0, dtype=np.uint64) for _ in texts]
     lengths = ends - starts
     place = np.arange(len(raw)) - np.repeat(np.concatenate([starts, [len(raw)]]), np.diff(np.concatenate([[0], starts[1:], [len(raw)], [len(raw)]])))
-    own = np.where(IN_WORD[raw], BYTES[raw] * powers(int(lengths.max()) + 1)[np.maximum(place, 0)], U(0))
+    longest = int(lengths.max())
+    place = np.clip(place, 0, longest)  # white space, whose place counts for nothing, may lie far behind the last word
+    own = np.where(IN_WORD[raw], BYTES[raw] * powers(longest + 1)[place], U(0))
     word = mix(np.add.reduceat(own, starts) + lengths.astype(np.uint64) * U(0x9E3779B97F4A7C15))
     run = word
     for k in range(1, width):

@@ -134,3 +134,16 @@ def test_blocks_link_the_ball_of_one_with_the_outside_of_the_other(spark):
         regions = spark.createDataFrame(rows, "region long, node long, n long, text string, ball boolean, chunks long")
         edges = jaccard.join_blocks(regions, 3, 90)
         assert {r["component"] for r in components(edges).collect()} == {min(names)} and components(edges).count() == 3
+
+
+def test_long_white_space(monkeypatch):
+    # Each case meets the table of powers as a new worker has it.
+    fresh = shingles._powers[:4096].copy()
+    for texts in ([b"a" + b" " * 10_000 + b"b"], [b"a", *[None] * 10_000, b"b c"], [b" " * 10_000 + b"a b"], [b"a b" + b"\n" * 10_000]):
+        monkeypatch.setattr(shingles, "_powers", fresh)
+        found = list(shingles.sets(texts, 3))
+        assert len(found) == len(texts)
+        for t, s in zip(texts, found, strict=True):
+            monkeypatch.setattr(shingles, "_powers", fresh)
+            short = b" ".join((t or b"").split())
+            assert s.tolist() == next(shingles.sets([short], 3)).tolist()
