@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.operators.ordered import ordered_fold
 from scriptorium.sources.shipping import ship
 
 #: Patterns that a row's source must match to count as the instrument asked for.
@@ -73,19 +74,14 @@ def repeated_first_lines(articles: DataFrame, key: str) -> DataFrame:
 
 
 def monotonic(headings: DataFrame, key: str, order: str, number: str, reach: int = 5) -> DataFrame:
-    """headings with accepted: numbers rise from 1, each by at most reach; others belong to the article before.
+    """headings with accepted: numbers rise from 1, each by at most reach; others belong to the article before."""
+    rows = headings.select(key, order, F.col(number).cast("int").alias("n"))
 
-    The fold runs over one document's numbers, which are few, as an array.
-    """
-    listed = headings.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, F.col(number).cast("int").alias("n")))).alias("all"))
-    start = F.struct(F.lit(0).alias("last"), F.array().cast(f"array<struct<at:{dict(headings.dtypes)[order]},ok:boolean>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        ok = (x["n"] > a["last"]) & (x["n"] <= a["last"] + reach)
-        return F.struct(F.when(ok, x["n"]).otherwise(a["last"]).alias("last"), F.array_append(a["out"], F.struct(x[order].alias("at"), ok.alias("ok"))).alias("out"))
+    def step(last: int, x: dict) -> tuple[int, tuple]:
+        ok = None if x["n"] is None else last < x["n"] <= last + reach
+        return x["n"] if ok else last, (ok,)
 
-    done = listed.select(key, F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x"))
-    return done.select(key, F.col("x.at").alias(order), F.col("x.ok").alias("accepted"))
+    return ordered_fold(rows, key, [order, "n"], ["n"], [order], 0, step, {"accepted": "boolean"})
 
 
 def epigraph(body: Column) -> Column:

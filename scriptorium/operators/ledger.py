@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ordered import ordered_fold
+
 TIERS, STATUSES = ("pro", "academico"), ("trialing", "active", "cancelled", "past_due")
 #: Event kinds: (new status, whether the event's own grant counts, transition). Fixed values.
 KINDS = {
@@ -14,8 +16,8 @@ KINDS = {
     "PAYMENT_FAILED": ("past_due", "fail"),
     "CANCELLED": ("cancelled", "downgrade"),
 }
-STATE = "sub_id: string, tier: string, status: string, usage_tier: string"
-AUDIT = "event_id: long, reason: string, applied: boolean, before_status: string, after_status: string, before_sub: string, after_sub: string, usage_tier: string"
+APPLIED = {"created", "updated", "reactivated_new_subscription", "new_attempt_registered", "past_due", "downgraded"}
+AUDIT = {"reason": "string", "applied": "boolean"} | dict.fromkeys(("before_status", "after_status", "before_sub", "after_sub", "usage_tier", "tier"), "string")
 
 
 def dispatched(events: DataFrame) -> DataFrame:
@@ -32,53 +34,47 @@ def intake(deliveries: DataFrame, received: str) -> DataFrame:
     return deliveries.withColumn("key", key).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
-def transition(state: Column, e: Column) -> Column:
-    """The audit entry of event e on state, whose after_ columns are the next state. Cases are tried from top to bottom."""
-    none, status = state["status"].isNull(), state["status"]
-    same = state["sub_id"].isNull() | state["sub_id"].eqNullSafe(e["sub_id"])
-    grants = F.coalesce(e["grants"], F.lit(False))
-    to_apply = (
-        F.when(none, "created").when(same & (e["new_status"] == "trialing") & status.isin("active", "past_due") & ~grants, "ignored_no_downgrade").when(same, "updated")
-        .when(status == "active", "duplicate_active_subscription").when(grants, "reactivated_new_subscription").when(e["new_status"] == "trialing", "new_attempt_registered").otherwise("stale_event_ignored")
-    )
-    owns = ~none & state["sub_id"].eqNullSafe(e["sub_id"])
-    reason = (
-        F.when(e["transition"] == "apply", to_apply)
-        .when(e["transition"] == "fail", F.when(owns, "past_due").otherwise("payment_without_row"))
-        .otherwise(F.when(owns, "downgraded").otherwise("no_matching_subscription"))
-    )
-    applied = reason.isin("created", "updated", "reactivated_new_subscription", "new_attempt_registered", "past_due", "downgraded")
-    takes = applied & (e["transition"] == "apply")
-    after = F.when(applied, e["new_status"]).otherwise(status)
-    free = reason == "downgraded"
-    tier = F.when(takes, e["tier"]).when(free, "free").otherwise(state["tier"])
-    usage = F.when(takes & (after == "active"), e["tier"]).when(free, "free").otherwise(state["usage_tier"])
-    return F.struct(
-        e["event_id"].alias("event_id"), reason.alias("reason"), applied.alias("applied"), status.alias("before_status"), after.alias("after_status"),
-        state["sub_id"].alias("before_sub"), F.when(takes, F.coalesce(e["sub_id"], state["sub_id"])).otherwise(state["sub_id"]).alias("after_sub"), usage.alias("usage_tier"), tier.alias("tier"),
-    )
+def reason_for(state: tuple, e: dict) -> str:
+    sub, _, status, _ = state
+    if e["transition"] != "apply":
+        owns = status is not None and sub == e["sub_id"]
+        return ("past_due" if owns else "payment_without_row") if e["transition"] == "fail" else ("downgraded" if owns else "no_matching_subscription")
+    if status is None:
+        return "created"
+    if sub is None or sub == e["sub_id"]:
+        return "ignored_no_downgrade" if e["new_status"] == "trialing" and status in ("active", "past_due") and not e["grants"] else "updated"
+    if status == "active":
+        return "duplicate_active_subscription"
+    if e["grants"]:
+        return "reactivated_new_subscription"
+    return "new_attempt_registered" if e["new_status"] == "trialing" else "stale_event_ignored"
+
+
+def advanced(state: tuple, e: dict) -> tuple[tuple, tuple]:
+    """The next state, and the audit row of event e."""
+    sub, tier, status, usage = state
+    reason = reason_for(state, e)
+    applied = reason in APPLIED
+    if applied:
+        status = e["new_status"]
+        if e["transition"] == "apply":
+            sub, tier = e["sub_id"] if e["sub_id"] is not None else sub, e["tier"]
+            usage = e["tier"] if status == "active" else usage
+        elif reason == "downgraded":
+            tier = usage = "free"
+    return (sub, tier, status, usage), (e["event_id"], reason, applied, state[2], status, state[0], sub, usage, tier)
 
 
 def folded(events: DataFrame) -> DataFrame:
-    """The audit rows of every user's events in order of (ts, event_id): one row for each event, applied or not.
-
-    The state of a user depends on all events before, so each user's events are folded in the JVM as one array; users spread over tasks.
-    """
+    """The audit rows of every user's events in order of (ts, event_id): one row for each event, applied or not."""
     rows = dispatched(events).where(F.col("tier").isin(*TIERS) & F.col("new_status").isin(*STATUSES))
-    event = F.struct("ts", "event_id", "sub_id", "tier", "new_status", "transition", F.col("grants").alias("grants"))
-    listed = rows.groupBy("user_identifier").agg(F.array_sort(F.collect_list(event)).alias("all"))
-    state = F.lit(None).cast("string")
-    start = F.struct(
-        F.struct(state.alias("sub_id"), state.alias("tier"), state.alias("status"), state.alias("usage_tier")).alias("now"),
-        F.array().cast(f"array<struct<{AUDIT}, tier: string>>").alias("out"),
-    )
-
-    def step(a: Column, e: Column) -> Column:
-        entry = transition(a["now"], e)
-        return F.transform(F.array(entry), lambda x: F.struct(F.struct(x["after_sub"].alias("sub_id"), x["tier"].alias("tier"), x["after_status"].alias("status"), x["usage_tier"].alias("usage_tier")).alias("now"), F.array_append(a["out"], x).alias("out")))[0]
-
-    done = listed.select("user_identifier", F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x"))
-    return done.select("user_identifier", "x.*")
+    fields = ["ts", "event_id", "sub_id", "tier", "new_status", "transition", "grants"]
+
+    def step(state: tuple, e: dict) -> tuple[tuple, tuple]:
+        now, row = advanced(state, e)
+        return now, row[1:]
+
+    return ordered_fold(rows.select("user_identifier", *fields), "user_identifier", fields, fields[1:], ["event_id"], (None, None, None, None), step, AUDIT)
 
 
 def duplicate_attempts(audit: DataFrame, events: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.ordered import ordered_fold
+
 #: Daily limits by tier (fixed values).
 LIMITS = {"free": 3, "academico": 20, "pro": 1000, "admin": 9999}
 PAID = ("pro", "academico", "admin")
@@ -72,13 +74,10 @@ def purchase_guard(subs: DataFrame, wanted: Column) -> DataFrame:
 
 def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS) -> DataFrame:
     """attempts with accepted: at least window_ms after the user's last accepted one. A fold over one user's ordered attempts."""
-    kind = dict(attempts.dtypes)[order]
-    listed = attempts.groupBy(user).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), F.col(order).alias("id")))).alias("all"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<struct<id:{kind},ok:boolean>>").alias("out"))
+    rows = attempts.select(user, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), order)
 
-    def step(a: Column, x: Column) -> Column:
-        ok = a["last"].isNull() | (x["ms"] - a["last"] >= window_ms)
-        return F.struct(F.when(ok, x["ms"]).otherwise(a["last"]).alias("last"), F.array_append(a["out"], F.struct(x["id"].alias("id"), ok.alias("ok"))).alias("out"))
+    def step(last: int | None, x: dict) -> tuple[int | None, tuple]:
+        ok = True if last is None else None if x["ms"] is None else x["ms"] - last >= window_ms
+        return x["ms"] if ok else last, (ok,)
 
-    done = listed.select(user, F.explode(F.aggregate("all", start, step, lambda a: a["out"])).alias("x"))
-    return done.select(user, F.col("x.id").alias(order), F.col("x.ok").alias("accepted"))
+    return ordered_fold(rows, user, ["ms", order], ["ms"], [order], None, step, {"accepted": "boolean"})

@@ -8,12 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from scriptorium.operators.ledger import STATUSES, TIERS, dispatched
+from scriptorium.operators.ledger import STATUSES, TIERS, advanced, dispatched
 from scriptorium.sources.shipping import ship
 
 STATE = "sub_id string, tier string, status string, usage_tier string"
 AUDIT = "user_identifier string, event_id long, reason string, applied boolean, before_status string, after_status string, before_sub string, after_sub string, usage_tier string, tier string"
-APPLIED = {"created", "updated", "reactivated_new_subscription", "new_attempt_registered", "past_due", "downgraded"}
 
 
 def exactly_once(events: DataFrame, key: str = "event_id") -> DataFrame:
@@ -26,37 +25,6 @@ def within(events: DataFrame, ts: str, delay: str, key: str = "event_id") -> Dat
     return events.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def reason_for(state: tuple, e) -> str:
-    sub, _, status, _ = state
-    if e.transition != "apply":
-        owns = status is not None and sub == e.sub_id
-        return ("past_due" if owns else "payment_without_row") if e.transition == "fail" else ("downgraded" if owns else "no_matching_subscription")
-    if status is None:
-        return "created"
-    if sub is None or sub == e.sub_id:
-        return "ignored_no_downgrade" if e.new_status == "trialing" and status in ("active", "past_due") and not e.grants else "updated"
-    if status == "active":
-        return "duplicate_active_subscription"
-    if e.grants:
-        return "reactivated_new_subscription"
-    return "new_attempt_registered" if e.new_status == "trialing" else "stale_event_ignored"
-
-
-def advanced(state: tuple, e) -> tuple[tuple, tuple]:
-    """The next state, and the audit row of event e."""
-    sub, tier, status, usage = state
-    reason = reason_for(state, e)
-    applied = reason in APPLIED
-    if applied:
-        status = e.new_status
-        if e.transition == "apply":
-            sub, tier = e.sub_id if e.sub_id is not None else sub, e.tier
-            usage = e.tier if status == "active" else usage
-        elif reason == "downgraded":
-            tier = usage = "free"
-    return (sub, tier, status, usage), (e.event_id, reason, applied, state[2], status, state[0], sub, usage, tier)
-
-
 def audit_stream(events: DataFrame) -> DataFrame:
     """An audit row for every event, as in the batch fold, with each user's subscription as state.
 
@@ -69,7 +37,7 @@ def audit_stream(events: DataFrame) -> DataFrame:
         now = state.get if state.exists else (None, None, None, None)
         out = []
         for e in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            now, row = advanced(now, e)
+            now, row = advanced(now, e._asdict())
             out.append((key[0], *row))
         state.update(now)
         yield pd.DataFrame(out, columns=columns)

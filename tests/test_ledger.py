@@ -80,3 +80,26 @@ def test_guard(spark):
     subs = spark.createDataFrame([("a", "pro", "pending", 300_000), ("b", "pro", "pending", 1_200_000), ("c", "pro", "active", 0), ("d", "academico", "active", 0)], "u string, tier string, status string, age_ms long")
     got = {r["u"]: (r["code"], r["retry_after_s"]) for r in U.purchase_guard(subs, F.lit("pro")).collect()}
     assert got == {"a": ("PENDING_ATTEMPT_EXISTS", 600), "b": (None, None), "c": ("ALREADY_SUBSCRIBED", None), "d": ("PLAN_CHANGE_REQUIRED", None)}
+
+
+def test_hot_keys_fold_without_arrays(spark):
+    from pyspark.sql import functions as F
+
+    n = 25_000  # more than two Arrow batches of one user
+    attempts = spark.range(n).select(F.expr("if(id % 5 = 0, 'other', 'hot')").alias("u"), F.timestamp_millis(F.col("id") * 700).alias("ts"), F.col("id").alias("e"))
+    found = U.throttled(attempts, "u", "ts", "e", window_ms=3000)
+    last, wanted = {}, {}
+    for i in range(n):
+        u = "hot" if i % 5 else "other"
+        if wanted.setdefault(i, u not in last or i * 700 - last[u] >= 3000):
+            last[u] = i * 700
+    assert {r["e"]: r["accepted"] for r in found.collect()} == wanted
+    kinds = F.expr("case when id % 5 = 0 then 'CREATED' when id % 5 > 2 then 'CANCELLED' else 'ACTIVATED' end")
+    rows = spark.range(n).select(
+        F.col("id").alias("event_id"), F.timestamp_millis("id").alias("ts"), F.lit("hot").alias("user_identifier"), F.expr("concat('S', id div 5)").alias("sub_id"), F.lit("pro").alias("tier"), kinds.alias("kind"), F.lit(False).alias("grants")
+    )
+    audit = L.folded(rows)
+    cycle = ["created", "updated", "updated", "downgraded", "downgraded"]
+    assert [r["reason"] for r in audit.orderBy("event_id").collect()] == [*cycle, *(["new_attempt_registered"] + cycle[1:]) * (n // 5 - 1)]
+    for df in (found, audit):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
