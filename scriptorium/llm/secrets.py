@@ -68,16 +68,16 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     """The weak parts that complete a credential. parts: k1, k2 (the document), start, kind, stop; columns k1, k2, weak come back.
 
     A part lies in every cell of width scope that its span, widened by scope on the left, touches; a complement is looked up in the
-    cells that its own span touches, so two parts with at most scope code points between them meet in at least one cell.
+    cells that its own span touches, its end included, so two parts with at most scope code points between them meet in at least one cell.
     """
     role = F.coalesce(*[F.when(F.col("kind") == KINDS.index(k), F.lit(v)) for k, v in PARTS.items()])
     cells = lambda first, last: F.explode(F.sequence(F.expr(f"cast(floor(({first}) / {scope}) as long)"), F.expr(f"cast(floor(({last}) / {scope}) as long)")))
     needed = F.coalesce(*[F.when(F.col("kind") == KINDS.index(k), F.array(*[F.lit(x) for x in v])) for k, v in NEEDS.items()])
     weak = parts.where(F.col("kind") >= len(BASE)).withColumn("needed", needed).withColumn("role", F.explode("needed"))
     weak = weak.withColumn("cell", cells(f"start - {scope}", f"stop + {scope}"))
-    # The nearest parts of each role in a cell decide, so a crowded cell gives two rows for each role and no pairs.
+    # All parts of a cell are joined; those of one kind do not overlap, so a cell of scope code points touches few of them.
     held = parts.select("k1", "k2", role.alias("role"), F.col("start").alias("b"), F.col("stop").alias("e"))
-    held = held.withColumn("cell", cells("b", "greatest(e - 1, b)"))
+    held = held.withColumn("cell", cells("b", "e"))
     met = weak.join(held, ["k1", "k2", "role", "cell"]).where(f"b <= stop + {scope} and e >= start - {scope} and (b >= stop or e <= start)")
     found = met.groupBy("k1", "k2", "start", "kind", "stop").agg(F.count_distinct("role").alias("met"), F.first("needed").alias("needed"))
     return found.where("met = size(needed)").groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "kind", "stop")).alias("weak"))

@@ -61,6 +61,13 @@ def test_link_equals_all_pairs(spark):
     assert got == want and want
 
 
+def test_a_complement_at_exactly_the_scope_links(spark):
+    for start in (400, 401, 600):
+        parts = [(0, 1, start - 220, secrets.KINDS.index("access"), start - 200), (0, 1, start, secrets.KINDS.index("key40"), start + 40)]
+        df = spark.createDataFrame(parts, "k1 int, k2 long, start long, kind int, stop long")
+        assert [w["start"] for r in secrets.link(df).collect() for w in r["weak"]] == [start]
+
+
 def test_redaction(spark):
     texts = ["a token=abcdefgh12 b", "clean", None, f"é {ACCESS} x {KEY40}", "token = " + "ab" * 20]
     got = {r["doc_id"]: r for r in secrets.redact(documents(spark, texts, extra=True)).collect()}
