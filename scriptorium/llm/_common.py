@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 
 from scriptorium.sources.shipping import ship
 
-__all__ = ["give_back", "lower_ascii", "maybe_among", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
+__all__ = ["drop", "give_back", "join_hot", "lower_ascii", "maybe_among", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
 
 #: White space between words, as a regular expression class and as the characters themselves.
 SPACE_CLASS = r"\x20\x09-\x0D"
 SPACE_CHARS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bits of a hash that maybe_among() tells apart.
 BITS = 26
+#: Keys with over one in so many rows are hot.
+HOT = 1000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,7 +47,29 @@ def stage(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    held = spark.read.schema(df.schema).parquet(path)
+    held._scratch = path
+    return held
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables of stage() when all that is read from them has been written itself."""
+    for held in tables:
+        spark = held.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(held._scratch)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str) -> DataFrame:
+    """left joined with right, which has one row for each of left's keys, and how many rows of left that is (the column rows).
+
+    Keys with over 1 / HOT of left's rows, HOT at most, are broadcast, so that no task gets all rows of one of them.
+    """
+    hot = F.col(rows) * HOT > left.count()
+    most, fewer = right.where(hot).drop(rows), right.where(~hot).drop(rows)
+    found = left.join(F.broadcast(most), key)
+    rest = left.join(F.broadcast(most.select(key)), key, "left_anti").join(fewer, key)
+    return found.unionByName(rest)
 
 
 def give_back() -> None:

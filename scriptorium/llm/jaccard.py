@@ -1,22 +1,24 @@
 """Exact n-gram Jaccard join in metric space.
 
-Distance here is Jaccard distance, and RADIUS the largest distance of a link. Random documents are all at distance near 1 from each
-other, where balls around pivot documents tell nothing apart. So the first level takes its pivots from the documents' parts:
-
-1. Sizes are cut into bands. The size of a set is its distance from the empty set by differing elements, so the triangle inequality
-   puts both ends of a link in one band, or the larger one in the window above a band, into which it is replicated.
-2. In a band the space of shingle hashes is cut into classes, more of them than linked sets can have differing elements. Each
-   distinct fragment (a set's elements in one class) is a pivot; a set lies in the regions of all its fragments, at distance 0 in
-   that class. Linked sets share a fragment, hence a region. Documents that share only common phrases do not.
-3. The member of least name is a region's pivot document, and regions of the same pivot document are one region. Within it, members
-   inside the pivot's ball of RADIUS link to it; the others are compared with those whose distance to the pivot differs from theirs
-   by at most RADIUS. Regions of bounded weight do this in one task.
-4. A heavier region gets several pivot documents. Members go to the Voronoi region of the nearest, and into each further one whose
-   distance is within the window of 2 * RADIUS, and the regions join recursively. Where that splits nothing (all within reach of
-   each other), members outside all balls meet all members in blocks, a pair of blocks to a task.
-
-Texts are shuffled rather than shingles, as they are smaller. Links go on as spanning trees, so equal or near copies never make
-pairs. Sets and shingles are named by 64-bit hashes; the chance that any two of n documents are confused is about n^2 / 2^65.
+Distance here is Jaccard distance, and RADIUS the largest distance of a link.
+
+1. A bounded sample of the documents are pivots. Each set lies in the Voronoi cell of its nearest pivot, if that is within REACH, and
+   else in the outer cell. By the triangle inequality, both ends of a link lie in the cell of either end's nearest pivot, if a set is
+   also put into each cell whose pivot is within RADIUS of its nearest distance plus RADIUS, and within REACH + RADIUS; sets whose
+   nearest pivot is farther than REACH - RADIUS also go into the outer cell.
+2. Members of a cell within RADIUS of its pivot link to it. They are connected thereby, so they stay in the cell only if their
+   distance is within RADIUS of that of the nearest member beyond; a cell without members beyond is done.
+3. Cells of bounded weight are joined in one task, again around a pivot. A heavier cell gets several pivots of its own: members go to
+   the nearest and into each further one within the window of 2 * RADIUS, and the parts join recursively. Where that splits nothing
+   (all within reach of each other), members outside all balls meet all members in blocks, a pair of blocks to a task.
+4. Documents that resemble no other are at distance near 1 from all pivots, so the outer cell holds most of them and new pivots would
+   not divide it. Inside it, signatures tell apart what is compared: sizes are cut into bands, a band's hash space into more classes
+   than linked sets can have differing elements, and sets that have a class's elements in common form a region. Regions are joined
+   like cells, around the member of least name; regions of one pivot are one region.
+
+Inside a task, a set meets those that have one of its rarest shingles: so many that a linked set cannot lack them all. Texts are
+shuffled rather than shingles, as they are smaller. Links go on as spanning trees, so equal or near copies never make pairs. Sets and
+shingles are named by 64-bit hashes; the chance that any two of n documents are confused is about n^2 / 2^65.
 """
 
 from __future__ import annotations
@@ -26,11 +28,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import shingles
-from scriptorium.llm._common import give_back, maybe_among, partitions, ship, stage, whole
+from scriptorium.llm._common import SPACE_CHARS, drop, give_back, join_hot, maybe_among, partitions, ship, stage, whole
 from scriptorium.llm.components import components
 
 WIDTH = 3
@@ -39,6 +41,10 @@ PERCENT = 90
 #: Shingles of a region, with repetition, that one task takes.
 WEIGHT = 3_000_000
 PIVOTS, DEPTH = 8, 3
+#: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
+ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 20
+#: A set farther from all pivots lies in the outer cell.
+REACH = 0.7
 #: Below this share of its parent's weight, a subregion counts as smaller.
 SHRINKS = 0.7
 U = np.uint64
@@ -99,25 +105,85 @@ def fragments(own: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def describe(df: DataFrame, width: int, percent: int) -> DataFrame:
-    """id, k (hash of id and text), n, node (name of the set) and regions for each row of id, k, text."""
+class Cells:
+    """The Voronoi cells of pivot sets, with an index of the pivots' shingles."""
+
+    def __init__(self, pivots: list[np.ndarray], percent: int, reach: float):
+        self.percent, self.reach, self.radius = percent, reach, 1 - percent / 100
+        self.sizes = np.array([len(p) for p in pivots], dtype=np.int64)
+        self.nodes = [shingles.fingerprint(p) for p in pivots]
+        flat = np.concatenate([np.zeros(0, dtype=np.uint64), *pivots])
+        order = np.argsort(flat, kind="stable")
+        self.shingles, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
+        self.owners = np.repeat(np.arange(len(pivots)), self.sizes)[order]
+
+    def place(self, own: np.ndarray) -> tuple[list[tuple[int, float, bool]], bool]:
+        """The cells of a set as (pivot's node, distance, whether it links), and whether it also lies in the outer cell."""
+        if not len(self.shingles):
+            return [], True
+        at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
+        at = at[self.shingles[at] == own]
+        if not len(at):
+            return [], True
+        counts = self.count[at]
+        ends = np.cumsum(counts)
+        some, shared = np.unique(self.owners[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - counts), counts)], return_counts=True)
+        union = len(own) + self.sizes[some] - shared
+        far = 1 - shared / union
+        nearest = far.min()
+        inside = far <= min(self.reach, nearest + self.radius) + self.radius + 1e-9
+        linked = 100 * shared >= self.percent * union
+        return [(self.nodes[p], d, b) for p, d, b in zip(some[inside].tolist(), far[inside].tolist(), linked[inside].tolist(), strict=True)], bool(nearest > self.reach - self.radius - 1e-9)
+
+
+def first_pivots(held: DataFrame, width: int) -> list[np.ndarray]:
+    """The sets of a sample of texts, by a hash of the text: CELLS of LONGEST bytes and PIVOT_SHINGLES shingles at most."""
+    rows = held.count()
+    n = min(CELLS, max(1, rows // ROWS_A_CELL))
+    h = F.xxhash64("text", F.lit(1))
+    least = -(2**63) + min(2**64 - 1, 2**64 // max(1, rows) * n * 2)
+    some = held.where(F.col("text").isNotNull() & (F.octet_length("text") <= LONGEST) & (h <= F.lit(least))).select(h.alias("h"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [own.view(np.int64) for own in shingles.sets((t.encode() for t in batch.column(0).to_pylist()), width)]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["own"])
+
+    out, total, known = [], 0, set()
+    for r in some.dropDuplicates(["h"]).orderBy("h").limit(n).select("text").mapInArrow(run, "own array<long>").toArrow().column(0):
+        own = np.array(r.as_py(), dtype=np.int64).view(np.uint64)
+        if len(own) and total + len(own) <= PIVOT_SHINGLES and (node := shingles.fingerprint(own)) not in known:
+            known.add(node)
+            total += len(own)
+            out.append(own)
+    return out
+
+
+def describe(df: DataFrame, width: int, percent: int, pivots: list[np.ndarray], reach: float = REACH) -> DataFrame:
+    """id, k (hash of id and text), n, node (name of the set), cells and regions (of the outer cell) for each row of id, k, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voronoi = Cells(pivots, percent, reach)
+        none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            n, node, regions = [], [], []
+            n, node, cells, regions = [], [], [], []
             for own in shingles.sets((t.as_py() for t in texts), width):
                 n.append(len(own))
                 node.append(shingles.fingerprint(own) if len(own) else None)
-                regions.append(fragments(own, percent) if len(own) else np.zeros(0, dtype=np.int64))
-            ends = np.concatenate([[0], np.cumsum([len(r) for r in regions])]).astype(np.int32)
-            flat = np.concatenate(regions) if regions else np.zeros(0, dtype=np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), lists], names=["id", "k", "n", "node", "regions"])
+                inside, outer = voronoi.place(own) if len(own) else ([], False)
+                cells.append(inside)
+                regions.append(fragments(own, percent) if outer else none)
+            lists = []
+            for parts, kinds in (([[c[i] for some in cells for c in some] for i in range(3)], (pa.int64(), pa.float64(), pa.bool_())), ([np.concatenate([none, *regions])], (pa.int64(),))):
+                ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in (cells if len(kinds) > 1 else regions)])]).astype(np.int32))
+                flat = [pa.array(p, k) for p, k in zip(parts, kinds, strict=True)]
+                lists.append(pa.ListArray.from_arrays(ends, flat[0] if len(flat) == 1 else pa.StructArray.from_arrays(flat, names=["cell", "far", "ball"])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=["id", "k", "n", "node", "cells", "regions"])
         give_back()
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "k", "text").mapInArrow(run, f"id {kind}, k long, n long, node long, regions array<long>")
+    return df.select("id", "k", "text").mapInArrow(run, f"id {kind}, k long, n long, node long, cells array<struct<cell: long, far: double, ball: boolean>>, regions array<long>")
 
 
 class Region:
@@ -138,6 +204,7 @@ class Region:
         self.count = np.diff(np.append(self.first, len(flat)))
         self.numbers = np.empty(len(flat), dtype=np.int64)
         self.numbers[order] = number
+        self.mark = np.zeros(len(self.first), dtype=bool)
         self.root = list(range(len(nodes)))
 
     def find(self, i: int) -> int:
@@ -145,13 +212,29 @@ class Region:
             self.root[i] = i = self.root[self.root[i]]
         return i
 
-    def shared(self, i: int) -> np.ndarray:
-        """The number of shingles that each set has in common with set i."""
+    def shared(self, i: int, prefix: bool = True) -> np.ndarray:
+        """The number of shingles that each set has in common with set i; with prefix, 0 for some that cannot link to it.
+
+        A linked set has at least PERCENT of set i's shingles, so it cannot lack all of its rarest ones, one more than the rest.
+        """
         own = self.numbers[self.ends[i] - self.sizes[i] : self.ends[i]]
         counts = self.count[own]
+        if prefix and counts.sum() > 4 * len(self.nodes):
+            few = len(own) - -(-self.percent * len(own) // 100) + 1
+            rare = np.argpartition(counts, few - 1)[:few] if few < len(own) else np.arange(len(own))
+            some = np.unique(self.owners[self.places(own[rare], counts[rare])])
+            if counts[rare].sum() + self.sizes[some].sum() < counts.sum():
+                self.mark[own] = True
+                out = np.zeros(len(self.nodes), dtype=np.int64)
+                for j in some.tolist():
+                    out[j] = self.mark[self.numbers[self.ends[j] - self.sizes[j] : self.ends[j]]].sum()
+                self.mark[own] = False
+                return out
+        return np.bincount(self.owners[self.places(own, counts)], minlength=len(self.nodes))
+
+    def places(self, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
         ends = np.cumsum(counts)
-        at = np.arange(ends[-1]) + np.repeat(self.first[own] - (ends - counts), counts)
-        return np.bincount(self.owners[at], minlength=len(self.nodes))
+        return np.arange(ends[-1]) + np.repeat(self.first[own] - (ends - counts), counts)
 
     def linked(self, i: int, shared: np.ndarray) -> np.ndarray:
         return 100 * shared >= self.percent * (self.sizes + self.sizes[i] - shared)
@@ -165,7 +248,7 @@ class Region:
                     self.root[a] = b
                     yield self.nodes[i], self.nodes[j]
 
-        shared = self.shared(pivot)
+        shared = self.shared(pivot, prefix=False)
         ball = self.linked(pivot, shared)
         yield from join(pivot, ball)
         # Two in the ball are connected through the pivot, so each further link has an end outside it. That end may lie beyond others;
@@ -293,19 +376,40 @@ def join_split(regions: DataFrame, large: DataFrame, width: int, percent: int, w
     return found
 
 
-def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent: int, weight: int) -> DataFrame:
-    """id, k, n, node (null without shingles) and component (a node) of every row; k is a hash of id and text."""
+def cell_members(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Members (region, node) of the inner cells that have to be joined, and links (a, b) of members to their pivots."""
+    inside = stage(named.select("node", F.explode("cells").alias("c")).select("node", "c.*").distinct())
+    outside = inside.groupBy("cell").agg(F.min(F.when(~F.col("ball"), F.col("far"))).alias("outside"))
+    near = inside.join(F.broadcast(outside), "cell")  # one row for each of at most CELLS pivots
+    needed = near.where(~F.col("ball") | (F.col("far") >= F.col("outside") - (1 - percent / 100) - 1e-9))
+    return needed.select(F.xxhash64("cell", F.lit("cell")).alias("region"), "node"), inside.where("ball and node != cell").select(F.col("node").alias("a"), F.col("cell").alias("b"))
+
+
+def region_members(named: DataFrame) -> DataFrame:
+    """Members (region, node) of the outer cell's regions that have more than one.
+
+    Signatures are counted first, copies and all; a bitmap of those that occur again lets the few others' rows through.
+    """
+    held = named.select("node", F.explode("regions").alias("fragment"))
+    again = held.groupBy("fragment").agg(F.count("*").alias("rows")).where("rows > 1").select("fragment")
+    some = stage(maybe_among(held, "fragment", again).where("maybe").select("fragment", "node").distinct())
+    pivots = some.groupBy("fragment").agg(F.min("node").alias("region"), F.max("node").alias("most")).where("region < most").select("fragment", "region")
+    return some.join(pivots, "fragment").select("region", "node").distinct()
+
+
+def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent: int, weight: int) -> tuple[DataFrame, DataFrame]:
+    """id, k, n and node (null without shingles) of every row, where k is a hash of id and text; and node and component of linked nodes."""
     ship(df.sparkSession)
     held = keyed(df, id_column, text_column)
-    rows = stage(describe(held, width, percent))
-    named = rows.where("node is not null")
-    in_region = named.groupBy("node").agg(F.first("regions").alias("regions")).select("node", F.explode("regions").alias("fragment"))
-    pivots = in_region.groupBy("fragment").agg(F.min("node").alias("region"), F.max("node").alias("most")).where("region < most").select("fragment", "region")
-    members = stage(in_region.join(pivots, "fragment").select("region", "node").distinct())
+    described = stage(describe(held, width, percent, first_pivots(held, width)))
+    rows = described.select("id", "k", "n", "node")
+    named = described.where("node is not null")
+    in_cells, to_pivots = cell_members(named, percent)
+    members = stage(in_cells.union(region_members(named)))
 
     # One row stands for each set; its text follows only where regions are joined.
-    standing = named.groupBy("node").agg(F.min(F.struct("k", "n")).alias("one")).select("node", "one.k", "one.n")
-    located = stage(members.join(standing, "node"))
+    standing = maybe_among(named.select("node", "k", "n"), "node", members.select("node")).where("maybe").groupBy("node").agg(F.min(F.struct("k", "n")).alias("one"))
+    located = stage(members.join(standing.select("node", "one.k", "one.n"), "node"))
     large = stage(located.groupBy("region").agg(F.sum("n").alias("heavy"), F.count("*").alias("members")).where(f"heavy > {weight}"))
 
     def with_text(some: DataFrame) -> DataFrame:
@@ -318,7 +422,9 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
     else:
         links = join_small(with_text(located.join(large, "region", "left_anti")), width, percent)
         links = links.union(join_split(with_text(located.join(large.select("region"), "region", "left_semi")), large, width, percent, weight))
-    return rows.select("id", "k", "n", "node").join(components(stage(links)), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    found = stage(components(stage(links.union(to_pivots))))
+    drop(members, located)
+    return rows, found
 
 
 def keyed(df: DataFrame, id_column: str, text_column: str, carry: bool = False) -> DataFrame:
@@ -337,21 +443,32 @@ def similar(df: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     are told apart by their texts; a null id is larger than all others, so a component of null ids alone has a null name. An empty
     table gives an empty result.
     """
-    rows = placed(df, id_column, text_column, width, percent, weight)
-    named = rows.where("component is not null").groupBy("component").agg(F.min("id").alias("least"))
-    return rows.join(named, "component", "left").select(
-        F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least")).alias("component_id")
-    )
+    rows, component = placed(df, id_column, text_column, width, percent, weight)
+    named = rows.where("node is not null")
+    nodes = stage(named.groupBy("node").agg(F.min("id").alias("least"), F.count("*").alias("rows")).join(component, "node", "left"))
+    linked = nodes.where("component is not null")
+    least = stage(linked.groupBy("component").agg(F.min("least").alias("reached"), F.count("*").alias("nodes")))
+    reached = join_hot(linked.select("component", "node", "rows"), least, "component", "nodes").select("node", "rows", "reached")
+    alone = nodes.where("component is null").select("node", "rows", F.col("least").alias("reached"))
+    found = join_hot(named, stage(reached.union(alone)), "node", "rows").select("id", "n", "reached")
+    every = found.union(rows.where("node is null").select("id", "n", F.col("id").alias("reached")))
+    return every.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("reached").alias("component_id"))
 
 
 def dedupe(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = PERCENT, weight: int = WEIGHT) -> DataFrame:
-    """df with one row of each component: that of the smallest id, null ids last. Rows without shingles all stay."""
-    rows = stage(placed(df, id_column, text_column, width, percent, weight))
-    first = rows.where("node is not null").groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k")).alias("best"), F.count("*").alias("members"))
-    stay = first.select("best.k", F.lit(True).alias("grouped")).union(rows.where("node is null").select("k", F.lit(False)).distinct())
-    again = F.row_number().over(Window.partitionBy("k").orderBy("id"))
+    """df with one row of each component: that of the smallest id, null ids last. Rows without shingles all stay.
+
+    Of rows with equal ids and texts one stays, whatever their other columns. Sets, links and an empty table are as in similar().
+    """
+    rows, component = placed(df, id_column, text_column, width, percent, weight)
+    named = rows.where("node is not null")
+    best = F.min(F.struct(F.col("id").isNull(), "id", "k"))
+    nodes = stage(named.groupBy("node").agg(best.alias("best"), F.count("*").alias("rows")).join(component, "node", "left"))
+    first = nodes.groupBy(F.coalesce("component", "node")).agg(F.min("best").alias("best"))
+    stay = stage(first.select("best.k"))
     # Most rows are alone in their component and stay where they are; only those that may have company are shuffled.
-    company = stage(rows.join(first.where("members > 1").select("component"), "component").select("k"))
-    marked = maybe_among(keyed(df, id_column, text_column, carry=True), "k", company)
-    kept = marked.where("maybe").join(stay, "k").withColumn("again", again).where("again = 1 or not grouped")
-    return marked.where("not maybe").select("row.*").unionByName(kept.select("row.*"))
+    company = maybe_among(named.select("node", "k"), "node", nodes.where("rows > 1 or component is not null").select("node")).where("maybe")
+    marked = maybe_among(keyed(df, id_column, text_column, carry=True), "k", company.select("k"))
+    asked = F.col("maybe") & (F.btrim(whole(F.col(f"row.`{text_column}`")), F.lit(SPACE_CHARS)) != "")
+    kept = marked.where(asked).select("k", "row").dropDuplicates(["k"]).join(stay, "k", "left_semi")
+    return marked.where(~asked).select("row.*").unionByName(kept.select("row.*"))

@@ -59,6 +59,48 @@ def test_equals_brute_force(spark, seed):
     assert result(spark, rows) == brute(rows)
 
 
+@pytest.mark.parametrize("width,percent,rows_a_cell", [(5, 80, 4), (3, 90, 2), (1, 50, 1)])
+def test_cells_equal_brute_force(spark, monkeypatch, width, percent, rows_a_cell):
+    monkeypatch.setattr(jaccard, "ROWS_A_CELL", rows_a_cell)
+    rows = corpus(width + 10)
+    assert result(spark, rows, width=width, percent=percent) == brute(rows, width, percent)
+
+
+@pytest.mark.parametrize("percent", [80, 90])
+def test_both_ends_of_a_link_share_a_cell(percent):
+    r = np.random.default_rng(percent)
+    draw = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    families = [draw(200) for _ in range(12)]
+    vary = lambda own, share: np.unique(np.concatenate([r.permutation(own)[: int(len(own) * (1 - share))], draw(int(len(own) * share))]))
+    cells = jaccard.Cells([vary(f, 0.3) for f in families[:8] for _ in range(3)], percent, jaccard.REACH)
+    shared, split = 0, 0
+    for _ in range(3000):
+        one = vary(families[r.integers(12)], r.choice([0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7]))
+        two = vary(one, (1 - percent / 100) / 2)
+        both = len(np.intersect1d(one, two))
+        if 100 * both >= percent * (len(one) + len(two) - both):
+            (a, a_outer), (b, b_outer) = cells.place(one), cells.place(two)
+            assert {c for c, _, _ in a} & {c for c, _, _ in b} or (a_outer and b_outer)
+            shared += bool({c for c, _, _ in a} & {c for c, _, _ in b})
+            split += len(a) > 1
+    assert shared > 500 and split > 100
+
+
+def test_documents_lie_in_several_cells(spark):
+    held = jaccard.keyed(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    pivots = jaccard.first_pivots(held, 3)
+    cells = jaccard.describe(held, 3, 90, pivots).selectExpr("inline(cells)").groupBy("cell").count().collect()
+    assert len(pivots) > 10 and len(cells) == len(pivots) and any(r["count"] > 1 for r in cells)
+
+
+def test_hot_copies_link_through_one_cell(spark):
+    text = [f"w{i}" for i in range(100)]
+    near = lambda i: " ".join([*text[: i % 90], f"x{i}", *text[i % 90 + 1 :]])
+    rows = [*((i, " ".join(text)) for i in range(1200)), *((2000 + i, near(i)) for i in range(150)), *((3000 + i, f"word{i} " * 5 + "end") for i in range(40))]
+    got = {r[0]: r[2] for r in result(spark, rows)}
+    assert {got[i] for i, _ in rows[:1350]} == {0} and [got[i] for i, _ in rows[1350:]] == [i for i, _ in rows[1350:]]
+
+
 def test_heavy_regions_split_and_stay_exact(spark):
     r = random.Random(5)
     base = [f"w{i}" for i in range(120)]

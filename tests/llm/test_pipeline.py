@@ -23,7 +23,7 @@ def test_pipeline_equals_brute_force(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")
     kept = {r["doc_id"] for r in catalogue.QUERIES["op9_divergence_rules"](spark, SF_DIR).where("kept").collect()}
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect() if r["doc_id"] in kept)
-    first = {d for d, n, c in components(rows) if not n or c == d}
+    first = {d for d, n, c in components(rows, 5, 80) if not n or c == d}
     texts = {}
     for d, text in rows:
         if d in first:
