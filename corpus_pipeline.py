@@ -15,8 +15,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents connected by 90 % of 3-word shingles in common, the one with the smallest doc_id stays."""
-    return jaccard.dedupe(docs)
+    """Of documents connected by 80 % of 5-word shingles in common, the one with the smallest doc_id stays."""
+    return jaccard.dedupe(docs, width=5, percent=80)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
