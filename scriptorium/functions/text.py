@@ -185,3 +185,68 @@ def plan_param(value: Column) -> Column:
 
 def without_nul(text: Column) -> Column:
     return F.regexp_replace(text, r"\x00", "")
+
+
+def bare_email(email: Column) -> Column:
+    """The first two characters and what follows the first at sign; missing addresses are named so, others without one are hidden."""
+    domain = F.get(F.split(email, "@"), F.lit(1))
+    shown = F.concat(F.substring(F.substring_index(email, "@", 1), 1, 2), F.lit("***@"), domain)
+    return F.when(F.coalesce(email, F.lit("")) == "", "(none)").when(F.coalesce(domain, F.lit("")) == "", "***").otherwise(shown)
+
+
+def project_reference(url: Column, pattern: str = r"https://([a-z0-9]+)\.supabase\.co") -> Column:
+    """The first five and last four characters of the project that a URL names, or no_url."""
+    name = F.regexp_extract(url, pattern, 1)
+    return F.when(F.coalesce(name, F.lit("")) == "", "no_url").otherwise(F.concat(F.substring(name, 1, 5), F.lit("…"), F.right(name, F.lit(4))))
+
+
+def bare_error(message: Column, length: int = 80) -> Column:
+    """A message without URLs and runs that look like tokens."""
+    return F.substring(F.regexp_replace(F.regexp_replace(F.coalesce(message, F.lit("")), r"https?://\S+", "[url]"), "[A-Za-z0-9_-]{25,}", "[tok]"), 1, length)
+
+
+UUID4 = "^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$"
+
+
+def is_uuid4(value: Column) -> Column:
+    return F.coalesce(value.rlike("(?i)" + UUID4), F.lit(False))
+
+
+def reference_id(millis: Column, identifier: Column, prefix: str = "REF") -> Column:
+    """prefix, the time in base 36 and eight digits of the identifier's hash."""
+    return F.concat_ws("-", F.lit(prefix), F.upper(F.conv(millis.cast("string"), 10, 36)), F.upper(F.substring(F.sha2(identifier, 256), 1, 8)))
+
+
+def first_key(values: Column, keys: tuple[str, ...], length: int = 200) -> Column:
+    """The value of the first of keys that a map holds and that is not null, empty or None; cut, without NULs."""
+    usable = lambda v: F.when(~v.isin("", "None"), without_nul(F.substring(v, 1, length)))
+    return F.coalesce(*[usable(F.try_element_at(values, F.lit(k))) for k in keys])
+
+
+def shortened(values: Column, length: int = 500) -> Column:
+    """A map with each value cut, so that what is made of it stays well-formed."""
+    return F.transform_values(values, lambda _, v: F.substring(v, 1, length))
+
+
+def packed_id(plan: Column, user: Column, length: int = 100) -> Column:
+    return F.to_json(F.struct(plan.alias("p"), F.substring(user, 1, length).alias("u")))
+
+
+def teaser(content: Column, length: int) -> Column:
+    return trimmed(F.substring(content, 1, length))
+
+
+MORE = "… (continúa — consulte con Maya Lex IA para el análisis completo)"
+
+
+def faq(question: Column, content: Column, length: int = 320, more: str = MORE) -> Column:
+    """The structured data of a page that answers one question, as JSON."""
+    answer = F.concat(teaser(content, length), F.when(F.length(content) > length, more).otherwise(""))
+    entry = F.struct(F.lit("Question").alias("@type"), question.alias("name"), F.struct(F.lit("Answer").alias("@type"), answer.alias("text")).alias("acceptedAnswer"))
+    return F.to_json(F.struct(F.lit("https://schema.org").alias("@context"), F.lit("FAQPage").alias("@type"), F.array(entry).alias("mainEntity")))
+
+
+def model_for(route_column: Column, mode: Column, override: Column, allowed: tuple[str, ...], large: str, default: str) -> Column:
+    """The override if it is on the list; else the large model for route C and the modes of analysis."""
+    analysis = mode.isin("analisis", "analisis_penal", "documento", "escritos_penales")
+    return F.when(override.isin(*allowed), override).when((route_column == "C") | analysis, large).otherwise(default)

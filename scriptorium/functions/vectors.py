@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import Protocol
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.sources.shipping import ship
+
 
 def vector(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])
@@ -46,8 +50,14 @@ MASK32 = 4294967295
 
 
 def hash31(text: Column) -> Column:
-    """The 32-bit hash h = 31 h + code point."""
-    return F.aggregate(F.split(text, ""), F.lit(0).cast("long"), lambda h, c: (h * 31 + F.ascii(c)).bitwiseAND(F.lit(MASK32)))
+    """The 32-bit hash h = 31 h + code unit of the whole text in UTF-16; an empty text's is 0."""
+
+    def step(h: Column, c: Column) -> Column:
+        point = F.ascii(c)
+        high, low = F.shiftright(point - 65536, 10) + 55296, (point - 65536).bitwiseAND(F.lit(1023)) + 56320
+        return F.when(point < 65536, h * 31 + point).otherwise((h * 31 + high) * 31 + low).bitwiseAND(F.lit(MASK32))
+
+    return F.when(text == "", F.lit(0).cast("long")).otherwise(F.aggregate(F.split(text, ""), F.lit(0).cast("long"), step))
 
 
 def seeded_vector(text: Column, dimension: int) -> Column:
@@ -61,3 +71,47 @@ def seeded_vector(text: Column, dimension: int) -> Column:
 
     raw = F.aggregate(F.sequence(F.lit(1), F.lit(dimension)), start, step, lambda a: a["v"])
     return l2_normalised(raw)
+
+
+class Provider(Protocol):
+    """What turns texts into vectors; an instance travels to the executors, so it must pickle."""
+
+    def embed(self, texts: Sequence[str]) -> Sequence[Sequence[float]]: ...
+
+
+def embedded(df: DataFrame, text_column: str, provider: Provider, out: str = "embedding", batch: int = 64) -> DataFrame:
+    """df with the provider's vector of each text, asked for in batches where the rows stand; null texts have null vectors."""
+    ship(df.sparkSession)
+    others = [c for c in df.columns if c != out]
+    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("array<double>").alias(out)).schema
+    place = others.index(text_column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(place).to_pylist()
+            asked = [t for t in texts if t is not None]
+            found = iter([list(map(float, v)) for i in range(0, len(asked), batch) for v in provider.embed(asked[i : i + batch])])
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array([None if t is None else next(found) for t in texts], pa.list_(pa.float64()))], names=[*others, out])
+
+    return df.select(*[F.col(f"`{c}`") for c in others]).mapInArrow(run, schema)
+
+
+class SeededProvider:
+    """seeded_vector() as a provider, for tests and dry runs."""
+
+    def __init__(self, dimension: int = 384):
+        self.dimension = dimension
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        out = []
+        for text in texts:
+            s = 0
+            for unit in memoryview(text.encode("utf-16-le", "surrogatepass")).cast("H"):
+                s = (s * 31 + unit) & MASK32
+            s, v = s or 1, []
+            for _ in range(self.dimension):
+                s = (s * 1103515245 + 12345) & MASK32
+                v.append(s / MASK32 * 2 - 1)
+            length = sum(x * x for x in v) ** 0.5 or 1.0
+            out.append([x / length for x in v])
+        return out

@@ -3,17 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions import vectors as V
+from scriptorium.operators import writes as W
 from scriptorium.operators.ordered import ordered_fold
 from scriptorium.sources.shipping import ship
 
 #: Patterns that a row's source must match to count as the instrument asked for.
-SOURCES = tuple((name, pattern.split(r"|")[-1] if name.startswith("CODIGO_PROCESAL") else pattern) for name, pattern in T.INSTRUMENTS)
+# Fixed values.
+SOURCES = (
+    ("CODIGO_PROCESAL_PENAL", r"c[oó]digo\s+procesal\s+penal"),
+    ("CODIGO_PROCESAL_CIVIL", r"c[oó]digo\s+procesal\s+civil"),
+    ("CODIGO_PENAL", r"c[oó]digo\s+penal\b"),
+    ("CODIGO_CIVIL", r"c[oó]digo\s+civil\b"),
+    ("CODIGO_TRABAJO", r"c[oó]digo\s+(?:del?\s+)?trabajo"),
+    ("CODIGO_FAMILIA", r"c[oó]digo\s+de\s+familia"),
+    ("CODIGO_NOTARIADO", r"c[oó]digo\s+(?:del?\s+)?notariado"),
+)
 
 
 def has_heading(content: Column, number: Column) -> Column:
@@ -21,9 +34,16 @@ def has_heading(content: Column, number: Column) -> Column:
     return F.coalesce(F.rlike(content, F.concat(F.lit(r"(?iu)art[ií]culo\s*"), number, F.lit(r"\s*\.-"))), F.lit(False))
 
 
-def is_instrument(source: Column, instrument: Column) -> Column:
-    """Whether a row's own source names the instrument; a missing source never does."""
-    cases = [F.when(instrument == name, T.found(source, pattern)) for name, pattern in SOURCES]
+def instruments_of(*sources: Column) -> Column:
+    """The instruments that one of the sources names, as an array."""
+    named = [F.when(reduce(or_, (T.found(s, pattern) for s in sources)), F.lit(name)) for name, pattern in SOURCES]
+    return F.array_compact(F.array(*named))
+
+
+def is_instrument(source: Column, instrument: Column, origin: Column | None = None) -> Column:
+    """Whether a row's own source, or the origin in its metadata, names the instrument; missing ones never do."""
+    sources = (source,) if origin is None else (source, origin)
+    cases = [F.when(instrument == name, reduce(or_, (T.found(s, pattern) for s in sources))) for name, pattern in SOURCES]
     return F.coalesce(*cases, F.lit(False))
 
 
@@ -45,16 +65,53 @@ def resolved(articles: DataFrame, questions: DataFrame) -> DataFrame:
     A sound row is free of anonymising marks, has the article's heading, and its source confirms the instrument. Without an
     instrument in the question nothing is returned, and with sound rows of several matters the question is ambiguous.
     """
-    found = candidates(articles, questions)
-    sound = ~T.contaminated(F.col("contenido")) & has_heading(F.col("contenido"), F.col("number")) & is_instrument(F.col("fuente"), F.col("instrument"))
-    per = found.withColumn("sound", sound & F.col("instrument").isNotNull()).groupBy("question_id").agg(
-        F.count("*").alias("n_candidates"),
-        F.count_if("sound").alias("n_sound"),
-        F.count_distinct(F.when(F.col("sound"), F.col("materia"))).alias("n_matters"),
-        F.min(F.when(F.col("sound"), F.col("id"))).alias("first_id"),
+    return resolved_asked(articles, asked_of(questions)).select("question_id", "n_candidates", "n_sound", "ambiguous", "article_id")
+
+
+def asked_of(questions: DataFrame) -> DataFrame:
+    """The number, matter and instrument that each question (question_id, content) names; null where it does not."""
+    c = F.col("content")
+    return questions.select("question_id", T.article_number(c).alias("number"), T.first_match(c, T.MATTERS).alias("matter"), T.first_match(c, T.INSTRUMENTS).alias("instrument"))
+
+
+def resolved_asked(articles: DataFrame, asked: DataFrame) -> DataFrame:
+    """asked_of() rows that have candidates, with n_candidates, n_sound, ambiguous and article_id.
+
+    A question's number is its articles' number, so heading and marks belong to the article: each article's text is read once, and the
+    articles of a number, matter and source are counted before they meet the questions, which may name few distinct combinations.
+    """
+    rows = articles.where("fuente_tipo = 'codigo' and es_norma_vigente and num_articulo is not null")
+    origin = F.get_json_object("metadata", "$.documento_origen") if "metadata" in articles.columns else F.lit(None).cast("string")
+    # An article found contaminated is not read for its heading, so this is one scan of most texts.
+    held = rows.select("num_articulo", "materia", "id", instruments_of(F.col("fuente"), origin).alias("named"), (~T.contaminated(F.col("contenido")) & has_heading(F.col("contenido"), F.col("num_articulo"))).alias("sound"))
+    counted = held.groupBy("num_articulo", "materia", "named").agg(F.count("*").alias("n"), F.count_if("sound").alias("n_sound"), F.min(F.when(F.col("sound"), F.col("id"))).alias("first_id"))
+    kinds = asked.where("number is not null").select("number", "matter", "instrument").distinct()
+    met = kinds.join(counted, (kinds["number"] == counted["num_articulo"]) & (kinds["matter"].isNull() | (kinds["matter"] == counted["materia"])))
+    fits = F.coalesce(F.array_contains("named", F.col("instrument")), F.lit(False)) & (F.col("n_sound") > 0)
+    per = met.groupBy("number", "matter", "instrument").agg(
+        F.sum("n").alias("n_candidates"),
+        F.sum(F.when(fits, F.col("n_sound")).otherwise(0)).alias("n_sound"),
+        F.count_distinct(F.when(fits, F.col("materia"))).alias("n_matters"),
+        F.min(F.when(fits, F.col("first_id"))).alias("first_id"),
     )
     ambiguous = (F.col("n_sound") > 1) & (F.col("n_matters") > 1)
-    return per.select("question_id", "n_candidates", "n_sound", ambiguous.alias("ambiguous"), F.when(~ambiguous, F.col("first_id")).alias("article_id"))
+    answers = per.select(*[F.col(c).alias(f"_{c}") for c in ("number", "matter", "instrument")], "n_candidates", "n_sound", ambiguous.alias("ambiguous"), F.when(~ambiguous, F.col("first_id")).alias("article_id"))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("matter", "instrument")]
+    return asked.join(answers, (F.col("number") == F.col("_number")) & same[0] & same[1]).drop("_number", "_matter", "_instrument")
+
+
+def driven(articles: DataFrame, questions: DataFrame) -> DataFrame:
+    """question_id, plan (exact, ambiguous, abstain or semantic), article_id and matter (inferred, for a semantic search).
+
+    A named article that is found answers; one that is not, with a matter or an instrument, means that nothing may; the rest is searched.
+    """
+    asked = asked_of(questions)
+    found = resolved_asked(articles, asked).select("question_id", "ambiguous", "article_id")
+    plan = (
+        F.when(F.col("number").isNull(), "semantic").when(F.col("ambiguous"), "ambiguous").when(F.col("article_id").isNotNull(), "exact")
+        .when(F.col("matter").isNotNull() | F.col("instrument").isNotNull(), "abstain").otherwise("semantic")
+    )
+    return asked.join(found, "question_id", "left").select("question_id", plan.alias("plan"), "article_id", F.when(plan == "semantic", F.col("matter")).alias("matter"))
 
 
 HEADING = r"(?imu)^[ \t]*ART[IÍ]CULO\s+(\d+)[.\-:°º]*"
@@ -74,19 +131,86 @@ def repeated_first_lines(articles: DataFrame, key: str) -> DataFrame:
 
 
 def monotonic(headings: DataFrame, key: str, order: str, number: str, reach: int = 5) -> DataFrame:
-    """headings with accepted: numbers rise from 1, each by at most reach; others belong to the article before."""
+    """headings with accepted: the first heading numbered 1 begins; from there numbers rise, each by at most reach.
+
+    Headings before the first stand outside; later ones that are not accepted belong to the article before them.
+    """
     rows = headings.select(key, order, F.col(number).cast("int").alias("n"))
 
     def step(last: int, x: dict) -> tuple[int, tuple]:
-        ok = None if x["n"] is None else last < x["n"] <= last + reach
+        ok = None if x["n"] is None else x["n"] == 1 if last == 0 else last < x["n"] <= last + reach
         return x["n"] if ok else last, (ok,)
 
     return ordered_fold(rows, key, [order, "n"], ["n"], [order], 0, step, {"accepted": "boolean"})
 
 
+# The form of an epigraph, and of the headings of a code that is ingested whole.
+EPIGRAPH = r"^\s*([A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ\s,;/().\-]{3,120}?)\.\s"
+CODE_HEADING = r"(?m)^\s*Art[íi]culo\s+(\d+)\s*\.\s*[-–—]?"
+SHORTEST_BODY = 20
+
+
 def epigraph(body: Column) -> Column:
-    """The upper-case run up to the first period of a body, 3 to 120 characters, or null."""
-    return F.nullif(F.regexp_extract(body, r"^\s*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ ,;]{2,119})\.", 1), F.lit(""))
+    """The upper-case run, 4 to 121 characters, up to a period and white space at the start of a body, or null."""
+    return F.nullif(F.trim(F.regexp_extract(body, EPIGRAPH, 1)), F.lit(""))
+
+
+def without_epigraph(body: Column) -> Column:
+    return F.regexp_replace(body, EPIGRAPH, "")
+
+
+def code_articles(df: DataFrame, text_column: str = "text", reach: int = 5) -> DataFrame:
+    """The articles of whole codes, one row each: df's other columns, num, epigraph (null if none) and text.
+
+    Headings are accepted as in monotonic(); what lies between two accepted ones is one article's body, whose epigraph goes into a
+    column of its own and whose white space becomes single spaces. Bodies of under SHORTEST_BODY characters go. A text's headings are
+    a small array of its own, so nothing is shuffled. The control characters U+0001 to U+0003 count as spaces.
+    """
+    others = [c for c in df.columns if c != text_column]
+    marked = F.regexp_replace(F.translate(T.without_nul(F.col(text_column)), "\u0001\u0002\u0003", "   "), CODE_HEADING, "\u0001$1\u0002$0\u0003")
+    held = df.select(*others, F.split(marked, "\u0001").alias("_parts"))
+    found = F.slice("_parts", 2, F.greatest(F.size("_parts") - 1, F.lit(0)))
+    number = lambda p: F.substring_index(p, "\u0002", 1).try_cast("int")
+    start = F.struct(F.lit(0).alias("last"), F.array().cast("array<boolean>").alias("flags"))
+
+    def step(a: Column, p: Column) -> Column:
+        n = number(p)
+        ok = F.coalesce(F.when(a["last"] == 0, n == 1).otherwise((n > a["last"]) & (n <= a["last"] + reach)), F.lit(False))
+        return F.struct(F.when(ok, n).otherwise(a["last"]).alias("last"), F.array_append(a["flags"], ok).alias("flags"))
+
+    held = held.withColumn("_flags", F.aggregate(found, start, step, lambda a: a["flags"]))
+    # An accepted heading becomes its number, and begins a part; another is put back as the text that it was.
+    accepted = lambda p: F.concat(F.lit("\u0001"), F.substring_index(p, "\u0002", 1), F.lit("\u0002"), F.substring_index(p, "\u0003", -1))
+    again = lambda p: F.translate(F.substring_index(p, "\u0002", -1), "\u0003", "")
+    whole = F.array_join(F.transform(found, lambda p, i: F.when(F.get("_flags", i), accepted(p)).otherwise(again(p))), "")
+    parts = held.select(*others, F.explode(F.split(whole, "\u0001")).alias("_part")).where(F.contains("_part", F.lit("\u0002")))
+    body = F.substring_index("_part", "\u0002", -1)
+    rows = parts.select(*others, number(F.col("_part")).alias("num"), epigraph(body).alias("epigraph"), F.trim(F.regexp_replace(without_epigraph(body), r"[\s ]+", " ")).alias("text"))
+    return rows.where(F.length("text") >= SHORTEST_BODY)
+
+
+def article_chunks(articles: DataFrame, code: str, decree: str, matter: str, source: str, prefix: str, size: int = 1400, overlap: int = 120) -> DataFrame:
+    """code_articles() as rows of a library: chunk_id, num_articulo, contenido, passage (for the embedder) and metadata.
+
+    Every chunk begins with its article's number, code and epigraph.
+    """
+    head = F.concat(F.lit("Artículo "), F.col("num").cast("string"), F.lit(f" {code} ({decree})"), F.coalesce(F.concat(F.lit(" — "), "epigraph"), F.lit("")), F.lit(". "))
+    rows = chunks(articles.withColumn("_head", head), "text", size, overlap).withColumn("contenido", F.concat("_head", "chunk"))
+    facts = {"codigo": code, "decreto": decree, "materia": matter, "fuente": source, "tipo_fuente": "codigo_base", "tipo_chunk": "norma_articulo"}
+    metadata = F.to_json(F.struct(*[F.lit(v).alias(k) for k, v in facts.items()], F.col("num").cast("string").alias("articulo"), F.substring(F.coalesce("epigraph", F.lit("")), 1, 150).alias("epigrafe")))
+    others = [c for c in articles.columns if c not in ("num", "epigraph", "text")]
+    return rows.select(
+        *others, F.concat(F.lit(prefix + "a"), F.format_string("%04d", "num"), F.lit("_c"), F.format_string("%02d", "seq")).alias("chunk_id"), F.col("num").cast("string").alias("num_articulo"),
+        F.substring("contenido", 1, 8000).alias("contenido"), F.concat(F.lit(f"passage: [{matter} · norma_articulo · normativo] "), "contenido").alias("passage"), metadata.alias("metadata"),
+    )
+
+
+def ingest_code(library: DataFrame, codes: DataFrame, collection: str, provider: V.Provider, *, code: str, decree: str, matter: str, source: str, prefix: str) -> DataFrame:
+    """The rows that ingesting whole codes adds to a library (id first): parsed, chunked, embedded, without ids that it has already."""
+    rows = article_chunks(code_articles(codes), code, decree, matter, source, prefix)
+    made = rows.withColumn("id", F.concat(F.lit(collection + ":"), "chunk_id")).withColumns({"coleccion": F.lit(collection), "materia": F.lit(matter), "fuente": F.lit(source)})
+    fresh = W.insert_ignore(library.select("id"), made, ["id"], F.col("contenido"))
+    return V.embedded(fresh, "passage", provider).select("id", "coleccion", "materia", "contenido", "num_articulo", "fuente", "metadata", "embedding")
 
 
 def cut(text: str, size: int, overlap: int, marks: tuple[str, ...], reach_over: bool) -> list[str]:
@@ -138,10 +262,15 @@ def chunk_ids(df: DataFrame, document: str, seq: str = "seq") -> DataFrame:
     return df.withColumn("chunk_id", F.concat(F.col(document).cast("string"), F.lit(":"), F.lpad(F.col(seq).cast("string"), 3, "0")))
 
 
-def with_status(articles: DataFrame, manifest: DataFrame, default: str = "contaminado") -> DataFrame:
-    """articles with estado from the manifest; an article that it does not list is contaminated."""
-    listed = manifest.select("num_articulo", F.col("estado").alias("_listed"))
-    return articles.join(listed, "num_articulo", "left").withColumn("estado", F.coalesce("_listed", F.lit(default))).drop("_listed")
+UNLISTED = "artículo sin entrada en el manifest de estado editorial — tratado como contaminado por seguridad"
+
+
+def with_status(articles: DataFrame, manifest: DataFrame, default: str = "contaminado", unlisted: str = UNLISTED) -> DataFrame:
+    """articles with estado and motivo (null if the manifest gives none); an article that the manifest does not list is contaminated."""
+    reason = F.col("motivo") if "motivo" in manifest.columns else F.lit(None).cast("string")
+    listed = manifest.select("num_articulo", F.col("estado").alias("_listed"), reason.alias("_reason"))
+    held = articles.join(listed, "num_articulo", "left")
+    return held.withColumns({"estado": F.coalesce("_listed", F.lit(default)), "motivo": F.when(F.col("_listed").isNull(), unlisted).otherwise(F.col("_reason"))}).drop("_listed", "_reason")
 
 
 def sitemap(statuses: DataFrame, base: str, pages: tuple[str, ...] = ("", "/planes", "/consultas")) -> DataFrame:
@@ -152,11 +281,11 @@ def sitemap(statuses: DataFrame, base: str, pages: tuple[str, ...] = ("", "/plan
 
 
 def slug(number: Column) -> Column:
-    return F.concat(F.lit("articulo-"), number, F.lit("-legislacion"))
+    return F.concat(F.lit("articulo-"), number, F.lit("-legislacion-penal-honduras"))
 
 
 def number_of_slug(value: Column) -> Column:
-    return F.nullif(F.regexp_extract(value, r"^articulo-(\d+)-legislacion$", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(value, r"^articulo-(\d+)-legislacion-penal-honduras$", 1), F.lit(""))
 
 
 def numbered(df: DataFrame, key: str, order: str) -> DataFrame:

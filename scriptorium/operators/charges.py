@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +36,10 @@ NULLITY, NO_ACTION, CUSTODY, DISMISSAL, TRIAL = "Nulidad de Actuaciones", "Excep
 SHORTEST = 50
 
 
-def held(text: Column, terms: tuple[str, ...]) -> Column:
-    """The terms that stand in text, in the order of the list."""
-    return F.filter(F.array(*[F.lit(t) for t in terms]), lambda t: F.contains(text, t))
-
-
-def some(text: Column, terms: tuple[str, ...]) -> Column:
-    return F.rlike(text, F.lit("|".join(terms)))
+def named() -> dict[str, str]:
+    """A column name for each term of any list, so that each is looked for once."""
+    lists = [terms for _, terms in ELEMENTS.values()] + [terms for pair in (ALERTS | DEFECTS).values() for terms in pair]
+    return {t: f"_t{i}" for i, t in enumerate(dict.fromkeys(t for terms in lists for t in terms))}
 
 
 def analysed(df: DataFrame, text_column: str) -> DataFrame:
@@ -50,16 +50,22 @@ def analysed(df: DataFrame, text_column: str) -> DataFrame:
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
     short = F.length(F.trim(text)) < SHORTEST
-    low = F.lower(text)
-    found = F.create_map(*[x for name, (_, terms) in ELEMENTS.items() for x in (F.lit(name), held(low, terms))])
-    asked = lambda c: F.when(~short, c)
-    rows = df.withColumns({"too_short": short, "found": asked(found)})
-    rows = rows.withColumns({name: F.size(F.col("found")[name]) >= least for name, (least, _) in ELEMENTS.items()})
-    rows = rows.withColumns({name: asked(some(low, yes) & ~some(low, no)) for name, (yes, no) in (ALERTS | DEFECTS).items()} | {"undated": asked(~text.rlike(DATED))})
+    asked = lambda c: F.when(~F.col("too_short"), c)
+    of = named()
+    # The list of one element: a generator keeps the next projection from being folded into this one, so the text is lowered once.
+    rows = df.withColumns({"too_short": short, "undated": F.when(~short, ~text.rlike(DATED))})
+    rows = rows.withColumn("_low", F.explode(F.array(F.lower(text))))
+    rows = rows.withColumn("_terms", F.explode(F.array(F.struct(*[F.contains("_low", F.lit(t)).alias(c) for t, c in of.items()])))).drop("_low")
+    flag = lambda t: F.col(f"_terms.{of[t]}")
+    some = lambda terms: reduce(or_, map(flag, terms))
+    found = F.create_map(*[x for name, (_, terms) in ELEMENTS.items() for x in (F.lit(name), F.array_compact(F.array(*[F.when(flag(t), t) for t in terms])))])
+    number = lambda terms: sum((flag(t).cast("int") for t in terms), F.lit(0))
+    rows = rows.withColumns({"found": asked(found)} | {name: asked(number(terms) >= least) for name, (least, terms) in ELEMENTS.items()} | {name: asked(some(yes) & ~some(no)) for name, (yes, no) in (ALERTS | DEFECTS).items()})
+    rows = rows.drop("_terms")
     count = lambda names, value: sum((F.when(F.col(n) == value, 1).otherwise(0) for n in names), F.lit(0))
-    rows = rows.withColumns({"missing": asked(count(ELEMENTS, False)), "complies": ~short & (count(ELEMENTS, False) + count([*DEFECTS, "undated"], True) == 0)})
+    rows = rows.withColumns({"missing": asked(count(ELEMENTS, False)), "complies": ~F.col("too_short") & (count(ELEMENTS, False) + count([*DEFECTS, "undated"], True) == 0)})
     strategy = (
-        F.when(short, TRIAL)
+        F.when(F.col("too_short"), TRIAL)
         .when(count(ALERTS, True) > 0, NULLITY)
         .when(F.col("missing") >= 3, NO_ACTION)
         .when(~F.col("facts") & (~F.col("role") | F.col("collective")), NULLITY)

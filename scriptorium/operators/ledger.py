@@ -5,16 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
 from scriptorium.operators.ordered import ordered_fold
 
 TIERS, STATUSES = ("pro", "academico"), ("trialing", "active", "cancelled", "past_due")
-#: Event kinds: (new status, whether the event's own grant counts, transition). Fixed values.
+#: Event types: (new status, transition). Fixed values; all others are ignored.
 KINDS = {
-    "CREATED": ("trialing", "apply"),
-    "ACTIVATED": ("active", "apply"),
-    "SALE_COMPLETED": ("active", "apply"),
-    "PAYMENT_FAILED": ("past_due", "fail"),
-    "CANCELLED": ("cancelled", "downgrade"),
+    "BILLING.SUBSCRIPTION.CREATED": ("trialing", "apply"),
+    "BILLING.SUBSCRIPTION.ACTIVATED": ("active", "apply"),
+    "PAYMENT.SALE.COMPLETED": ("active", "apply"),
+    "INVOICE.PAYMENT_SUCCEEDED": ("active", "apply"),
+    "BILLING.SUBSCRIPTION.CANCELLED": ("cancelled", "downgrade"),
+    "BILLING.SUBSCRIPTION.EXPIRED": ("cancelled", "downgrade"),
+    "BILLING.SUBSCRIPTION.SUSPENDED": ("cancelled", "downgrade"),
+    "PAYMENT.SALE.DENIED": ("past_due", "fail"),
+    "BILLING.SUBSCRIPTION.PAYMENT.FAILED": ("past_due", "fail"),
 }
 APPLIED = {"created", "updated", "reactivated_new_subscription", "new_attempt_registered", "past_due", "downgraded"}
 AUDIT = {"reason": "string", "applied": "boolean"} | dict.fromkeys(("before_status", "after_status", "before_sub", "after_sub", "usage_tier", "tier"), "string")
@@ -90,22 +95,32 @@ def final_state(audit: DataFrame) -> DataFrame:
 
 
 def verified(subs: DataFrame, canonical: DataFrame) -> DataFrame:
-    """subs with the first check against the provider's snapshot that fails, or verified."""
-    c = canonical.select(F.col("sub_id").alias("c_id"), F.col("status").alias("c_status"), "plan_tier", "custom_uid")
+    """subs with the first check against the provider's answers that fails, or verified.
+
+    canonical: sub_id (the id asked for), http (the answer's status, null if the provider was not reached), answered_id (the id in the
+    answer), status, plan_tier and custom_uid. An id without an answer counts as one that the provider does not know.
+    """
+    c = canonical.select(F.col("sub_id").alias("c_id"), "http", "answered_id", F.col("status").alias("c_status"), "plan_tier", "custom_uid")
     joined = subs.where("provider_sub_id is not null").join(c, F.col("provider_sub_id") == F.col("c_id"), "left")
+    same = lambda a, b: F.col(a).eqNullSafe(b)
     outcome = (
-        F.when(F.col("c_id").isNull(), "not_found").when(F.col("c_status") != "ACTIVE", "not_active").when(F.col("plan_tier") != F.col("tier"), "plan_mismatch")
-        .when(F.col("custom_uid") != F.col("user_identifier"), "owner_mismatch").otherwise("verified")
+        F.when(F.col("c_id").isNull() | same("http", F.lit(404)), "not_found").when(~F.coalesce(F.col("http").between(200, 299), F.lit(False)), "provider_error")
+        .when(~same("answered_id", F.col("provider_sub_id")), "id_mismatch").when(~same("c_status", F.lit("ACTIVE")), "not_active")
+        .when(~same("plan_tier", F.col("tier")), "plan_mismatch").when(~same("custom_uid", F.col("user_identifier")), "owner_mismatch").otherwise("verified")
     )
     return joined.withColumn("outcome", outcome)
 
 
 def reconciled(subs: DataFrame, canonical: DataFrame) -> DataFrame:
-    """verified() with what to do: nothing, propose a change, or look by hand."""
-    active = F.col("status") == "active"
+    """verified() with what to do: nothing where both sides agree on whether it is active, else propose a change or look by hand.
+
+    A subscription that the provider does not know, or whose check failed, is not compared.
+    """
+    active = F.coalesce(F.col("status") == "active", F.lit(False))
+    sure = F.col("outcome") == "verified"
     action = (
-        F.when(F.col("outcome") == "not_found", "missing_at_provider").when((F.col("outcome") == "verified") & active, "match")
-        .when(F.col("outcome") == "verified", "candidate").when((F.col("outcome") == "not_active") & ~active, "match").otherwise("manual_review")
+        F.when(F.col("outcome") == "not_found", "missing_at_provider").when(F.col("outcome") == "provider_error", "retry_later")
+        .when(sure == active, "match").when(sure, "candidate").otherwise("manual_review")
     )
     return verified(subs, canonical).withColumn("action", action)
 
@@ -129,3 +144,35 @@ def plan_matches(plan_id: Column, tier: Column, plans: dict[str, str]) -> Column
     """Whether the provider's plan is the one that is configured for the tier; a missing plan never is."""
     wanted = F.coalesce(*[F.when(tier == t, F.lit(p)) for t, p in plans.items()])
     return F.coalesce(plan_id == wanted, F.lit(False))
+
+
+def manual_checks(requests: DataFrame, window_ms: int = 10_000) -> DataFrame:
+    """What a user's request to check a subscription leads to, by the first case that fits.
+
+    requests: requested_id (null: none), provider_sub_id, status, outcome (of verified()), reason (of the transition, if it was tried)
+    and since_ms (since the last request, null: none before). A request for an id other than the linked one is never looked up.
+    """
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    decision = (
+        F.when(F.coalesce(F.col("since_ms") < window_ms, F.lit(False)), "throttled").when(~some("provider_sub_id"), "nothing_linked")
+        .when(some("requested_id") & (F.col("requested_id") != F.col("provider_sub_id")), "reconciliation_required").when(F.col("status") == "active", "already_active")
+        .when(F.col("outcome") != "verified", F.col("outcome")).when(F.col("reason") == "duplicate_active_subscription", "duplicate_active_subscription")
+        .when(F.coalesce(F.col("reason").isin(*APPLIED), F.lit(False)), "activated").otherwise("pending")
+    )
+    return requests.withColumn("decision", decision)
+
+
+def lifecycle(deliveries: DataFrame, results: DataFrame) -> DataFrame:
+    """deliveries (key) with processing_status: received until a worker took one (started), then processing, processed or failed.
+
+    results: key, started and error (null: none yet or success) and done.
+    """
+    held = deliveries.join(results, "key", "left")
+    status = F.when(~F.coalesce("started", F.lit(False)), "received").when(F.col("error").isNotNull(), "failed").when(F.coalesce("done", F.lit(False)), "processed").otherwise("processing")
+    return held.withColumn("processing_status", status)
+
+
+def report_lines(reconciled_rows: DataFrame) -> DataFrame:
+    """One table line of a report for each reconciled subscription, with ids and addresses that tell nobody who it is."""
+    cells = F.concat_ws(" | ", T.bare_email(F.substring_index("user_identifier", ":", -1)), T.redacted_id(F.col("provider_sub_id")), "tier", "status", "outcome", "action")
+    return reconciled_rows.withColumn("line", F.concat(F.lit("| "), cells, F.lit(" |")))

@@ -45,10 +45,10 @@ def search_threshold(corpus: DataFrame, query: Sequence[float], coleccion: str |
     return nearest(optional(corpus, coleccion=coleccion), query, k, threshold=threshold)
 
 
-def search_community(chunks: DataFrame, moderated: DataFrame, query: Sequence[float], materia: str | None = None, k: int = 5) -> DataFrame:
-    """Top-k of the chunks whose document is approved."""
+def search_community(chunks: DataFrame, moderated: DataFrame, query: Sequence[float], materia: str | None = None, k: int = 5, tipo: str | None = None) -> DataFrame:
+    """Top-k of the chunks whose document is approved, optionally of one matter or kind of document."""
     approved = moderated.where("estado_moderacion = 'aprobado'").select(F.col("doc_id").alias("documento_id"))
-    return nearest(optional(chunks, materia=materia).join(approved, "documento_id"), query, k)
+    return nearest(optional(chunks, materia=materia, tipo_documento=tipo).join(approved, "documento_id"), query, k)
 
 
 def search_templates(templates: DataFrame, query: Sequence[float], tipo: str | None = None, k: int = 3) -> DataFrame:
@@ -57,10 +57,44 @@ def search_templates(templates: DataFrame, query: Sequence[float], tipo: str | N
 
 
 def fused(corpus: DataFrame, query: Sequence[float], coleccion: str | None = None, materia: str | None = None, k: int = 5, extra: int = IN_FORCE) -> DataFrame:
-    """Top-k, then those of the top statutes in force that it lacks; column stage is 1 or 2."""
+    """Top-k, then those of the top statutes in force that it lacks, without the fragments that hold anonymising marks; stage is 1 or 2.
+
+    Fragments go after the searches, so that fewer than k may stay; that is what keeps unclean ones from being replaced by worse ones.
+    """
     first = search_library(corpus, query, coleccion, materia, k).withColumn("stage", F.lit(1))
     second = search_library(corpus, query, coleccion, materia, extra, in_force=True).withColumn("stage", F.lit(2))
-    return first.unionByName(second.join(first.select("id"), "id", "left_anti").select(second.columns))
+    both = first.unionByName(second.join(first.select("id"), "id", "left_anti").select(second.columns))
+    return both.where(~T.contaminated(F.col("contenido")))
+
+
+# The collection that each route searches, for civil and for criminal questions; criminal ones stay within their matter.
+CIVIL = {"A": "mayalex_procedimental", "B": "mayalex_normativos", "C": "mayalex_normativos"}
+CRIMINAL = {"A": "mayalex_normativos", "B": "mayalex_normativos", "C": "mayalex_normativos"}
+CRIMINAL_MATTER, PROCEDURAL, PROCEDURAL_HITS = "01_PENAL", "mayalex_procedimental", 3
+
+
+def routed(asked: DataFrame, civil: dict = CIVIL, criminal: dict = CRIMINAL) -> DataFrame:
+    """The searches of each question (route, criminal): pass, collection, matter (null: any) and k; a civil C makes a second one."""
+    of = lambda kinds: F.coalesce(*[F.when(F.col("route") == r, F.lit(c)) for r, c in kinds.items()], F.lit(None).cast("string"))
+    main = F.when(F.col("criminal"), of(criminal)).otherwise(of(civil))
+    search = lambda n, c, m, k: F.struct(F.lit(n).alias("pass"), c.alias("coleccion"), m.alias("materia"), F.lit(k).alias("k"))
+    first = F.when(main.isNotNull(), search(1, main, F.when(F.col("criminal"), CRIMINAL_MATTER), 5))
+    second = F.when((F.col("route") == "C") & ~F.col("criminal"), search(2, F.lit(PROCEDURAL), F.lit(None).cast("string"), PROCEDURAL_HITS))
+    return asked.select("*", F.explode(F.array_compact(F.array(first, second))).alias("_search")).select("*", "_search.*").drop("_search")
+
+
+def route_search(corpus: DataFrame, query: Sequence[float], route: str, criminal: bool = False, civil: dict = CIVIL, criminal_kinds: dict = CRIMINAL) -> DataFrame:
+    """What one question of a route retrieves: its collection's fused search and, for a civil C, the procedural one behind it.
+
+    Both lists follow each other as they are, so a fragment that both find stands twice; column pass is 1 or 2.
+    """
+    main = (criminal_kinds if criminal else civil).get(route)
+    if main is None:
+        return fused(corpus, query).where(F.lit(False)).withColumn("pass", F.lit(1))
+    found = fused(corpus, query, main, CRIMINAL_MATTER if criminal else None).withColumn("pass", F.lit(1))
+    if route == "C" and not criminal:
+        found = found.unionAll(fused(corpus, query, PROCEDURAL if civil is CIVIL else civil["A"], k=PROCEDURAL_HITS).withColumn("pass", F.lit(2)))
+    return found
 
 
 def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "id") -> DataFrame:
@@ -135,6 +169,26 @@ def template_blocks(found: DataFrame, key: str, order: str) -> DataFrame:
     return numbered_blocks(found.where(F.col("similarity") >= TEMPLATE_SIMILARITY), key, order, line, "\n\n---\n\n")
 
 
+def attachment_blocks(attachments: DataFrame, questions: DataFrame, key: str, order: str) -> DataFrame:
+    """What a question with attachments (filename, text) sends: a block for each attachment in order, then the question (content).
+
+    A question without attachments is sent as it is; attachments without words beside them stand alone.
+    """
+    line = F.concat(F.lit("📎 **Documento adjunto: "), "filename", F.lit("**\n```\n"), "text", F.lit("\n```"))
+    held = questions.join(numbered_blocks(attachments, key, order, line), key, "left")
+    content = F.coalesce("content", F.lit(""))
+    both = F.concat("block", F.lit("\n\n---\n\n**Consulta del usuario:**\n"), content)
+    sent = F.when(F.col("block").isNull(), content).when(T.trimmed(content) == "", F.col("block")).otherwise(both)
+    return held.select(key, sent.alias("sent"))
+
+
+def abstentions(questions: DataFrame, found: DataFrame, key: str, code: str = "CORPUS_EVIDENCE_NOT_FOUND") -> DataFrame:
+    """questions (with required) and n_fragments, and the code with which one that needs evidence and has none is answered, else null."""
+    counts = found.groupBy(key).agg(F.count("*").alias("n_fragments"))
+    held = questions.join(counts, key, "left").fillna(0, ["n_fragments"])
+    return held.withColumn("code", F.when(F.col("required") & (F.col("n_fragments") == 0), code))
+
+
 def context_blocks(fragments: DataFrame, key: str, order: str, content: str = "contenido") -> DataFrame:
     """One text for each key: its fragments in order, numbered, with article, label and relevance.
 

@@ -25,16 +25,25 @@ def daily_stats(usage: DataFrame) -> DataFrame:
 
 
 def quota_replay(events: DataFrame, user: str, ts: str, tier: str, order: list[str]) -> DataFrame:
-    """events with nth request of the day, allowed and remaining. One user's day is one window, so users spread over tasks."""
+    """events with nth request of the day, allowed and remaining. One user's day is one window, so users spread over tasks.
+
+    An admin is never limited and always has the whole limit left.
+    """
     day = F.to_date(ts)
     nth = F.row_number().over(Window.partitionBy(user, day).orderBy(*order))
     limit = limit_of(F.col(tier))
-    return events.withColumns({"day": day, "nth": nth}).withColumn("allowed", F.col("nth") <= limit).withColumn("remaining", F.greatest(limit - F.col("nth"), F.lit(0)))
+    admin = F.coalesce(F.col(tier) == "admin", F.lit(False))
+    left = F.when(admin, F.lit(LIMITS["admin"])).otherwise(F.greatest(limit - F.col("nth"), F.lit(0)))
+    return events.withColumns({"day": day, "nth": nth}).withColumn("allowed", admin | (F.col("nth") <= limit)).withColumn("remaining", left)
 
 
 def usage_status(usage: DataFrame) -> DataFrame:
+    """usage with used, limit, resets_on (the next day), remaining and allowed, without counting a request."""
     limit = limit_of(F.col("tier"))
-    return usage.withColumn("remaining", F.greatest(limit - F.col("query_count"), F.lit(0))).withColumn("allowed", F.col("query_count") < limit)
+    admin = F.coalesce(F.col("tier") == "admin", F.lit(False))
+    rows = usage.withColumns({"used": F.col("query_count"), "limit": limit, "resets_on": F.date_add("query_date", 1)})
+    left = F.when(admin, F.lit(LIMITS["admin"])).otherwise(F.greatest(limit - F.col("query_count"), F.lit(0)))
+    return rows.withColumns({"remaining": left, "allowed": admin | (F.col("query_count") < limit)})
 
 
 def access(usage_today: DataFrame, subs: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions import text as T
+
 
 def latest(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in the given order."""
@@ -47,6 +49,30 @@ def checked(df: DataFrame, **rules: Column) -> DataFrame:
     return df.withColumn("violations", F.array_compact(F.array(*broken)))
 
 
+def validated(df: DataFrame, **rules: Column) -> DataFrame:
+    """df with errors: the names of the rules that a row does not meet; what is null meets none."""
+    return df.withColumn("errors", F.array_compact(F.array(*[F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items()])))
+
+
+def feedback(rows: DataFrame, length: int = 500) -> tuple[DataFrame, DataFrame]:
+    """The rows (consulta_id, util as text, comentario) to insert, and those that are refused, with the first reason."""
+    reason = F.when(~T.is_uuid4(F.col("consulta_id")), "bad_id").when(~F.coalesce(F.col("util").isin("true", "false"), F.lit(False)), "bad_flag")
+    held = rows.withColumn("reason", reason)
+    taken = held.where("reason is null").withColumns({"util": F.col("util") == "true", "comentario": F.substring(T.trimmed(F.col("comentario")), 1, length)})
+    return taken.drop("reason"), held.where("reason is not null")
+
+
+def approved_orders(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of a provider's messages (status, order_id, organization_id, tier), the tiers to upsert and the orders to insert."""
+    some = lambda c: F.coalesce(F.col(c), F.lit("")) != ""
+    held = messages.where(F.col("status").eqNullSafe(F.lit("approved")) & some("organization_id"))
+    tiers = held.where(some("tier")).select(F.col("organization_id").alias("id"), F.col("tier").alias("billing_tier"))
+    orders = held.where(some("order_id")).select(
+        "order_id", "organization_id", F.coalesce("tier", F.lit("pro")).alias("tier"), F.lit(0).alias("amount"), F.lit("HNL").alias("currency"), F.lit("approved").alias("status")
+    )
+    return tiers, orders
+
+
 def visible(df: DataFrame, role: str, user: str | None = None, owner: str = "user_identifier") -> DataFrame:
     """The rows that a role may see: all for the service, a user's own, none for others."""
     if role == "service_role":

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.operators import articles as A
-from scriptorium.plans.registry import query
+from scriptorium.plans.registry import ORACLES, query
 from scriptorium.plans.text_queries import NORMAL, NUMBER, first_sql, rx
-from scriptorium.sources.views import table, view
+from scriptorium.sources.views import VIEWS, table, view
 
 ASKED = f"(select conv_id * 100 + turn as question_id, {NUMBER} as number, {first_sql(T.MATTERS)} as matter, {first_sql(T.INSTRUMENTS)} as instrument from questions)"
 CANDIDATES = f"""(select q.*, a.* from {ASKED} q join articles a on a.num_articulo = q.number and (q.matter is null or q.matter = a.materia)
@@ -37,20 +37,13 @@ def exact_article_resolution(spark, d):
 
 
 @query(
-    f"""select q.question_id, case when q.number is null then 'semantic' when coalesce(r.ambiguous, false) then 'ambiguous' when r.article_id is not null then 'exact'
-        when q.matter is not null or q.instrument is not null then 'abstain' else 'semantic' end as plan, r.article_id from {ASKED} q left join {RESOLVED} r on r.question_id = q.question_id""",
+    f"""select question_id, plan, article_id, case when plan = 'semantic' then asked_matter end as matter from (select q.question_id, q.matter as asked_matter, case when q.number is null then 'semantic' when coalesce(r.ambiguous, false) then 'ambiguous' when r.article_id is not null then 'exact'
+        when q.matter is not null or q.instrument is not null then 'abstain' else 'semantic' end as plan, r.article_id from {ASKED} q left join {RESOLVED} r on r.question_id = q.question_id)""",
     "questions articles",
 )
 def retrieval_driver(spark, d):
     """What answers each question: an exact article, nothing, or a semantic search."""
-    c = F.col("content")
-    asked = questions(spark, d).select("question_id", T.article_number(c).alias("number"), T.first_match(c, T.MATTERS).alias("matter"), T.first_match(c, T.INSTRUMENTS).alias("instrument"))
-    found = A.resolved(view(spark, d, "articles"), questions(spark, d))
-    plan = (
-        F.when(F.col("number").isNull(), "semantic").when(F.col("ambiguous"), "ambiguous").when(F.col("article_id").isNotNull(), "exact")
-        .when(F.col("matter").isNotNull() | F.col("instrument").isNotNull(), "abstain").otherwise("semantic")
-    )
-    return asked.join(found, "question_id", "left").select("question_id", plan.alias("plan"), "article_id")
+    return A.driven(view(spark, d, "articles"), questions(spark, d))
 
 
 @query("select id, regexp_matches(contenido, '(?i)art[ií]culo\\s*' || num_articulo || '\\s*\\.-') as heading from articles", "articles")
@@ -80,8 +73,8 @@ HEADINGS = "(select source, doc_id, cast(row_number() over (partition by source
 
 @query(
     f"""with recursive o as (select *, row_number() over (partition by source order by doc_id) as n from {HEADINGS}),
-        f as (select source, doc_id, n, number > 0 and number <= 5 as accepted, case when number > 0 and number <= 5 then number else 0 end as last from o where n = 1
-              union all select o.source, o.doc_id, o.n, o.number > f.last and o.number <= f.last + 5, case when o.number > f.last and o.number <= f.last + 5 then o.number else f.last end
+        f as (select source, doc_id, n, number = 1 as accepted, case when number = 1 then 1 else 0 end as last from o where n = 1
+              union all select o.source, o.doc_id, o.n, case when f.last = 0 then o.number = 1 else o.number > f.last and o.number <= f.last + 5 end, case when (f.last = 0 and o.number = 1) or (f.last > 0 and o.number > f.last and o.number <= f.last + 5) then o.number else f.last end
               from f join o on o.source = f.source and o.n = f.n + 1)
         select source, doc_id, accepted from f"""
 )
@@ -91,10 +84,39 @@ def monotonic_headings(spark, d):
     return A.monotonic(headings, "source", "doc_id", "number")
 
 
-@query("select id, nullif(regexp_extract(body, '^\\s*([A-ZÁÉÍÓÚÑ][A-ZÁÉÍÓÚÑ ,;]{2,119})\\.', 1), '') as epigraph from (select id, case when length(id) % 2 = 0 then 'DE LAS PENAS. ' else '' end || contenido as body from articles)", "articles")
+EPIGRAPH = "'^\\s*([A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ\\s,;/().\\-]{3,120}?)\\.\\s'"
+BODY = "case doc_id % 4 when 0 then 'DE LAS PENAS. ' when 1 then 'DE LA VIGÜENZA, I/II (BIS) Y SS.' || chr(10) when 2 then 'SIN ESPACIO.' else '' end || contenido"
+
+
+@query(f"select id, nullif(trim(regexp_extract(body, {EPIGRAPH}, 1)), '') as epigraph, length(regexp_replace(body, {EPIGRAPH}, '')) as left_over from (select id, {BODY} as body from articles)", "articles")
 def epigraphs(spark, d):
-    body = F.concat(F.when(F.length("id") % 2 == 0, "DE LAS PENAS. ").otherwise(""), "contenido")
-    return view(spark, d, "articles").select("id", A.epigraph(body).alias("epigraph"))
+    lead = F.expr("case doc_id % 4 when 0 then 'DE LAS PENAS. ' when 1 then 'DE LA VIGÜENZA, I/II (BIS) Y SS.\\n' when 2 then 'SIN ESPACIO.' else '' end")
+    body = F.concat(lead, "contenido")
+    return view(spark, d, "articles").select("id", A.epigraph(body).alias("epigraph"), F.length(A.without_epigraph(body)).cast("long").alias("left_over"))
+
+
+CODE_PARTS = """(select doc_id, generate_subscripts(parts, 1) - 1 as seq, unnest(parts) as part from (select doc_id, string_split(regexp_replace(text, '(?m)^(\\s*Art[íi]culo\\s+(\\d+)\\s*\\.\\s*[-–—]?)', chr(1) || '\\2' || chr(2) || '\\1' || chr(3), 'g'), chr(1)) as parts from codes))"""
+CODE_ARTICLES = f"""h as (select doc_id, seq, cast(split_part(part, chr(2), 1) as int) as n, split_part(split_part(part, chr(2), 2), chr(3), 1) as head, split_part(part, chr(3), 2) as body from {CODE_PARTS} where seq > 0),
+    f as (select doc_id, seq, case when n = 1 then 1 else 0 end as last, n = 1 as ok from h where seq = 1
+      union all select h.doc_id, h.seq, case when (f.last = 0 and h.n = 1) or (f.last > 0 and h.n > f.last and h.n <= f.last + 5) then h.n else f.last end, (f.last = 0 and h.n = 1) or (f.last > 0 and h.n > f.last and h.n <= f.last + 5) from f join h on h.doc_id = f.doc_id and h.seq = f.seq + 1),
+    whole as (select f.doc_id, f.last as num, string_agg(case when f.ok then '' else h.head end || h.body, '' order by f.seq) as body from f join h on h.doc_id = f.doc_id and h.seq = f.seq where f.last > 0 group by f.doc_id, f.last)
+    select doc_id, num, epigraph, text from (select doc_id, num, nullif(trim(regexp_extract(body, {EPIGRAPH}, 1)), '') as epigraph, trim(regexp_replace(regexp_replace(body, {EPIGRAPH}, ''), '[\\s ]+', ' ', 'g')) as text from whole) where length(text) >= 20"""
+
+
+@query("_", "codes")
+def code_articles(spark, d):
+    """The articles of whole codes: citations absorbed, epigraphs apart, short bodies out."""
+    return A.code_articles(view(spark, d, "codes"))
+
+
+ORACLES["code_articles"] = f"with recursive codes as ({VIEWS['codes']}), {CODE_ARTICLES}"
+CPC = {"code": "CPC", "decree": "D.211-2006", "matter": "02_CIVIL", "source": "CPC_TEXTO_BASE_D211-2006"}
+
+
+@query()
+def code_chunks(spark, d):
+    """The chunks of whole codes, with ids, passages and metadata."""
+    return A.article_chunks(A.code_articles(view(spark, d, "codes")), prefix="cpc_base_", **CPC)
 
 
 @query()
@@ -126,7 +148,7 @@ def sitemap(spark, d):
 
 
 @query(
-    f"""select id, 'articulo-' || num_articulo || '-legislacion' as slug, num_articulo as back, trim(substr(contenido, 1, 90)) as teaser, length(contenido) > 90 as truncated, estado = 'limpio' as indexed,
+    f"""select id, 'articulo-' || num_articulo || '-legislacion-penal-honduras' as slug, num_articulo as back, regexp_replace(substr(contenido, 1, 420), '^[\\s ]+|[\\s ]+$', '', 'g') as teaser, length(contenido) > 420 as truncated, estado = 'limpio' as indexed,
         '/leyes/' || num_articulo as canonical from {STATUS}""",
     "articles editorial",
 )
@@ -134,7 +156,7 @@ def article_page(spark, d):
     rows = with_status(spark, d)
     slug = A.slug(F.col("shown"))
     return rows.select(
-        "id", slug.alias("slug"), A.number_of_slug(slug).alias("back"), F.trim(F.substring("contenido", 1, 90)).alias("teaser"), (F.length("contenido") > 90).alias("truncated"),
+        "id", slug.alias("slug"), A.number_of_slug(slug).alias("back"), T.teaser(F.col("contenido"), 420).alias("teaser"), (F.length("contenido") > 420).alias("truncated"),
         (F.col("estado") == "limpio").alias("indexed"), F.concat(F.lit("/leyes/"), "shown").alias("canonical"),
     )
 

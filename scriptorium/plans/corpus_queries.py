@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
+from scriptorium.functions import vectors as V
 from scriptorium.operators import charges as H
 from scriptorium.operators import corpus as C
 from scriptorium.plans.registry import query
-from scriptorium.plans.text_queries import FLAG
+from scriptorium.plans.text_queries import FLAG, NORMAL
 from scriptorium.sources.views import table, view
 
 
@@ -47,12 +48,78 @@ def range_count(spark, d):
 
 
 @query(
-    """select lang, count(*) as n, min(n) as expected from (select lang, count(*) over (partition by lang) as n from documents) group by lang"""
+    """select coalesce(d.source, e.source) as source, coalesce(n, 0) as n, coalesce(expected, 0) as expected from (select source, count(*) as n from documents group by source) d
+       full join (select source, count(*) as expected from documents where lang <> 'de' group by source union all select 'absent', 3) e on e.source = d.source where coalesce(n, 0) <> coalesce(expected, 0)"""
 )
 def count_verification(spark, d):
+    """Sources whose number of rows is not the one that a manifest expects; the manifest knows no German ones, and one source too many."""
     docs = table(spark, d, "documents")
-    expected = docs.groupBy("lang").agg(F.count("*").alias("expected"))
-    return docs.groupBy("lang").agg(F.count("*").alias("n")).join(expected, "lang")
+    expected = docs.where("lang <> 'de'").groupBy("source").agg(F.count("*").alias("expected")).union(spark.range(1).selectExpr("'absent'", "3L"))
+    return C.unexpected_counts(docs, "source", expected)
+
+
+@query(
+    """select id, coleccion from corpus where coleccion in (select coleccion from (select coleccion, count(*) as n, count(*) filter (not es_norma_vigente or coleccion = 'c1') as loaded from corpus group by 1) where loaded < n)""",
+    "corpus",
+)
+def resume_load(spark, d):
+    corpus = view(spark, d, "corpus")
+    return C.to_load(corpus, corpus.where("not es_norma_vigente or coleccion = 'c1'"), "coleccion").select("id", "coleccion")
+
+
+@query(
+    """select 'lib:' || doc_id as id, case when doc_id % 2 = 0 then '01' end as materia, substr(coalesce(text, ''), 1, 8000) as contenido, case when doc_id % 4 = 1 then null when doc_id % 4 = 2 then source else 'a' || doc_id end as num_articulo
+       from documents"""
+)
+def library_rows(spark, d):
+    """Chunks of a vector store with metadata of different shapes, as rows of the library."""
+    key = F.col("doc_id").cast("string")
+    meta = F.when(F.col("doc_id") % 4 == 1, F.lit(None)).otherwise(
+        F.map_from_arrays(F.array(F.lit("materia"), F.lit("articulo"), F.lit("num")), F.array(F.when(F.col("doc_id") % 2 == 0, "01"), F.when(F.col("doc_id") % 4 == 2, "None").otherwise(F.concat(F.lit("a"), key)), F.col("source")))
+    )
+    rows = table(spark, d, "documents").select(key.alias("chunk_id"), F.col("text").alias("document"), meta.alias("metadata"), F.array(F.lit(1.0)).alias("embedding"))
+    return C.library_rows(rows, "lib", ("articulo", "num"), ("fuente",)).select("id", "materia", "contenido", "num_articulo")
+
+
+LETTER = 'Here: {"tipo_instrumento": "demanda", "titulo": "T", "contenido_plantilla": "Yo, {{nombre}}", "variables": ["nombre"]} end'
+PHONE = 'Here: {"tipo_instrumento": "demanda", "titulo": "T", "contenido_plantilla": "llame al 2234-5678", "variables": ["a"]}'
+
+
+@query(
+    """select doc_id, error, case when error is null then 'Yo, {{nombre}}' end as contenido_plantilla, error is null as verificado_sin_pii from (
+        select doc_id, case when length(regexp_replace(coalesce(text, ''), '^[\\s ]+|[\\s ]+$', '', 'g')) < 80 then 'too_short' when doc_id % 4 = 0 then 'failed' when doc_id % 4 = 1 then 'private_data' end as error from documents)"""
+)
+def template_generation(spark, d):
+    """Originals whose model answered with no object, with a telephone number left in it, or with a clean template."""
+    docs, kind = table(spark, d, "documents"), F.col("doc_id") % 4
+    answers = docs.select("doc_id", F.when(kind == 0, "no object").when(kind == 1, PHONE).otherwise(LETTER).alias("answer"))
+    return C.generated_templates(docs.select("doc_id", "text"), answers, "doc_id").select("doc_id", "error", "contenido_plantilla", "verificado_sin_pii")
+
+
+RECORD = f"""(select doc_id, text, case when length(regexp_replace(text, '^[\\s ]+|[\\s ]+$', '', 'g')) < 100 then 'too_short' when length(text) > 100000 then 'too_long' end as error, ({FLAG}) as found,
+    case when doc_id % 10 = 9 or doc_id % 13 = 0 then null else (doc_id % 10) / 10.0 end as score, doc_id % 8 <> 0 and doc_id % 13 <> 0 as legit, doc_id % 12 = 1 and doc_id % 13 <> 0 as third, case when doc_id % 3 = 0 then '01' when doc_id % 13 <> 0 then '02' end as materia from uploads)"""
+
+
+def contributions(spark, d):
+    docs = view(spark, d, "uploads").select("doc_id", F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, "01").alias("materia"), F.lit("nota").alias("tipo_documento"))
+    verdicts = docs.where("doc_id % 13 <> 0").select("doc_id", F.expr("case when doc_id % 10 <> 9 then (doc_id % 10) / 10.0 end").alias("score"), F.expr("doc_id % 8 <> 0").alias("legit"), F.expr("doc_id % 12 = 1").alias("third"), F.lit("02").alias("inferred"))
+    return C.contributions(docs, verdicts, auto_approve=True)
+
+
+@query(
+    f"""select doc_id, error, case when error is null then materia end as materia, case when error is null then (found or (third and score is not null)) end as pii,
+        case when error is not null then null when score is null then 'en_revision' when not legit then 'rechazado' when found or third or score < 0.6 then 'en_revision' else 'aprobado' end as decision from {RECORD}""",
+    "uploads",
+)
+def community_ingest(spark, d):
+    """Contributions: what is refused by its length, and the record and decision of the rest."""
+    return contributions(spark, d).select("doc_id", "error", "materia", "pii", "decision")
+
+
+@query()
+def community_chunks(spark, d):
+    """The chunks that approved contributions add to the index, with vectors of the fake provider."""
+    return C.contribution_chunks(contributions(spark, d), V.SeededProvider(16))
 
 
 @query("select num_articulo, row_number() over (order by cast(num_articulo as int)) as place from editorial", "editorial")
@@ -87,43 +154,67 @@ def quantifiers(spark, d):
     return view(spark, d, "articles").groupBy("num_articulo").agg(F.bool_and("es_norma_vigente").alias("every_in_force"), F.bool_or(F.col("fuente").isNull()).alias("some_unnamed"))
 
 
-PACK = """(select p.*, array_to_string(list_filter([case when trim(coalesce(autoridad, '')) = '' then 'autoridad' end, case when trim(coalesce(decreto, '')) = '' then 'decreto' end,
+PARTS = f"""(select norm_id, generate_subscripts(parts, 1) - 1 as seq, unnest(list_transform(parts, lambda x: regexp_replace(x, '^[\\s ]+|[\\s ]+$', '', 'g'))) as contenido
+    from (select norm_id, string_split(regexp_replace({NORMAL.replace("{x}", "texto")}, '(?im)^([ \\t]*ART[IÍ]CULO\\s+(\\d+)[.\\-:°º]*)', chr(1) || '\\1', 'g'), chr(1)) as parts from packages))"""
+ARTICLES = f"(select norm_id, seq, contenido, regexp_extract(contenido, '(?i)ART[IÍ]CULO\\s+(\\d+)', 1) as num_articulo from {PARTS} where seq > 0)"
+COUNTS = f"""(select norm_id, count(*) as n_articles, count(*) filter (contenido = '') as n_empty, count(*) - count(distinct num_articulo) as n_repeated, count(*) filter (num_articulo = '') as n_not_numeric,
+    count(*) filter (sha256(contenido) = sha256('ARTICULO 3.- Derogado.')) as n_known,
+    count(*) filter (regexp_matches(contenido, '\\[(Cliente|Empresa)_An[oó]nimo|Tel[eé]fono_Oculto|Expediente_Anonimizado\\]') or regexp_matches(contenido, '(?i)\\b\\d{{4}}-\\d{{4}}\\b|\\bRTN\\s*[:#]?\\s*\\d{{14}}\\b|\\bDNI\\s*[:#]?\\s*\\d{{13}}\\b')) as n_private
+    from {ARTICLES} group by norm_id)"""
+PACK = f"""(select p.*, trim(coalesce(texto, '')) <> '' as received, array_to_string(list_filter([case when trim(coalesce(autoridad, '')) = '' then 'autoridad' end, case when trim(coalesce(decreto, '')) = '' then 'decreto' end,
       case when trim(coalesce(publicacion, '')) = '' then 'publicacion' end, case when trim(coalesce(materia, '')) = '' then 'materia' end, case when trim(coalesce(estado, '')) = '' then 'estado' end,
-      case when trim(coalesce(responsable, '')) = '' then 'responsable' end], lambda x: x is not null), ',') as missing,
-    not regexp_matches(coalesce(publicacion, ''), '^[0-9]{4}-[0-9]{2}-[0-9]{2}$') as bad_date, estado not in ('vigente', 'derogado', 'reformado', 'pendiente_verificacion') as bad_state,
-    coalesce(k.n, 0) as n_articles, coalesce(k.empty, 0) as n_empty, coalesce(k.private, 0) as n_private, coalesce(k.dup, 0) as n_dup
-    from packages p left join (select source, count(*) as n, count(*) filter (length(trim(contenido)) < 15) as empty, count(*) filter (regexp_matches(contenido, '\\[(Cliente|Empresa)_An[oó]nimo')) as private,
-      count(*) - count(distinct doc_id) as dup from (select d.source, a.* from articles a join documents d on d.doc_id = a.doc_id) group by source) k on k.source = p.norm_id)"""
-RULES = """case when missing <> '' then 'manifest_complete' when bad_date then 'source_identified' when n_articles = 0 or n_empty > 0 then 'articles_present' when n_dup > 0 then 'numbering'
-    when n_private > 0 then 'no_private_data' when bad_state then 'review_state' when approved_by is null then 'approval' end"""
-
-
-@query(f"select norm_id, missing, bad_date, bad_state, n_articles, n_empty, n_private, n_dup from {PACK}", "packages articles")
+      case when trim(coalesce(checksum, '')) = '' then 'checksum' end, case when trim(coalesce(responsable, '')) = '' then 'responsable' end], lambda x: x is not null), ',') as missing,
+    estado in ('vigente', 'derogado', 'reformado', 'pendiente_verificacion') as known_state, coalesce(checksum = sha256(texto), false) as checksum_matches,
+    coalesce(k.n_articles, 0) as n_articles, coalesce(k.n_empty, 0) as n_empty, coalesce(k.n_repeated, 0) as n_repeated, coalesce(k.n_not_numeric, 0) as n_not_numeric, coalesce(k.n_known, 0) as n_known, coalesce(k.n_private, 0) as n_private,
+    case when first_doc % 23 = 12 then 2 else 1 end as n_matters from packages p left join {COUNTS} k on k.norm_id = p.norm_id)"""
+STOPPED = """case when not received then 1 when missing <> '' or (trim(url) = '' and trim(autoridad) = '') or not known_state or not checksum_matches then 3 when n_empty > 0 or n_articles = 0 then 6
+    when n_repeated > 0 or n_not_numeric > 0 or n_known > 0 then 8 when n_matters > 1 then 9 when n_private > 0 then 10 when approved_by is null then 15 end"""
+REASON = """case when not received then 'no_text' when missing <> '' then 'manifest_incomplete' when not known_state then 'state_unknown' when not checksum_matches then 'checksum' when n_empty > 0 then 'empty_articles'
+    when n_articles = 0 then 'no_articles' when n_repeated > 0 then 'repeated_numbers' when n_not_numeric > 0 then 'numbers_not_numeric' when n_known > 0 then 'known_content' when n_matters > 1 then 'mixed_matters'
+    when n_private > 0 then 'private_data' when approved_by is null then 'not_approved' end"""
+RULED = "norm_id missing known_state checksum_matches n_articles n_empty n_repeated n_not_numeric n_known n_matters n_private".split()
+
+
+def package_rules(spark, d):
+    """The packages, their articles, and what the rules look at."""
+    packages = view(spark, d, "packages")
+    articles = C.package_articles(packages)
+    hashes = spark.range(1).select(F.sha2(F.lit("ARTICULO 3.- Derogado."), 256).alias("hash"))
+    other = packages.where("first_doc % 23 = 12").select("norm_id", F.lit("03_OTRA").alias("materia"))
+    return articles, C.rules(packages, articles, hashes, other)
+
+
+@query(f"select {', '.join(RULED)} from {PACK}", "packages")
 def ingest_rules(spark, d):
-    return C.rules(view(spark, d, "packages"), packed(spark, d)).select("norm_id", "missing", "bad_date", "bad_state", "n_articles", "n_empty", "n_private", "n_dup")
+    return package_rules(spark, d)[1].select(*RULED)
 
 
-def packed(spark, d):
-    return view(spark, d, "articles").join(table(spark, d, "documents").select("doc_id", F.col("source").alias("norm_id")), "doc_id")
+@query(f"select norm_id, {STOPPED} as stopped_at, {REASON} as rejected_by, ({REASON}) is null as accepted from {PACK}", "packages")
+def ingest_first_rejection(spark, d):
+    return C.first_rejection(package_rules(spark, d)[1]).select("norm_id", "stopped_at", "rejected_by", "accepted")
 
 
-@query(f"select norm_id, {RULES} as rejected_by, ({RULES}) is null as accepted from {PACK}", "packages articles")
-def ingest_first_rejection(spark, d):
-    return C.first_rejection(C.rules(view(spark, d, "packages"), packed(spark, d))).select("norm_id", "rejected_by", "accepted")
+@query(
+    f"""select norm_id, unnest(range(1, coalesce(stopped, 16) + 1)) as number, case when unnest(range(1, coalesce(stopped, 16) + 1)) = stopped then 'rejected' else 'ok' end as result
+        from (select norm_id, {STOPPED} as stopped from {PACK})""",
+    "packages",
+)
+def ingest_step_log(spark, d):
+    return C.step_log(C.first_rejection(package_rules(spark, d)[1])).select("norm_id", "number", "result")
 
 
 @query(
-    """select json_object('norm', d.source, 'num', a.num_articulo, 'content', a.contenido, 'hash', sha256(a.contenido)) as line
-       from articles a join documents d on d.doc_id = a.doc_id """,
-    "articles",
+    f"""select a.norm_id, a.seq, json_object('norm_id', a.norm_id, 'num_articulo', num_articulo, 'contenido', contenido, 'decreto', decreto, 'materia', materia, 'autoridad', autoridad, 'estado', estado, 'hash', sha256(contenido)) as line
+        from {ARTICLES} a join (select *, {STOPPED} as stopped from {PACK}) p on p.norm_id = a.norm_id where coalesce(stopped, 16) > 11""",
+    "packages",
 )
 def ingest_jsonl(spark, d):
-    rows = packed(spark, d)
-    return rows.select(F.to_json(F.struct(F.col("norm_id").alias("norm"), F.col("num_articulo").alias("num"), F.col("contenido").alias("content"), F.sha2("contenido", 256).alias("hash"))).alias("line"))
+    articles, ruled = package_rules(spark, d)
+    return C.jsonl(C.first_rejection(ruled), articles)
 
 
 @query(
-    """select event_id, case when cast(substr(estado_destino, 2) as int) <> cast(substr(estado_origen, 2) as int) + 1 then 'not_next' when estado_destino in ('V4', 'V5') and rol <> 'abogado_revisor_senior' then 'role_missing'
+    """select event_id, case when cast(substr(estado_destino, 2) as int) <> cast(substr(estado_origen, 2) as int) + 1 then 'not_next' when estado_destino in ('V4', 'V5') and rol not in ('abogado_revisor_senior', 'propietario_despacho') then 'role_missing'
        else 'promoted' end as outcome, estado_destino in ('V4', 'V5') as shown, estado_destino in ('V3', 'V4', 'V5') as searchable from attempts""",
     "attempts",
 )

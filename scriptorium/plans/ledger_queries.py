@@ -8,8 +8,10 @@ from scriptorium.operators import ledger as L
 from scriptorium.plans.registry import query
 from scriptorium.sources.views import VIEWS, table, view
 
-DISPATCHED = """(select *, case kind when 'CREATED' then 'trialing' when 'PAYMENT_FAILED' then 'past_due' when 'CANCELLED' then 'cancelled' else 'active' end as new_status,
-    case kind when 'PAYMENT_FAILED' then 'fail' when 'CANCELLED' then 'downgrade' else 'apply' end as transition from billing)"""
+DISPATCHED = """(select *, case kind when 'BILLING.SUBSCRIPTION.CREATED' then 'trialing' when 'PAYMENT.SALE.DENIED' then 'past_due' when 'BILLING.SUBSCRIPTION.PAYMENT.FAILED' then 'past_due'
+      when 'BILLING.SUBSCRIPTION.CANCELLED' then 'cancelled' when 'BILLING.SUBSCRIPTION.EXPIRED' then 'cancelled' when 'BILLING.SUBSCRIPTION.SUSPENDED' then 'cancelled' else 'active' end as new_status,
+    case when kind in ('PAYMENT.SALE.DENIED', 'BILLING.SUBSCRIPTION.PAYMENT.FAILED') then 'fail' when kind in ('BILLING.SUBSCRIPTION.CANCELLED', 'BILLING.SUBSCRIPTION.EXPIRED', 'BILLING.SUBSCRIPTION.SUSPENDED') then 'downgrade' else 'apply' end as transition
+    from billing where kind <> 'CUSTOMER.DISPUTE.CREATED')"""
 
 
 def step(state: str) -> str:
@@ -87,10 +89,10 @@ def ledger_dedupe(spark, d):
     return L.intake(rows, "ts").select("key", "transmission_id")
 
 
-VERIFIED = """(select s.*, case when c.sub_id is null then 'not_found' when c.status <> 'ACTIVE' then 'not_active' when c.plan_tier <> s.tier then 'plan_mismatch' when c.custom_uid <> s.user_identifier then 'owner_mismatch'
+VERIFIED = """(select s.*, case when c.sub_id is null or c.http = 404 then 'not_found' when c.http is null or c.http <> 200 then 'provider_error' when c.answered_id <> s.provider_sub_id then 'id_mismatch' when c.status <> 'ACTIVE' then 'not_active' when c.plan_tier <> s.tier then 'plan_mismatch' when c.custom_uid <> s.user_identifier then 'owner_mismatch'
     else 'verified' end as outcome from subs s left join canonical c on c.sub_id = s.provider_sub_id where s.provider_sub_id is not null)"""
-ACTION = """case when outcome = 'not_found' then 'missing_at_provider' when outcome = 'verified' and status = 'active' then 'match' when outcome = 'verified' then 'candidate'
-    when outcome = 'not_active' and status <> 'active' then 'match' else 'manual_review' end"""
+ACTION = """case when outcome = 'not_found' then 'missing_at_provider' when outcome = 'provider_error' then 'retry_later' when (outcome = 'verified') = (status = 'active') then 'match'
+    when outcome = 'verified' then 'candidate' else 'manual_review' end"""
 
 
 @query(f"select user_identifier, outcome, {ACTION} as action from {VERIFIED}", "subs canonical")
@@ -104,18 +106,25 @@ def reconcile_counters(spark, d):
     return rows.groupBy("action").agg(F.count("*").alias("n"), F.count_if(F.col("action") != "match").alias("discrepancies"))
 
 
-@query(f"select user_identifier, '| ***' || right(provider_sub_id, 4) || ' | ' || tier || ' | ' || {ACTION} || ' |' as line from {VERIFIED}", "subs canonical")
+@query(f"select user_identifier, '| *** | ***' || right(provider_sub_id, 4) || ' | ' || tier || ' | ' || status || ' | ' || outcome || ' | ' || {ACTION} || ' |' as line from {VERIFIED}", "subs canonical")
 def markdown_report(spark, d):
-    rows = L.reconciled(view(spark, d, "subs"), view(spark, d, "canonical"))
-    cells = F.concat_ws(" | ", F.concat(F.lit("***"), F.right("provider_sub_id", F.lit(4))), "tier", "action")
-    return rows.select("user_identifier", F.concat(F.lit("| "), cells, F.lit(" |")).alias("line"))
+    return L.report_lines(L.reconciled(view(spark, d, "subs"), view(spark, d, "canonical"))).select("user_identifier", "line")
+
+
+ASKED = "case when age_ms % 7 = 0 then provider_sub_id when age_ms % 7 = 1 then 'SUB-other' end"
+TRIED = "case when age_ms % 3 = 0 then 'duplicate_active_subscription' when age_ms % 3 = 1 then 'updated' end"
 
 
-@query(f"select user_identifier, case when status = 'active' then 'already_active' when outcome = 'verified' then 'apply' else 'refuse' end as decision, case when status = 'active' then 'cancel' else 'nothing_to_cancel' end as cancel from {VERIFIED}", "subs canonical")
+@query(
+    f"""select user_identifier, case when since_ms < 10000 then 'throttled' when requested_id <> provider_sub_id then 'reconciliation_required' when status = 'active' then 'already_active' when outcome <> 'verified' then outcome
+        when reason = 'duplicate_active_subscription' then reason when reason = 'updated' then 'activated' else 'pending' end as decision
+        from (select *, {ASKED.replace("age_ms", "n")} as requested_id, {TRIED.replace("age_ms", "n")} as reason, case when n % 11 = 0 then 5000 end as since_ms from (select *, age_ms // 60000 as n from {VERIFIED}))""",
+    "subs canonical",
+)
 def verification_decision(spark, d):
-    active = F.col("status") == "active"
-    rows = L.verified(view(spark, d, "subs"), view(spark, d, "canonical"))
-    return rows.select("user_identifier", F.when(active, "already_active").when(F.col("outcome") == "verified", "apply").otherwise("refuse").alias("decision"), F.when(active, "cancel").otherwise("nothing_to_cancel").alias("cancel"))
+    rows = L.verified(view(spark, d, "subs"), view(spark, d, "canonical")).withColumn("n", F.expr("age_ms div 60000"))
+    asked = {"requested_id": F.expr(ASKED.replace("age_ms", "n")), "reason": F.expr(TRIED.replace("age_ms", "n")), "since_ms": F.expr("case when n % 11 = 0 then 5000 end")}
+    return L.manual_checks(rows.withColumns(asked)).select("user_identifier", "decision")
 
 
 @query("select event_id, coalesce(b.uid, s.user_identifier, 'unknown') as resolved from (select event_id, case when event_id % 3 = 0 then user_identifier end as uid, concat('SUB-', event_id % 200) as sub from billing) b left join subs s on s.provider_sub_id = b.sub", "billing subs")
@@ -124,11 +133,13 @@ def identity_resolution(spark, d):
     return b.join(view(spark, d, "subs").select("provider_sub_id", "user_identifier"), "provider_sub_id", "left").select("event_id", F.coalesce("uid", "user_identifier", F.lit("unknown")).alias("resolved"))
 
 
-@query("select event_id, case when kind in ('CREATED', 'ACTIVATED', 'SALE_COMPLETED') then 'processed' when kind = 'PAYMENT_FAILED' then 'failed' else 'received' end as status, kind = 'PAYMENT_FAILED' or (kind = 'SALE_COMPLETED' and not grants) as reconcile from billing", "billing")
+@query("select event_id, case when event_id % 6 = 0 then 'received' when event_id % 6 = 1 then 'failed' when event_id % 6 = 2 then 'processing' else 'processed' end as status from billing", "billing")
 def event_status(spark, d):
-    kind = F.col("kind")
-    status = F.when(kind.isin("CREATED", "ACTIVATED", "SALE_COMPLETED"), "processed").when(kind == "PAYMENT_FAILED", "failed").otherwise("received")
-    return view(spark, d, "billing").select("event_id", status.alias("status"), ((kind == "PAYMENT_FAILED") | ((kind == "SALE_COMPLETED") & ~F.col("grants"))).alias("reconcile"))
+    """Every event as a delivery; a worker took those whose id is no multiple of six."""
+    events = view(spark, d, "billing").select(F.col("event_id").alias("key"))
+    turn = F.col("key") % 6
+    results = events.where(turn != 0).select("key", F.lit(True).alias("started"), F.when(turn == 1, "no answer").alias("error"), (turn > 2).alias("done"))
+    return L.lifecycle(events, results).select(F.col("key").alias("event_id"), F.col("processing_status").alias("status"))
 
 
 @query("select event_id, coalesce(case when event_id % 4 <> 0 then cast(event_id as varchar) end, 'legacy-tx:tx' || event_id) as key from events")

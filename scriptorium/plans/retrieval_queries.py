@@ -45,11 +45,56 @@ def retrieval_optional_filter(spark, d):
         select * from (select id, 1 as stage, {SIM} as similarity from corpus order by similarity desc, id limit 5)
         union all
         select * from (select id, 2 as stage, {SIM} as similarity from corpus where es_norma_vigente order by similarity desc, id limit 3) b
-        where id not in (select id from (select id, {SIM} as s from corpus order by s desc, id limit 5)))""",
-    "corpus",
+        where id not in (select id from (select id, {SIM} as s from corpus order by s desc, id limit 5)))
+        where cast(split_part(id, ':', 2) as int) not in (select doc_id from articles where regexp_matches(contenido, '\\[(Cliente|Empresa)_An[oó]nimo|Tel[eé]fono_Oculto|Expediente_Anonimizado\\]'))""",
+    "corpus articles",
 )
 def retrieval_in_force_fusion(spark, d):
-    return rounded(R.fused(view(spark, d, "corpus"), query_vector(spark, d)), "id", "stage")
+    return rounded(R.fused(with_content(spark, d), query_vector(spark, d)), "id", "stage")
+
+
+def with_content(spark, d) -> DataFrame:
+    """The corpus with the texts of the articles of the same number as its content."""
+    return view(spark, d, "corpus").join(view(spark, d, "articles").select(F.col("doc_id").alias("vec_id"), "contenido"), "vec_id", "left")
+
+
+KEPT = "vec_id not in (select doc_id from articles where regexp_matches(contenido, '\\[(Cliente|Empresa)_An[oó]nimo|Tel[eé]fono_Oculto|Expediente_Anonimizado\\]'))"
+
+
+@query(
+    """select conv_id, turn, route, criminal, pass, coleccion, materia, k from (
+        select *, 1 as pass, case when criminal or route <> 'A' then 'mayalex_normativos' else 'mayalex_procedimental' end as coleccion, case when criminal then '01_PENAL' end as materia, 5 as k from asked where route <> 'D'
+        union all select *, 2, 'mayalex_procedimental', null, 3 from asked where route = 'C' and not criminal)""".replace("asked", "(select conv_id, turn, case conv_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end as route, conv_id % 3 = 0 as criminal from conversations)")
+)
+def routed_searches(spark, d):
+    route = F.expr("case conv_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end")
+    asked = table(spark, d, "conversations").select("conv_id", "turn", route.alias("route"), (F.col("conv_id") % 3 == 0).alias("criminal"))
+    return R.routed(asked)
+
+
+def fused_sql(where: str, k: int, n: int) -> str:
+    first = f"(select id, vec_id, {SIM} as similarity from corpus where {where} order by similarity desc, id limit {k})"
+    second = f"(select id, vec_id, {SIM} as similarity from corpus where {where} and es_norma_vigente order by similarity desc, id limit 3)"
+    return f"select id, {n} as pass, round(similarity, 6) as similarity from (select * from {first} union all select * from {second} where id not in (select id from {first})) where {KEPT}"
+
+
+@query(f"{fused_sql('coleccion = ' + repr('c1'), 5, 1)} union all {fused_sql('coleccion = ' + repr('c0'), 3, 2)}", "corpus articles")
+def route_second_pass(spark, d):
+    """A civil question of route C: the collection's search, then the procedural one behind it."""
+    return rounded(R.route_search(with_content(spark, d), query_vector(spark, d), "C", civil={"A": "c0", "C": "c1"}), "id", "pass")
+
+
+@query(
+    """select conv_id, case when block is null then asked when regexp_matches(asked, '^[\\s ]*$') then block else block || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '**Consulta del usuario:**' || chr(10) || asked end as sent
+       from (select conv_id, coalesce(any_value(text) filter (turn = 0), '') as asked,
+         string_agg('📎 **Documento adjunto: f' || turn || '.txt**' || chr(10) || '```' || chr(10) || text || chr(10) || '```', chr(10) || chr(10) order by turn) filter (turn between 1 and 3) as block from conversations group by conv_id)"""
+)
+def attachment_blocks(spark, d):
+    """The first message of each conversation with the next three as attachments."""
+    c = table(spark, d, "conversations")
+    files = c.where("turn between 1 and 3").select("conv_id", "turn", F.concat(F.lit("f"), F.col("turn").cast("string"), F.lit(".txt")).alias("filename"), "text")
+    asked = c.select("conv_id").distinct().join(c.where("turn = 0").select("conv_id", F.col("text").alias("content")), "conv_id", "left")
+    return R.attachment_blocks(files, asked, "conv_id", "turn")
 
 
 @query(
@@ -99,16 +144,17 @@ def vector_mean_pool(spark, d):
 
 
 @query(
-    """select doc_id, h from (select doc_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(lang || source, ''), lambda c: unicode(c)::bigint)),
-       lambda h, c: (h * 31 + c) & 4294967295) as h from documents)"""
+    """select doc_id, list_reduce(list_prepend(0::bigint, list_transform(string_split(coalesce(text, ''), ''), lambda c: unicode(c)::bigint)), lambda h, c: case when c < 65536 then (h * 31 + c) & 4294967295
+       else ((h * 31 + ((c - 65536) >> 10) + 55296) * 31 + ((c - 65536) & 1023) + 56320) & 4294967295 end) as h from documents"""
 )
 def text_hash31(spark, d):
-    return table(spark, d, "documents").select("doc_id", V.hash31(F.concat("lang", "source")).alias("h"))
+    return table(spark, d, "documents").select("doc_id", V.hash31(F.coalesce("text", F.lit(""))).alias("h"))
 
 
 @query()
 def fake_embedding(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", V.seeded_vector(F.concat("lang", F.lit(":"), F.col("doc_id").cast("string")), 16).alias("v"))
+    """Vectors of whole passages, as the fake provider makes them; tests compare it with the same rule in Python."""
+    docs = table(spark, d, "documents").select("doc_id", V.seeded_vector(F.coalesce("text", F.lit("")), 384).alias("v"))
     return docs.select("doc_id", F.size("v").alias("dims"), F.round(V.norm(F.col("v")), 6).alias("length"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
 
 

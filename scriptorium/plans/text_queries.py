@@ -256,3 +256,68 @@ def nul_strip(spark, d):
     marked = F.concat(F.lit("\x00"), "text", F.lit("\x00"))
     clean = T.without_nul(marked)
     return table(spark, d, "documents").select("doc_id", F.length(clean).cast("long").alias("n"), F.sha2(clean, 256).alias("digest"))
+
+
+KEYS, SOURCE_KEYS = ("articulo", "num_articulo"), ("fuente", "archivo")
+
+
+@query(
+    """select doc_id, case when doc_id % 3 = 1 then substr('n' || doc_id || coalesce(text, ''), 1, 200) else 'a' || doc_id end as article, length(coalesce(text, '')) > 500 as cut, length(substr(coalesce(text, ''), 1, 500)) as n
+       from documents"""
+)
+def metadata_map(spark, d):
+    """The first usable key of a map of metadata, and its values cut to what a JSON column holds."""
+    text = F.coalesce("text", F.lit(""))
+    first = F.when(F.col("doc_id") % 3 == 0, F.lit(None)).when(F.col("doc_id") % 3 == 1, "").otherwise(F.concat(F.lit("a"), F.col("doc_id").cast("string")))
+    second = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("a"), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("n"), F.col("doc_id").cast("string"), text))
+    meta = F.create_map(F.lit("articulo"), first, F.lit("num_articulo"), second, F.lit("texto"), text)
+    short = T.shortened(meta)["texto"]
+    return table(spark, d, "documents").select("doc_id", T.first_key(meta, KEYS).alias("article"), (F.length(text) > 500).alias("cut"), F.length(short).cast("long").alias("n"))
+
+
+@query(
+    r"""select c_custkey, regexp_matches(v, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-4[0-9a-f]{3}-[89ab][0-9a-f]{3}-[0-9a-f]{12}$') as valid from (select c_custkey, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' ||
+        case when c_custkey % 2 = 0 then '4' else '5' end || substr(h, 14, 3) || '-' || case when c_custkey % 3 = 0 then 'A' else '7' end || substr(h, 18, 3) || '-' || upper(substr(h, 21, 12)) as v from (select *, sha256(c_name) as h from customer))"""
+)
+def uuid_check(spark, d):
+    h = F.sha2("c_name", 256)
+    part = lambda a, n: F.substring(h, a, n)
+    key = F.col("c_custkey")
+    value = F.concat_ws("-", part(1, 8), part(9, 4), F.concat(F.when(key % 2 == 0, "4").otherwise("5"), part(14, 3)), F.concat(F.when(key % 3 == 0, "A").otherwise("7"), part(18, 3)), F.upper(part(21, 12)))
+    return table(spark, d, "customer").select("c_custkey", T.is_uuid4(value).alias("valid"))
+
+
+@query(
+    """select doc_id, json_object('@context', 'https://schema.org', '@type', 'FAQPage', 'mainEntity', [json_object('@type', 'Question', 'name', '¿Qué dice el artículo ' || doc_id || '?', 'acceptedAnswer',
+         json_object('@type', 'Answer', 'text', regexp_replace(substr(x, 1, 320), '^[\\s ]+|[\\s ]+$', '', 'g') || case when length(x) > 320 then '… (continúa — consulte con Maya Lex IA para el análisis completo)' else '' end))]) as data
+       from (select doc_id, coalesce(text, '') as x from documents)"""
+)
+def faq_page(spark, d):
+    question = F.concat(F.lit("¿Qué dice el artículo "), F.col("doc_id").cast("string"), F.lit("?"))
+    return table(spark, d, "documents").select("doc_id", T.faq(question, F.coalesce("text", F.lit(""))).alias("data"))
+
+
+@query(
+    """select c_custkey, case c_custkey % 3 when 0 then '(none)' when 1 then '***' else substr(c_name, 1, 2) || '***@example.com' end as email, case when c_custkey % 2 = 0 then substr(p, 1, 5) || '…' || right(p, 4) else 'no_url' end as project,
+        substr(regexp_replace(regexp_replace('fetch https://x.example/' || c_name || ' failed ' || sha256(c_name), 'https?://\\S+', '[url]', 'g'), '[A-Za-z0-9_-]{25,}', '[tok]', 'g'), 1, 80) as error,
+        'REF-' || upper(to_base(1700000000000 + c_custkey, 36)) || '-' || upper(substr(sha256(c_name), 1, 8)) as reference, '{"p":"pro","u":"' || substr(repeat(c_name, 8), 1, 100) || '"}' as packed
+       from (select *, 'abcdefgh' || c_custkey as p from customer)"""
+)
+def bare_redaction(spark, d):
+    key, name = F.col("c_custkey"), F.col("c_name")
+    email = F.when(key % 3 == 1, name).when(key % 3 == 2, F.concat(name, F.lit("@example.com")))
+    url = F.when(key % 2 == 0, F.concat(F.lit("https://abcdefgh"), key.cast("string"), F.lit(".supabase.co/x"))).otherwise("http://other")
+    error = F.concat(F.lit("fetch https://x.example/"), name, F.lit(" failed "), F.sha2(name, 256))
+    return table(spark, d, "customer").select(
+        "c_custkey", T.bare_email(email).alias("email"), T.project_reference(url).alias("project"), T.bare_error(error).alias("error"), T.reference_id(key + 1_700_000_000_000, name).alias("reference"), T.packed_id(F.lit("pro"), F.repeat(name, 8)).alias("packed")
+    )
+
+
+@query(
+    """select conv_id, turn, case when asked in ('large-1', 'large-2') then asked when route = 'C' or mode in ('analisis', 'analisis_penal', 'documento', 'escritos_penales') then 'large-1' else 'small-1' end as model
+       from (select *, case conv_id % 3 when 0 then 'C' else 'A' end as route, case turn % 4 when 1 then 'large-2' when 2 then 'evil' end as asked from questions)""",
+    "questions",
+)
+def model_override(spark, d):
+    route, asked = F.expr("case conv_id % 3 when 0 then 'C' else 'A' end"), F.expr("case turn % 4 when 1 then 'large-2' when 2 then 'evil' end")
+    return view(spark, d, "questions").select("conv_id", "turn", T.model_for(route, F.col("mode"), asked, ("large-1", "large-2"), "large-1", "small-1").alias("model"))

@@ -22,15 +22,19 @@ def usage_daily_stats(spark, d):
 
 
 @query(
-    f"""select event_id, day, nth, nth <= lim as allowed, greatest(lim - nth, 0) as remaining from (
-        select event_id, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as nth, {LIMIT} as lim from (select *, {TIER} as tier from events))"""
+    f"""select event_id, day, nth, tier = 'admin' or nth <= lim as allowed, case when tier = 'admin' then 9999 else greatest(lim - nth, 0) end as remaining from (
+        select event_id, tier, cast(ts as date) as day, row_number() over (partition by user_id, cast(ts as date) order by ts, event_id) as nth, {LIMIT} as lim from (select *, {TIER} as tier from events))"""
 )
 def usage_quota_replay(spark, d):
     events = table(spark, d, "events").withColumn("tier", F.expr(TIER))
     return U.quota_replay(events, "user_id", "ts", "tier", ["ts", "event_id"]).select("event_id", "day", "nth", "allowed", "remaining")
 
 
-@query(f"select user_identifier, query_date, tier, greatest({LIMIT} - query_count, 0) as remaining, query_count < {LIMIT} as allowed from usage", "usage")
+@query(
+    f"""select user_identifier, query_date, tier, query_count as used, {LIMIT} as "limit", cast(query_date + interval 1 day as date) as resets_on,
+        case when tier = 'admin' then 9999 else greatest({LIMIT} - query_count, 0) end as remaining, tier = 'admin' or query_count < {LIMIT} as allowed from usage""",
+    "usage",
+)
 def usage_status(spark, d):
     return U.usage_status(view(spark, d, "usage")).drop("query_count")
 

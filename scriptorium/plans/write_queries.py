@@ -81,21 +81,79 @@ def retry_attempts(spark, d):
 
 
 @query(
-    """select id, value, place from (select user_id as id, arg_max(event_id, event_id) as value, row_number() over (order by min(event_id) desc) as place from events where event_type <> 'error' group by user_id) where place <= 20"""
+    """select id, value, place from (select user_id as id, arg_max(event_id, event_id) as value, row_number() over (order by min(event_id) desc) as place from events where event_type <> 'error' group by user_id) where place <= 200"""
 )
 def alerts_merge(spark, d):
     e = table(spark, d, "events").where("event_type <> 'error'")
-    return AL.merged(e, "user_id", "event_id", 20).select(F.col("user_id").alias("id"), F.col("event_id").alias("value"), "place")
+    return AL.merged(e, "user_id", "event_id").select(F.col("user_id").alias("id"), F.col("event_id").alias("value"), "place")
 
 
-@query("select event_id, case event_type when 'view' then 25 when 'click' then 50 when 'purchase' then 100 else 0 end as progress, event_type = 'error' as is_finding from events")
+MESSAGE = "case event_type when 'view' then 'Ollama starts' when 'click' then 'MiniMax then Tavily' when 'purchase' then 'Claude answers' when 'signup' then 'Tavily searches' else 'no stage' end"
+EVENT_TYPE = "case when event_id % 5 = 0 then 'FINDING_DISCOVERED' when event_id % 7 = 0 then 'RESOLUTION_RECOMMENDED' end"
+SHARE = f"""case when contains({MESSAGE}, 'MiniMax') then 40 when contains({MESSAGE}, 'Tavily') then 60 when contains({MESSAGE}, 'Claude') then 100 when contains({MESSAGE}, 'Ollama') then 20 end"""
+
+
+def alerts(spark, d):
+    rows = table(spark, d, "events").select("event_id", "user_id", F.expr(MESSAGE).alias("message"), F.expr(EVENT_TYPE).alias("type"))
+    return rows.withColumn("metadata", F.when(F.col("type").isNotNull(), F.create_map(F.lit("eventType"), "type")))
+
+
+@query(f"select event_id, {SHARE} as progress, coalesce({EVENT_TYPE} = 'FINDING_DISCOVERED', false) as is_finding, coalesce({EVENT_TYPE} = 'RESOLUTION_RECOMMENDED', false) as is_resolution from events")
 def alert_progress(spark, d):
-    return AL.progress(table(spark, d, "events")).select("event_id", "progress", "is_finding")
+    return AL.progress(alerts(spark, d)).select("event_id", "progress", "is_finding", "is_resolution")
+
+
+@query(
+    f"""select user_id, coalesce(arg_min(share, event_id) filter (share is not null), 20) as progress, count(*) filter (kind = 'FINDING_DISCOVERED') as findings, count(*) filter (kind = 'RESOLUTION_RECOMMENDED') as resolutions
+        from (select user_id, event_id, {SHARE} as share, {EVENT_TYPE} as kind from events) group by user_id"""
+)
+def alert_console(spark, d):
+    return AL.console(alerts(spark, d), "user_id", "event_id")
 
 
-@query("select conv_id, string_agg(text, '' order by turn) as answer, count(*) as n_chunks from conversations group by conv_id")
+@query("select conv_id, string_agg(text, '' order by turn) as answer, '{\"turn\":' || max(turn) || '}' as usage, count(*) as n_chunks from conversations group by conv_id")
 def sse_parse(spark, d):
     """Token streams: each turn arrives as a data line; the deltas of a stream are joined in order, and malformed lines are left out."""
-    delta = F.to_json(F.struct(F.col("text").alias("delta")))
+    delta = F.to_json(F.struct(F.col("text").alias("delta"), F.struct("turn").alias("usage")))
     lines = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n: comment\ndata: {broken\n")).alias("chunk"))
     return AL.joined_deltas(lines, "conv_id", "seq", "chunk").withColumnRenamed("text", "answer")
+
+
+FEEDBACK = """(select event_id, case when event_id % 4 = 0 then 'no id' else '12345678-9abc-4def-89ab-0123456789ab' end as consulta_id, case event_id % 3 when 0 then 'true' when 1 then 'false' end as util, repeat('  ' || event_type, 90) as comentario from events)"""
+
+
+@query(
+    f"""select event_id, case when consulta_id = 'no id' then 'bad_id' when util is null then 'bad_flag' end as reason, case when consulta_id <> 'no id' and util is not null then util = 'true' end as util,
+        case when consulta_id <> 'no id' and util is not null then substr(trim(comentario), 1, 500) end as comentario from {FEEDBACK}"""
+)
+def feedback_insert(spark, d):
+    """Feedback that is inserted, and what is refused with its reason."""
+    rows = spark.sql("select * from " + FEEDBACK.replace("from events", "from {events}"), events=table(spark, d, "events"))
+    taken, refused = W.feedback(rows)
+    none = refused.select("event_id", "reason", F.lit(None).cast("boolean").alias("util"), F.lit(None).cast("string").alias("comentario"))
+    return taken.select("event_id", F.lit(None).cast("string").alias("reason"), "util", "comentario").union(none)
+
+
+@query(
+    """select order_id, organization_id, coalesce(tier, 'pro') as tier, 0 as amount, 'HNL' as currency, 'approved' as status
+       from (select case when event_id % 5 > 0 then 'o' || event_id end as order_id, case when event_id % 7 > 0 then 'org' || user_id end as organization_id, case event_id % 3 when 0 then 'pro' when 1 then 'academico' end as tier,
+         case when event_type = 'purchase' then 'approved' else 'pending' end as state from events) where state = 'approved' and order_id is not null and organization_id is not null"""
+)
+def approved_orders(spark, d):
+    e = table(spark, d, "events")
+    rows = e.select(
+        F.expr("case when event_id % 5 > 0 then concat('o', event_id) end").alias("order_id"), F.expr("case when event_id % 7 > 0 then concat('org', user_id) end").alias("organization_id"),
+        F.expr("case event_id % 3 when 0 then 'pro' when 1 then 'academico' end").alias("tier"), F.when(F.col("event_type") == "purchase", "approved").otherwise("pending").alias("status"),
+    )
+    return W.approved_orders(rows)[1]
+
+
+@query(
+    """select c_custkey, array_to_string(list_filter([case when years is null or years < 0 or years > 40 then 'penalty' end, case when offence not in ('Robo', 'Hurto', 'Otro') then 'offence' end, case when fixed is null then 'home' end], lambda x: x is not null), ',') as errors
+       from (select c_custkey, case when c_custkey % 5 > 0 then c_custkey % 60 - 5 end as years, case c_custkey % 3 when 0 then 'Robo' when 1 then 'Hurto' else 'Nada' end as offence, case when c_custkey % 4 > 0 then true end as fixed from customer)"""
+)
+def input_validation(spark, d):
+    """Forms of a calculator: ranges, kinds and fields that must be there."""
+    rows = table(spark, d, "customer").select("c_custkey", F.expr("case when c_custkey % 5 > 0 then c_custkey % 60 - 5 end").alias("years"), F.expr("case c_custkey % 3 when 0 then 'Robo' when 1 then 'Hurto' else 'Nada' end").alias("offence"), F.expr("case when c_custkey % 4 > 0 then true end").alias("fixed"))
+    found = W.validated(rows, penalty=F.col("years").between(0, 40), offence=F.col("offence").isin("Robo", "Hurto", "Otro"), home=F.col("fixed").isNotNull())
+    return found.select("c_custkey", F.array_join("errors", ",").alias("errors"))

@@ -23,7 +23,9 @@ VIEWS = {
     "canonical": (
         "select concat('SUB-', c_custkey) as sub_id, case when c_acctbal > 0 then 'ACTIVE' else 'SUSPENDED' end as status,"
         " case when c_custkey % 11 = 0 then 'other' when c_custkey % 2 = 0 then 'pro' else 'academico' end as plan_tier,"
-        " case when c_custkey % 13 = 0 then 'user:0' else concat('user:', c_custkey) end as custom_uid"
+        " case when c_custkey % 13 = 0 then 'user:0' else concat('user:', c_custkey) end as custom_uid,"
+        " case when c_custkey % 19 = 0 then 404 when c_custkey % 23 = 0 then 500 when c_custkey % 29 <> 0 then 200 end as http,"
+        " case when c_custkey % 17 = 0 then 'SUB-x' else concat('SUB-', c_custkey) end as answered_id"
         " from customer where c_mktsegment <> 'MACHINERY'"
     ),
     "corpus": (
@@ -52,14 +54,16 @@ VIEWS = {
         "select event_id, ts, concat('user:', user_id) as user_identifier,"
         " concat('SUB-', user_id, '-', cast(regexp_extract(props, '([0-9]+)', 1) as int) % 3) as sub_id,"
         " case when cast(regexp_extract(props, '([0-9]+)', 1) as int) % 2 = 0 then 'pro' else 'academico' end as tier,"
-        " case event_type when 'signup' then 'CREATED' when 'purchase' then 'ACTIVATED' when 'view' then 'SALE_COMPLETED'"
-        " when 'error' then 'PAYMENT_FAILED' else 'CANCELLED' end as kind,"
+        " case event_type when 'signup' then 'BILLING.SUBSCRIPTION.CREATED' when 'purchase' then 'BILLING.SUBSCRIPTION.ACTIVATED'"
+        " when 'view' then case when event_id % 4 = 0 then 'INVOICE.PAYMENT_SUCCEEDED' else 'PAYMENT.SALE.COMPLETED' end"
+        " when 'error' then case when event_id % 3 = 0 then 'PAYMENT.SALE.DENIED' else 'BILLING.SUBSCRIPTION.PAYMENT.FAILED' end"
+        " else case event_id % 5 when 0 then 'BILLING.SUBSCRIPTION.EXPIRED' when 1 then 'BILLING.SUBSCRIPTION.SUSPENDED' when 2 then 'CUSTOMER.DISPUTE.CREATED' else 'BILLING.SUBSCRIPTION.CANCELLED' end end as kind,"
         " case event_type when 'signup' then false when 'view' then cast(regexp_extract(props, '([0-9]+)', 1) as int) % 5 <> 0"
         " else event_type = 'purchase' end as grants from events"
     ),
     "attempts": (
         "select event_id, concat('V', event_id % 6) as estado_origen, concat('V', (event_id + user_id) % 6) as estado_destino,"
-        " case when event_id % 3 = 0 then 'abogado_revisor_senior' else 'pipeline_automatico' end as rol from events"
+        " case event_id % 3 when 0 then 'abogado_revisor_senior' when 1 then 'propietario_despacho' else 'pipeline_automatico' end as rol from events"
     ),
     "templates": "select vec_id, concat('tipo', label % 4) as tipo_instrumento, vec_id % 3 <> 0 as verificado_sin_pii, embedding from embeddings",
     # Questions put to the corpus: a lead that names articles, codes or matters, then a passage.
@@ -85,12 +89,21 @@ VIEWS = {
         " chr(10), 'Pagina 3 de 9', chr(10), 'Articulo ', doc_id % 9 + 2, ': ', replace(substr(text, half + 1), chr(10), ' '), chr(10), '  ', 'ARTICULO ', doc_id % 9 + 9, ' fin', chr(10)) as text"
         " from (select doc_id, source, coalesce(text, '') as text, cast(floor(length(coalesce(text, '')) / 2) as int) as half from documents)"
     ),
-    # One package of articles for each source, with defects in chosen ones.
+    # One package for each document: three articles around its text, with the defect of one rule in chosen ones.
     "packages": (
-        "select source as norm_id, case when source = 'src1' then '' else 'Congreso' end as autoridad, case when source = 'src2' then null else 'Decreto 9' end as decreto,"
-        " case when source = 'src3' then 'por confirmar' else '2020-05-10' end as publicacion, case when source = 'src4' then '02_CIVIL' else '01_PENAL' end as materia,"
-        " case when source = 'src5' then 'desconocido' else 'vigente' end as estado, case when source = 'src6' then '' else 'revisor' end as responsable,"
-        " case when source = 'src7' then null else 'approver' end as approved_by, min(doc_id) as first_doc, count(*) as n_docs from documents group by source"
+        "select concat('norm', doc_id) as norm_id, doc_id as first_doc, texto, 'https://example.org' as url, case when doc_id % 23 = 6 then '' else 'Congreso' end as autoridad,"
+        " case when doc_id % 23 = 10 then null else 'Decreto 9' end as decreto, '2020-05-10' as publicacion, '01_PENAL' as materia,"
+        " case when doc_id % 23 = 7 then 'desconocido' else 'vigente' end as estado, case when doc_id % 23 = 8 then '  ' else 'revisor' end as responsable,"
+        " case when doc_id % 23 = 9 then 'wrong' else {sha} end as checksum, case when doc_id % 23 = 11 then null else 'approver' end as approved_by"
+        " from (select doc_id, case when doc_id % 23 = 0 then '   ' when doc_id % 23 = 1 then concat('Preambulo ', body) else concat('Preambulo', chr(10), 'ARTICULO 1.- ', body, chr(10), case when doc_id % 23 = 2 then 'ARTICULO 1.- ' else 'Articulo 2: ' end,"
+        " case doc_id % 23 when 3 then 'DNI: 1234567890123' when 4 then 'demanda de [Cliente_Anonimo] y otros' else 'texto' end, chr(10), 'ARTICULO 3.- ', case when doc_id % 23 = 5 then 'Derogado.' else 'Vigencia.' end) end as texto"
+        " from (select doc_id, replace(coalesce(text, ''), chr(10), ' ') as body from documents))"
+    ),
+    # Whole codes: citations before and between the headings, epigraphs, a short body and a gap in the numbers.
+    "codes": (
+        "select doc_id, concat('Decreto', chr(10), 'Artículo 4.- citado antes', chr(10), 'Artículo 1.- DE LAS PENAS. ', substr(body, 1, half), chr(10), ' Artículo 9. – de otra ley', chr(10), 'Artículo 2. ', substr(body, half + 1),"
+        " chr(10), 'Articulo 3.-', 'corto', chr(10), 'Artículo ', doc_id % 3 + 5, '.-  DISPOSICIONES FINALES, I/II. ', 'Esta ley entra en   vigor', chr(10), ' el dia de su publicacion.') as text"
+        " from (select doc_id, replace(coalesce(text, ''), chr(10), ' ') as body, cast(floor(length(coalesce(text, '')) / 2) as int) as half from documents)"
     ),
 }
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -106,10 +119,11 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for base in TABLES:
         sql = re.sub(rf"\b(from|join) {base}\b", rf"\1 {{{base}}}", sql)
     used = {base: table(spark, sf_dir, base) for base in TABLES if f"{{{base}}}" in sql}
+    sql = sql.replace("{sha}", "sha2(texto, 256)")
     return spark.sql(sql, **used)
 
 
 def with_views(names: str, sql: str) -> str:
     """sql for DuckDB, with the named views in front of it."""
-    parts = ", ".join(f"{n} as ({VIEWS[n]})" for n in names.split())
+    parts = ", ".join(f"{n} as ({VIEWS[n]})" for n in names.split()).replace("{sha}", "sha256(texto)")
     return f"with recursive {parts} {sql}" if parts else sql

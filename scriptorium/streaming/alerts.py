@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 KEEP = 200
 ALERT = "id string, kind string, message string, timestamp string, metadata map<string,string>"
 KINDS = ("info", "warning", "critical")
-PROGRESS = {"view": 25, "click": 50, "purchase": 100}
+# The words of a message that name a stage, in the order in which they are looked for, with its share of the whole.
+STAGES = (("MiniMax", 40), ("Tavily", 60), ("Claude", 100), ("Ollama", 20))
+START = 20
+FINDING, RESOLUTION = "FINDING_DISCOVERED", "RESOLUTION_RECOMMENDED"
 
 
 def merged(alerts: DataFrame, key: str, seq: str, keep: int = KEEP) -> DataFrame:
@@ -32,20 +35,29 @@ def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     return held.select(F.when(plain, wrapped).otherwise(F.col("_a")).alias("a")).select("a.*").where(F.col("id").isNotNull() & F.col("kind").isin(*KINDS) & F.col("message").isNotNull())
 
 
-def progress(alerts: DataFrame, kind: str = "event_type") -> DataFrame:
-    share = F.coalesce(*[F.when(F.col(kind) == k, F.lit(v)) for k, v in PROGRESS.items()], F.lit(0))
-    return alerts.withColumns({"progress": share, "is_finding": F.col(kind) == "error"})
+def progress(alerts: DataFrame, message: str = "message", metadata: str = "metadata", stages: tuple[tuple[str, int], ...] = STAGES, start: int = START) -> DataFrame:
+    """alerts with progress (the share of the first stage word in the message, else null), is_finding and is_resolution."""
+    share = F.coalesce(*[F.when(F.contains(F.col(message), F.lit(word)), F.lit(v)) for word, v in stages])
+    kind = F.coalesce(F.col(metadata)["eventType"], F.lit(""))
+    return alerts.withColumns({"progress": share, "is_finding": kind == FINDING, "is_resolution": kind == RESOLUTION})
+
+
+def console(alerts: DataFrame, key: str, order: str, start: int = START, **columns) -> DataFrame:
+    """For each key: the progress of its first alert (by order) that names a stage, start without one, and its findings and resolutions."""
+    marked = progress(alerts, start=start, **columns)
+    first = F.min_by("progress", F.when(F.col("progress").isNotNull(), F.col(order)))
+    return marked.groupBy(key).agg(F.coalesce(first, F.lit(start)).alias("progress"), F.count_if("is_finding").alias("findings"), F.count_if("is_resolution").alias("resolutions"))
 
 
 def joined_deltas(chunks: DataFrame, key: str, seq: str, chunk: str, done: str = "[DONE]") -> DataFrame:
     """The text of each token stream: chunks joined in order, split into lines, and the deltas of its data lines joined.
 
     Partial lines are completed by the next chunk; lines after done and malformed JSON are left out. A stream is one answer, so its
-    chunks fit a row.
+    chunks fit a row. usage is the last one that a data line reports, as JSON.
     """
     ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(chunk).alias("c"))))
     whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("all"), F.count("*").alias("n_chunks"))
     before_done = F.substring_index("all", "data: " + done, 1)
     lines = F.filter(F.split(before_done, "\n"), lambda x: x.startswith("data: "))
-    deltas = F.transform(lines, lambda x: F.get_json_object(F.substring(x, 7, 1_000_000), "$.delta"))
-    return whole.select(key, F.array_join(F.array_compact(deltas), "").alias("text"), "n_chunks")
+    field = lambda path: F.array_compact(F.transform(lines, lambda x: F.get_json_object(F.substr(x, F.lit(7)), path)))
+    return whole.select(key, F.array_join(field("$.delta"), "").alias("text"), F.get(F.reverse(field("$.usage")), F.lit(0)).alias("usage"), "n_chunks")

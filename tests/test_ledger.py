@@ -19,7 +19,7 @@ def audit(spark, *rows):
     return L.folded(events(spark, *rows)).orderBy("event_id").collect()
 
 
-CREATED, ACTIVATED, CANCELLED, FAILED = ("CREATED", "A", "pro", False), ("ACTIVATED", "A", "pro", True), ("CANCELLED", "A", "pro", False), ("PAYMENT_FAILED", "A", "pro", False)
+CREATED, ACTIVATED, CANCELLED, FAILED = ("BILLING.SUBSCRIPTION.CREATED", "A", "pro", False), ("BILLING.SUBSCRIPTION.ACTIVATED", "A", "pro", True), ("BILLING.SUBSCRIPTION.CANCELLED", "A", "pro", False), ("BILLING.SUBSCRIPTION.PAYMENT.FAILED", "A", "pro", False)
 
 
 @pytest.mark.parametrize(
@@ -28,13 +28,13 @@ CREATED, ACTIVATED, CANCELLED, FAILED = ("CREATED", "A", "pro", False), ("ACTIVA
         ([CREATED], ["created"], "trialing"),
         ([CREATED, CREATED], ["created", "updated"], "trialing"),
         ([CREATED, ACTIVATED, CREATED], ["created", "updated", "ignored_no_downgrade"], "active"),
-        ([ACTIVATED, ("ACTIVATED", "B", "academico", True)], ["created", "duplicate_active_subscription"], "active"),
+        ([ACTIVATED, ("BILLING.SUBSCRIPTION.ACTIVATED", "B", "academico", True)], ["created", "duplicate_active_subscription"], "active"),
         ([ACTIVATED, CANCELLED], ["created", "downgraded"], "cancelled"),
         ([CANCELLED], ["no_matching_subscription"], None),
         ([ACTIVATED, FAILED], ["created", "past_due"], "past_due"),
-        ([ACTIVATED, CANCELLED, ("ACTIVATED", "B", "pro", True)], ["created", "downgraded", "reactivated_new_subscription"], "active"),
-        ([CREATED, ("CREATED", "B", "pro", False)], ["created", "new_attempt_registered"], "trialing"),
-        ([ACTIVATED, CANCELLED, ("SALE_COMPLETED", "B", "pro", False)], ["created", "downgraded", "stale_event_ignored"], "cancelled"),
+        ([ACTIVATED, CANCELLED, ("BILLING.SUBSCRIPTION.ACTIVATED", "B", "pro", True)], ["created", "downgraded", "reactivated_new_subscription"], "active"),
+        ([CREATED, ("BILLING.SUBSCRIPTION.CREATED", "B", "pro", False)], ["created", "new_attempt_registered"], "trialing"),
+        ([ACTIVATED, CANCELLED, ("PAYMENT.SALE.COMPLETED", "B", "pro", False)], ["created", "downgraded", "stale_event_ignored"], "cancelled"),
     ],
 )
 def test_decisions(spark, rows, reasons, status):
@@ -44,7 +44,7 @@ def test_decisions(spark, rows, reasons, status):
 
 
 def test_unknown_tier_writes_nothing(spark):
-    assert audit(spark, ("CREATED", "A", "gold", False)) == []
+    assert audit(spark, ("BILLING.SUBSCRIPTION.CREATED", "A", "gold", False)) == []
 
 
 def test_downgrade_frees_usage(spark):
@@ -94,7 +94,7 @@ def test_hot_keys_fold_without_arrays(spark):
         if wanted.setdefault(i, u not in last or i * 700 - last[u] >= 3000):
             last[u] = i * 700
     assert {r["e"]: r["accepted"] for r in found.collect()} == wanted
-    kinds = F.expr("case when id % 5 = 0 then 'CREATED' when id % 5 > 2 then 'CANCELLED' else 'ACTIVATED' end")
+    kinds = F.expr("case when id % 5 = 0 then 'BILLING.SUBSCRIPTION.CREATED' when id % 5 > 2 then 'BILLING.SUBSCRIPTION.CANCELLED' else 'BILLING.SUBSCRIPTION.ACTIVATED' end")
     rows = spark.range(n).select(
         F.col("id").alias("event_id"), F.timestamp_millis("id").alias("ts"), F.lit("hot").alias("user_identifier"), F.expr("concat('S', id div 5)").alias("sub_id"), F.lit("pro").alias("tier"), kinds.alias("kind"), F.lit(False).alias("grants")
     )
