@@ -13,8 +13,10 @@ Distance here is Jaccard distance, and RADIUS the largest distance of a link.
    (all within reach of each other), members outside all balls meet all members in blocks, a pair of blocks to a task.
 4. Documents that resemble no other are at distance near 1 from all pivots, so the outer cell holds most of them and new pivots would
    not divide it. Inside it, signatures tell apart what is compared: sizes are cut into bands, a band's hash space into more classes
-   than linked sets can have differing elements, and sets that have a class's elements in common form a region. Regions are joined
-   like cells, around the member of least name; regions of one pivot are one region.
+   than linked sets can have differing elements, and sets that have a class's elements in common form a region. A sketch, one byte for
+   each of about twice as many classes, then tells which members could link to another of their region, as each differing element
+   changes one class; the rest leave before any text moves. Regions are joined like cells, around the member of least name; regions of
+   one band and pivot are one region.
 
 Inside a task, a set meets those that have one of its rarest shingles: so many that a linked set cannot lack them all. Texts are
 shuffled rather than shingles, as they are smaller. Links go on as spanning trees, so equal or near copies never make pairs. Sets and
@@ -41,6 +43,8 @@ PERCENT = 90
 #: Shingles of a region, with repetition, that one task takes.
 WEIGHT = 3_000_000
 PIVOTS, DEPTH = 8, 3
+#: More than a set's size can have bands; a power of two.
+BANDS = 128
 #: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
 ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 20
 #: A set farther from all pivots lies in the outer cell.
@@ -85,7 +89,7 @@ def classes(band: int, percent: int) -> tuple[int, np.ndarray]:
 
 
 def fragments(own: np.ndarray, percent: int) -> np.ndarray:
-    """Names of the regions of a set, as signed 64-bit numbers.
+    """Names of the regions of a set, as signed 64-bit numbers that end in the number of their band.
 
     Linked sets agree in slack + 1 classes or more. A set with at most slack empty classes therefore agrees with each of its links
     in a class that is not empty, and leaves the empty ones out; so no region gathers the sets that lack a class.
@@ -100,7 +104,7 @@ def fragments(own: np.ndarray, percent: int) -> np.ndarray:
         empty = last == first
         sums = upto[last] - upto[first]
         number = np.arange(len(begins), dtype=np.uint64) + U(band << 32)
-        named = shingles.mix(sums ^ shingles.mix(number * U(0x9E3779B97F4A7C15) + U(1)))
+        named = shingles.mix(sums ^ shingles.mix(number * U(0x9E3779B97F4A7C15) + U(1))) & ~U(BANDS - 1) | U(band)
         out.append(named if empty.sum() > slack else named[~empty])
     return np.concatenate(out).view(np.int64)
 
@@ -159,31 +163,54 @@ def first_pivots(held: DataFrame, width: int) -> list[np.ndarray]:
     return out
 
 
+@lru_cache(maxsize=256)
+def sketch_classes(band: int, percent: int) -> np.ndarray:
+    differing = next(d for k, (_, _, _, d) in enumerate(bands(percent)) if k == band)
+    return np.array([(j << 64) // (2 * differing + 1) for j in range(2 * differing + 1)], dtype=np.uint64)
+
+
+def sketches(own: np.ndarray, percent: int) -> list[tuple[int, bytes]]:
+    """(band, sketch) of a set for each of its bands: a byte for each class, which depends on the set's elements in the class alone."""
+    at, lowest = band_of(len(own), percent)
+    upto = np.concatenate([[U(0)], np.cumsum(shingles.mix(own ^ U(0x3C79AC492BA7B653)))])
+    out = []
+    for band in range(lowest, at + 1):
+        first = np.searchsorted(own, sketch_classes(band, percent))
+        sums = upto[np.append(first[1:], len(own))] - upto[first]
+        out.append((band, shingles.mix(sums).astype(np.uint8).tobytes()))
+    return out
+
+
 def describe(df: DataFrame, width: int, percent: int, pivots: list[np.ndarray], reach: float = REACH) -> DataFrame:
-    """id, k (hash of id and text), n, node (name of the set), cells and regions (of the outer cell) for each row of id, k, text."""
+    """id, k (hash of id and text), n, node (name of the set), cells, regions of the outer cell and sketches for each row of id, k, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voronoi = Cells(pivots, percent, reach)
         none = np.zeros(0, dtype=np.int64)
         for batch in batches:
             texts = batch.column(2).cast(pa.binary())
-            n, node, cells, regions = [], [], [], []
+            n, node, cells, regions, own_sketches = [], [], [], [], []
             for own in shingles.sets((t.as_py() for t in texts), width):
                 n.append(len(own))
                 node.append(shingles.fingerprint(own) if len(own) else None)
                 inside, outer = voronoi.place(own) if len(own) else ([], False)
                 cells.append(inside)
                 regions.append(fragments(own, percent) if outer else none)
-            lists = []
-            for parts, kinds in (([[c[i] for some in cells for c in some] for i in range(3)], (pa.int64(), pa.float64(), pa.bool_())), ([np.concatenate([none, *regions])], (pa.int64(),))):
-                ends = pa.array(np.concatenate([[0], np.cumsum([len(r) for r in (cells if len(kinds) > 1 else regions)])]).astype(np.int32))
-                flat = [pa.array(p, k) for p, k in zip(parts, kinds, strict=True)]
-                lists.append(pa.ListArray.from_arrays(ends, flat[0] if len(flat) == 1 else pa.StructArray.from_arrays(flat, names=["cell", "far", "ball"])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *lists], names=["id", "k", "n", "node", "cells", "regions"])
+                own_sketches.append(sketches(own, percent) if outer else [])
+
+            def lists(held: list, flat: pa.Array) -> pa.Array:
+                return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in held])]).astype(np.int32)), flat)
+
+            def structs(held: list, **kinds: pa.DataType) -> pa.Array:
+                flat = [pa.array([x[i] for some in held for x in some], kind) for i, kind in enumerate(kinds.values())]
+                return lists(held, pa.StructArray.from_arrays(flat, names=list(kinds)))
+
+            columns = [structs(cells, cell=pa.int64(), far=pa.float64(), ball=pa.bool_()), lists(regions, pa.array(np.concatenate([none, *regions]))), structs(own_sketches, band=pa.int32(), sketch=pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *columns], names=["id", "k", "n", "node", "cells", "regions", "sketches"])
         give_back()
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "k", "text").mapInArrow(run, f"id {kind}, k long, n long, node long, cells array<struct<cell: long, far: double, ball: boolean>>, regions array<long>")
+    return df.select("id", "k", "text").mapInArrow(run, f"id {kind}, k long, n long, node long, cells array<struct<cell: long, far: double, ball: boolean>>, regions array<long>, sketches array<struct<band: int, sketch: binary>>")
 
 
 class Region:
@@ -377,16 +404,16 @@ def join_split(regions: DataFrame, large: DataFrame, width: int, percent: int, w
 
 
 def cell_members(named: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Members (region, node) of the inner cells that have to be joined, and links (a, b) of members to their pivots."""
+    """Members (region, band, node) of the inner cells, which have no band, that have to be joined, and links (a, b) of members to their pivots."""
     inside = stage(named.select("node", F.explode("cells").alias("c")).select("node", "c.*").distinct())
     outside = inside.groupBy("cell").agg(F.min(F.when(~F.col("ball"), F.col("far"))).alias("outside"))
     near = inside.join(F.broadcast(outside), "cell")  # one row for each of at most CELLS pivots
     needed = near.where(~F.col("ball") | (F.col("far") >= F.col("outside") - (1 - percent / 100) - 1e-9))
-    return needed.select(F.xxhash64("cell", F.lit("cell")).alias("region"), "node"), inside.where("ball and node != cell").select(F.col("node").alias("a"), F.col("cell").alias("b"))
+    return needed.select(F.xxhash64("cell", F.lit("cell")).alias("region"), F.lit(None).cast("int").alias("band"), "node"), inside.where("ball and node != cell").select(F.col("node").alias("a"), F.col("cell").alias("b"))
 
 
 def region_members(named: DataFrame) -> DataFrame:
-    """Members (region, node) of the outer cell's regions that have more than one.
+    """Members (region, band, node) of the outer cell's regions that have more than one.
 
     Signatures are counted first, copies and all; a bitmap of those that occur again lets the few others' rows through.
     """
@@ -394,7 +421,31 @@ def region_members(named: DataFrame) -> DataFrame:
     again = held.groupBy("fragment").agg(F.count("*").alias("rows")).where("rows > 1").select("fragment")
     some = stage(maybe_among(held, "fragment", again).where("maybe").select("fragment", "node").distinct())
     pivots = some.groupBy("fragment").agg(F.min("node").alias("region"), F.max("node").alias("most")).where("region < most").select("fragment", "region")
-    return some.join(pivots, "fragment").select("region", "node").distinct()
+    band = F.pmod("fragment", F.lit(BANDS)).cast("int")
+    return some.join(pivots, "fragment").select(F.xxhash64("region", band).alias("region"), band.alias("band"), "node").distinct()
+
+
+def with_partners(located: DataFrame, percent: int) -> DataFrame:
+    """The members (region, node, k, n, sketch) that could link to another one of their region, by their sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (region,), rows in grouped(batches):
+            sizes = np.array([r[2] for r in rows], dtype=np.int64)
+            own = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).reshape(len(rows), -1)
+            stays = np.zeros(len(rows), dtype=bool)
+            for i in range(len(rows) - 1):
+                # Rows come by size, so those that are small enough to link follow directly.
+                end = i + 1 + np.searchsorted(sizes[i + 1 :], sizes[i] * 100 // percent, side="right")
+                differing = (sizes[i] + sizes[i + 1 : end]) * (100 - percent) // (100 + percent)
+                near = (own[i + 1 : end] != own[i]).sum(axis=1) <= differing
+                stays[i] |= near.any()
+                stays[i + 1 : end] |= near
+            kept = [r for r, s in zip(rows, stays.tolist(), strict=True) if s]
+            yield pa.RecordBatch.from_arrays([pa.array([region] * len(kept), pa.int64()), *[pa.array([r[i] for r in kept], pa.int64()) for i in range(3)]], names=["region", "node", "k", "n"])
+        give_back()
+
+    dealt = located.repartition(partitions(located.sparkSession), "region").sortWithinPartitions("region", "n", "node")
+    return dealt.select("region", "node", "k", "n", "sketch").mapInArrow(run, "region long, node long, k long, n long")
 
 
 def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent: int, weight: int) -> tuple[DataFrame, DataFrame]:
@@ -408,8 +459,10 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
     members = stage(in_cells.union(region_members(named)))
 
     # One row stands for each set; its text follows only where regions are joined.
-    standing = maybe_among(named.select("node", "k", "n"), "node", members.select("node")).where("maybe").groupBy("node").agg(F.min(F.struct("k", "n")).alias("one"))
-    located = stage(members.join(standing.select("node", "one.k", "one.n"), "node"))
+    standing = maybe_among(named.select("node", "k", "n", "sketches"), "node", members.select("node")).where("maybe").groupBy("node").agg(F.min(F.struct("k", "n", "sketches")).alias("one"))
+    sketch = F.get(F.filter("one.sketches", lambda s: s["band"] == F.col("band")), F.lit(0))["sketch"]
+    sketched = members.join(standing, "node").select("region", "node", "one.k", "one.n", sketch.alias("sketch"))
+    located = stage(with_partners(sketched.where("sketch is not null"), percent).union(sketched.where("sketch is null").select("region", "node", "k", "n")))
     large = stage(located.groupBy("region").agg(F.sum("n").alias("heavy"), F.count("*").alias("members")).where(f"heavy > {weight}"))
 
     def with_text(some: DataFrame) -> DataFrame:
