@@ -47,8 +47,8 @@ PIVOTS, DEPTH = 8, 3
 BANDS = 128
 #: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
 ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 20
-#: A set farther from all pivots lies in the outer cell.
-REACH = 0.7
+#: A set farther from all pivots lies in the outer cell; pivots are farther than APART from each other, so that no group has many.
+REACH, APART = 0.7, 0.5
 #: Below this share of its parent's weight, a subregion counts as smaller.
 SHRINKS = 0.7
 U = np.uint64
@@ -121,17 +121,24 @@ class Cells:
         self.shingles, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
         self.owners = np.repeat(np.arange(len(pivots)), self.sizes)[order]
 
-    def place(self, own: np.ndarray) -> tuple[list[tuple[int, float, bool]], bool]:
-        """The cells of a set as (pivot's node, distance, whether it links), and whether it also lies in the outer cell."""
+    def overlaps(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pivots that share shingles with a set, and how many."""
+        none = np.zeros(0, dtype=np.int64)
         if not len(self.shingles):
-            return [], True
+            return none, none
         at = np.minimum(np.searchsorted(self.shingles, own), len(self.shingles) - 1)
         at = at[self.shingles[at] == own]
         if not len(at):
-            return [], True
+            return none, none
         counts = self.count[at]
         ends = np.cumsum(counts)
-        some, shared = np.unique(self.owners[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - counts), counts)], return_counts=True)
+        return np.unique(self.owners[np.arange(ends[-1]) + np.repeat(self.first[at] - (ends - counts), counts)], return_counts=True)
+
+    def place(self, own: np.ndarray) -> tuple[list[tuple[int, float, bool]], bool]:
+        """The cells of a set as (pivot's node, distance, whether it links), and whether it also lies in the outer cell."""
+        some, shared = self.overlaps(own)
+        if not len(some):
+            return [], True
         union = len(own) + self.sizes[some] - shared
         far = 1 - shared / union
         nearest = far.min()
@@ -141,7 +148,10 @@ class Cells:
 
 
 def first_pivots(held: DataFrame, width: int) -> list[np.ndarray]:
-    """The sets of a sample of texts, by a hash of the text: CELLS of LONGEST bytes and PIVOT_SHINGLES shingles at most."""
+    """The sets of a sample of texts, by a hash of the text, APART from each other.
+
+    There are CELLS at most, of texts of LONGEST bytes at most and PIVOT_SHINGLES shingles together.
+    """
     rows = held.count()
     n = min(CELLS, max(1, rows // ROWS_A_CELL))
     h = F.xxhash64("text", F.lit(1))
@@ -153,14 +163,18 @@ def first_pivots(held: DataFrame, width: int) -> list[np.ndarray]:
             found = [own.view(np.int64) for own in shingles.sets((t.encode() for t in batch.column(0).to_pylist()), width)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["own"])
 
-    out, total, known = [], 0, set()
+    found, total = [], 0
     for r in some.dropDuplicates(["h"]).orderBy("h").limit(n).select("text").mapInArrow(run, "own array<long>").toArrow().column(0):
         own = np.array(r.as_py(), dtype=np.int64).view(np.uint64)
-        if len(own) and total + len(own) <= PIVOT_SHINGLES and (node := shingles.fingerprint(own)) not in known:
-            known.add(node)
+        if len(own) and total + len(own) <= PIVOT_SHINGLES:
             total += len(own)
-            out.append(own)
-    return out
+            found.append(own)
+    index, apart = Cells(found, 0, 0), np.zeros(len(found), dtype=bool)
+    for i, own in enumerate(found):
+        some, shared = index.overlaps(own)
+        near = shared > (1 - APART) * (len(own) + index.sizes[some] - shared)
+        apart[i] = not apart[some[near]].any()
+    return [own for own, a in zip(found, apart.tolist(), strict=True) if a]
 
 
 @lru_cache(maxsize=256)
