@@ -23,7 +23,7 @@ def found(spark, rows, **options):
 def test_equals_brute_force_with_ties(spark):
     r = np.random.default_rng(1)
     rows = [(i, r.integers(-2, 3, 6).astype(float).tolist()) for i in range(400)]
-    assert found(spark, rows, every=20, shard=64, block=8) == brute(rows, 20, 5)
+    assert found(spark, rows, every=20, shard=64) == brute(rows, 20, 5)
 
 
 def test_clustered_vectors_in_many_shards(spark):
@@ -33,6 +33,31 @@ def test_clustered_vectors_in_many_shards(spark):
     assert found(spark, rows, every=50, shard=90) == brute(rows, 50, 5)
 
 
+def test_queries_go_to_the_shards_that_could_hold_better(spark):
+    r = np.random.default_rng(4)
+    centres = 20 * r.normal(size=(8, 6))
+    x = [np.floor(256 * (centres[i % 8] + 0.2 * r.normal(size=6))).tolist() for i in range(1600)]
+    held = spark.createDataFrame([(i, 6, v) for i, v in enumerate(x)], "id long, dims int, x array<double>")
+    points = topk.placed(held, {6: 1600}, shard=200).selectExpr("*", "0 as part")
+    shards = [tuple(b) for b in topk.boxes(points).collect()]
+    assert len(shards) == 8 and points.groupBy("leaf").count().selectExpr("max(count)").first()[0] <= 600
+    asked = held.where("id % 50 = 0").selectExpr("*", "cast(null as long) as floor")
+    assert topk.routed(asked, shards, first=True).count() == 32
+    best = topk.search(points, topk.routed(asked, shards, first=True), 5)
+    floors = best.groupBy("query_id").agg({"score": "min"}).toDF("id", "floor")
+    sent = topk.routed(asked.drop("floor").join(floors, "id"), shards, first=False).count()
+    assert sent < 32 * 2  # of 32 * 7
+    assert topk.routed(asked, shards, first=False).count() == 32 * 7
+
+
+def test_many_queries_of_a_shard_fill_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(topk, "QUERIES", 10)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    r = np.random.default_rng(5)
+    rows = [(i, r.integers(-9, 9, 3).astype(float).tolist()) for i in range(300)] + [(1000 + i, [1.0, 1.0, 1.0]) for i in range(200)]
+    assert found(spark, rows, every=5, shard=40) == brute(rows, 5, 5)
+
+
 def test_odd_rows(spark):
     rows = [(0, [1.0, 2.0]), (50, [0.5, float("nan")]), (100, [1.0, float("inf")]), (150, None), (200, [1.0, None]), (250, []), (300, []), (1, [2.0, 2.0]), (2, [-1.0, 0.0]), (3, [1.0]), (None, [1.0, 1.0])]
     assert found(spark, rows, every=50) == brute(rows, 50, 5)
