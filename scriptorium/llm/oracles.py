@@ -133,7 +133,16 @@ OP10 = r"""
 with recursive l as (select conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from conversations),
 p as (select conv_id, turn, pos, regexp_extract(line, '^(?:[\x20\x09-\x0D]*>)+') as mark, substr(line, len(regexp_extract(line, '^(?:[\x20\x09-\x0D]*>)+')) + 1) as rest from l),
 x as (select *, len(regexp_replace(mark, '[^>]+', '', 'g')) as level, trim(regexp_replace(translate(rest, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g')) as norm from p),
-met as (select q.conv_id, q.turn, q.level, q.pos, max(o.turn) as writer from x q join x o on o.conv_id = q.conv_id and o.norm = q.norm and o.level = 0 and o.turn < q.turn where q.level > 0 and len(q.norm) >= 4 group by q.conv_id, q.turn, q.level, q.pos),
+r as (select *, sum(case when level = before then 0 else 1 end) over (partition by conv_id, turn order by pos) as run, sum(case when norm = '' then 1 else 0 end) over (partition by conv_id, turn order by pos) as gap
+    from (select *, lag(level) over (partition by conv_id, turn order by pos) as before from x)),
+runs as (select conv_id, turn, level, run, string_agg(norm, ' ' order by pos) as t from r where norm <> '' group by all),
+paragraphs as (select conv_id, turn, level, run, gap, string_agg(norm, ' ' order by pos) as t from r where norm <> '' group by all),
+wrote as (select conv_id, turn, t from runs where level = 0 union select conv_id, turn, t from paragraphs where level = 0 union select conv_id, turn, norm from r where level = 0 and norm <> ''),
+by_run as (select q.conv_id, q.turn, q.run, max(o.turn) as writer from runs q join wrote o on o.conv_id = q.conv_id and o.t = q.t and o.turn < q.turn where q.level > 0 group by all),
+by_paragraph as (select q.conv_id, q.turn, q.run, q.gap, max(o.turn) as writer from paragraphs q join wrote o on o.conv_id = q.conv_id and o.t = q.t and o.turn < q.turn where q.level > 0 and len(q.t) >= 4 group by all),
+by_line as (select q.conv_id, q.turn, q.pos, max(o.turn) as writer from r q join wrote o on o.conv_id = q.conv_id and o.t = q.norm and o.turn < q.turn where q.level > 0 and len(q.norm) >= 4 group by all),
+met as (select * from (select r.conv_id, r.turn, r.level, r.pos, coalesce(a.writer, b.writer, c.writer) as writer from r left join by_run a on a.conv_id = r.conv_id and a.turn = r.turn and a.run = r.run
+    left join by_paragraph b on b.conv_id = r.conv_id and b.turn = r.turn and b.run = r.run and b.gap = r.gap left join by_line c on c.conv_id = r.conv_id and c.turn = r.turn and c.pos = r.pos where r.level > 0 and r.norm <> '') where writer is not null),
 votes as (select *, row_number() over (partition by conv_id, turn order by n desc, writer desc) as nth from (select conv_id, turn, writer, count(*) as n from met where level = 1 group by conv_id, turn, writer)),
 parents as (select conv_id, turn, writer as parent_turn from votes where nth = 1),
 m as (select conv_id, turn, role, coalesce(text, '') as text, row_number() over () as id from conversations),

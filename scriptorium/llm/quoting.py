@@ -1,9 +1,11 @@
 """Quotation linking of messages, in DataFrame operations only.
 
-Lines that begin with quote marks are parsed into levels. A quoted line, normalised and hashed, meets the lines that messages of the
-same conversation wrote themselves; the latest earlier writer is found by a running maximum over the line's own history, so a line
-that everyone quotes makes one row for each use and no pairs. A message replies to the writer of most of the lines it quotes at
-level 1. Threads follow these links to their first message, and conversations come out in thread order, without the quotes.
+Lines that begin with quote marks are parsed into levels. A quoted passage is a run of lines of one level; it, its paragraphs and its
+lines are normalised and hashed, and meet the passages, paragraphs and lines that messages of the same conversation wrote themselves.
+White space and line ends count as single spaces, so a passage that a mail client wrapped anew still meets its original. The latest
+earlier writer is found by running maxima over blocks of turns, so a line that everyone quotes makes one row for each use and no pairs.
+A message replies to the writer of most of the lines it quotes at level 1. Threads follow these links to their first message, and
+conversations come out in thread order, without the quotes.
 """
 
 from __future__ import annotations
@@ -11,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import SPACE_CLASS, lower_ascii, partitions, stage, whole
+from scriptorium.llm._common import SPACE_CLASS, lower_ascii, maybe_among, partitions, stage, whole
 
 MARKS = rf"^(?:[{SPACE_CLASS}]*>)+"
-#: Lines with fewer letters and digits than this link nothing.
+#: Quoted lines and paragraphs of fewer characters, once normalised, link only as a whole passage.
 LEAST = 4
+#: Turns of a conversation that are searched together for an earlier writer.
+TURNS = 1024
 
 
 def normal(line: Column) -> Column:
@@ -32,6 +36,46 @@ def parsed(text: Column) -> Column:
     )
 
 
+def units(lines: Column) -> Column:
+    """What a message writes or quotes, of the lines of parsed(): level, run, paragraph, kind, place, n (lines) and text (normalised).
+
+    Each run of lines of one level is a passage; empty lines part its paragraphs. A passage, paragraph or line without words is none.
+    """
+    changes = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: (i == 0) | (F.get(lines, i)["level"] != F.get(lines, i - 1)["level"]))
+
+    def of_run(start: Column, k: Column, starts: Column) -> Column:
+        own = F.slice(lines, start + 1, F.coalesce(F.get(starts, k + 1), F.size(lines)) - start)
+        level = F.get(lines, start)["level"]
+        text = F.btrim(F.array_join(F.transform(own, lambda x: normal(x["line"])), "\n"), F.lit("\n"))
+        unit = lambda paragraph, kind, place, n, t: F.struct(level.alias("level"), k.alias("run"), paragraph.alias("paragraph"), F.lit(kind).alias("kind"), place.alias("place"), n.alias("n"), t.alias("text"))
+        none = F.lit(-1)
+        paragraphs = F.filter(F.split(text, "\n{2,}"), lambda p: p != "")
+        flat = lambda p: F.translate(p, "\n", " ")
+        whole_run = F.array(unit(none, "run", none, F.aggregate(paragraphs, F.lit(0), lambda t, p: t + F.size(F.split(p, "\n"))), F.array_join(F.transform(paragraphs, flat), " ")))
+        each = F.transform(paragraphs, lambda p, i: unit(i, "paragraph", none, F.size(F.split(p, "\n")), flat(p)))
+        single = F.flatten(F.transform(paragraphs, lambda p, i: F.transform(F.split(p, "\n"), lambda x, j: unit(i, "line", j, F.lit(1), x))))
+        return F.when(F.size(paragraphs) > 0, F.concat(whole_run, each, single)).otherwise(F.filter(whole_run, lambda u: F.lit(False)))
+
+    runs = F.transform(changes, lambda start, k: F.struct(start.alias("start"), k.alias("k"), changes.alias("starts")))
+    return F.flatten(F.transform(runs, lambda r: of_run(r["start"], r["k"], r["starts"])))
+
+
+def earlier_writers(used: DataFrame) -> DataFrame:
+    """used (conv, turn, level, h1, h2 and more), quoted rows alone, with writer: the latest earlier turn that wrote the same, if any.
+
+    Turns fall into blocks of TURNS; what blocks before have written is one running maximum over blocks, so no window holds more of a
+    conversation than a block, or one row for each block.
+    """
+    same = ["conv", "h1", "h2"]
+    held = used.withColumn("block", F.floor(F.col("turn") / TURNS))
+    wrote = F.when(F.col("level") == 0, F.col("turn"))
+    before = Window.partitionBy(*same).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = held.groupBy(*same, "block").agg(F.max(wrote).alias("last")).withColumn("past", F.max("last").over(before)).drop("last")
+    inside = Window.partitionBy(*same, "block").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    near = held.withColumn("near", F.max(wrote).over(inside)).where("level > 0")
+    return near.join(blocks, [*same, "block"]).withColumn("writer", F.coalesce("near", "past")).where("writer is not null")
+
+
 def roots(links: DataFrame, most_rounds: int = 40) -> DataFrame:
     """key and root for messages with links (key to parent), by pointer doubling; parents are always earlier, so chains end."""
     now = stage(links.select("key", F.col("parent").alias("root")))
@@ -58,11 +102,12 @@ def positions(rows: DataFrame) -> DataFrame:
     return held.withColumn("nth", nth).join(offsets, ["conv", "part"]).withColumn("position", F.col("rows_before") + F.col("nth") - 1)
 
 
-def conversations(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text") -> DataFrame:
+def conversations(df: DataFrame, conv_column: str = "conv_id", turn_column: str = "turn", role_column: str = "role", text_column: str = "text", least: int = LEAST) -> DataFrame:
     """One row for each message: conv_id, turn, role, body, n_quoted, n_linked, max_level, parent_turn, thread_turn, position.
 
-    body: the lines without quote marks, without empty lines at the ends. n_quoted: quoted lines; n_linked: those found in an earlier
-    message. parent_turn: the message that wrote most lines quoted at level 1 (of equals the latest), else null. thread_turn: the
+    body: the lines without quote marks, without empty lines at the ends. n_quoted: quoted lines; n_linked: those with words that an
+    earlier message wrote, as part of the passage, else of the paragraph, else alone; paragraphs and lines of under least characters
+    link only as a whole passage. parent_turn: the message that wrote most lines quoted at level 1 (of equals the latest), else null. thread_turn: the
     first message that parents lead to, the message's own if it quotes none. position: its place in the conversation by thread, then
     turn, from 0. Null texts have an empty body. Messages with a null conversation or turn have no parents and are none; null
     conversations are one conversation, null turns come first. Repeated messages keep a row each. An empty table gives an empty
@@ -82,21 +127,24 @@ def conversations(df: DataFrame, conv_column: str = "conv_id", turn_column: str
     messages = held.withColumns({"body": body, "n_quoted": F.size(F.filter("lines", lambda x: x["level"] > 0)).cast("long"), "max_level": F.coalesce(F.array_max(F.transform("lines", lambda x: x["level"])), F.lit(0))})
 
     # Only conversations in which someone quotes take part in linking.
-    lines = held.where("turn is not null and conv != ''").select("conv", "turn", "key", F.explode(F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normal(x["line"]).alias("line")))).alias("x"))
-    lines = lines.where(F.length("x.line") >= LEAST).select("conv", "turn", "key", "x.level", F.xxhash64("x.line").alias("h1"), F.crc32(F.col("x.line").cast("binary")).alias("h2"))
-    quoting = held.where(F.col("text").rlike(rf"(?m){MARKS}")).select("conv").distinct()
-    used = lines.join(quoting, "conv", "left_semi").groupBy("conv", "turn", "key", "h1", "h2", "level").agg(F.count("*").alias("n"))
-    history = Window.partitionBy("conv", "h1", "h2").orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
-    met = used.withColumn("writer", F.max(F.when(F.col("level") == 0, F.col("turn"))).over(history)).where("level > 0 and writer is not null")
-    met = stage(met.select("conv", "key", "turn", "level", "writer", "n"))
-    linked = met.groupBy("key").agg(F.sum("n").alias("n_linked"))
+    quoting = held.where(F.col("text").rlike(rf"(?m){MARKS}")).select(F.xxhash64("conv")).distinct()
+    asked = maybe_among(held.where("turn is not null and conv != ''").withColumn("c", F.xxhash64("conv")), "c", quoting).where("maybe")
+    parts = asked.select("conv", "turn", "key", "h", F.explode(units(F.col("lines"))).alias("u")).select("conv", "turn", "key", "h", "u.*")
+    parts = parts.where((F.col("level") == 0) | (F.col("kind") == "run") | (F.length("text") >= least))
+    used = parts.withColumns({"h1": F.xxhash64("text"), "h2": F.crc32(F.col("text").cast("binary"))}).drop("text").distinct()
+    run, paragraph = Window.partitionBy("key", "h", "run"), Window.partitionBy("key", "h", "run", "paragraph")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("writer")))
+    met = earlier_writers(used).withColumns({"run_writer": of("run").over(run), "paragraph_writer": of("paragraph").over(paragraph)})
+    largest = (F.col("kind") == "run") | (F.col("run_writer").isNull() & ((F.col("kind") == "paragraph") | F.col("paragraph_writer").isNull()))
+    met = stage(met.where(largest).select("conv", "key", "h", "turn", "level", "writer", "n"))
+    linked = met.groupBy("key", "h").agg(F.sum("n").alias("n_linked"))
     votes = met.where("level = 1").groupBy("conv", "key", "writer").agg(F.sum("n").alias("n"))
     chosen = votes.groupBy("conv", "key").agg(F.max(F.struct("n", "writer")).alias("best"))
     links = stage(chosen.select("key", F.col("best.writer").alias("parent_turn"), F.xxhash64("conv", "best.writer").alias("parent"), "conv"))
     turns = links.select(F.col("parent").alias("root"), F.col("parent_turn").alias("thread")).distinct()
     threads = roots(links).join(turns, "root").select("key", "thread")
 
-    found = messages.drop("lines", "text").join(linked, "key", "left").join(links.select("key", "parent_turn"), "key", "left").join(threads, "key", "left")
+    found = messages.drop("lines", "text").join(linked, ["key", "h"], "left").join(links.select("key", "parent_turn"), "key", "left").join(threads, "key", "left")
     placed = positions(found.withColumn("thread", F.coalesce("thread", "turn")))
     return placed.select(
         F.col("conv_value").alias(conv_column),
