@@ -307,11 +307,12 @@ def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded"
 
 
 def digests(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:
-    """df with n_tokens and the SHA-256 digests of its ids and decoded bytes, in place of both."""
-    ids = F.array_join(F.col(ids_column).cast("array<string>"), ",")
-    return df.select(
-        *[c for c in df.columns if c not in (ids_column, bytes_column)],
-        F.size(ids_column).cast("long").alias("n_tokens"),
-        F.sha2(ids.cast("binary"), 256).alias("ids_sha256"),
-        F.sha2(bytes_column, 256).alias("decoded_sha256"),
-    )
+    """df with n_tokens and the SHA-256 digests of its ids and decoded bytes, in place of both.
+
+    Null ids or bytes have null digests, empty ones those of nothing. Columns of df named like the three new ones are replaced; repeated
+    rows keep a row each and an empty table gives an empty result.
+    """
+    ids = F.col(f"`{ids_column}`")
+    made = {"n_tokens": F.size(ids).cast("long"), "ids_sha256": F.sha2(F.array_join(ids.cast("array<string>"), ",").cast("binary"), 256), "decoded_sha256": F.sha2(F.col(f"`{bytes_column}`"), 256)}
+    others = [F.col(f"`{c}`") for c in df.columns if c not in (ids_column, bytes_column, *made)]
+    return df.select(*others, *[c.alias(n) for n, c in made.items()])

@@ -46,8 +46,12 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), urls.rule_table(spark))
 
 
+#: Target weights of the mixture; all other sources weigh 1.
+TARGETS = {"src0": 4, "src1": 8, "src2": 2, "src3": 1}
+
+
 def op7_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir))
+    return mixing.mix(documents(spark, sf_dir), weights=TARGETS)
 
 
 def op8_kd_search(spark: SparkSession, sf_dir: str) -> DataFrame:

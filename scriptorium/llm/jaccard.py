@@ -48,7 +48,7 @@ BANDS = 128
 #: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
 ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 20
 #: A set farther from all pivots lies in the outer cell; pivots are farther than APART from each other, so that no group has many.
-REACH, APART = 0.7, 0.5
+REACH, APART = 0.7, 0.7
 #: Below this share of its parent's weight, a subregion counts as smaller.
 SHRINKS = 0.7
 U = np.uint64

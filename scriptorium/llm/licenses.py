@@ -21,7 +21,7 @@ from scriptorium.llm._common import ship
 
 #: Base phrases and their labels.
 PHRASES = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
-#: (label, template, a mandatory word that few other texts have)
+#: (label, template, a mandatory word that few other texts have); short notices first, then whole licenses.
 TEMPLATES = (
     ("apache-2.0", "[[{{0-2}} is]] licensed under [[the terms of]] the Apache License [[Version]] 2.0 [[the License]]", "apache"),
     ("bsd", "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution"),
@@ -33,6 +33,19 @@ TEMPLATES = (
     ("isc", "Permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "hereby"),
     ("mit", "Released under the [[terms of the]] MIT License", "mit"),
     ("mit", "Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the Software]] to deal in the Software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and [[or]] sell copies of the Software [[and to permit persons to whom the Software is furnished to do so]] subject to the following conditions", "sublicense"),
+    ("mit", """Permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the Software to deal in the Software without
+        restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the Software and to permit persons to whom the Software is furnished
+        to do so subject to the following conditions The above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the
+        Software THE SOFTWARE IS PROVIDED AS IS WITHOUT WARRANTY OF ANY KIND EXPRESS OR IMPLIED INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY FITNESS FOR A PARTICULAR PURPOSE AND
+        NONINFRINGEMENT IN NO EVENT SHALL {{2-8}} BE LIABLE FOR ANY CLAIM DAMAGES OR OTHER LIABILITY WHETHER IN AN ACTION OF CONTRACT TORT OR OTHERWISE ARISING FROM OUT OF OR IN CONNECTION WITH THE
+        SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE""", "noninfringement"),
+    ("bsd", """Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] Redistributions of source code must retain
+        the above copyright notice this list of conditions and the following disclaimer [[2]] Redistributions in binary form must reproduce the above copyright notice this list of conditions and the
+        following disclaimer in the documentation and or other materials provided with the distribution [[[[3]] Neither the name of {{1-8}} nor the names of its contributors may be used to endorse or
+        promote products derived from this software without specific prior written permission]] THIS SOFTWARE IS PROVIDED BY {{2-10}} AS IS AND ANY EXPRESS OR IMPLIED WARRANTIES INCLUDING BUT NOT
+        LIMITED TO THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED""", "redistributions"),
+    ("isc", """Permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice
+        appear in all copies THE SOFTWARE IS PROVIDED AS IS AND {{2-8}} DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS""", "disclaims"),
     ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License [[v]] 2.0", "mozilla"),
 )
 #: Bytes of words: digits, letters, and all of UTF-8 beyond ASCII; the rest becomes spaces.
@@ -76,7 +89,8 @@ class Automaton:
         return False, best
 
 
-def compiled(label: str, template: str, anchor: str) -> Automaton:
+def compiled(label: str, template: str, anchor: str | None = None) -> Automaton:
+    """The automaton of a template. anchor: a mandatory word, the longest one if none is named; texts without it are not run."""
     words: list = []
     skips: list = [set()]
     counts, opened = [0], []
@@ -103,12 +117,16 @@ def compiled(label: str, template: str, anchor: str) -> Automaton:
                 edge(word, not opened)
     if opened or not counts[-1]:
         raise ValueError(f"the template of {label} has an open region or no mandatory word")
-    return Automaton(label, anchor.encode(), words, skips, [c / counts[-1] for c in counts])
+    mandatory = [w for w, before, after in zip(words, counts, counts[1:], strict=False) if after > before]
+    own = wording(anchor).strip() if anchor else max(mandatory, key=len)
+    if own not in mandatory:
+        raise ValueError(f"{anchor} is no mandatory word of the template of {label}")
+    return Automaton(label, own, words, skips, [c / counts[-1] for c in counts])
 
 
-@lru_cache(maxsize=1)
-def automata() -> list[Automaton]:
-    return [compiled(*t) for t in TEMPLATES]
+@lru_cache(maxsize=4)
+def automata(templates: tuple = TEMPLATES) -> list[Automaton]:
+    return [compiled(*t) for t in templates]
 
 
 @lru_cache(maxsize=1)
@@ -116,7 +134,7 @@ def phrase_words() -> list[tuple[list[bytes], str, re.Pattern]]:
     return [(w, label, re.compile(b"(?<![^ ])" + b" +".join(w) + b"(?![^ ])")) for w, label in ((p.encode().split(), v) for p, v in PHRASES.items())]
 
 
-def scan_text(text: str | None) -> tuple:
+def scan_text(text: str | None, templates: tuple = TEMPLATES) -> tuple:
     """n_words, n_base, first_word, last_word, base_labels, labels, score."""
     held = wording(text or "")
     words = held.split()
@@ -128,7 +146,7 @@ def scan_text(text: str | None) -> tuple:
             places += found
             base.add(label)
     labels, score = set(base), 0.0
-    for automaton in automata():
+    for automaton in automata(templates):
         if automaton.anchor in held and automaton.anchor in words:
             accepted, share = automaton.run(words)
             score = max(score, share)
@@ -140,19 +158,21 @@ def scan_text(text: str | None) -> tuple:
 FOUND = {"n_words": "long", "n_base": "long", "first_word": "long", "last_word": "long", "base_labels": "string", "labels": "string", "score": "double"}
 
 
-def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def scan(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", templates: tuple = TEMPLATES) -> DataFrame:
     """The id, then n_words, n_base, first_word, last_word, base_labels, labels and score of every row's text.
 
-    score: 1 where a template is accepted, else the largest share of a template's mandatory words met in order, among templates whose
+    templates: (label, template) or (label, template, anchor) each; one that is ill-formed fails at once. score: 1 where a template is accepted, else the largest share of a template's mandatory words met in order, among templates whose
     anchor word the text has; 0 without any. Null and empty texts have no words, labels or places. Labels are distinct, sorted and
     comma-joined. Repeated rows are scanned alike; an empty table gives an empty result; other columns are left out.
     """
     ship(df.sparkSession)
+    templates = tuple(tuple(t) for t in templates)
+    automata(templates)
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = list(zip(*map(scan_text, batch.column(1).to_pylist()), strict=True)) or [[] for _ in kinds]
+            found = list(zip(*(scan_text(t, templates) for t in batch.column(1).to_pylist()), strict=True)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, k) for c, k in zip(found, kinds, strict=True)]], names=[id_column, *FOUND])
 
     held = df.alias("input").select(F.col(f"input.`{id_column}`").alias(id_column), F.col(f"input.`{text_column}`").cast("string").alias("_text"))

@@ -109,33 +109,50 @@ def js_distance(counts: Column, reference: Column) -> Column:
     return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(divergence, F.lit(0.0))))
 
 
-def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",), max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON, carry: bool = False) -> DataFrame:
+def summed(found: DataFrame) -> DataFrame:
+    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
+    n_common = 1 + len(next(iter(COMMON.values())))
+    return found.groupBy("_lang").agg(sums("_chars", len(CLASSES)).alias("_ref_chars"), sums("_common", n_common).alias("_ref_common"))
+
+
+def reference_histograms(df: DataFrame, text_column: str = "text", lang_column: str = "lang") -> DataFrame:
+    """lang, chars and common: the histograms of all documents of each language, as references for others; one row for each language.
+
+    Null and empty texts add nothing, a null language is the empty one, repeated rows count each time, and an empty table has none.
+    """
+    return summed(features(df, text_column, lang_column, keep=())).select(F.col("_lang").alias("lang"), F.col("_ref_chars").alias("chars"), F.col("_ref_common").alias("common"))
+
+
+def judge(df: DataFrame, text_column: str = "text", lang_column: str = "lang", keep: tuple = ("doc_id",), max_chars: float = MAX_CHARS, max_common: float = MAX_COMMON, carry: bool = False, references: DataFrame | None = None) -> DataFrame:
     """keep, then n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, chars_distance, common_distance.
 
     base_failed: fewer than 50 words, or over half of them in windows that repeat. kept: not base_failed, and no distance over its
     limit. A null distance (no words, a language without a list, a text too short to tell) rejects nothing. Null and empty texts
     have no words and fail. A null language is a language of its own. Repeated rows are judged alike; an empty table gives an empty
-    result.
+    result. Columns in keep that are named like the others are left out.
+
+    references: lang, chars and common, as reference_histograms() makes them of trusted or held-out documents; None takes the histograms
+    of df itself, all rows. A language that references lack has null distances.
     """
+    outputs = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance")
+    keep = tuple(c for c in keep if c not in outputs)
     found = stage(features(df, text_column, lang_column, keep, carry))
-    sums = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    n_common = 1 + len(next(iter(COMMON.values())))
-    references = found.groupBy("_lang").agg(sums("_chars", len(CLASSES)).alias("_ref_chars"), sums("_common", n_common).alias("_ref_common"))
-    if found.select("_lang").distinct().count() <= BROADCAST_LANGUAGES:
-        references = F.broadcast(references)
+    known = summed(found) if references is None else references.select(F.col("lang").alias("_lang"), F.col("chars").alias("_ref_chars"), F.col("common").alias("_ref_common"))
+    if known.count() <= BROADCAST_LANGUAGES:
+        known = F.broadcast(known)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     far_chars = (F.col("n_words") >= MIN_WORDS) & (F.col("chars_distance") > max_chars)
     far_common = (F.col("n_words") >= MIN_COMMON) & (F.col("common_distance") > max_common)
     return (
-        found.join(references, "_lang")
+        found.join(known, "_lang", "left")
         .withColumn("chars_distance", js_distance(F.col("_chars"), F.col("_ref_chars")))
         .withColumn("common_distance", js_distance(F.col("_common"), F.col("_ref_common")))
         .withColumn("base_failed", failed)
         .withColumn("kept", ~(failed | F.coalesce(far_chars, F.lit(False)) | F.coalesce(far_common, F.lit(False))))
-        .select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance", *(["row"] if carry else []))
+        .select(*[F.col(f"`{c}`") for c in keep], "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_distance", "common_distance", *(["row"] if carry else []))
     )
 
 
 def filtered(df: DataFrame, **options) -> DataFrame:
-    """The rows of df that judge() keeps."""
+    """The rows of df that judge() keeps, with all their columns; nulls, repeated rows and an empty table are as there."""
     return judge(df, keep=(), carry=True, **options).where("kept").select("row.*")

@@ -75,7 +75,7 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     needed = F.coalesce(*[F.when(F.col("kind") == KINDS.index(k), F.array(*[F.lit(x) for x in v])) for k, v in NEEDS.items()])
     weak = parts.where(F.col("kind") >= len(BASE)).withColumn("needed", needed).withColumn("role", F.explode("needed"))
     weak = weak.withColumn("cell", cells(f"start - {scope}", f"stop + {scope}"))
-    # All parts of a cell are joined; those of one kind do not overlap, so a cell of scope code points touches few of them.
+    # A weak part meets every part of a cell. Parts of one kind do not overlap, so a cell of scope code points holds few, bounded by scope.
     held = parts.select("k1", "k2", role.alias("role"), F.col("start").alias("b"), F.col("stop").alias("e"))
     held = held.withColumn("cell", cells("b", "e"))
     met = weak.join(held, ["k1", "k2", "role", "cell"]).where(f"b <= stop + {scope} and e >= start - {scope} and (b >= stop or e <= start)")
@@ -118,10 +118,11 @@ def scan(df: DataFrame, text_column: str = "text", id_column: str = "doc_id", sc
 def redact(df: DataFrame, text_column: str = "text", id_column: str = "doc_id", mark: str = "[secret]", length_column: str | None = "n_chars") -> DataFrame:
     """df with every reported span replaced by mark and, if df has length_column, that column brought up to date.
 
-    Overlapping spans are replaced once. Rows without spans stay as they are, null texts included.
+    Overlapping spans are replaced once. Rows without spans stay as they are, null and empty texts included; repeated rows, null ids and
+    other columns, whatever their names, stay too, and an empty table gives an empty result.
     """
     found = scan(df, text_column, id_column, carry=True)
-    old = F.col(f"row.{text_column}")
+    old = F.col(f"row.`{text_column}`")
     ordered = F.array_sort("spans")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 

@@ -69,6 +69,11 @@ def assign_shards(df: DataFrame, n_shards: int = N_SHARDS, id_column: str = "doc
 
 
 def write_shards(df: DataFrame, path: str, n_shards: int = N_SHARDS, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Writes df's rows as Parquet, one folder for each shard, each shard's rows in order of their slots."""
+    """Writes df's rows as Parquet, a folder for each shard; its files, in order of their names, hold its rows in order of their slots.
+
+    Rows are dealt by ranges of shard and slot, so a large shard is written by many tasks. All rows and columns are written, nulls
+    included, but for a column named shard, whose name the folders take; an empty table writes no shards.
+    """
     sharded = assign_shards(df, n_shards, id_column, text_column, carry=True)
-    sharded.repartition(n_shards, "shard").sortWithinPartitions("shard", "slot").select("shard", "row.*").write.partitionBy("shard").parquet(path)
+    dealt = sharded.select("shard", "slot", "row").repartitionByRange(max(n_shards, partitions(df.sparkSession)), "shard", "slot").sortWithinPartitions("shard", "slot")
+    dealt.select("shard", *[F.col(f"row.`{c}`") for c in df.columns if c != "shard"]).write.partitionBy("shard").parquet(path)

@@ -44,9 +44,10 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", keep: tup
     rules: verdict, host and path. A rule fits its host and all subdomains if the URL's path starts with the rule's path. The longest
     path among those of the longest host wins; of equal rules, block wins. Null URLs and those without :// have an empty host and
     path and get the default, as does every URL that no rule fits. Rules with a null host or path fit nothing. Repeated rows keep
-    a row each; an empty table, or an empty rule table, is no error.
+    a row each; an empty table, or an empty rule table, is no error. Columns in keep that are named like the others are left out.
     """
     spark = pages.sparkSession
+    keep = tuple(c for c in keep if c not in ("host", "path", "rule", "verdict"))
     digest = F.sha2(F.concat("rule_host", F.lit("\x00"), "rule_path").cast("binary"), 256)
     known = (
         rules.select(F.col("host").alias("rule_host"), F.col("path").alias("rule_path"), F.col("verdict").alias("rule_verdict"))
@@ -62,7 +63,7 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", keep: tup
         known = F.broadcast(known)
 
     url = F.col(f"input.`{url_column}`")
-    held = pages.alias("input").select(*[F.col(f"input.`{c}`") for c in keep], host_of(url).alias("host"), path_of(url).alias("path"))
+    held = pages.alias("input").select(*[F.col(f"input.`{c}`").alias(f"keep_{i}") for i, c in enumerate(keep)], host_of(url).alias("host"), path_of(url).alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.array(*[F.when(F.length("path") >= n, F.left("path", F.lit(n))) for n in sorted(lengths)]).cast("array<string>")
@@ -80,5 +81,5 @@ def judge(pages: DataFrame, rules: DataFrame, url_column: str = "url", keep: tup
     rank = F.struct(F.length("rule_host"), F.length("rule_path"), "rule_verdict", F.concat("rule_host", "rule_path").alias("rule"))
     best = met.groupBy("host", "path").agg(F.max(rank).alias("best"))
     return held.join(best, ["host", "path"], "left").select(
-        *keep, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
+        *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)], "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict")
     )

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -34,7 +35,7 @@ CASES = [
 @pytest.mark.parametrize("text", CASES)
 def test_automata_accept_what_the_pattern_matches(text):
     held = " " + " ".join(licenses.wording(text).decode().split())
-    want = {label for label, template, _ in licenses.TEMPLATES if re.search(pattern_of(template), held)}
+    want = {label for label, template, *_ in licenses.TEMPLATES if re.search(pattern_of(template), held)}
     base = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in held + " "}
     n, n_base, first, last, base_labels, labels, score = licenses.scan_text(text)
     assert n == len(held.split()) and set(filter(None, base_labels.split(","))) == base
@@ -42,6 +43,74 @@ def test_automata_accept_what_the_pattern_matches(text):
     assert (score == 1) == bool(want) and 0 <= score <= 1
 
 
+def random_template(r, depth=0):
+    parts = []
+    for _ in range(r.randrange(1, 4)):
+        kind = r.random()
+        if kind < 0.25 and depth < 2:
+            parts.append(f"[[{random_template(r, depth + 1)}]]")
+        elif kind < 0.4:
+            least = r.randrange(3)
+            parts.append(f"{{{{{least}-{least + r.randrange(1, 3)}}}}}")
+        else:
+            parts.append(" ".join(r.choice("abcd") for _ in range(r.randrange(1, 4))))
+    return " ".join(parts)
+
+
+def test_random_templates_on_random_texts():
+    r, met = random.Random(3), 0
+    for _ in range(400):
+        template = "x " + random_template(r)
+        automaton = licenses.compiled("own", template)
+        for _ in range(15):
+            words = [r.choice("abcdx") for _ in range(r.randrange(1, 14))]
+            accepted, score = automaton.run([w.encode() for w in words])
+            wanted = re.search(pattern_of(template), " " + " ".join(words)) is not None
+            assert accepted == wanted and (score == 1 or not wanted), (template, words)
+            met += wanted
+    assert met > 300
+
+
+def test_own_templates_are_an_argument(spark):
+    df = documents(spark, ["use it under the Zed license", "use it under the very old Zed license now", None])
+    got = licenses.scan(df, templates=[("zed", "under the [[very]] {{0-1}} Zed license")]).orderBy("doc_id").collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("zed", 1.0), ("zed", 1.0), ("", 0.0)]
+    for bad in ("[[all optional]]", "open [[region"):
+        with pytest.raises((ValueError, IndexError)):
+            licenses.scan(df, templates=[("bad", bad)])
+
+
+@pytest.mark.parametrize("at", [9, 10, 11])
+def test_whole_licenses(at):
+    templates = [t for t in licenses.TEMPLATES if len(t[1]) > 600]
+    label, template, _ = templates[at % len(templates)]
+    text = re.sub(r"\{\{(\d+)-\d+\}\}", lambda m: " ".join(["holder"] * int(m[1])), template.replace("[[", " ").replace("]]", " "))
+    assert label in licenses.scan_text("Foo. " + text + " Bar.")[5].split(",")
+    cut = text.replace(" MERCHANTABILITY", "")
+    assert not any(licenses.automata()[licenses.TEMPLATES.index(t)].run(licenses.wording(cut).split())[0] for t in templates)
+
+
+BASE_SQL = r"""
+with w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') as words from documents),
+p as (select doc_id, len(words) as n_words, list_filter(range(len(words)), lambda i: words[i + 1] = 'cc' and words[i + 2] = 'by') as cc,
+    list_filter(range(len(words)), lambda i: words[i + 1] = 'general' and words[i + 2] = 'public' and words[i + 3] = 'license') as gpl,
+    list_filter(range(len(words)), lambda i: words[i + 1] = 'all' and words[i + 2] = 'rights' and words[i + 3] = 'reserved') as reserved from w)
+select doc_id, n_words, len(cc) + len(gpl) + len(reserved) as n_base, list_min(list_concat(cc, gpl, reserved)) as first_word, list_max(list_concat(cc, gpl, reserved)) as last_word,
+    array_to_string(list_filter([case when len(cc) > 0 then 'cc-by' end, case when len(gpl) > 0 then 'gpl' end, case when len(reserved) > 0 then 'reserved' end], lambda x: x is not null), ',') as base_labels from p"""
+
+
+def test_base_columns_equal_sql(spark):
+    import duckdb
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    columns = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels"]
+    want = con.sql(f"select {', '.join(columns)} from ({BASE_SQL}) order by doc_id").fetchall()
+    got = [tuple(r) for r in licenses.scan(spark.read.parquet(f"{sf}/documents.parquet")).select(*columns).orderBy("doc_id").collect()]
+    assert got == want and any(r[2] for r in want)
+
+
 def test_places():
     assert licenses.scan_text("cc by, cc-by x All Rights RESERVED")[1:4] == (3, 0, 5)
 
