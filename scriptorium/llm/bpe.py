@@ -29,8 +29,9 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 SLICE = 1_500_000
 #: Pieces that a task remembers before it starts afresh, and the longest that it remembers.
 KNOWN_PIECES, KNOWN_LENGTH = 150_000, 64
-#: Pieces of more bytes are merged one by one with a heap, as rounds over a matrix would take time quadratic in their length.
-MATRIX_WIDTH = 128
+#: Pieces of more bytes are merged one by one with a heap, as rounds over a matrix take time quadratic in their length: at 512 bytes both
+#: take 1.8 ms a piece, at 8192 bytes 242 ms against 30 ms.
+MATRIX_WIDTH = 512
 NEVER = np.iinfo(np.int32).max
 
 #: The letters, numbers and white space up to U+017F.

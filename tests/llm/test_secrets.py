@@ -68,6 +68,43 @@ def test_a_complement_at_exactly_the_scope_links(spark):
         assert [w["start"] for r in secrets.link(df).collect() for w in r["weak"]] == [start]
 
 
+def every_span(text, scope=200):
+    """base_spans() and the weak parts whose complements stand in scope, all pairs compared."""
+    base = [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in base_spans(text).split(",") if x)]
+    weak = []
+    for kind, (pattern, group, least) in secrets.WEAK.items():
+        for m in re.finditer(pattern, text):
+            if len(m[group]) >= least and not any(s < m.end() and m.start() < e for s, _, e in base):
+                weak.append((m.start(), kind, m.end()))
+    every, out = base + weak, list(base)
+    for s, k, e in weak:
+        met = {secrets.PARTS[k2] for s2, k2, e2 in every if s2 <= e + scope and e2 >= s - scope and (s2 >= e or e2 <= s)}
+        if set(secrets.NEEDS[k]) <= met:
+            out.append((s, k, e))
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(out, key=lambda x: (x[0], secrets.KINDS.index(x[1]))))
+
+
+def test_thousands_of_texts_with_credentials(spark):
+    r = random.Random(21)
+    letters = "abcdefghijABCDEFGHIJ0123456789"
+    make = {
+        "access": lambda: "AKIA" + "".join(r.choices("ABCDEFGH234567", k=16)),
+        "key40": lambda: "".join(r.choices(letters, k=40)),
+        "login": lambda: r.choice(["user: ", "username=", "client_id = "]) + "".join(r.choices(letters, k=6)),
+        "assign": lambda: r.choice(["password=", "api_key: ", "token = "]) + "".join(r.choices(letters, k=r.choice([5, 12]))),
+        "endpoint": lambda: r.choice(["https://", "postgres://"]) + "host" + "".join(r.choices("abc", k=4)) + "/db",
+        "hex": lambda: "".join(r.choices("0123456789abcdef", k=40)),
+        "filler": lambda: " ".join("word" for _ in range(r.randrange(1, 60))),
+    }
+    texts = [r.choice(["\n", " ", " é "]).join(make[r.choice(list(make))]() for _ in range(r.randrange(1, 9))) for _ in range(3000)]
+    texts.append(" ".join(make[r.choice(list(make))]() for _ in range(3000)))  # one text with very many parts
+    got = scanned(spark, texts)
+    want = [every_span(t) for t in texts]
+    assert [got[i]["spans"] for i in range(len(texts))] == want
+    kinds = [x.split(":")[0] for w in want for x in w.split(",")]
+    assert all(kinds.count(k) > 100 for k in secrets.KINDS)
+
+
 def test_redaction(spark):
     texts = ["a token=abcdefgh12 b", "clean", None, f"é {ACCESS} x {KEY40}", "token = " + "ab" * 20]
     got = {r["doc_id"]: r for r in secrets.redact(documents(spark, texts, extra=True)).collect()}
