@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import stage
+from scriptorium.llm._common import drop, stage
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,7 +15,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     never gathered: minima are combined before the shuffle and joined back, and AQE splits the partition of a node with many edges.
     """
     now = stage(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
+    state = held = None
     for _ in range(most_rounds):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -23,7 +23,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         hung = large.join(small_least, "a")
         small = hung.select(F.col("b").alias("a"), F.col("m").alias("b")).union(hung.select("a", F.col("m").alias("b")))
-        now = stage(small.where("a != b").distinct())
+        held, now = now, stage(small.where("a != b").distinct())
+        drop(held)
         last, state = state, now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == last:
             return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

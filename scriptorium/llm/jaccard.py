@@ -41,12 +41,14 @@ WIDTH = 3
 #: A link has 100 * intersection >= PERCENT * union.
 PERCENT = 90
 #: Shingles of a region, with repetition, that one task takes.
-WEIGHT = 3_000_000
+WEIGHT = 1_500_000
 PIVOTS, DEPTH = 8, 3
+#: Rows that are described at a time.
+SLICE = 1000
 #: More than a set's size can have bands; a power of two.
 BANDS = 128
 #: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
-ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 20
+ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 19
 #: A set farther from all pivots lies in the outer cell; pivots are farther than APART from each other, so that no group has many.
 REACH, APART = 0.7, 0.7
 #: Below this share of its parent's weight, a subregion counts as smaller.
@@ -119,7 +121,7 @@ class Cells:
         flat = np.concatenate([np.zeros(0, dtype=np.uint64), *pivots])
         order = np.argsort(flat, kind="stable")
         self.shingles, self.first, self.count = np.unique(flat[order], return_index=True, return_counts=True)
-        self.owners = np.repeat(np.arange(len(pivots)), self.sizes)[order]
+        self.owners = np.repeat(np.arange(len(pivots), dtype=np.int32), self.sizes)[order]
 
     def overlaps(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The pivots that share shingles with a set, and how many."""
@@ -201,7 +203,7 @@ def describe(df: DataFrame, width: int, percent: int, pivots: list[np.ndarray],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voronoi = Cells(pivots, percent, reach)
         none = np.zeros(0, dtype=np.int64)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             texts = batch.column(2).cast(pa.binary())
             n, node, cells, regions, own_sketches = [], [], [], [], []
             for own in shingles.sets((t.as_py() for t in texts), width):
@@ -236,15 +238,16 @@ class Region:
         self.sizes = np.array([len(s) for s in sets], dtype=np.int64)
         self.ends = np.cumsum(self.sizes)
         flat = np.concatenate(sets)
-        owners = np.repeat(np.arange(len(sets)), self.sizes)
+        del sets
         order = np.argsort(flat, kind="stable")
-        self.owners = owners[order]
-        edge = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-        number = np.cumsum(edge) - 1
+        self.owners = np.repeat(np.arange(len(nodes), dtype=np.int32), self.sizes)[order]
+        flat = flat[order]
+        edge = np.concatenate([[True], flat[1:] != flat[:-1]])
+        del flat
         self.first = np.flatnonzero(edge)
-        self.count = np.diff(np.append(self.first, len(flat)))
-        self.numbers = np.empty(len(flat), dtype=np.int64)
-        self.numbers[order] = number
+        self.count = np.diff(np.append(self.first, len(edge)))
+        self.numbers = np.empty(len(edge), dtype=np.int32)
+        self.numbers[order] = np.cumsum(edge, dtype=np.int32) - 1
         self.mark = np.zeros(len(self.first), dtype=bool)
         self.root = list(range(len(nodes)))
 
@@ -436,7 +439,9 @@ def region_members(named: DataFrame) -> DataFrame:
     some = stage(maybe_among(held, "fragment", again).where("maybe").select("fragment", "node").distinct())
     pivots = some.groupBy("fragment").agg(F.min("node").alias("region"), F.max("node").alias("most")).where("region < most").select("fragment", "region")
     band = F.pmod("fragment", F.lit(BANDS)).cast("int")
-    return some.join(pivots, "fragment").select(F.xxhash64("region", band).alias("region"), band.alias("band"), "node").distinct()
+    members = stage(some.join(pivots, "fragment").select(F.xxhash64("region", band).alias("region"), band.alias("band"), "node").distinct())
+    drop(some)
+    return members
 
 
 def with_partners(located: DataFrame, percent: int) -> DataFrame:
@@ -467,7 +472,7 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
     ship(df.sparkSession)
     held = keyed(df, id_column, text_column)
     described = stage(describe(held, width, percent, first_pivots(held, width)))
-    rows = described.select("id", "k", "n", "node")
+    rows = stage(described.select("id", "k", "n", "node"))
     named = described.where("node is not null")
     in_cells, to_pivots = cell_members(named, percent)
     members = stage(in_cells.union(region_members(named)))
@@ -489,8 +494,10 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
     else:
         links = join_small(with_text(located.join(large, "region", "left_anti")), width, percent)
         links = links.union(join_split(with_text(located.join(large.select("region"), "region", "left_semi")), large, width, percent, weight))
-    found = stage(components(stage(links.union(to_pivots))))
-    drop(members, located)
+    links = stage(links.union(to_pivots))
+    drop(described, members, located)
+    found = stage(components(links))
+    drop(links)
     return rows, found
 
 
