@@ -65,9 +65,12 @@ def contaminated(text: Column) -> Column:
 
 
 def replaced(text: Column, patterns) -> Column:
+    now = text
     for pattern, mark in patterns:
-        text = F.regexp_replace(text, pattern, mark)
-    return text
+        after = F.regexp_replace(now, pattern, mark)
+        # Addresses are looked for only where there is an at sign, as their search begins anew at every letter; no mark holds one.
+        now = F.when(F.contains(text, F.lit("@")), after).otherwise(now) if pattern == EMAIL else after
+    return now
 
 
 def anonymised_question(text: Column) -> Column:

@@ -226,7 +226,7 @@ def cut(text: str, size: int, overlap: int, marks: tuple[str, ...], reach_over:
         if end >= len(text):
             parts.append(text[begin:].strip())
             break
-        places = (text.rfind(m, 0 if reach_over else begin, end + len(m) if reach_over else end) for m in marks)
+        places = (text.rfind(m, begin + 1, end + len(m) if reach_over else end) for m in marks)
         at = next((p for p in places if p > begin), end)
         parts.append(text[begin:at].strip())
         begin = max(begin + 1, at - overlap)

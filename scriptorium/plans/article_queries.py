@@ -68,20 +68,22 @@ def repeated_headers(spark, d):
     return A.repeated_first_lines(A.segmented(texts), "source")
 
 
-HEADINGS = "(select source, doc_id, cast(row_number() over (partition by source order by doc_id) + case when doc_id % 4 = 0 then 7 when doc_id % 9 = 0 then -2 else 0 end as int) as number from documents)"
+HEADINGS = "(select doc_id, generate_subscripts(ns, 1) as n, cast(unnest(ns) as int) as number from (select doc_id, regexp_extract_all(text, '(?m)^\\s*Art[íi]culo\\s+(\\d+)\\s*\\.\\s*[-–—]?', 1) as ns from codes))"
+NEXT = "case when f.last = 0 then o.number = 1 else o.number > f.last and o.number <= f.last + 5 end"
 
 
-@query(
-    f"""with recursive o as (select *, row_number() over (partition by source order by doc_id) as n from {HEADINGS}),
-        f as (select source, doc_id, n, number = 1 as accepted, case when number = 1 then 1 else 0 end as last from o where n = 1
-              union all select o.source, o.doc_id, o.n, case when f.last = 0 then o.number = 1 else o.number > f.last and o.number <= f.last + 5 end, case when (f.last = 0 and o.number = 1) or (f.last > 0 and o.number > f.last and o.number <= f.last + 5) then o.number else f.last end
-              from f join o on o.source = f.source and o.n = f.n + 1)
-        select source, doc_id, accepted from f"""
-)
+@query("_", "codes")
 def monotonic_headings(spark, d):
-    nth = F.expr("row_number() over (partition by source order by doc_id)")
-    headings = table(spark, d, "documents").select("source", "doc_id", (nth + F.expr("case when doc_id % 4 = 0 then 7 when doc_id % 9 = 0 then -2 else 0 end")).cast("int").alias("number"))
-    return A.monotonic(headings, "source", "doc_id", "number")
+    """Which headings of whole codes begin an article."""
+    numbers = F.regexp_extract_all("text", F.lit(A.CODE_HEADING), F.lit(1))
+    headings = view(spark, d, "codes").select("doc_id", F.posexplode(numbers).alias("at", "number"))
+    return A.monotonic(headings, "doc_id", "at", "number").select("doc_id", (F.col("at") + 1).cast("long").alias("n"), "accepted")
+
+
+ORACLES["monotonic_headings"] = f"""with recursive codes as ({VIEWS['codes']}), o as {HEADINGS},
+    f as (select doc_id, n, number = 1 as accepted, case when number = 1 then 1 else 0 end as last from o where n = 1
+      union all select o.doc_id, o.n, {NEXT}, case when {NEXT} then o.number else f.last end from f join o on o.doc_id = f.doc_id and o.n = f.n + 1)
+    select doc_id, n, accepted from f"""
 
 
 EPIGRAPH = "'^\\s*([A-ZÁÉÍÓÚÑÜ][A-ZÁÉÍÓÚÑÜ\\s,;/().\\-]{3,120}?)\\.\\s'"
