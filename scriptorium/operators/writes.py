@@ -19,6 +19,18 @@ def upsert(target: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
     return target.join(changes.select(*keys), keys, "left_anti").select(target.columns).unionByName(changes.select(target.columns))
 
 
+def stamped(df: DataFrame, at: Column, column: str = "updated_at") -> DataFrame:
+    """df with the time at which its rows were written; the clock is an argument, so that a run can be repeated."""
+    return df.withColumn(column, at)
+
+
+def coalesce_update(target: DataFrame, changes: DataFrame, keys: list[str], *columns: str) -> DataFrame:
+    """target with the columns of changes (one row for each key) where those are not null; all other values stay."""
+    fresh = changes.select(*keys, *[F.col(c).alias(f"_{c}") for c in columns])
+    held = target.join(fresh, keys, "left").withColumns({c: F.coalesce(f"_{c}", c) for c in columns})
+    return held.select(target.columns)
+
+
 def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The rows that an insert would add: the first of each key that target lacks."""
     return latest(rows, keys, *order).join(target.select(*keys), keys, "left_anti")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vectors as V
+from scriptorium.operators import articles as A
 from scriptorium.operators import charges as H
 from scriptorium.operators import corpus as C
 from scriptorium.plans.registry import query
@@ -267,3 +268,15 @@ def charge_analyser(spark, d):
     """Charge sheets: whole texts with an ending that holds the terms of one outcome."""
     sheets = table(spark, d, "documents").select("doc_id", F.concat("text", F.expr(TAILS)).alias("text"))
     return H.analysed(sheets, "text").select("doc_id", "too_short", *FLAGS, "missing", "complies", "strategy")
+
+
+@query("select event_id, s in ('V4', 'V5') as professional, s = 'V3' as with_warning, s = 'V4' as beta, s = 'V5' as production from (select event_id, estado_destino as s from attempts)", "attempts")
+def state_availability(spark, d):
+    return view(spark, d, "attempts").select("event_id", *[c.alias(n) for n, c in C.availability(F.col("estado_destino")).items()])
+
+
+@query("select id, coalesce(e.estado, 'contaminado') as estado, case when e.estado is null then 'artículo sin entrada en el manifest de estado editorial — tratado como contaminado por seguridad' when e.estado = 'limpio' then 'revisado' end as motivo from (select *, cast(doc_id as varchar) as key from articles) a left join editorial e on e.num_articulo = a.key", "articles editorial")
+def status_reason(spark, d):
+    manifest = view(spark, d, "editorial").withColumn("motivo", F.when(F.col("estado") == "limpio", "revisado"))
+    rows = view(spark, d, "articles").withColumn("num_articulo", F.col("doc_id").cast("string"))
+    return A.with_status(rows, manifest).select("id", "estado", "motivo")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import writes as W
 from scriptorium.plans.registry import query
+from scriptorium.sources import files as S
 from scriptorium.sources.views import table, view
 from scriptorium.streaming import alerts as AL
 
@@ -157,3 +158,21 @@ def input_validation(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", F.expr("case when c_custkey % 5 > 0 then c_custkey % 60 - 5 end").alias("years"), F.expr("case c_custkey % 3 when 0 then 'Robo' when 1 then 'Hurto' else 'Nada' end").alias("offence"), F.expr("case when c_custkey % 4 > 0 then true end").alias("fixed"))
     found = W.validated(rows, penalty=F.col("years").between(0, 40), offence=F.col("offence").isin("Robo", "Hurto", "Otro"), home=F.col("fixed").isNotNull())
     return found.select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    """select s.user_identifier, coalesce(case when e.n % 3 > 0 then 'payer' || e.n end, s.provider_sub_id) as provider_sub_id, s.tier, date '2026-01-05' as updated_at from subs s
+       left join (select concat('user:', user_id) as user_identifier, count(*) as n from events group by user_id) e on e.user_identifier = s.user_identifier""",
+    "subs",
+)
+def coalesce_update(spark, d):
+    """A change that leaves what it does not know."""
+    subs = view(spark, d, "subs").select("user_identifier", "provider_sub_id", "tier")
+    counts = table(spark, d, "events").groupBy(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("user_identifier")).agg(F.count("*").alias("n"))
+    changes = counts.select("user_identifier", F.when(F.col("n") % 3 > 0, F.concat(F.lit("payer"), F.col("n").cast("string"))).alias("provider_sub_id"))
+    return W.stamped(W.coalesce_update(subs, changes, ["user_identifier"], "provider_sub_id"), F.lit("2026-01-05").cast("date"))
+
+
+@query("select user_id, event_type, count(*) as n from events group by all having count(*) > 1")
+def key_violations(spark, d):
+    return S.key_violations(table(spark, d, "events"), "user_id", "event_type")

@@ -53,6 +53,20 @@ def exists(spark: SparkSession, name: str) -> bool:
     return spark.catalog.tableExists(name)
 
 
+def missing_columns(spark: SparkSession, name: str, *columns: str) -> list[str]:
+    """Those of columns that a table of the catalog lacks; all of them if there is no such table."""
+    held = {c.name for c in spark.catalog.listColumns(name)} if spark.catalog.tableExists(name) else set()
+    return [c for c in columns if c not in held]
+
+
+def key_violations(df: DataFrame, *keys: str) -> DataFrame:
+    """The keys that are not unique or hold a null, with their number of rows; none if keys are a primary key."""
+    some_null = F.lit(False)
+    for k in keys:
+        some_null = some_null | F.col(k).isNull()
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).where((F.col("n") > 1) | some_null)
+
+
 def exactly_one(df: DataFrame) -> dict:
     """The only row of a point lookup; another number of rows is an error."""
     rows = df.limit(2).collect()

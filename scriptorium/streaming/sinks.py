@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from scriptorium.operators.writes import latest
+from scriptorium.operators.writes import latest, stamped
 
 
 def _run(stream: DataFrame, checkpoint: str, write: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -24,12 +24,17 @@ def append_stream(stream: DataFrame, path: str, checkpoint: str, **stamps) -> St
     return _run(stream, checkpoint, write)
 
 
-def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str) -> StreamingQuery:
-    """Keeps versions of a table; each batch writes the next one, with its own latest row of each key in place of the older."""
+def upsert_stream(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: str, stamp: str | None = None) -> StreamingQuery:
+    """Keeps versions of a table; each batch writes the next one, with its own latest row of each key in place of the older.
+
+    stamp: a column that tells when a row was written.
+    """
 
     def write(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         fresh = latest(batch, keys, F.desc(order))
+        if stamp:
+            fresh = stamped(fresh, F.current_timestamp(), stamp)
         if n:
             old = spark.read.parquet(f"{path}/version={n - 1}")
             fresh = latest(old.unionByName(fresh), keys, F.desc(order))
