@@ -32,8 +32,9 @@ def cosine_similarity(a: Column, b: Column) -> Column:
 
 def l2_normalised(a: Column) -> Column:
     """a over its length; a vector without length stays as it is."""
-    length = F.coalesce(F.nullif(norm(a), F.lit(0.0)), F.lit(1.0))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    length = lambda v: F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
+    # The list of one element names a, so that neither it nor its length is computed again for each component.
+    return F.get(F.transform(F.array(a), lambda v: F.zip_with(v, F.array_repeat(length(v), F.size(v)), lambda x, n: x.cast("double") / n)), F.lit(0))
 
 
 def checked_dimension(a: Column, dimension: int) -> Column:
@@ -62,7 +63,7 @@ def hash31(text: Column) -> Column:
 
 def seeded_vector(text: Column, dimension: int) -> Column:
     """A unit vector that depends on the text alone, for tests: a linear congruential generator seeded by the text's hash."""
-    seed = F.when(hash31(text) == 0, F.lit(1).cast("long")).otherwise(hash31(text))
+    seed = F.greatest(hash31(text), F.lit(1).cast("long"))  # it is never below 0
     start = F.struct(seed.alias("s"), F.array().cast("array<double>").alias("v"))
 
     def step(a: Column, _: Column) -> Column:
