@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.sources.shipping import ship
 
-__all__ = ["drop", "give_back", "join_hot", "lower_ascii", "maybe_among", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
+__all__ = ["drop", "give_back", "giving_back", "join_hot", "lower_ascii", "maybe_among", "partitions", "scratch_dir", "ship", "stage", "total", "whole", "words"]
 
 #: White space between words, as a regular expression class and as the characters themselves.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -79,6 +80,18 @@ def give_back() -> None:
     pa.default_memory_pool().release_unused()
 
 
+def giving_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, after which the worker gives back what run's own variables held too; large arrays are returned as soon as they are freed."""
+
+    def outer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, which grows with use if it is not set
+        yield from run(batches)
+        give_back()
+
+    return outer
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm._common import give_back, ship
+from scriptorium.llm._common import giving_back, ship
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of text that a slice holds, unless one text alone has more.
@@ -239,6 +239,14 @@ def encoder(file: bytes, pattern: str) -> Encoder:
     return Encoder(vocabulary(file), pattern)
 
 
+def joined_bytes(known: Vocabulary, ids: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """The decoded bytes of each row, of the ids of all rows and the number of each row's."""
+    raw, lengths = known.decode(ids)
+    upto = np.concatenate([[0], np.cumsum(lengths)])
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    return pa.BinaryArray.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(raw)])
+
+
 def slices(sizes: Iterable[int], most: int) -> Iterator[tuple[int, int]]:
     start = held = end = 0
     for end, size in enumerate(sizes, 1):
@@ -255,8 +263,10 @@ def read_vocabulary(path: str | None = None) -> bytes:
         return f.read()
 
 
-def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """df with a column of token ids (array of int) in place of the text.
+def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", path: str | None = None, pattern: str = public_tokenizers.PATTERN, bytes_column: str | None = None) -> DataFrame:
+    """df with a column of token ids (array of int) in place of the text; with bytes_column also what decode() makes of the ids.
+
+    Decoding in the same task takes half as many Python workers as decode() behind encode().
 
     path: a file of ranks on the driver's machine; it is read once and sent to the executors (about 1 MB). Special tokens are not
     recognised: their strings are ordinary text. Null and empty texts have no ids. Other columns stay as they are, but one of the
@@ -264,8 +274,9 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
     """
     ship(df.sparkSession)
     file = df.sparkSession.sparkContext.broadcast(read_vocabulary(path))
-    others = [c for c in df.columns if c not in (text_column, ids_column)]
-    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("array<int>").alias(ids_column)).schema
+    others = [c for c in df.columns if c not in (text_column, ids_column, bytes_column)]
+    decoded = [F.lit(None).cast("binary").alias(bytes_column)] if bytes_column else []
+    schema = df.select(*[F.col(f"`{c}`") for c in others], F.lit(None).cast("array<int>").alias(ids_column), *decoded).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(file.value, pattern)
@@ -277,10 +288,12 @@ def encode(df: DataFrame, text_column: str = "text", ids_column: str = "ids", pa
                 ids, counts = own.encode([t or "" for t in part.column(len(others)).to_pylist()])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(offsets, pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(others)], lists], names=[*others, ids_column])
-        give_back()
+                columns, names = [*part.columns[: len(others)], lists], [*others, ids_column]
+                if bytes_column:
+                    columns, names = [*columns, joined_bytes(own.known, ids, counts)], [*names, bytes_column]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_column}`").cast("string").alias(text_column)).mapInArrow(run, schema)
+    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text_column}`").cast("string").alias(text_column)).mapInArrow(giving_back(run), schema)
 
 
 def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded", path: str | None = None) -> DataFrame:
@@ -297,14 +310,9 @@ def decode(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded"
             for start, end in slices(counts.tolist(), SLICE // 3):
                 part = batch.slice(start, end - start)
                 ids = part.column(len(others)).flatten().to_numpy(zero_copy_only=False)
-                raw, lengths = known.decode(ids)
-                upto = np.concatenate([[0], np.cumsum(lengths)])
-                ends = np.concatenate([[0], np.cumsum(counts[start:end].astype(np.int64))])
-                column = pa.BinaryArray.from_buffers(pa.binary(), end - start, [None, pa.py_buffer(upto[ends].astype(np.int32)), pa.py_buffer(raw)])
-                yield pa.RecordBatch.from_arrays([*part.columns, column], names=[*others, ids_column, bytes_column])
-        give_back()
-
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{ids_column}`").cast("array<int>").alias(ids_column)).mapInArrow(run, schema)
+                yield pa.RecordBatch.from_arrays([*part.columns, joined_bytes(known, ids, counts[start:end].astype(np.int64))], names=[*others, ids_column, bytes_column])
+
+    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{ids_column}`").cast("array<int>").alias(ids_column)).mapInArrow(giving_back(run), schema)
 
 
 def digests(df: DataFrame, ids_column: str = "ids", bytes_column: str = "decoded") -> DataFrame:

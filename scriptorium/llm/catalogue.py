@@ -20,7 +20,7 @@ def op1_prefix_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.digests(bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))))
+    return bpe.digests(bpe.encode(documents(spark, sf_dir).select("doc_id", "text"), bytes_column="decoded"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import shingles
-from scriptorium.llm._common import SPACE_CHARS, drop, give_back, join_hot, maybe_among, partitions, ship, stage, whole
+from scriptorium.llm._common import SPACE_CHARS, drop, giving_back, join_hot, maybe_among, partitions, ship, stage, whole
 from scriptorium.llm.components import components
 
 WIDTH = 3
@@ -166,7 +166,7 @@ def first_pivots(held: DataFrame, width: int) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], names=["own"])
 
     found, total = [], 0
-    for r in some.dropDuplicates(["h"]).orderBy("h").limit(n).select("text").mapInArrow(run, "own array<long>").toArrow().column(0):
+    for r in some.dropDuplicates(["h"]).orderBy("h").limit(n).select("text").mapInArrow(giving_back(run), "own array<long>").toArrow().column(0):
         own = np.array(r.as_py(), dtype=np.int64).view(np.uint64)
         if len(own) and total + len(own) <= PIVOT_SHINGLES:
             total += len(own)
@@ -223,10 +223,9 @@ def describe(df: DataFrame, width: int, percent: int, pivots: list[np.ndarray],
 
             columns = [structs(cells, cell=pa.int64(), far=pa.float64(), ball=pa.bool_()), lists(regions, pa.array(np.concatenate([none, *regions]))), structs(own_sketches, band=pa.int32(), sketch=pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), *columns], names=["id", "k", "n", "node", "cells", "regions", "sketches"])
-        give_back()
 
     kind = df.schema["id"].dataType.simpleString()
-    return df.select("id", "k", "text").mapInArrow(run, f"id {kind}, k long, n long, node long, cells array<struct<cell: long, far: double, ball: boolean>>, regions array<long>, sketches array<struct<band: int, sketch: binary>>")
+    return df.select("id", "k", "text").mapInArrow(giving_back(run), f"id {kind}, k long, n long, node long, cells array<struct<cell: long, far: double, ball: boolean>>, regions array<long>, sketches array<struct<band: int, sketch: binary>>")
 
 
 class Region:
@@ -337,9 +336,8 @@ def join_small(regions: DataFrame, width: int, percent: int) -> DataFrame:
                 region = Region(list(own), [t.encode() for t in own.values()], width, percent)
                 found = list(region.links(0))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-        give_back()
 
-    return by_region(regions.select("region", "node", "text"), "region").mapInArrow(run, "a long, b long")
+    return by_region(regions.select("region", "node", "text"), "region").mapInArrow(giving_back(run), "a long, b long")
 
 
 def split(regions: DataFrame, width: int, percent: int, depth: int) -> DataFrame:
@@ -371,7 +369,7 @@ def split(regions: DataFrame, width: int, percent: int, depth: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()))], names=["parent", "pivot", "node", "n", "text", "ball"])
 
     dealt = rows.repartition(partitions(regions.sparkSession), "region", "chunk").sortWithinPartitions("region", "chunk", "pivot", "node")
-    return dealt.select("region", "chunk", "pivot", "node", "n", "text").mapInArrow(run, "parent long, pivot long, node long, n long, text string, ball boolean")
+    return dealt.select("region", "chunk", "pivot", "node", "n", "text").mapInArrow(giving_back(run), "parent long, pivot long, node long, n long, text string, ball boolean")
 
 
 def join_blocks(regions: DataFrame, width: int, percent: int) -> DataFrame:
@@ -394,7 +392,7 @@ def join_blocks(regions: DataFrame, width: int, percent: int) -> DataFrame:
                 found = list(region.links(0, range(n)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    return by_region(rows, "region", "one", "two").mapInArrow(run, "a long, b long")
+    return by_region(rows, "region", "one", "two").mapInArrow(giving_back(run), "a long, b long")
 
 
 def join_split(regions: DataFrame, large: DataFrame, width: int, percent: int, weight: int) -> DataFrame:
@@ -461,10 +459,9 @@ def with_partners(located: DataFrame, percent: int) -> DataFrame:
                 stays[i + 1 : end] |= near
             kept = [r for r, s in zip(rows, stays.tolist(), strict=True) if s]
             yield pa.RecordBatch.from_arrays([pa.array([region] * len(kept), pa.int64()), *[pa.array([r[i] for r in kept], pa.int64()) for i in range(3)]], names=["region", "node", "k", "n"])
-        give_back()
 
     dealt = located.repartition(partitions(located.sparkSession), "region").sortWithinPartitions("region", "n", "node")
-    return dealt.select("region", "node", "k", "n", "sketch").mapInArrow(run, "region long, node long, k long, n long")
+    return dealt.select("region", "node", "k", "n", "sketch").mapInArrow(giving_back(run), "region long, node long, k long, n long")
 
 
 def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent: int, weight: int) -> tuple[DataFrame, DataFrame]:

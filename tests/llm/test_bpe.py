@@ -54,5 +54,12 @@ def test_other_columns_stay(spark):
     assert set(got.columns) == set(df.columns) - {"text"} and [len(r["ids"]) for r in got.orderBy("doc_id").collect()] == [2, 0]
 
 
+def test_decoding_in_one_pass_equals_decode(spark):
+    df = documents(spark, ODD, extra=True)
+    two = bpe.decode(bpe.encode(df)).orderBy("doc_id").collect()
+    one = bpe.encode(df, bytes_column="decoded").orderBy("doc_id").collect()
+    assert [(r["ids"], r["decoded"]) for r in one] == [(r["ids"], r["decoded"]) for r in two]
+
+
 def test_empty_table(spark):
     assert bpe.digests(bpe.decode(bpe.encode(spark.createDataFrame([], SCHEMA)))).count() == 0
