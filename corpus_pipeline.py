@@ -48,7 +48,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = lambda c: F.unhex(F.sha2(c, 256))
     placed = mixing.mix(docs, carry=True).select("position", "row.doc_id", "row.lang", "row.source", "row.n_chars", "row.text")
     kept = placed.select("doc_id", "lang", "source", "n_chars", "position", digest(whole(F.col("text")).cast("binary")).alias("digest"), "text")
-    found = bpe.decode(bpe.encode(kept))
+    found = bpe.encode(kept, bytes_column="decoded")
     same = F.col("digest") == digest(F.coalesce("decoded", F.lit(b"")))
     return found.select("doc_id", "lang", "source", "n_chars", "position", "ids", F.size("ids").cast("long").alias("n_tokens"), same.alias("round_trip"))
 
