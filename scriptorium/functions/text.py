@@ -239,7 +239,7 @@ def teaser(content: Column, length: int) -> Column:
     return trimmed(F.substring(content, 1, length))
 
 
-MORE = "… (continúa — consulte con Maya Lex IA para el análisis completo)"
+MORE = "… (continúa)"
 
 
 def faq(question: Column, content: Column, length: int = 320, more: str = MORE) -> Column:

@@ -68,9 +68,9 @@ def fused(corpus: DataFrame, query: Sequence[float], coleccion: str | None = Non
 
 
 # The collection that each route searches, for civil and for criminal questions; criminal ones stay within their matter.
-CIVIL = {"A": "mayalex_procedimental", "B": "mayalex_normativos", "C": "mayalex_normativos"}
-CRIMINAL = {"A": "mayalex_normativos", "B": "mayalex_normativos", "C": "mayalex_normativos"}
-CRIMINAL_MATTER, PROCEDURAL, PROCEDURAL_HITS = "01_PENAL", "mayalex_procedimental", 3
+CIVIL = {"A": "procedimental", "B": "normativos", "C": "normativos"}
+CRIMINAL = {"A": "normativos", "B": "normativos", "C": "normativos"}
+CRIMINAL_MATTER, PROCEDURAL, PROCEDURAL_HITS = "01_PENAL", "procedimental", 3
 
 
 def routed(asked: DataFrame, civil: dict = CIVIL, criminal: dict = CRIMINAL) -> DataFrame:

@@ -63,8 +63,8 @@ KEPT = "vec_id not in (select doc_id from articles where regexp_matches(contenid
 
 @query(
     """select conv_id, turn, route, criminal, pass, coleccion, materia, k from (
-        select *, 1 as pass, case when criminal or route <> 'A' then 'mayalex_normativos' else 'mayalex_procedimental' end as coleccion, case when criminal then '01_PENAL' end as materia, 5 as k from asked where route <> 'D'
-        union all select *, 2, 'mayalex_procedimental', null, 3 from asked where route = 'C' and not criminal)""".replace("asked", "(select conv_id, turn, case conv_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end as route, conv_id % 3 = 0 as criminal from conversations)")
+        select *, 1 as pass, case when criminal or route <> 'A' then 'normativos' else 'procedimental' end as coleccion, case when criminal then '01_PENAL' end as materia, 5 as k from asked where route <> 'D'
+        union all select *, 2, 'procedimental', null, 3 from asked where route = 'C' and not criminal)""".replace("asked", "(select conv_id, turn, case conv_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end as route, conv_id % 3 = 0 as criminal from conversations)")
 )
 def routed_searches(spark, d):
     route = F.expr("case conv_id % 4 when 0 then 'A' when 1 then 'B' when 2 then 'C' else 'D' end")

@@ -289,7 +289,7 @@ def uuid_check(spark, d):
 
 @query(
     """select doc_id, json_object('@context', 'https://schema.org', '@type', 'FAQPage', 'mainEntity', [json_object('@type', 'Question', 'name', '¿Qué dice el artículo ' || doc_id || '?', 'acceptedAnswer',
-         json_object('@type', 'Answer', 'text', regexp_replace(substr(x, 1, 320), '^[\\s ]+|[\\s ]+$', '', 'g') || case when length(x) > 320 then '… (continúa — consulte con Maya Lex IA para el análisis completo)' else '' end))]) as data
+         json_object('@type', 'Answer', 'text', regexp_replace(substr(x, 1, 320), '^[\\s ]+|[\\s ]+$', '', 'g') || case when length(x) > 320 then '… (continúa)' else '' end))]) as data
        from (select doc_id, coalesce(text, '') as x from documents)"""
 )
 def faq_page(spark, d):

@@ -121,12 +121,12 @@ def test_contributions_are_recorded_and_approved_ones_indexed(spark):
 
 
 def test_routes_search_their_collections(spark):
-    rows = [(f"{c}{i}", c, m, [1.0, i / 10], i % 2 == 0, "[Cliente_Anonimo]" if i == 1 else "texto") for c in ("mayalex_normativos", "mayalex_procedimental") for i in range(8) for m in ("01_PENAL" if i < 4 else "02_CIVIL",)]
+    rows = [(f"{c}{i}", c, m, [1.0, i / 10], i % 2 == 0, "[Cliente_Anonimo]" if i == 1 else "texto") for c in ("normativos", "procedimental") for i in range(8) for m in ("01_PENAL" if i < 4 else "02_CIVIL",)]
     corpus = spark.createDataFrame(rows, "id string, coleccion string, materia string, embedding array<double>, es_norma_vigente boolean, contenido string")
-    found = lambda *a, **k: [(r["pass"], r["id"][8:13]) for r in R.route_search(corpus, [1.0, 0.0], *a, **k).collect()]
+    found = lambda *a, **k: [(r["pass"], r["id"][:5]) for r in R.route_search(corpus, [1.0, 0.0], *a, **k).collect()]
     assert {x for x in found("A")} == {(1, "proce")} and {x for x in found("B")} == {(1, "norma")} and {x for x in found("C")} == {(1, "norma"), (2, "proce")} and found("D") == []
     penal = R.route_search(corpus, [1.0, 0.0], "A", criminal=True).collect()
-    assert penal and {(r["coleccion"], r["materia"]) for r in penal} == {("mayalex_normativos", "01_PENAL")} and not any("Cliente" in r["contenido"] for r in penal)
+    assert penal and {(r["coleccion"], r["materia"]) for r in penal} == {("normativos", "01_PENAL")} and not any("Cliente" in r["contenido"] for r in penal)
 
 
 def test_long_deltas_are_whole_and_the_last_usage_wins(spark):
