@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, jaccard, licenses, mixing, quality, quoting, secrets, sharding, topk, urls
+from scriptorium.llm import bpe, divergence, jaccard, licenses, mixing, quality, quoting, secrets, sharding, topk, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -66,6 +66,10 @@ def op10_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quoting.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -79,5 +83,6 @@ QUERIES = {
         op8_kd_search,
         op9_divergence_rules,
         op10_quote_linking,
+        op11_source_divergence,
     )
 }

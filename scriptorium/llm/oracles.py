@@ -156,6 +156,33 @@ from m join bodies b on b.conv_id = m.conv_id and b.turn = m.turn join threads t
 left join parents p on p.conv_id = m.conv_id and p.turn = m.turn left join linked k on k.conv_id = m.conv_id and k.turn = m.turn
 """
 
+
+def op11() -> str:
+    def p(n: str, total: str) -> str:
+        return f"1 + (1000000000 * ({n} + 1)::hugeint // ({total} + v))::bigint"
+
+    def f(p: str, q: str) -> str:
+        return f"(({p}) - ({q})) * (({p}) - ({q})) // ({q})"
+
+    return rf"""
+with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as x from documents),
+e as (select id, lang, source, unnest(regexp_extract_all(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+kept as (select lang, term, count(*) as lang_n from e group by lang, term having count(distinct id) >= 3),
+langs as (select lang, count(*) as v, sum(lang_n) as total from kept group by lang),
+groups as (select distinct lang, source from d),
+counts as (select lang, source, term, count(*) as n from e group by all),
+every as (select g.lang, g.source, k.term, k.lang_n, coalesce(c.n, 0) as n from groups g join kept k on k.lang = g.lang left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+totals as (select lang, source, sum(n) as total from every group by lang, source),
+shares as (select e.lang, e.source, e.term, e.n, {p("e.n", "t.total")} as p, {p("e.lang_n", "l.total")} as q from every e join totals t on t.lang = e.lang and t.source = e.source join langs l on l.lang = e.lang),
+pairs as (select a.lang, a.source, b.source as item, coalesce(s.value, 0)::bigint as value from groups a join groups b on a.lang = b.lang and a.source <> b.source left join
+    (select x.lang, x.source, y.source as item, sum({f("x.p", "y.p")}) as value from shares x join shares y on y.lang = x.lang and y.term = x.term and y.source <> x.source group by all) s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term as item, {f("p", "q")} as value from shares where n > 0 and p > q),
+ranked as (select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from pairs
+    union all select * from (select lang, source, 'term' as part, item, value, row_number() over (partition by lang, source order by value desc, item) as rank from terms) where rank <= 200)
+select lang, source, part, item, value::bigint as value, rank::int as rank from ranked
+"""
+
+
 ORACLES: dict[str, str] = {
     "op1_prefix_sharding": OP1,
     "op3_jaccard_join": OP3,
@@ -164,4 +191,5 @@ ORACLES: dict[str, str] = {
     "op8_kd_search": OP8,
     "op9_divergence_rules": op9(),
     "op10_quote_linking": OP10,
+    "op11_source_divergence": op11(),
 }
