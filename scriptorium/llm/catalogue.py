@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, divergence, jaccard, licenses, mixing, quality, quoting, secrets, sharding, topk, urls
+from scriptorium.llm import bpe, divergence, jaccard, licenses, mixing, phrases, quality, quoting, secrets, sharding, topk, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,6 +70,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(documents(spark, sf_dir))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,5 +88,6 @@ QUERIES = {
         op9_divergence_rules,
         op10_quote_linking,
         op11_source_divergence,
+        op12_phrase_collocations,
     )
 }

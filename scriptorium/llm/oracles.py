@@ -183,6 +183,21 @@ select lang, source, part, item, value::bigint as value, rank::int as rank from
 """
 
 
+OP12 = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda t: t <> '') as ws from p),
+totals as (select lang, sum(len(ws)) as n from w group by lang),
+g as (select lang, k, ws, unnest(range(1, len(ws) - k + 2)) as i from w, (values (1), (2), (3), (4), (5)) t(k) where len(ws) >= k),
+f as (select lang, k, array_to_string(ws[i:i + k - 1], ' ') as phrase, count(*) as a from g group by all having count(*) >= 100),
+inside as (select lang, array_to_string(string_split(phrase, ' ')[i:i + m - 1], ' ') as phrase, max(a) as longer from (select *, unnest(range(1, k - m + 2)) as i from f, (values (2), (3), (4)) t(m) where m < k) group by all),
+c as (select f.* from f left join inside o on o.lang = f.lang and o.phrase = f.phrase where f.k > 1 and (o.longer is null or 100 * o.longer < 100 * f.a)),
+cuts as (select lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1:j], ' ') as one, array_to_string(string_split(phrase, ' ')[j + 1:k], ' ') as two from (select *, unnest(range(1, k)) as j from c)),
+scored as (select c.lang, c.phrase, c.a, x.a as l, y.a as r, t.n, (1000 * c.a::hugeint * t.n::hugeint // (x.a::hugeint * y.a::hugeint))::bigint as score, c.j from cuts c
+    join f x on x.lang = c.lang and x.phrase = c.one join f y on y.lang = c.lang and y.phrase = c.two join totals t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, j) = 1)
+select lang, rank, phrase, a, l, r, n::bigint as n, score from (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from best) where rank <= 2000
+"""
+
 ORACLES: dict[str, str] = {
     "op1_prefix_sharding": OP1,
     "op3_jaccard_join": OP3,
@@ -192,4 +207,5 @@ ORACLES: dict[str, str] = {
     "op9_divergence_rules": op9(),
     "op10_quote_linking": OP10,
     "op11_source_divergence": op11(),
+    "op12_phrase_collocations": OP12,
 }

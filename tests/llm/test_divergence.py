@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
+
 from scriptorium.llm import divergence
 from tests.llm.helpers import ODD, SCHEMA, documents
 
@@ -61,15 +63,30 @@ def test_groups_without_terms_and_languages_without_kept_terms(spark):
     assert {r[4] for r in got if r[0] == "fr"} == {0} and len([r for r in got if r[:3] == ("en", "z", "pair")]) == 3
 
 
-def test_a_hot_source_and_a_flush_in_the_middle(spark, monkeypatch):
-    monkeypatch.setattr(divergence, "HELD", 50)
-    monkeypatch.setattr(divergence, "WINDOW", 20)
+def test_a_hot_source(spark):
     random.seed(3)
     rows = [(" ".join(random.choices("abcdefghij", k=40)) + f" {'w' * (i % 30 + 1)}", "en", "hot" if i % 3 else f"s{i % 5}") for i in range(300)]
     df = spark.createDataFrame([(i, t, lang, s, 0) for i, (t, lang, s) in enumerate(rows)], SCHEMA)
     assert audited(df) == brute(rows)
 
 
+def test_texts_in_parts_and_counts_passed_on_early(monkeypatch):
+    monkeypatch.setattr(divergence, "HELD", 50)
+    monkeypatch.setattr(divergence, "WINDOW", 20)
+    random.seed(5)
+    texts = [" ".join(random.choices(["ab", "cé", "日本語", "D1e"], k=random.randint(0, 50))) + " " + "x" * (i % 40) for i in range(100)]
+    batch = pa.record_batch([pa.array(["en"] * 100), pa.array([f"s{i % 4}" for i in range(100)]), pa.array([t.encode() for t in texts])], names=["lang", "source", "text"])
+    n, docs, flushes = Counter(), Counter(), 0
+    for found in divergence.counted(iter([batch, batch])):
+        flushes += 1
+        for r in found.to_pylist():
+            n[r["source"], r["term"]] += r["n"]
+            docs[r["source"], r["term"]] += r["docs"]
+    assert flushes > 1
+    assert n == Counter((f"s{i % 4}", t) for i, x in enumerate(texts) for t in terms(x) * 2)
+    assert docs == Counter((f"s{i % 4}", t) for i, x in enumerate(texts) for t in [*set(terms(x))] * 2)
+
+
 def test_counts_beyond_64_bit_products(spark):
     n = 6 * 10**12
     df = spark.createDataFrame([(n, 7 * 10**12, 12345)], "n long, total long, v long")
