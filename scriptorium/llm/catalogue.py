@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import bpe, divergence, jaccard, licenses, mixing, phrases, quality, quoting, secrets, sharding, topk, urls
+from scriptorium.llm import bpe, divergence, jaccard, licenses, mixing, phrases, quality, quoting, secrets, sharding, topk, toxicity, urls
 from scriptorium.llm.oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -74,6 +74,11 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(documents(spark, sf_dir))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -89,5 +94,6 @@ QUERIES = {
         op10_quote_linking,
         op11_source_divergence,
         op12_phrase_collocations,
+        op13_toxicity,
     )
 }
