@@ -22,13 +22,15 @@ from scriptorium.llm._common import drop, giving_back, partitions, ship, stage
 from scriptorium.llm.shingles import U, mix
 
 #: Lengths of n-grams in characters, and bits of the hash that names one.
-ORDERS, BITS = (3, 4, 5), 20
+ORDERS, BITS = (4, 5, 6), 20
 #: Training rows of each label at most, chosen by a hash of their id; weights make up for rows left out.
 MOST_ROWS = 25_000
 #: N-grams that the regression weighs at most, each in at least so many training documents; what is added to each count.
 FEATURES, LEAST_DOCUMENTS, SMOOTH = 1 << 14, 3, 1.0
+#: Errors by which a ratio must lie off 0; the FEW surest are weighed in any case.
+SURE, FEW = 3.0, 300
 #: Strength of the penalty on weights, and rounds of the regression.
-PENALTY, ROUNDS = 1e-3, 60
+PENALTY, ROUNDS = 3e-4, 60
 #: Characters that are hashed at once.
 CHUNK = 500_000
 FOLDS = 5
@@ -115,13 +117,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str, text_colum
 
 
 def ratios(counts: DataFrame, most: int) -> list[tuple[int, float]]:
-    """(bucket, r) of the buckets whose log-count ratio lies furthest from 0 in units of its own error."""
+    """(bucket, r) of the buckets whose log-count ratio lies SURE or more of its own errors from 0, the surest first."""
     held = counts.select("bucket", (F.col("toxic") + SMOOTH).alias("p"), (F.col("clean") + SMOOTH).alias("q"))
     p, q = held.agg(F.sum("p"), F.sum("q")).first()
     r = F.log(F.col("p") / p) - F.log(F.col("q") / q)
     held = held.where(F.col("p") + F.col("q") >= LEAST_DOCUMENTS + 2 * SMOOTH).withColumn("r", r)
     sure = F.abs("r") / F.sqrt(1 / F.col("p") + 1 / F.col("q"))
-    return [tuple(x) for x in held.orderBy(F.desc(sure), "bucket").select("bucket", "r").limit(most).collect()]
+    found = held.withColumn("sure", sure).orderBy(F.desc("sure"), "bucket").limit(most).collect()
+    return [(x["bucket"], x["r"]) for i, x in enumerate(found) if i < FEW or x["sure"] >= SURE]
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", most_rows: int = MOST_ROWS, most_features: int = FEATURES) -> Model:
