@@ -2,8 +2,9 @@
 
 Phrases are found length by length. A pass over the texts counts phrases of one length exactly and, into hashed buckets, those of the next
 length. A phrase is counted only if its bucket reached the least count in the pass before and if both phrases that it holds, one word
-shorter, may be frequent; bitmaps of buckets and of frequent phrases, of one size for any input, tell that. Hashes only prune: what
-they let through is counted by its words. Bucket counts stop at the least count, so that a task passes on a byte a bucket.
+shorter, may be frequent; bitmaps of buckets and of frequent phrases, of one size for any input, tell that. From the second pass on, a
+pass also writes the runs of words that longer phrases may come from, and the next one reads those instead of the texts. Hashes only
+prune: what they let through is counted by its words. Bucket counts stop at the least count, so that a task passes on a byte a bucket.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ FAN = 16
 TABLE = bytes(ord(".") if chr(b) in ".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Totals of up to so many languages are broadcast; more are joined by shuffling.
 BROADCAST_LANGUAGES = 10_000
-PASS = "lang string, phrase string, hash long, n long, cell int, counts binary"
+PASS = "lang string, phrase string, hash long, n long, cell int, counts binary, text binary, carried int"
+KINDS = {"phrase": pa.string(), "hash": pa.int64(), "n": pa.int64(), "cell": pa.int32(), "counts": pa.binary(), "text": pa.binary(), "carried": pa.int32()}
 
 
 def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -57,77 +59,95 @@ class Pass:
         self.length, self.least, self.allowed, self.known = length, least, allowed, known
         self.buckets = np.zeros(1 << BITS, dtype=np.min_scalar_type(least)) if length < longest else None
 
-    def count(self, lang: str, words: list[bytes], carried: int) -> list[tuple]:
-        """(lang, phrase, hash, n) of phrases that end behind the first carried words, which a part before this one has counted."""
+    def count(self, lang: str, words: list[bytes], carried: int) -> Iterator[pa.RecordBatch]:
+        """Phrases that end behind the first carried words, which a part before this one has counted; and the words that the next length needs."""
         k, n = self.length, len(words)
         if n < k:
-            return []
+            return
         index = dict(zip(dict.fromkeys(words), range(n), strict=False))
         names = list(index)
         ids = np.fromiter(map(index.__getitem__, words), np.int64, n)
         seed = xxhash.xxh3_64_intdigest(lang.encode())
-        own = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))[ids]
+        of_name = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), np.uint64, len(names))
+        own, hashes, shorter = of_name[ids], mix(of_name)[ids], None
         place = np.arange(n)
         ends = np.where(ids == index.get(b".", -1), place, n)
         left = np.minimum.accumulate(ends[::-1])[::-1] - place  # words from here to the end of the piece
-        shorter, hashes = None, mix(own)
         for j in range(1, k):
             shorter, hashes = hashes, mix(hashes[:-1] * U(0xD1342543DE82EF95) + own[j:])
         may = left[: n - k + 1] >= k
         if k > 1:
             may &= has(self.allowed, hashes) & has(self.known, shorter[:-1]) & has(self.known, shorter[1:])
         if self.buckets is not None and n > k:
-            at = np.flatnonzero(may[:-1] & may[1:] & (left[: n - k] > k) & (place[: n - k] + k >= carried))
+            both = may[:-1] & may[1:] & (left[: n - k] > k)
+            at = np.flatnonzero(both & (place[: n - k] + k >= carried))
             bucket, times = np.unique(mix(hashes[at] * U(0xD1342543DE82EF95) + own[at + k]) >> U(64 - BITS), return_counts=True)
             bucket = bucket.astype(np.int64)
             self.buckets[bucket] = np.minimum(self.buckets[bucket] + times, self.least)
+            if k > 1:
+                yield from self.trimmed(lang, words, both, carried)
         at = np.flatnonzero(may & (place[: n - k + 1] + k - 1 >= carried))
+        if not len(at):
+            return
         key = ids[at]
         for j in range(1, k):
             key = np.unique(key, return_inverse=True)[1] * len(names) + ids[at + j]
         _, first, times = np.unique(key, return_index=True, return_counts=True)
         first = at[first]
-        return [(lang, b" ".join(names[i] for i in ids[p : p + k]), h, t) for p, h, t in zip(first.tolist(), hashes[first].view(np.int64).tolist(), times.tolist(), strict=True)]
+        phrases = map(b" ".join, zip(*(map(names.__getitem__, ids[first + j].tolist()) for j in range(k)), strict=True))
+        yield record(len(first), lang=lang, phrase=pa.array(phrases, pa.binary()).cast(pa.string()), hash=pa.array(hashes[first].view(np.int64)), n=pa.array(times))
+
+    def trimmed(self, lang: str, words: list[bytes], both: np.ndarray, carried: int) -> Iterator[pa.RecordBatch]:
+        """The runs of words of which phrases longer by one word may be frequent; other words need not be read again."""
+        edge = np.diff(np.concatenate([[0], both.astype(np.int8), [0]]))
+        out: list[bytes] = []
+        for a, b in zip(np.flatnonzero(edge == 1).tolist(), (np.flatnonzero(edge == -1) + self.length).tolist(), strict=True):
+            if a >= carried:
+                out += words[a:b]
+                out.append(b".")
+            elif b > carried:
+                yield record(1, lang=lang, text=pa.array([b" ".join(words[a:b])]), carried=pa.array([carried - a], pa.int32()))
+        if out:
+            yield record(1, lang=lang, text=pa.array([b" ".join(out)]), carried=pa.array([0], pa.int32()))
 
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}
         size = 0
         for batch in batches:
-            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for lang, text, carried in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 raw = text.translate(TABLE)
-                if len(raw) > WINDOW:
-                    yield self.rows(self.long(lang, raw))
-                    continue
-                held.setdefault(lang, []).append(raw)
-                size += len(raw)
+                if carried:
+                    yield from self.count(lang, raw.split(), carried)
+                elif len(raw) > WINDOW:
+                    yield from self.long(lang, raw)
+                else:
+                    held.setdefault(lang, []).append(raw)
+                    size += len(raw)
                 if size > WINDOW:
-                    yield self.rows(self.short(held))
+                    yield from self.short(held)
                     held, size = {}, 0
-        yield self.rows(self.short(held))
+        yield from self.short(held)
         if self.buckets is not None:
-            yield from self.cells()
+            for i in range(0, 1 << BITS, CELL):
+                if self.buckets[i : i + CELL].any():
+                    yield record(1, cell=pa.array([i // CELL], pa.int32()), counts=pa.array([self.buckets[i : i + CELL].tobytes()]))
 
-    def short(self, held: dict[str, list[bytes]]) -> Iterator[tuple]:
+    def short(self, held: dict[str, list[bytes]]) -> Iterator[pa.RecordBatch]:
         for lang, texts in held.items():
             yield from self.count(lang, b".".join(texts).replace(b".", b" . ").split(), 0)
 
-    def long(self, lang: str, raw: bytes) -> Iterator[tuple]:
+    def long(self, lang: str, raw: bytes) -> Iterator[pa.RecordBatch]:
         before: list[bytes] = []
         for part, goes_on in parts(raw):
             words = before + part.replace(b".", b" . ").split()
             yield from self.count(lang, words, len(before))
-            before = words[-self.length :] if goes_on else []
+            before = words[-LONGEST:] if goes_on else []
 
-    def rows(self, found: Iterator[tuple]) -> pa.RecordBatch:
-        lang, phrase, h, n = zip(*rows, strict=True) if (rows := list(found)) else ((),) * 4
-        none = pa.nulls(len(rows), pa.int32()), pa.nulls(len(rows), pa.binary())
-        return pa.record_batch([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()).cast(pa.string()), pa.array(h, pa.int64()), pa.array(n, pa.int64()), *none], names=["lang", "phrase", "hash", "n", "cell", "counts"])
 
-    def cells(self) -> Iterator[pa.RecordBatch]:
-        some = [i for i in range(0, 1 << BITS, CELL) if self.buckets[i : i + CELL].any()]
-        for i in some:
-            none = [pa.nulls(1, t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())]
-            yield pa.record_batch([*none, pa.array([i // CELL], pa.int32()), pa.array([self.buckets[i : i + CELL].tobytes()], pa.binary())], names=["lang", "phrase", "hash", "n", "cell", "counts"])
+def record(rows: int, lang: str | None = None, **columns: pa.Array) -> pa.RecordBatch:
+    """Rows of PASS, with nulls where nothing is given."""
+    lang = pa.nulls(rows, pa.string()) if lang is None else pa.array([lang] * rows)
+    return pa.record_batch([lang, *(columns.get(c, pa.nulls(rows, k)) for c, k in KINDS.items())], names=["lang", *KINDS])
 
 
 def merged(cells: DataFrame, least: int) -> DataFrame:
@@ -183,12 +203,16 @@ def assembled(cells: DataFrame) -> np.ndarray:
 def frequent(df: DataFrame, text_column: str = "text", lang_column: str = "lang", longest: int = LONGEST, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
     """lang, phrase, length, n for every phrase of up to longest words with n >= least occurrences; and lang, n of all words.
 
+    longest is LONGEST at most, which parts of a long text share.
+
     Nulls, repeated rows and empty tables as in collocations().
     """
+    if longest > LONGEST:
+        raise ValueError(f"phrases have {LONGEST} words at most")
     spark = df.sparkSession
     ship(spark)
-    held = df.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary").alias("text"))
-    levels, totals, allowed, known = [], None, None, None
+    held = df.select(F.coalesce(F.col(f"`{lang_column}`"), F.lit("und")).alias("lang"), F.coalesce(F.col(f"`{text_column}`"), F.lit("")).cast("binary").alias("text"), F.lit(0).alias("carried"))
+    levels, before, totals, allowed, known = [], [], None, None, None
     for length in range(1, longest + 1):
         bitmaps = None if length == 1 else spark.sparkContext.broadcast((allowed, known))
 
@@ -203,7 +227,11 @@ def frequent(df: DataFrame, text_column: str = "text", lang_column: str = "lang"
             totals = stage(counted.groupBy("lang").agg(F.sum("n").alias("n")))
         if length < longest:
             allowed, known = bucket_bits(seen.where("cell is not null"), least), phrase_bits(levels[-1])
-        drop(seen)
+        drop(*before)
+        before = [seen]
+        if length > 1:
+            held = seen.where("text is not null").select("lang", "text", "carried")
+    drop(*before)
     return reduce(DataFrame.union, levels).select("lang", "phrase", "length", "n"), totals
 
 

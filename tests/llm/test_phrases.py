@@ -90,16 +90,37 @@ def test_long_texts_are_counted_in_parts_as_a_whole(monkeypatch):
             monkeypatch.setattr(phrases, "WINDOW", window)
             counts, buckets = run(texts, length, full)
             assert counts == whole[0] and (buckets == whole[1]).all()
-        want = plain_counts(texts, length)
-        assert whole[0] == {" ".join(p): v for p, v in want.items() if len(p) == length}
+            assert trimmed_counts(texts, length, full) == plain_of(texts, length + 1)
+        assert whole[0] == plain_of(texts, length)
+
+
+def plain_of(texts, length):
+    return {" ".join(p): v for p, v in plain_counts(texts, length).items() if len(p) == length}
+
+
+def trimmed_counts(texts, length, full):
+    """Phrases longer by one word, counted in what a pass leaves of the texts for the next; everything may be frequent."""
+    own = phrases.Pass(length, 5, 200, full, full)
+    rows = [r for b in own.run(iter([batch_of(texts)])) for r in b.to_pylist() if r["text"] is not None] if length > 1 else None
+    left = batch_of(texts) if rows is None else pa.record_batch([pa.array([r[c] for r in rows]) for c in ("lang", "text", "carried")], names=["lang", "text", "carried"])
+    counts = Counter()
+    for found in phrases.Pass(length + 1, 5, 200, full, full).run(iter([left])):
+        for r in found.to_pylist():
+            if r["phrase"] is not None:
+                counts[r["phrase"]] += r["n"]
+    return counts
 
 
 def np_ones():
     return phrases.np.full((1 << phrases.BITS) // 8, 255, dtype="uint8")
 
 
+def batch_of(texts):
+    return pa.record_batch([pa.array(["en"] * len(texts)), pa.array([t.encode() for t in texts]), pa.array([0] * len(texts), pa.int32())], names=["lang", "text", "carried"])
+
+
 def run(texts, length, full):
-    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+    batch = batch_of(texts)
     own = phrases.Pass(length, 5, 200, full, full)
     counts = Counter()
     for found in own.run(iter([batch])):
@@ -113,7 +134,7 @@ def test_bucket_counts_reach_what_the_phrases_do():
     """The sum of a bucket, stopped at the least count, is at least each of its phrases', stopped there."""
     texts = sentences(3, 60)
     own = phrases.Pass(1, 5, 50, None, None)
-    batch = pa.record_batch([pa.array(["en"] * len(texts)), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+    batch = batch_of(texts)
     list(own.run(iter([batch])))
     full = np_ones()
     for r in (r for b in phrases.Pass(2, 5, 50, full, full).run(iter([batch])) for r in b.to_pylist()):
@@ -125,7 +146,7 @@ def test_pruning_leaves_few_phrases_to_count(spark):
     """Phrases whose bucket stays below the least count are not passed on."""
     random.seed(1)
     texts = [" ".join(f"w{random.randrange(3000)}" for _ in range(200)) + " often seen phrase" for _ in range(60)]
-    batch = pa.record_batch([pa.array(["en"] * 60), pa.array([t.encode() for t in texts])], names=["lang", "text"])
+    batch = batch_of(texts)
     first = phrases.Pass(1, 5, 50, None, None)
     list(first.run(iter([batch])))
     allowed = phrases.np.packbits(first.buckets >= 50, bitorder="little")
