@@ -142,7 +142,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     if len(have) < 2:
         return Model(table, 30.0 if 1 in have else -30.0)
     counts = rows.select("label", "text").mapInArrow(giving_back(counted), "bucket int, clean long, toxic long")
-    found = ratios(counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")), most_features)
+    counts = stage(counts.groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")))
+    found = ratios(counts, most_features)
     place = np.full(1 << BITS, -1, dtype=np.int32)
     place[[b for b, _ in found]] = np.arange(len(found))
 
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     regression = LogisticRegression(featuresCol="scaled", labelCol="label", weightCol="weight", regParam=PENALTY, maxIter=ROUNDS, standardization=False)
     learned = regression.fit(scaled.transform(present.transform(marked)))
     table[[b for b, _ in found]] = learned.coefficients.toArray() * np.array([r for _, r in found])
-    drop(rows, marked)
+    drop(rows, counts, marked)
     return Model(table, float(learned.intercept))
 
 
