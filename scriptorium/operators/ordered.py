@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from scriptorium.sources.shipping import ship
 
-TYPES = {"string": pa.string(), "boolean": pa.bool_()}
+TYPES = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
 
 
 def ordered_fold(

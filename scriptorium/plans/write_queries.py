@@ -10,6 +10,7 @@ from scriptorium.plans.registry import query
 from scriptorium.sources import files as S
 from scriptorium.sources.views import table, view
 from scriptorium.streaming import alerts as AL
+from scriptorium.streaming import tokens as TK
 
 
 @query("select user_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
@@ -112,12 +113,38 @@ def alert_console(spark, d):
     return AL.console(alerts(spark, d), "user_id", "event_id")
 
 
+OWN_FORMAT = TK.Source(("delta",), ("usage",), ("turn",))
+
+
 @query("select conv_id, string_agg(text, '' order by turn) as answer, '{\"turn\":' || max(turn) || '}' as usage, count(*) as n_chunks from conversations group by conv_id")
 def sse_parse(spark, d):
     """Token streams: each turn arrives as a data line; the deltas of a stream are joined in order, and malformed lines are left out."""
     delta = F.to_json(F.struct(F.col("text").alias("delta"), F.struct("turn").alias("usage")))
     lines = table(spark, d, "conversations").select("conv_id", F.col("turn").alias("seq"), F.concat(F.lit("data: "), delta, F.lit("\n: comment\ndata: {broken\n")).alias("chunk"))
-    return AL.joined_deltas(lines, "conv_id", "seq", "chunk").withColumnRenamed("text", "answer")
+    found = TK.answers(TK.pieces(lines, "conv_id", "seq", "chunk", OWN_FORMAT), "conv_id", "seq", OWN_FORMAT)
+    return found.select("conv_id", F.col("text").alias("answer"), F.to_json(F.struct("turn")).alias("usage"), "n_chunks")
+
+
+#: Turns of a conversation from this one on stand behind the line that ends its stream.
+ENDS = 5
+
+
+@query(
+    f"""select conv_id, coalesce(string_agg('say data: [DONE] now ' || text, '' order by turn) filter (turn < {ENDS}), '') as answer, count(*) > {ENDS} as done,
+        max(case when turn < {ENDS} and turn % 2 = 0 then 10 * turn end) as prompt_tokens, max(case when turn < {ENDS} then turn end) as completion_tokens from (
+            select conv_id, text, row_number() over (partition by conv_id order by turn) - 1 as turn from conversations) group by conv_id"""
+)
+def sse_provider_stream(spark, d):
+    """The provider's format, in chunks that end inside lines and characters: the mark of the end stands in every delta, and as a line of
+    its own before turn ENDS; even turns report the prompt, all turns the completion, and each count is the last one given."""
+    turns = table(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1)
+    content = F.array(F.struct(F.struct(F.concat(F.lit("say data: [DONE] now "), "text").alias("content")).alias("delta")))
+    usage = F.struct(F.when(F.col("n") % 2 == 0, 10 * F.col("n")).alias("prompt_tokens"), F.col("n").alias("completion_tokens"))
+    line = F.concat(F.when(F.col("n") == ENDS, "data: [DONE]\n").otherwise(""), F.lit("event: x\ndata: "), F.to_json(F.struct(content.alias("choices"), usage.alias("usage"))), F.lit("\n"))
+    data = line.cast("binary")
+    halves = turns.select("conv_id", "n", data.alias("data")).select("conv_id", "n", F.expr("inline(array(struct(0 as half, substring(data, 1, octet_length(data) div 2) as chunk), struct(1 as half, substring(data, octet_length(data) div 2 + 1) as chunk)))"))
+    chunks = halves.select("conv_id", (2 * F.col("n") + F.col("half")).alias("seq"), "chunk")
+    return TK.answers(TK.pieces(chunks, "conv_id", "seq", "chunk"), "conv_id", "seq").select("conv_id", F.col("text").alias("answer"), "done", "prompt_tokens", "completion_tokens")
 
 
 FEEDBACK = """(select event_id, case when event_id % 4 = 0 then 'no id' else '12345678-9abc-4def-89ab-0123456789ab' end as consulta_id, case event_id % 3 when 0 then 'true' when 1 then 'false' end as util, repeat('  ' || event_type, 90) as comentario from events)"""

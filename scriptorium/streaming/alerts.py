@@ -1,4 +1,4 @@
-"""Alert merging and token streams, as batch DataFrames and over streams."""
+"""Alerts: parsing, merging and progress, as batch DataFrames."""
 
 from __future__ import annotations
 
@@ -47,17 +47,3 @@ def console(alerts: DataFrame, key: str, order: str, start: int = START, **colum
     marked = progress(alerts, start=start, **columns)
     first = F.min_by("progress", F.when(F.col("progress").isNotNull(), F.col(order)))
     return marked.groupBy(key).agg(F.coalesce(first, F.lit(start)).alias("progress"), F.count_if("is_finding").alias("findings"), F.count_if("is_resolution").alias("resolutions"))
-
-
-def joined_deltas(chunks: DataFrame, key: str, seq: str, chunk: str, done: str = "[DONE]") -> DataFrame:
-    """The text of each token stream: chunks joined in order, split into lines, and the deltas of its data lines joined.
-
-    Partial lines are completed by the next chunk; lines after done and malformed JSON are left out. A stream is one answer, so its
-    chunks fit a row. usage is the last one that a data line reports, as JSON.
-    """
-    ordered = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(chunk).alias("c"))))
-    whole = chunks.groupBy(key).agg(F.array_join(F.transform(ordered, lambda x: x["c"]), "").alias("all"), F.count("*").alias("n_chunks"))
-    before_done = F.substring_index("all", "data: " + done, 1)
-    lines = F.filter(F.split(before_done, "\n"), lambda x: x.startswith("data: "))
-    field = lambda path: F.array_compact(F.transform(lines, lambda x: F.get_json_object(F.substr(x, F.lit(7)), path)))
-    return whole.select(key, F.array_join(field("$.delta"), "").alias("text"), F.get(F.reverse(field("$.usage")), F.lit(0)).alias("usage"), "n_chunks")

@@ -46,12 +46,6 @@ def test_alert_lines(spark):
     assert sorted(r["kind"] for r in alerts.parsed(df).collect()) == ["info", "warning"]
 
 
-def test_deltas_join_over_partial_lines(spark):
-    chunks = [("k", 0, 'data: {"del'), ("k", 1, 'ta":"a"}\ndata: {"delta":"b"}\nnoise\ndata: {bad\n'), ("k", 2, 'data: [DONE]\ndata: {"delta":"c"}\n')]
-    got = alerts.joined_deltas(spark.createDataFrame(chunks, "k string, s int, c string"), "k", "s", "c").first()
-    assert got["text"] == "ab" and got["n_chunks"] == 3
-
-
 def test_stream_upsert(spark, tmp_path):
     for i, rows in enumerate(([(1, "a", 1), (2, "b", 1)], [(1, "c", 2)])):
         spark.createDataFrame(rows, "k int, v string, at int").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
