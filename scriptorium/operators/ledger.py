@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
-from scriptorium.operators.ordered import ordered_fold
+from scriptorium.operators.ordered import BLOCK_ROWS, segmented_fold
 
 TIERS, STATUSES = ("pro", "academico"), ("trialing", "active", "cancelled", "past_due")
 #: Event types: (new status, transition). Fixed values; all others are ignored.
@@ -70,8 +70,109 @@ def advanced(state: tuple, e: dict) -> tuple[tuple, tuple]:
     return (sub, tier, status, usage), (e["event_id"], reason, applied, state[2], status, state[0], sub, usage, tier)
 
 
-def folded(events: DataFrame) -> DataFrame:
-    """The audit rows of every user's events in order of (ts, event_id): one row for each event, applied or not."""
+#: What a block of events leaves of the state before it, and a subscription that no event of the block names.
+KEPT, OTHER = "=", ("other",)
+
+
+class BlockOfEvents:
+    """What a block of a user's events does to any state before it.
+
+    Tiers are only passed on, and of two subscriptions it only matters whether they are the same. So states before the block fall into
+    classes: by status, and by whether the subscription is missing, named in the block, or another one. Classes that an event sends to the
+    same state stay together from then on; an event moves all classes at once that do not hold its own subscription.
+    """
+
+    def __init__(self):
+        self.leads: list[int] = []  # for each class, the class that it has come together with
+        self.first: list[tuple] = []  # (status before, subscription before) of each class
+        self.places: dict[tuple, dict] = {}  # (status, tier, usage tier) now: subscription now: class
+        self.named: set = set()
+        self.others: list[int] = []  # classes of states whose subscription the block does not name, by status
+        for status in (None, *STATUSES):
+            for sub in (None,) if status is None else (None, OTHER):
+                self.places.setdefault((status, KEPT, KEPT), {})[sub] = c = self.started(status, sub)
+                if sub is OTHER:
+                    self.others.append(c)
+
+    def started(self, status: str | None, sub: object) -> int:
+        self.leads.append(len(self.leads))
+        self.first.append((status, sub))
+        return len(self.leads) - 1
+
+    def lead(self, c: int) -> int:
+        while self.leads[c] != c:
+            self.leads[c] = c = self.leads[self.leads[c]]
+        return c
+
+    def put(self, place: tuple, sub: object, c: int) -> None:
+        held = self.places.setdefault(place, {})
+        if sub in held:
+            self.leads[c] = held[sub]
+        else:
+            held[sub] = c
+
+    def add(self, e: dict) -> None:
+        own = e["sub_id"]
+        if own is not None and own not in self.named:  # states before the block that hold this subscription part from the others here
+            self.named.add(own)
+            apart: dict[int, int] = {}
+            for c in self.others:
+                lead = self.lead(c)
+                place = next((p for p, held in self.places.items() if held.get(OTHER) == lead), None)
+                if place is not None:
+                    new = self.started(self.first[c][0], own)
+                    if lead in apart:
+                        self.leads[new] = apart[lead]
+                    else:
+                        apart[lead] = new
+                        self.put(place, own, new)
+        moves = []
+        for place in list(self.places):
+            held = self.places[place]
+            status, tier, usage = place
+            for sub in [s for s in dict.fromkeys((None, own)) if s in held]:
+                moves.append((advanced((sub, tier, status, usage), e)[0], held.pop(sub)))
+            if held:
+                to, to_tier, to_status, to_usage = advanced((OTHER, tier, status, usage), e)[0]
+                if to is OTHER and (to_status, to_tier, to_usage) == place:
+                    continue
+                del self.places[place]
+                moves += [((sub if to is OTHER else to, to_tier, to_status, to_usage), c) for sub, c in held.items()]
+        for (sub, tier, status, usage), c in moves:
+            self.put((status, tier, usage), sub, c)
+
+    def result(self) -> list:
+        """[status before, subscription before, state after] of each class; a named subscription only where it differs from others.
+
+        A subscription is [id], null for none, or KEPT: before, one that the block does not name, and after, the one before.
+        """
+        ends = {c: ([sub] if isinstance(sub, str) else KEPT if sub is OTHER else None, tier, status, usage) for (status, tier, usage), held in self.places.items() for sub, c in held.items()}
+        found = {f: ends[self.lead(c)] for c, f in enumerate(self.first)}
+        rows = []
+        for (status, sub), end in found.items():
+            if isinstance(sub, str):
+                end = (KEPT if end[0] == [sub] else end[0], *end[1:])
+                if end != found[status, OTHER]:
+                    rows.append([status, [sub], end])
+            else:
+                rows.append([status, None if sub is None else KEPT, end])
+        return rows
+
+    @staticmethod
+    def after(result: list, state: list | tuple) -> tuple:
+        sub, tier, status, usage = state
+        ends = {(s, tuple(x) if isinstance(x, list) else x): end for s, x, end in result}
+        kind = None if sub is None else (sub,) if (status, (sub,)) in ends else KEPT
+        to, to_tier, to_status, to_usage = ends[status, kind]
+        kept = lambda new, old: old if new == KEPT else new
+        return (to[0] if isinstance(to, list) else kept(to, sub), kept(to_tier, tier), to_status, kept(to_usage, usage))
+
+
+def folded(events: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The audit rows of every user's events in order of (ts, event_id): one row for each event, applied or not.
+
+    Users with over block_rows events are folded in blocks, at once in many tasks.
+    """
     rows = dispatched(events).where(F.col("tier").isin(*TIERS) & F.col("new_status").isin(*STATUSES))
     fields = ["ts", "event_id", "sub_id", "tier", "new_status", "transition", "grants"]
 
@@ -79,7 +180,8 @@ def folded(events: DataFrame) -> DataFrame:
         now, row = advanced(state, e)
         return now, row[1:]
 
-    return ordered_fold(rows.select("user_identifier", *fields), "user_identifier", fields, fields[1:], ["event_id"], (None, None, None, None), step, AUDIT)
+    held = rows.select("user_identifier", *fields)
+    return segmented_fold(held, "user_identifier", ["ts", "event_id"], fields[1:], ["event_id"], (None, None, None, None), step, AUDIT, BlockOfEvents, block_rows)
 
 
 def duplicate_attempts(audit: DataFrame, events: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import bisect
+from collections import deque
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.operators.ordered import ordered_fold
+from scriptorium.operators.ordered import BLOCK_ROWS, segmented_fold
 
 #: Daily limits by tier (fixed values).
 LIMITS = {"free": 3, "academico": 20, "pro": 1000, "admin": 9999}
@@ -81,12 +85,72 @@ def purchase_guard(subs: DataFrame, wanted: Column) -> DataFrame:
     return subs.withColumns({"code": code, "retry_after_s": F.when(young, F.ceil((PENDING_WINDOW_MS - F.col("age_ms")) / 1000))})
 
 
-def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS) -> DataFrame:
-    """attempts with accepted: at least window_ms after the user's last accepted one. A fold over one user's ordered attempts."""
+class BlockOfAttempts:
+    """What a block of a user's attempts does to the time of the last accepted one.
+
+    From any attempt that is accepted, the next ones follow. The first that is accepted in a block is the first one window_ms after the last
+    one before it, which lies before the block; so only attempts up to window_ms after the block's first can be it. For each of those, the
+    block keeps the last one that follows; where paths have met, they go on as one.
+    """
+
+    def __init__(self, window_ms: int = THROTTLE_MS):
+        self.window = window_ms
+        self.starts: list[int] = []  # times that may be the first accepted, in order
+        self.paths: list[int] = []  # the path that each begins or joins
+        self.last: list[int] = []  # for each path, its last accepted time
+        self.into: list[int] = []  # for each path, the one that it has met, or itself
+        self.live: deque[tuple[int, int]] = deque()  # (last accepted time, path) of paths that have not met another, by time
+
+    def add(self, row: dict) -> None:
+        ms, path = row["ms"], None
+        if ms is None:
+            return
+        while self.live and ms - self.live[0][0] >= self.window:
+            own = self.live.popleft()[1]
+            path = own if path is None else path
+            self.into[own] = path
+        begins = not self.starts or (ms != self.starts[-1] and self.starts[-1] - self.starts[0] <= self.window)
+        if begins and path is None:
+            path = len(self.last)
+            self.last.append(ms)
+            self.into.append(path)
+        if path is not None:
+            self.last[path] = ms
+            self.live.append((ms, path))
+        if begins:
+            self.starts.append(ms)
+            self.paths.append(path)
+
+    def result(self) -> dict:
+        """Times and the last accepted one from there on; of times in a row that end alike, the last."""
+
+        def end(path: int) -> int:
+            while self.into[path] != path:
+                path = self.into[path]
+            return self.last[path]
+
+        ends = [end(p) for p in self.paths]
+        kept = [i for i, e in enumerate(ends) if i + 1 == len(ends) or e != ends[i + 1]]
+        return {"window": self.window, "starts": [self.starts[i] for i in kept], "ends": [ends[i] for i in kept]}
+
+    @staticmethod
+    def after(result: dict, last: int | None) -> int | None:
+        """The last accepted time after the block."""
+        if last is None:
+            return result["ends"][0] if result["ends"] else None
+        i = bisect.bisect_left(result["starts"], last + result["window"])
+        return result["ends"][i] if i < len(result["ends"]) else last
+
+
+def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """attempts with accepted: at least window_ms after the user's last accepted one.
+
+    A fold over a user's ordered attempts; users with over block_rows of them are folded in blocks, at once in many tasks.
+    """
     rows = attempts.select(user, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), order)
 
     def step(last: int | None, x: dict) -> tuple[int | None, tuple]:
         ok = True if last is None else None if x["ms"] is None else x["ms"] - last >= window_ms
         return x["ms"] if ok else last, (ok,)
 
-    return ordered_fold(rows, user, ["ms", order], ["ms"], [order], None, step, {"accepted": "boolean"})
+    return segmented_fold(rows, user, ["ms", order], ["ms"], [order], None, step, {"accepted": "boolean"}, partial(BlockOfAttempts, window_ms), block_rows)
