@@ -8,7 +8,6 @@ each from its own first state.
 from __future__ import annotations
 
 import json
-import tempfile
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -16,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.scratch import scratch_dir
 from scriptorium.sources.shipping import ship
 
 TYPES = {"string": pa.string(), "boolean": pa.bool_(), "long": pa.int64()}
@@ -74,10 +74,7 @@ def _checkpointed(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="scriptorium-"))
+        context.setCheckpointDir(scratch_dir(spark))
     return df.checkpoint(eager=True)
 
 
