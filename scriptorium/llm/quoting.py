@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from scriptorium.llm._common import SPACE_CLASS, lower_ascii, maybe_among, partitions, stage, whole
 
-MARKS = rf"^(?:[{SPACE_CLASS}]*>)+"
+#: One class and no repeated group, in which the matcher would go one call deeper for each mark.
+MARKS = rf"^[{SPACE_CLASS}>]*>"
 #: Quoted lines and paragraphs of fewer characters, once normalised, link only as a whole passage.
 LEAST = 4
 #: Turns of a conversation that are searched together for an earlier writer.

@@ -157,6 +157,12 @@ def test_odd_rows(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_long_runs_of_marks(spark):
+    marks, mixed = ">" * 200_000, "> \t>" * 60_000
+    rows = [(1, 0, "u", "a line here"), (1, 1, "u", marks + " a line here"), (1, 2, "u", mixed + " a line here\n" + marks), (1, 3, "u", " " * 100_000 + "no quote"), (1, 4, "u", (">" * 5_000 + "\n") * 3)]
+    assert found(spark, rows) == brute(rows)
+
+
 def test_nulls_repeats_and_empty_table(spark):
     rows = [(None, 0, "u", "> a line here"), (1, None, "u", "a line here"), (1, 5, "u", "> a line here"), (1, 5, "u", "> a line here")]
     got = quoting.conversations(spark.createDataFrame(rows, SCHEMA)).collect()
