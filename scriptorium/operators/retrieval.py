@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.functions import vectors as V
+from scriptorium.operators.search import Index
 
 CAP, TEMPLATE_CAP, IN_FORCE = 20, 10, 3
 MAX_CITATIONS, CITATION_LENGTH = 5, 600
@@ -101,12 +102,14 @@ def nearest_of_each(corpus: DataFrame, queries: DataFrame, k: int, key: str = "i
     """Top-k for each row of queries (query_id, query), a stated set that meets the corpus in blocks of about QUERY_BLOCK vectors.
 
     Each corpus row scores a block where it stands and only k rows a partition and query are shuffled. Up to MOST_SENT queries are
-    sent to every executor; more of them meet the corpus by pairs of partitions.
+    sent to every executor; more of them meet only the blocks of an index that may hold their rows, and rows without direction are left out.
     """
     n = queries.count()
+    if n > MOST_SENT:
+        return Index(corpus, key).search(queries, k)
     block = F.pmod(F.xxhash64("query_id"), F.lit(n // QUERY_BLOCK + 1))
     packed = queries.groupBy(block.alias("block")).agg(F.collect_list(F.struct("query_id", "query")).alias("queries"))
-    rows = corpus.crossJoin(F.broadcast(packed) if n <= MOST_SENT else packed).select(key, "embedding", F.explode("queries").alias("q"))
+    rows = corpus.crossJoin(F.broadcast(packed)).select(key, "embedding", F.explode("queries").alias("q"))
     similar = rows.select("q.query_id", key, V.cosine_similarity(F.col("embedding"), F.col("q.query")).alias("similarity"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), key))
     return similar.withColumn("rank", rank).where(F.col("rank") <= k)

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as T
 from scriptorium.functions import vectors as V
 from scriptorium.operators import retrieval as R
-from scriptorium.plans.registry import query
-from scriptorium.sources.views import table, view
+from scriptorium.operators import search as S
+from scriptorium.plans import article_queries
+from scriptorium.plans.registry import ORACLES, query
+from scriptorium.sources.views import VIEWS, table, view
 
 
 def query_vector(spark, sf_dir: str, vec_id: int = 0) -> list[float]:
@@ -273,3 +275,49 @@ def context_template(spark, d):
         F.expr("doc_id div 20").alias("question"), "doc_id", F.col("source").alias("title"), ((F.col("n_chars") % 100) / 100.0).alias("similarity"), F.array("lang", "source").alias("variables"), F.col("text").alias("content")
     )
     return R.template_blocks(docs, "question", "doc_id")
+
+
+COSINE = "list_cosine_similarity(c.embedding::double[], q.embedding::double[])"
+
+
+@query(
+    f"""select query_id, id, rank, round(similarity, 6) as similarity from (
+        select q.vec_id as query_id, c.id, {COSINE} as similarity, row_number() over (partition by q.vec_id order by {COSINE} desc, c.id) as rank
+        from embeddings q join corpus c on c.coleccion = concat('c', q.vec_id % 3) and (q.vec_id % 2 = 0 or c.materia = '01') and (q.vec_id % 4 <> 3 or c.es_norma_vigente)) where rank <= 5""",
+    "corpus",
+)
+def retrieval_pruned_search(spark, d):
+    """Every vector as a question of one collection, odd ones of one matter, some of statutes in force only, through the index."""
+    i = F.col("vec_id")
+    asked = table(spark, d, "embeddings").select(
+        i.alias("query_id"), F.col("embedding").alias("query"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("c"), F.when(i % 2 == 1, "01").alias("m"), F.when(i % 4 == 3, F.lit(True)).alias("f")
+    )
+    index = S.Index(view(spark, d, "corpus"), "id", ("coleccion", "materia", "es_norma_vigente"))
+    return rounded(index.search(asked, 5, wanted={"coleccion": "c", "materia": "m", "es_norma_vigente": "f"}), "query_id", "id", "rank")
+
+
+#: Collections and matters of the corpus by the names that questions use, and the vector of a question.
+NAMED = "(select id, embedding, vec_id, es_norma_vigente, case coleccion when 'c0' then 'normativos' else 'procedimental' end as coleccion, case materia when '01' then '01_PENAL' else '02_CIVIL' end as materia from corpus)"
+VECTOR = "(select vec_id, embedding from embeddings where vec_id < 100)"
+
+
+def driver_sql() -> str:
+    asked = "(select p.*, q.embedding, case when p.question_id % 2 = 0 then 'normativos' else 'procedimental' end as coleccion from plans p join vectors q on q.vec_id = p.question_id % 100 where p.plan = 'semantic')"
+    kinds = f"(select distinct question_id % 100 as v, coleccion, matter, embedding from {asked})"
+    hit = f"select q.v, q.coleccion, q.matter, c.id, c.vec_id, {COSINE} as similarity, row_number() over (partition by q.v, q.coleccion, q.matter order by {COSINE} desc, c.id) as nth from {kinds} q join named c on c.coleccion = q.coleccion and (q.matter is null or c.materia = q.matter)"
+    return f"""with recursive corpus as ({VIEWS["corpus"]}), articles as ({VIEWS["articles"]}), plans as materialized ({ORACLES["retrieval_driver"]}), vectors as {VECTOR}, named as {NAMED},
+        one as (select *, 1 as stage from ({hit}) where nth <= 5), two as (select *, 2 as stage from ({hit} where c.es_norma_vigente) where nth <= 3),
+        found as (select * from one union all select two.* from two where not exists (select 1 from one where one.v = two.v and one.coleccion = two.coleccion and one.matter is not distinct from two.matter and one.id = two.id)),
+        clean as (select *, row_number() over (partition by v, coleccion, matter order by stage, nth) as rank from found where {KEPT})
+        select p.question_id, p.plan, c.stage, case when p.plan = 'semantic' then c.rank when p.article_id is not null then 1 end as rank, case when p.plan = 'semantic' then c.id else p.article_id end as id, round(c.similarity, 6) as similarity
+        from plans p left join clean c on p.plan = 'semantic' and c.v = p.question_id % 100 and c.matter is not distinct from p.matter and c.coleccion = case when p.question_id % 2 = 0 then 'normativos' else 'procedimental' end"""
+
+
+@query(driver_sql())
+def retrieval_answers(spark, d):
+    """What answers each question, from its text to the fragments: an exact article, nothing, or a search with the question's own filters."""
+    q = article_queries.questions(spark, d)
+    vectors = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("v"), F.col("embedding").alias("query"))  # a vector for each of 100 kinds of questions
+    asked = q.withColumn("v", F.col("question_id") % 100).join(F.broadcast(vectors), "v").withColumns({"coleccion": F.expr("if(question_id % 2 = 0, 'normativos', 'procedimental')"), "materia": F.lit(None).cast("string")})
+    corpus = with_content(spark, d).withColumns({"coleccion": F.expr("if(coleccion = 'c0', 'normativos', 'procedimental')"), "materia": F.expr("if(materia = '01', '01_PENAL', '02_CIVIL')")})
+    return S.answered(view(spark, d, "articles"), corpus, asked).withColumn("similarity", F.round("similarity", 6))
