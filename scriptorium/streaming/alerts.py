@@ -1,9 +1,13 @@
-"""Alerts: parsing, merging and progress, as batch DataFrames."""
+"""Alerts: parsing, merging and progress, over tables and over streams."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from scriptorium.sources.scratch import file_system
+from scriptorium.streaming.commits import commit, last_commit
 
 #: Alerts kept, newest first (fixed value).
 KEEP = 200
@@ -27,6 +31,43 @@ def merged(alerts: DataFrame, key: str, seq: str, keep: int = KEEP) -> DataFrame
     return newest.select(key, "_last.*", place.alias("place"))
 
 
+def merged_stream(alerts: DataFrame, path: str, checkpoint: str, key: str, seq: str, keep: int = KEEP) -> StreamingQuery:
+    """merged() over a stream: after each micro-batch, displayed() has what merged() gives for all alerts so far.
+
+    State holds the first place and the last version of every alert, by key, as an alert that has left the display keeps its place if it
+    comes again. A batch's changed alerts meet the keep rows on display, and the keep newest places of both are the next display; a mark
+    shows it, and the one before goes with the next. A batch that runs again makes the same display.
+    """
+    others = [c for c in alerts.columns if c not in (key, seq)]
+    changed = alerts.groupBy(key).agg(F.min(seq).alias("_first"), F.max(F.struct(seq, *others)).alias("_last")).select(key, "_first", "_last.*")
+
+    def write(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        last, mark = last_commit(spark, path)
+        if last >= n:
+            return
+        shown = batch.orderBy(F.desc("_first")).limit(keep)
+        if mark:
+            old = spark.read.schema(batch.schema).parquet(f"{path}/{mark['shown']}")
+            shown = old.join(batch.select(key), key, "left_anti").select(batch.columns).unionByName(batch).orderBy(F.desc("_first")).limit(keep)
+        shown.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={n}")  # keep rows
+        commit(spark, path, n, {"shown": f"batch={n}", "before": mark.get("shown")})
+        if mark.get("before"):
+            fs, at = file_system(spark, f"{path}/{mark['before']}")
+            fs.delete(at, True)
+
+    return changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def displayed(spark: SparkSession, path: str) -> DataFrame | None:
+    """The alerts that merged_stream() shows now, with place from 1, newest first; None before the first batch."""
+    _, mark = last_commit(spark, path)
+    if not mark:
+        return None
+    place = F.row_number().over(Window.orderBy(F.desc("_first")))  # over keep rows
+    return spark.read.parquet(f"{path}/{mark['shown']}").withColumn("place", place).drop("_first")
+
+
 def parsed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Alerts of JSON lines; a line that is no JSON becomes an info alert, an alert of an unknown kind or without id goes."""
     held = lines.withColumn("_a", F.from_json(column, ALERT))
