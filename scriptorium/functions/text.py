@@ -38,6 +38,9 @@ STRUCTURED = ((IDENTITY, "[DNI]"), (PHONE, "[TELEFONO]"), (EMAIL, "[EMAIL]"), ("
 QUESTION = ((IDENTITY, "[DNI]"), (PHONE, "[TEL]"), (EMAIL, "[EMAIL]"))
 DATES = r"\b\d{1,2}\s+de\s+[a-záéíóú]+\s+de\s+\d{4}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"
 
+#: EMAIL, searched in time linear in the text: a match begins where a run of its characters does, or where the last match ended.
+EMAIL_SEARCH = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
+
 #: Java's \b takes accented letters for word characters; the patterns mean ASCII words.
 BEFORE, AFTER = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
@@ -64,11 +67,16 @@ def contaminated(text: Column) -> Column:
     return F.coalesce(text.rlike(CONTAMINATED), F.lit(False))
 
 
+def searched(pattern: str) -> str:
+    """The form of a pattern that does not begin anew at every character of a long run."""
+    return EMAIL_SEARCH if pattern == EMAIL else pattern
+
+
 def replaced(text: Column, patterns) -> Column:
     now = text
     for pattern, mark in patterns:
-        after = F.regexp_replace(now, pattern, mark)
-        # Addresses are looked for only where there is an at sign, as their search begins anew at every letter; no mark holds one.
+        after = F.regexp_replace(now, searched(pattern), mark)
+        # Addresses are looked for only where there is an at sign; no mark holds one.
         now = F.when(F.contains(text, F.lit("@")), after).otherwise(now) if pattern == EMAIL else after
     return now
 
@@ -85,12 +93,12 @@ def has_structured(text: Column) -> Column:
     """Whether anonymised() replaces anything; each pattern is tried on what the ones before have left."""
     any_found, now = F.lit(False), text
     for pattern, mark in STRUCTURED:
-        any_found, now = any_found | now.rlike(pattern), F.regexp_replace(now, pattern, mark)
+        any_found, now = any_found | now.rlike(searched(pattern)), F.regexp_replace(now, searched(pattern), mark)
     return F.coalesce(any_found, F.lit(False))
 
 
 def has_residue(text: Column) -> Column:
-    return F.coalesce(text.rlike(IDENTITY) | text.rlike("(?i)" + TAX) | text.rlike(EMAIL) | text.rlike(PHONE), F.lit(False))
+    return F.coalesce(text.rlike(IDENTITY) | text.rlike("(?i)" + TAX) | text.rlike(EMAIL_SEARCH) | text.rlike(PHONE), F.lit(False))
 
 
 def has_private_data(text: Column) -> Column:
@@ -99,13 +107,13 @@ def has_private_data(text: Column) -> Column:
 
 def trimmed(text: Column) -> Column:
     """Without white space at the ends, line breaks and no-break spaces included."""
-    return F.regexp_replace(text, r"^[\s ]+|[\s ]+$", "")
+    return F.regexp_replace(text, r"^[\s ]+|(?<![\s ])[\s ]++$", "")
 
 
 def normalised(text: Column) -> Column:
     """Line ends, trailing blanks, runs of empty lines, page lines and outer white space, in this order."""
     text = F.regexp_replace(text, "\r\n", "\n")
-    text = F.regexp_replace(text, r"[ \t]+\n", "\n")
+    text = F.regexp_replace(text, r"(?<![ \t])[ \t]++\n", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return trimmed(F.regexp_replace(text, r"(?imu)^\s*P[aá]gina\s+\d+(\s+de\s+\d+)?\s*$", ""))
 
@@ -120,7 +128,7 @@ def redacted_id(value: Column, keep: int = 4) -> Column:
 
 
 def sanitised_error(message: Column, length: int = 200) -> Column:
-    return F.substring(F.regexp_replace(message, EMAIL, "[email]"), 1, length)
+    return F.substring(F.regexp_replace(message, EMAIL_SEARCH, "[email]"), 1, length)
 
 
 def sanitised_query(text: Column, length: int = 400) -> Column:

@@ -118,8 +118,11 @@ HEADING = r"(?imu)^[ \t]*ART[IÍ]CULO\s+(\d+)[.\-:°º]*"
 
 
 def segmented(df: DataFrame, text_column: str = "text") -> DataFrame:
-    """One row for each heading: df's other columns, seq, num_articulo and contenido up to the next heading; what stands before goes."""
-    marked = F.regexp_replace(F.col(text_column), HEADING, "\u0001$0")
+    """One row for each heading: df's other columns, seq, num_articulo and contenido up to the next heading; what stands before goes.
+
+    The control character U+0001 counts as a space.
+    """
+    marked = F.regexp_replace(F.translate(text_column, "\u0001", " "), HEADING, "\u0001$0")
     others = [c for c in df.columns if c != text_column]
     parts = df.select(*others, F.posexplode(F.split(marked, "\u0001")).alias("seq", "contenido")).where("seq > 0")
     return parts.select(*others, "seq", F.regexp_extract("contenido", r"(?iu)ART[IÍ]CULO\s+(\d+)", 1).alias("num_articulo"), T.trimmed(F.col("contenido")).alias("contenido"))
