@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
 from scriptorium.plans.registry import query
+from scriptorium.sources import documents as DOC
 from scriptorium.sources.views import table, view
 
 SALT = "scriptorium-2026"
@@ -321,3 +322,25 @@ def bare_redaction(spark, d):
 def model_override(spark, d):
     route, asked = F.expr("case conv_id % 3 when 0 then 'C' else 'A' end"), F.expr("case turn % 4 when 1 then 'large-2' when 2 then 'evil' end")
     return view(spark, d, "questions").select("conv_id", "turn", T.model_for(route, F.col("mode"), asked, ("large-1", "large-2"), "large-1", "small-1").alias("model"))
+
+
+@query(
+    """select doc_id, case when doc_id % 11 = 0 then null when doc_id % 2 = 0 then substr(trim(one, BLANKS), 1, 20000) else substr(trim(two, BLANKS), 1, 20000) end as text,
+        case when doc_id % 11 = 0 then null else length(trim(case when doc_id % 2 = 0 then one else two end, BLANKS)) > 20000 end as truncated, case when doc_id % 11 = 0 then 'unreadable' end as error from (
+            select doc_id, regexp_replace(replace(x, chr(10), chr(10) || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') as two, regexp_replace(x, '\n{3,}', chr(10) || chr(10), 'g') as one
+            from (select doc_id, regexp_replace(coalesce(text, ''), '[\x00-\x08\x0B-\x1F]', '', 'g') as x from documents))""".replace("BLANKS", "' ' || chr(9) || chr(10) || chr(160) || chr(12288) || chr(65279)")
+)
+def upload_extraction(spark, d):
+    """Documents as uploaded files: text files with the line ends of another system, word-processor files, and damaged ones."""
+
+    def packed(batches):
+        for rows in batches:
+            made = [(t or "").replace("\n", "\r\n").encode() if kind == 0 else DOC.word_file((t or "").split("\n")) if kind == 1 else b"damaged" for t, kind in zip(rows["text"], rows["kind"], strict=True)]
+            yield rows[["path"]].assign(content=made)
+
+    kind = F.when(F.col("doc_id") % 11 == 0, 2).otherwise(F.col("doc_id") % 2)
+    path = F.concat(F.col("doc_id").cast("string"), F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 11 != 0), ".txt").otherwise(".docx"))
+    plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
+    DOC.ship(spark)
+    files = table(spark, d, "documents").select(path.alias("path"), plain.alias("text"), kind.alias("kind")).mapInPandas(packed, "path string, content binary")
+    return DOC.extracted(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "text", "truncated", "error")

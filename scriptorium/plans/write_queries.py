@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators import forms as FM
 from scriptorium.operators import writes as W
 from scriptorium.plans.registry import query
 from scriptorium.sources import files as S
@@ -187,6 +188,26 @@ def input_validation(spark, d):
     return found.select("c_custkey", F.array_join("errors", ",").alias("errors"))
 
 
+@query(
+    """select c_custkey, array_to_string(list_filter([
+        case when c_custkey % 5 = 0 then 'pena_maxima_del_delito_anos: missing' when c_custkey % 60 - 5 not between 0 and 40 then 'pena_maxima_del_delito_anos: size' end,
+        case c_custkey % 4 when 3 then 'fecha_comision_del_hecho: missing' when 1 then null else 'fecha_comision_del_hecho: date' end,
+        case when c_custkey % 3 = 0 then 'hubo_acto_interruptivo: missing' end, case when c_custkey % 7 = 0 then 'fecha_ultimo_acto_interruptivo: date' end,
+        case when c_custkey % 6 = 0 then 'es_delito_imprescriptible: kind' end], lambda x: x is not null), ',') as problems from customer"""
+)
+def form_validation(spark, d):
+    """Forms as JSON texts, checked against a schema that is data."""
+    fields = F.expr(
+        """to_json(named_struct('pena_maxima_del_delito_anos', case when c_custkey % 5 > 0 then c_custkey % 60 - 5 end,
+            'fecha_comision_del_hecho', case c_custkey % 4 when 0 then '2024-02-30T00:00:00Z' when 1 then '2023-05-01T10:00:00-06:00' when 2 then 'yesterday' end,
+            'hubo_acto_interruptivo', case when c_custkey % 3 > 0 then c_custkey % 3 = 1 end, 'fecha_ultimo_acto_interruptivo', case when c_custkey % 7 = 0 then '2024-01-01' end))"""
+    )
+    flag = F.when(F.col("c_custkey") % 6 == 0, '"no"').otherwise("true")
+    form = F.concat(F.regexp_replace(fields, r"\}$", ""), F.when(fields == "{}", "").otherwise(","), F.lit('"es_delito_imprescriptible":'), flag, F.lit("}"))
+    rows = table(spark, d, "customer").select("c_custkey", form.alias("form"))
+    return FM.checked_forms(rows, "form", FM.LIMITATION).select("c_custkey", F.array_join("problems", ",").alias("problems"))
+
+
 @query(
     """select s.user_identifier, coalesce(case when e.n % 3 > 0 then 'payer' || e.n end, s.provider_sub_id) as provider_sub_id, s.tier, date '2026-01-05' as updated_at from subs s
        left join (select concat('user:', user_id) as user_identifier, count(*) as n from events group by user_id) e on e.user_identifier = s.user_identifier""",
