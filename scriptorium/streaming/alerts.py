@@ -8,6 +8,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scriptorium.sources.scratch import file_system
 from scriptorium.streaming.commits import commit, last_commit
+from scriptorium.streaming.tokens import joined_deltas
+
+__all__ = ["KEEP", "console", "displayed", "joined_deltas", "merged", "merged_stream", "parsed", "progress"]
 
 #: Alerts kept, newest first (fixed value).
 KEEP = 200

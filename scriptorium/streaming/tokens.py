@@ -57,18 +57,10 @@ def at(value: object, path: tuple) -> object:
     return value
 
 
-def received(now: Progress, chunk: bytes | None, source: Source) -> tuple[Progress, str]:
-    """The progress after a chunk, and the text of the data lines that it completes.
-
-    A line ends with a line feed; one that is not data, or whose payload is no JSON, does nothing. Only a line whose whole payload is DONE
-    ends the stream, and nothing behind it counts. Counts are kept field by field: the last number that is given. A surrogate pair that two
-    pieces share is one character.
-    """
-    counts = dict(zip(source.fields, now.counts or (None,) * len(source.fields), strict=True))
-    if now.done:
-        return now, ""
-    *lines, partial = (now.partial + (chunk or b"")).split(b"\n")
-    text, begun, done = now.half, now.begun, False
+def payloads(partial: bytes, begun: bool, chunk: bytes | None) -> tuple[list, bytes, bool, bool]:
+    """The JSON values of the data lines that a chunk completes, the line that has begun, whether any was complete, and whether the end came."""
+    *lines, partial = (partial + (chunk or b"")).split(b"\n")
+    values: list = []
     for raw in lines:
         line = raw.decode("utf-8", "replace")
         line, begun = line if begun else line.removeprefix("\ufeff"), True
@@ -76,12 +68,27 @@ def received(now: Progress, chunk: bytes | None, source: Source) -> tuple[Progre
             continue
         payload = line[len(DATA) :].strip(BLANK)
         if payload == DONE:
-            partial, done = b"", True
-            break
+            return values, b"", True, True
         try:
-            value = json.loads(payload, parse_constant=_not_json)
+            values.append(json.loads(payload, parse_constant=_not_json))
         except (ValueError, RecursionError):
             continue
+    return values, partial, begun, False
+
+
+def received(now: Progress, chunk: bytes | None, source: Source) -> tuple[Progress, str]:
+    """The progress after a chunk, and the text of the data lines that it completes.
+
+    A line ends with a line feed; one that is not data, or whose payload is no JSON, does nothing. Only a line whose whole payload is DONE
+    ends the stream, and nothing behind it counts. Counts are kept field by field: the last number that is given. A surrogate pair that two
+    pieces share is one character.
+    """
+    counts = dict(zip(source.fields, now.counts or (None,) * len(source.fields), strict=True))
+    if now.done:
+        return now, ""
+    values, partial, begun, done = payloads(now.partial, now.begun, chunk)
+    text = now.half
+    for value in values:
         piece, usage = at(value, source.content), at(value, source.usage)
         text += piece if isinstance(piece, str) else ""
         for field in source.fields:
@@ -149,3 +156,25 @@ def piece_stream(chunks: DataFrame, key: str, seq: str, chunk: str, source: Sour
     timeout = GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout
     out = f"`{key}` {kinds[key]}, `{seq}` {kinds[seq]}, text string, done boolean{counts}"
     return rows.groupBy(key).applyInPandasWithState(update, out, f"partial binary, begun boolean, done boolean, half int{counts}", "append", timeout)
+
+
+def joined_deltas(chunks: DataFrame, key: str, seq: str, chunk: str, content: tuple = ("delta",), usage: tuple = ("usage",)) -> DataFrame:
+    """key, text, usage and n_chunks of every stream, whatever counts it reports: usage is a JSON object with the last value of each field."""
+    rows = chunks.select(key, seq, F.col(chunk).cast("binary").alias("_chunk"))
+
+    def step(now: tuple, x: dict) -> tuple[tuple, tuple]:
+        partial, begun, done, counts = now
+        if done:
+            return now, ("", counts)
+        values, partial, begun, done = payloads(partial, begun, x["_chunk"])
+        found = [at(v, usage) for v in values]
+        merged = json.loads(counts) if counts else {}
+        for own in found:
+            merged |= {k: v for k, v in own.items() if v is not None} if isinstance(own, dict) else {}
+        counts = json.dumps(merged, separators=(",", ":")) if merged else None
+        text = "".join(p for p in (at(v, content) for v in values) if isinstance(p, str))
+        return (partial, begun, done, counts), (text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace"), counts)
+
+    found = ordered_fold(rows, key, [seq], ["_chunk"], [seq], (b"", False, False, None), step, {"text": "string", "usage": "string"})
+    whole = F.coalesce(F.expr(f"listagg(text, '') within group (order by `{seq}`)"), F.lit(""))
+    return found.groupBy(key).agg(whole.alias("text"), F.max_by("usage", seq).alias("usage"), F.count("*").alias("n_chunks"))
