@@ -479,6 +479,8 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
     sketch = F.get(F.filter("one.sketches", lambda s: s["band"] == F.col("band")), F.lit(0))["sketch"]
     sketched = members.join(standing, "node").select("region", "node", "one.k", "one.n", sketch.alias("sketch"))
     located = stage(with_partners(sketched.where("sketch is not null"), percent).union(sketched.where("sketch is null").select("region", "node", "k", "n")))
+    to_pivots = stage(to_pivots)
+    drop(described, members)  # before texts are shuffled, which takes the most room
     large = stage(located.groupBy("region").agg(F.sum("n").alias("heavy"), F.count("*").alias("members")).where(f"heavy > {weight}"))
 
     def with_text(some: DataFrame) -> DataFrame:
@@ -492,7 +494,7 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
         links = join_small(with_text(located.join(large, "region", "left_anti")), width, percent)
         links = links.union(join_split(with_text(located.join(large.select("region"), "region", "left_semi")), large, width, percent, weight))
     links = stage(links.union(to_pivots))
-    drop(described, members, located)
+    drop(to_pivots, located)
     found = stage(components(links))
     drop(links)
     return rows, found
