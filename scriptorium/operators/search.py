@@ -59,7 +59,8 @@ class Index:
         values = F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(ANY)) for c in filters]) if filters else F.array().cast("array<string>")
         rows = corpus.select(F.col(key), v.alias("_v"), values.alias("_group"), *keep)
         rows = rows.where(F.col("_v").isNotNull() & (F.aggregate("_v", F.lit(0.0), lambda s, x: s + x * x) > 0))
-        sample = rows.orderBy(F.xxhash64(key), key).limit(pivots).select("_v").collect()
+        n = rows.count()
+        sample = rows.orderBy(F.xxhash64(key), key).limit(max(1, min(pivots, -(-n // (2 * block_rows))))).select("_v").collect()  # cells of about two blocks or more
         self.pivots = _unit(np.array([r[0] for r in sample], dtype=np.float64)) if sample else np.zeros((0, 0))
         self.blocks = pd.DataFrame({"block": [], "group": [], "pivot": [], "low": [], "high": [], "n": []})
         if not sample:
@@ -74,7 +75,6 @@ class Index:
 
         schema = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
         placed = rows.mapInArrow(near, f"{schema}, _pivot int, _angle double")
-        n = placed.count()
         size = max(block_rows, -(-n // MOST_BLOCKS))
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
