@@ -16,6 +16,8 @@ LIMITS = {"free": 3, "academico": 20, "pro": 1000, "admin": 9999}
 PAID = ("pro", "academico", "admin")
 PENDING_WINDOW_MS = 15 * 60 * 1000
 THROTTLE_MS = 10_000
+#: The state before a user's first attempt; null is that after attempts without a time only.
+NO_ATTEMPT = "none"
 
 
 def limit_of(tier: Column) -> Column:
@@ -134,23 +136,25 @@ class BlockOfAttempts:
         return {"window": self.window, "starts": [self.starts[i] for i in kept], "ends": [ends[i] for i in kept]}
 
     @staticmethod
-    def after(result: dict, last: int | None) -> int | None:
+    def after(result: dict, last: int | str | None) -> int | None:
         """The last accepted time after the block."""
-        if last is None:
+        if last is None or last == NO_ATTEMPT:
             return result["ends"][0] if result["ends"] else None
         i = bisect.bisect_left(result["starts"], last + result["window"])
         return result["ends"][i] if i < len(result["ends"]) else last
 
 
 def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """attempts with accepted: at least window_ms after the user's last accepted one.
+    """attempts with accepted: at least window_ms, in whole milliseconds, after the user's last accepted one; a user's first is accepted.
 
-    A fold over a user's ordered attempts; users with over block_rows of them are folded in blocks, at once in many tasks.
+    A fold over a user's attempts, ordered by ts and order with nulls last, where an attempt without ts is neither accepted nor refused unless
+    it is the first; users with over block_rows of them are folded in blocks, at once in many tasks.
     """
-    rows = attempts.select(user, F.unix_millis(F.col(ts).cast("timestamp")).alias("ms"), order)
+    at = F.col(ts).cast("timestamp")
+    rows = attempts.select(user, F.unix_millis(at).alias("ms"), at.alias("_at"), order, F.col(ts).isNull().alias("_untimed"), F.col(order).isNull().alias("_unnamed"))
 
-    def step(last: int | None, x: dict) -> tuple[int | None, tuple]:
-        ok = True if last is None else None if x["ms"] is None else x["ms"] - last >= window_ms
+    def step(last: int | str | None, x: dict) -> tuple[int | str | None, tuple]:
+        ok = True if last == NO_ATTEMPT else None if x["ms"] is None or last is None else x["ms"] - last >= window_ms
         return x["ms"] if ok else last, (ok,)
 
-    return segmented_fold(rows, user, ["ms", order], ["ms"], [order], None, step, {"accepted": "boolean"}, partial(BlockOfAttempts, window_ms), block_rows)
+    return segmented_fold(rows, user, ["_untimed", "_at", "_unnamed", order], ["ms"], [order], NO_ATTEMPT, step, {"accepted": "boolean"}, partial(BlockOfAttempts, window_ms), block_rows)

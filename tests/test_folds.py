@@ -103,6 +103,15 @@ def test_throttle_in_blocks_equals_throttle_in_one_pass(spark):
         assert sorted(map(str, many.collect())) == sorted(map(str, one.collect()))
 
 
+def test_attempts_are_ordered_by_their_stamps_and_not_by_milliseconds_and_those_without_come_last(spark):
+    at = lambda us: None if us is None else 1_700_000_000_000_000 + us
+    given = [("a", 1, 900), ("a", 2, 100), ("a", 3, None), ("a", 4, 5_000_050), ("b", 1, None), ("b", 2, None), ("c", None, 7), ("c", 1, 7)]
+    rows = spark.createDataFrame([(u, e, at(us)) for u, e, us in given], "u string, e int, us long").withColumn("ts", F.timestamp_micros("us"))
+    want = {("a", 1): False, ("a", 2): True, ("a", 3): None, ("a", 4): True, ("b", 1): True, ("b", 2): None, ("c", None): False, ("c", 1): True}
+    for block_rows in (100, 1):
+        assert {(r["u"], r["e"]): r["accepted"] for r in U.throttled(rows, "u", "ts", "e", 5_000, block_rows).collect()} == want
+
+
 def test_no_rows(spark):
     assert L.folded(hot(spark, 0), block_rows=1).count() == 0
     assert partial(U.BlockOfAttempts, 5)().result()["starts"] == []
