@@ -66,6 +66,15 @@ def test_quotas_equal_the_replay_for_any_cuts_and_past_days_go(spark, tmp_path,
     assert states[-1] <= 3  # users of the last day; 12 user-days have been counted
 
 
+def test_quotas_of_many_users_keep_a_row_of_state_for_each_group_and_day(spark, tmp_path):
+    rows = [(None if i % 7 == 0 else f"u{i % 500}", START + dt.timedelta(seconds=i), "free", i) for i in range(1500)]
+    stream = arriving(spark, tmp_path / "in", [rows[:700], rows[700:]], REQUEST)
+    found, query = run(US.quota_stream(stream, "u", "ts", "tier", "e", groups=4), tmp_path)
+    want = U.quota_replay(spark.createDataFrame(rows, REQUEST), "u", "ts", "tier", ["ts", "e"])
+    assert sorted(map(str, found.select("e", "u", "nth").collect())) == sorted(map(str, want.select("e", "u", "nth").collect()))
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) <= 5  # 501 users
+
+
 ANSWER = "k string, e int, ts timestamp, said string"
 
 
