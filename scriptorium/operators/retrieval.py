@@ -14,7 +14,7 @@ from scriptorium.operators.search import Index
 CAP, TEMPLATE_CAP, IN_FORCE = 20, 10, 3
 MAX_CITATIONS, CITATION_LENGTH = 5, 600
 TEMPLATE_SIMILARITY = 0.75
-QUERY_BLOCK, MOST_SENT = 64, 10_000
+QUERY_BLOCK, MOST_SENT = 64, 256
 
 
 def optional(df: DataFrame, **wanted) -> DataFrame:
