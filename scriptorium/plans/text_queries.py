@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scriptorium.functions import text as T
@@ -334,13 +335,14 @@ def upload_extraction(spark, d):
     """Documents as uploaded files: text files with the line ends of another system, word-processor files, and damaged ones."""
 
     def packed(batches):
-        for rows in batches:
-            made = [(t or "").replace("\n", "\r\n").encode() if kind == 0 else DOC.word_file((t or "").split("\n")) if kind == 1 else b"damaged" for t, kind in zip(rows["text"], rows["kind"], strict=True)]
-            yield rows[["path"]].assign(content=made)
+        for some in (batch.slice(i, DOC.AT_ONCE) for batch in batches for i in range(0, batch.num_rows, DOC.AT_ONCE)):
+            rows = zip(some.column("text").to_pylist(), some.column("kind").to_pylist(), strict=True)
+            made = [(t or "").replace("\n", "\r\n").encode() if kind == 0 else DOC.word_file((t or "").split("\n")) if kind == 1 else b"damaged" for t, kind in rows]
+            yield pa.RecordBatch.from_arrays([some.column("path"), pa.array(made, pa.binary())], names=["path", "content"])
 
     kind = F.when(F.col("doc_id") % 11 == 0, 2).otherwise(F.col("doc_id") % 2)
     path = F.concat(F.col("doc_id").cast("string"), F.when((F.col("doc_id") % 2 == 0) & (F.col("doc_id") % 11 != 0), ".txt").otherwise(".docx"))
     plain = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x00-\x08\x0B-\x1F]", "")
     DOC.ship(spark)
-    files = table(spark, d, "documents").select(path.alias("path"), plain.alias("text"), kind.alias("kind")).mapInPandas(packed, "path string, content binary")
+    files = table(spark, d, "documents").select(path.alias("path"), plain.alias("text"), kind.alias("kind")).mapInArrow(packed, "path string, content binary")
     return DOC.extracted(files).select(F.substring_index("path", ".", 1).cast("long").alias("doc_id"), "text", "truncated", "error")
