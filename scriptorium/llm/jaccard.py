@@ -485,8 +485,10 @@ def placed(df: DataFrame, id_column: str, text_column: str, width: int, percent:
 
     def with_text(some: DataFrame) -> DataFrame:
         near = maybe_among(held.select("k", "text"), "k", some.select("k")).where("maybe and text is not null")
-        joined = near.select("k", "text").join(some, "k")
-        return joined.dropDuplicates(["k", "region"]).select("region", "node", "n", "text")  # repeated rows have one k
+        # A row for each k meets a text, with the regions that it lies in: at most one for each class and cell. Repeated rows have one k.
+        places = some.groupBy("k").agg(F.collect_set(F.struct("region", "node", "n")).alias("places"))
+        joined = near.select("k", "text").join(places, "k").dropDuplicates(["k"])
+        return joined.select("text", F.inline("places")).select("region", "node", "n", "text")
 
     if large.isEmpty():
         links = join_small(with_text(located), width, percent)
