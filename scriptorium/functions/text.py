@@ -38,6 +38,9 @@ STRUCTURED = ((IDENTITY, "[DNI]"), (PHONE, "[TELEFONO]"), (EMAIL, "[EMAIL]"), ("
 QUESTION = ((IDENTITY, "[DNI]"), (PHONE, "[TEL]"), (EMAIL, "[EMAIL]"))
 DATES = r"\b\d{1,2}\s+de\s+[a-záéíóú]+\s+de\s+\d{4}\b|\b\d{1,2}/\d{1,2}/\d{4}\b"
 
+#: White space at the ends of a text that trimmed() takes off, with the no-break space.
+BLANK = "\t\n\x0b\f\r \u00a0"
+
 #: EMAIL, searched in time linear in the text: a match begins where a run of its characters does, or where the last match ended.
 EMAIL_SEARCH = r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 
@@ -102,17 +105,19 @@ def has_residue(text: Column) -> Column:
 
 
 def has_private_data(text: Column) -> Column:
-    return contaminated(text) | F.coalesce(text.rlike("(?i)" + PRIVATE), F.lit(False))
+    """Whether text holds a mark of CONTAMINATED or a match of PRIVATE, both tried only where a character can begin one."""
+    marked, private = r"(?=[\[TE])(?:" + CONTAMINATED + ")", r"(?i)(?=[\drd])(?:" + PRIVATE + ")"
+    return F.coalesce(text.rlike(marked) | text.rlike(private), F.lit(False))
 
 
 def trimmed(text: Column) -> Column:
     """Without white space at the ends, line breaks and no-break spaces included."""
-    return F.regexp_replace(text, r"^[\s ]+|(?<![\s ])[\s ]++$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def normalised(text: Column) -> Column:
     """Line ends, trailing blanks, runs of empty lines, page lines and outer white space, in this order."""
-    text = F.regexp_replace(text, "\r\n", "\n")
+    text = F.replace(text, F.lit("\r\n"), F.lit("\n"))
     text = F.regexp_replace(text, r"(?<![ \t])[ \t]++\n", "\n")
     text = F.regexp_replace(text, r"\n{3,}", "\n\n")
     return trimmed(F.regexp_replace(text, r"(?imu)^\s*P[aá]gina\s+\d+(\s+de\s+\d+)?\s*$", ""))

@@ -91,7 +91,7 @@ def rules(packages: DataFrame, articles: DataFrame, corpus_hashes: DataFrame, de
     held = articles.withColumn("hash", F.sha2(content, 256))
     known = corpus_hashes.select("hash").distinct().withColumn("known", F.lit(True))
     counts = held.join(known, "hash", "left").groupBy("norm_id").agg(
-        F.count("*").alias("n_articles"), F.count_if(blank("contenido")).alias("n_empty"), (F.count("*") - F.count_distinct("num_articulo")).alias("n_repeated"),
+        F.count("*").alias("n_articles"), F.count_if(blank("contenido")).alias("n_empty"), (F.count("*") - F.size(F.collect_set("num_articulo"))).alias("n_repeated"),
         F.count_if(~F.coalesce(F.col("num_articulo").rlike("^[0-9]+$"), F.lit(False))).alias("n_not_numeric"), F.count_if(F.coalesce("known", F.lit(False))).alias("n_known"), F.count_if(T.has_private_data(content)).alias("n_private"),
         F.min_by("num_articulo", "seq").alias("first_number"), F.collect_set("num_articulo").alias("numbers"),
     )
@@ -99,15 +99,17 @@ def rules(packages: DataFrame, articles: DataFrame, corpus_hashes: DataFrame, de
     declared = packages.select("norm_id", "materia")
     seen = declared if detected is None else declared.union(detected.select("norm_id", "materia"))
     found = seen.where(~blank("materia")).groupBy("norm_id").agg(F.count_distinct("materia").alias("n_matters"))
-    joined = packages.join(counts, "norm_id", "left").join(found, "norm_id", "left").fillna(0, [*numbers, "n_matters"])
-    findable = F.coalesce(F.array_contains("numbers", F.col("first_number")), F.lit(False))
     state = F.coalesce(F.col("estado"), F.lit(""))
-    return joined.withColumns(
+    # What a package says by itself comes before the joins, so that its text is shuffled only for callers who ask for it.
+    own = packages.withColumns(
         {
             "received": ~blank("texto"), "missing": missing_fields(), "identified": ~(blank("url") & blank("autoridad")), "known_state": state.isin(*LEGAL_STATES),
-            "checksum_matches": F.coalesce(F.col("checksum") == F.sha2("texto", 256), F.lit(False)), "findable": findable,
+            "checksum_matches": F.coalesce(F.col("checksum") == F.sha2("texto", 256), F.lit(False)),
         }
-    ).drop("numbers")
+    )
+    joined = own.join(counts, "norm_id", "left").join(found, "norm_id", "left").fillna(0, [*numbers, "n_matters"])
+    findable = F.coalesce(F.array_contains("numbers", F.col("first_number")), F.lit(False))
+    return joined.withColumn("findable", findable).drop("numbers")
 
 
 #: The steps of an ingestion in order; the ones without a condition only record that they were passed.

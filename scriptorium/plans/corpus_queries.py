@@ -11,6 +11,7 @@ from scriptorium.operators import charges as H
 from scriptorium.operators import corpus as C
 from scriptorium.plans.registry import query
 from scriptorium.plans.text_queries import FLAG, NORMAL
+from scriptorium.sources.scratch import stored
 from scriptorium.sources.views import table, view
 
 
@@ -176,10 +177,10 @@ REASON = """case when not received then 'no_text' when missing <> '' then 'manif
 RULED = "norm_id missing known_state checksum_matches n_articles n_empty n_repeated n_not_numeric n_known n_matters n_private".split()
 
 
-def package_rules(spark, d):
-    """The packages, their articles, and what the rules look at."""
+def package_rules(spark, d, keep=lambda articles: articles):
+    """The packages' articles, as keep returns them, and what the rules look at."""
     packages = view(spark, d, "packages")
-    articles = C.package_articles(packages)
+    articles = keep(C.package_articles(packages))
     hashes = spark.range(1).select(F.sha2(F.lit("ARTICULO 3.- Derogado."), 256).alias("hash"))
     other = packages.where("first_doc % 23 = 12").select("norm_id", F.lit("03_OTRA").alias("materia"))
     return articles, C.rules(packages, articles, hashes, other)
@@ -210,7 +211,7 @@ def ingest_step_log(spark, d):
     "packages",
 )
 def ingest_jsonl(spark, d):
-    articles, ruled = package_rules(spark, d)
+    articles, ruled = package_rules(spark, d, stored)
     return C.jsonl(C.first_rejection(ruled), articles)
 
 

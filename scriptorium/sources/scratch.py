@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -27,6 +27,13 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A reader of df's rows, which are written to scratch() now, so that what reads them more than once computes them once."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path, compression="zstd")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str) -> tuple:
     """The Hadoop file system of a path, and the path in it."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

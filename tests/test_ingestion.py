@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from scriptorium.functions import text as T
 from scriptorium.functions import vectors as V
 from scriptorium.operators import articles as A
@@ -181,3 +182,11 @@ def test_feedback_takes_and_refuses(spark):
     taken, refused = W.feedback(spark.createDataFrame([(good, "true", "  c " * 400), (good, None, "c"), ("x", "false", None), (good, "false", None)], "consulta_id string, util string, comentario string"))
     assert sorted((r["util"], len(r["comentario"] or "")) for r in taken.collect()) == [(False, 0), (True, 500)]
     assert sorted(r["reason"] for r in refused.collect()) == ["bad_flag", "bad_id"]
+
+
+def test_texts_are_cut_once_for_jsonl_and_not_shuffled_for_the_rules(spark):
+    plan = lambda name: entry.queries()[name](spark, entry.SMOKE_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan("ingest_jsonl")
+    assert lines.count("posexplode") == 0 and lines.count("Relation [norm_id") == 2
+    above = plan("ingest_rules").split("Join")[0]
+    assert "checksum_matches" in above and "sha2" not in above and "texto" not in above

@@ -46,6 +46,19 @@ def test_trimming_equals_the_plain_pattern(spark):
     assert values(spark, texts, T.trimmed) == [t.strip(blank) for t in texts]
 
 
+def test_a_line_separator_at_the_end_stays(spark):
+    texts = ["x \u2028", "x \u0085", " \u2029 ", None]
+    assert values(spark, texts, T.trimmed) == ["x \u2028", "x \u0085", "\u2029", None]
+
+
+def test_private_data_equals_the_plain_patterns(spark):
+    r = random.Random(3)
+    parts = ["1234-5678", "12345", "-", "RTN", "rtn", ": ", "#", "DNI", "dni ", "1" * 13, "1" * 14, " ", "x", "_", "é", "[Cliente_Anonimo", "[Empresa_Anónimo", "Telefono_Oculto", "Expediente_Anonimizado]", "\n"]
+    texts = ["".join(r.choices(parts, k=r.randrange(0, 6))) for _ in range(1500)]
+    got = values(spark, texts, T.has_private_data)
+    assert got == values(spark, texts, lambda c: c.rlike(T.CONTAMINATED) | c.rlike("(?i)" + T.PRIVATE)) and 300 < sum(got) < 1200
+
+
 def test_a_control_character_begins_no_article(spark):
     df = spark.createDataFrame([(1, "ARTICULO 1.- uno \u0001 dos\nARTICULO 2.- tres\u0001")], "i int, text string")
     got = A.segmented(df).orderBy("seq").collect()
