@@ -4,6 +4,10 @@ A source of weight a out of Q gets block k not before slot floor(k Q / a) and no
 numbers that add up to Q, so the schedule repeats after Q slots; earliest deadline first fills one such period on the driver, from
 counts by source alone, and arithmetic extends it to every block. Each source is then less than one block away from its share at
 all times. When a source runs out, the rest start a new phase with the weights they have, so that no row is dropped or repeated.
+
+Sources beyond MOST_SOURCES share one place of the schedule and are scheduled inside it by the same rule, each by its own weight. Those
+with equally many rows and equal weights are one kind and go in rounds, a row of each, which keeps every one of them less than one row
+away from its share. Kinds have different numbers of rows or named weights, so n rows make about the root of 2 n of them at most.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 import heapq
 from itertools import accumulate
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scriptorium.llm._common import partitions, whole
@@ -19,8 +23,10 @@ from scriptorium.llm._common import partitions, whole
 BLOCK = 16
 GRAIN = 1024
 TEMPERATURE = 0.7
-#: Sources beyond so many, those of the fewest rows, take their turns as one.
+#: Sources beyond so many, those of the fewest rows, share a place and take their own turns inside it.
 MOST_SOURCES = 2048
+#: So many kinds of sources are scheduled at once inside a shared place; those beyond share a place inside it, and so on.
+MOST_KINDS = 512
 REST = "*"
 #: The period's table goes to all executors only up to so many slots; it has at most GRAIN + 1 slots for each source.
 BROADCAST_SLOTS = 1_000_000
@@ -78,19 +84,79 @@ def phases(rows: dict, weights: dict, block: int) -> dict:
     return out
 
 
+def timetable(spark: SparkSession, rows: dict, target: dict, grain: int, block: int) -> DataFrame:
+    """key, weight and shares (one for each phase) of every place with rows; a hint to broadcast it, if it is small."""
+    own = whole_weights(target, grain)
+    share = "array<struct<first: long, end: long, a: long, q: long, t0: long, d0: long, at: array<int>>>"
+    plan = phases(rows, own, block)
+    q = sum(own.values())
+    table = spark.createDataFrame([(s, own[s] / q, plan[s]) for s in rows], f"key string, weight double, shares {share}")
+    return F.broadcast(table) if len(rows) * q <= BROADCAST_SLOTS else table
+
+
+def scheduled(df: DataFrame, table: DataFrame, block: int, how: str = "inner") -> DataFrame:
+    """df (key, and nth within it) with what timetable() says on its blocks: in_phase is the slot of the row's block within the phase."""
+    return (
+        df.withColumn("block", F.expr(f"nth div {block}"))
+        .join(table, "key", how)
+        .withColumn("phase", F.expr("size(filter(shares, x -> x.end <= block))"))
+        .withColumn("share", F.get("shares", F.col("phase")))
+        .withColumn("k", F.col("block") - F.col("share.first"))
+        .withColumn("in_phase", F.expr("k div share.a * share.q + share.at[cast(k % share.a as int)]"))
+    )
+
+
+def cell(spark: SparkSession, hashed: Column) -> Column:
+    """About as many ranges of a 64-bit hash as there are partitions."""
+    return F.shiftrightunsigned(hashed, 64 - max(1, (partitions(spark) - 1).bit_length()))
+
+
+def numbered(df: DataFrame, name: str, group: list[str], order: list[str]) -> DataFrame:
+    """df with a row's number (from 0) in its group, in order of the column cell and then of order; a group is spread by its cells."""
+    before = Window.partitionBy(*group).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = df.groupBy(*group, "cell").agg(F.count("*").alias("in_cell"))
+    offsets = cells.select(*group, "cell", F.coalesce(F.sum("in_cell").over(before), F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(*group, "cell").orderBy(*order))
+    return df.withColumn(name, own).join(offsets, [*group, "cell"]).withColumn(name, F.col("before") + F.col(name) - 1).drop("before", "cell")
+
+
+def sharing(held: DataFrame, sources: DataFrame, kinds: list, grain: int) -> DataFrame:
+    """held, the rows of sources that share a place, with nth, the row's number in that place when every source takes its own turns.
+
+    sources: key, n and target of each. kinds: n, target and members of those that are alike, the kinds with the most rows first.
+    """
+    spark = held.sparkSession
+    known = spark.createDataFrame([(i, r["n"], r["target"], r["members"]) for i, r in enumerate(kinds)], "kind int, n long, target double, members long")
+    turns = numbered(sources.join(F.broadcast(known), ["n", "target"]).withColumn("cell", cell(spark, F.xxhash64("key"))), "turn", ["kind"], ["key"])
+    own = F.row_number().over(Window.partitionBy("key").orderBy("h", "id", "h_row")) - 1  # such sources have few of all rows
+    rows = held.withColumn("round", own).join(turns.select("key", "kind", "members", "turn"), "key")
+    rows = rows.withColumn("nth", F.col("round") * F.col("members") + F.col("turn")).select(*held.columns, "kind", "nth").drop("key")
+    for first in reversed(range(0, len(kinds), MOST_KINDS)):  # the innermost place first, whose rows are then those of one in the next
+        end = first + MOST_KINDS
+        alone = list(enumerate(kinds[first:end], first))
+        n, target = {str(i): r["n"] * r["members"] for i, r in alone}, {str(i): r["target"] * r["members"] for i, r in alone}
+        if kinds[end:]:
+            n[REST], target[REST] = (sum(r[c] * r["members"] for r in kinds[end:]) for c in ("n", "target"))
+        key = F.when(F.col("kind") >= end, REST).when(F.col("kind") >= first, F.col("kind").cast("string"))
+        placed = scheduled(rows.withColumn("key", key), timetable(spark, n, target, grain, 1), 1, "left")
+        rows = placed.select(*[c for c in rows.columns if c != "nth"], F.coalesce(F.expr("share.d0 + in_phase"), "nth").alias("nth"))
+    return rows.drop("kind").withColumn("key", F.lit(REST))
+
+
 def mix(df: DataFrame, weights: dict | None = None, block: int = BLOCK, source_column: str = "source", id_column: str = "doc_id", text_column: str = "text", grain: int = GRAIN, temperature: float = TEMPERATURE, carry: bool = False) -> DataFrame:
     """The place of every row in the mixture.
 
     weights: the target weight of each source, in any unit; sources it does not name weigh as much as the least that it does. None
     gives each source its number of rows to the power temperature. Weights are rounded to parts of grain. Of more than MOST_SOURCES
-    sources, those with the most rows are scheduled each; the others add up their weights and are scheduled as one.
+    sources, those with the most rows are scheduled each; the others share a place that has the sum of their weights, and in it each
+    takes its turns by its own weight, row by row. Their weight, phase, block, release, deadline and slot are those of the place.
 
     Returns the id, the source, weight (share of the first phase's slots), phase, block (within the source), release, deadline and
     slot (of the block, counted over the whole mixture) and position (of the row, from 0, without gaps). With carry, a column named
     row holds the input's columns as a struct. Rows of a source are taken in order of a hash of id and text.
 
     Null sources form a source of their own, null ids and texts are values like others, repeated rows keep their own positions and
-    an empty table gives an empty result. The counts of MOST_SOURCES sources at most pass through the driver, texts never do.
+    an empty table gives an empty result. The counts of MOST_SOURCES sources and of the kinds of the others pass through the driver.
     """
     spark = df.sparkSession
     alone = df.alias("input")
@@ -108,38 +174,20 @@ def mix(df: DataFrame, weights: dict | None = None, block: int = BLOCK, source_c
     named = F.create_map(*[F.lit(x) for s, w in weights.items() for x in ("" if s is None else f"={s}", float(w))]) if weights else F.lit(None).cast("map<string,double>")
     weighed = by_source.withColumn("target", F.coalesce(F.try_element_at(named, F.col("key")), least) if weights else least)
     counted = weighed.orderBy(F.desc("n"), "key").limit(MOST_SOURCES + 1).collect()
+    by_hash = ["h", "id", "h_row"]
     if len(counted) > MOST_SOURCES:
-        kept = spark.createDataFrame([(r["key"],) for r in counted[:MOST_SOURCES]], "key string").withColumn("alone", F.lit(True))
-        tail = weighed.join(F.broadcast(kept), "key", "left_anti").agg(F.lit(REST).alias("key"), F.sum("n").alias("n"), F.sum("target").alias("target"))
-        counted = [*counted[:MOST_SOURCES], tail.first()]
-        held = held.join(F.broadcast(kept), "key", "left").withColumn("key", F.when(F.col("alone"), F.col("key")).otherwise(REST)).drop("alone")
+        kept = F.broadcast(spark.createDataFrame([(r["key"],) for r in counted[:MOST_SOURCES]], "key string"))
+        others = weighed.join(kept, "key", "left_anti")
+        alike = others.groupBy("n", "target").agg(F.count("*").alias("members"))
+        kinds = alike.orderBy(F.desc(F.col("n") * F.col("members")), "n", "target").collect()
+        rest = {c: sum(r[c] * r["members"] for r in kinds) for c in ("n", "target")}
+        counted = [*counted[:MOST_SOURCES], {"key": REST, **rest}]
+        alone_rows = numbered(held.join(kept, "key", "left_semi").withColumn("cell", cell(spark, F.col("h"))), "nth", ["key"], by_hash)
+        held = alone_rows.unionByName(sharing(held.join(kept, "key", "left_anti"), others, kinds, grain))
+    else:
+        held = numbered(held.withColumn("cell", cell(spark, F.col("h"))), "nth", ["key"], by_hash)
     rows, target = ({r["key"]: r[c] for r in counted} for c in ("n", "target"))
-    bits = max(1, (partitions(spark) - 1).bit_length())
-    held = held.withColumn("cell", F.shiftrightunsigned("h", 64 - bits))
-
-    cells = held.groupBy("key", "cell").agg(F.count("*").alias("n"))
-    own = whole_weights(target, grain)
-    share = "array<struct<first: long, end: long, a: long, q: long, t0: long, d0: long, at: array<int>>>"
-    plan = phases(rows, own, block)
-    q = sum(own.values())
-    table = spark.createDataFrame([(s, own[s] / q, plan[s]) for s in rows], f"key string, weight double, shares {share}")
-    if len(rows) * q <= BROADCAST_SLOTS:
-        table = F.broadcast(table)
-
-    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = cells.select("key", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("rows_before"))
-    nth = F.row_number().over(Window.partitionBy("key", "cell").orderBy("h", "id", "h_row"))
-    placed = (
-        held.withColumn("nth", nth)
-        .join(offsets, ["key", "cell"])
-        .withColumn("nth", F.col("rows_before") + F.col("nth") - 1)
-        .withColumn("block", F.expr(f"nth div {block}"))
-        .join(table, "key")
-        .withColumn("phase", F.expr("size(filter(shares, x -> x.end <= block))"))
-        .withColumn("share", F.get("shares", F.col("phase")))
-        .withColumn("k", F.col("block") - F.col("share.first"))
-        .withColumn("in_phase", F.expr("k div share.a * share.q + share.at[cast(k % share.a as int)]"))
-    )
+    placed = scheduled(held, timetable(spark, rows, target, grain, block), block)
     return placed.select(
         F.col("id").alias(id_column),
         F.col("source").alias(source_column),
