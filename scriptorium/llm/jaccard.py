@@ -49,8 +49,9 @@ SLICE = 1000
 BANDS = 128
 #: First-level pivots: one for so many rows, so many at most, with texts of so many bytes and so many shingles together at most.
 ROWS_A_CELL, CELLS, LONGEST, PIVOT_SHINGLES = 64, 1024, 16_384, 1 << 19
-#: A set farther from all pivots lies in the outer cell; pivots are farther than APART from each other, so that no group has many.
-REACH, APART = 0.7, 0.7
+#: A set farther from all pivots lies in the outer cell. Pivots are farther than APART from each other, as far as a cell reaches when a
+#: link has 80 of 100: those of one group, whose members may be far from each other too, would all get the whole group.
+REACH, APART = 0.7, 0.9
 #: Below this share of its parent's weight, a subregion counts as smaller.
 SHRINKS = 0.7
 U = np.uint64
@@ -311,7 +312,7 @@ class Region:
 def grouped(batches: Iterator[pa.RecordBatch], n_keys: int = 1) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with equal first columns, of batches that are sorted by them."""
     key, rows = None, []
-    for batch in batches:
+    for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
             if row[:n_keys] != key:
                 if rows:

@@ -93,6 +93,24 @@ def test_documents_lie_in_several_cells(spark):
     assert len(pivots) > 10 and len(cells) == len(pivots) and any(r["count"] > 1 for r in cells)
 
 
+def test_a_loose_group_lies_in_few_cells(spark, monkeypatch):
+    """Members of one group that are far from each other: no pivot's cell repeats the group."""
+    monkeypatch.setattr(jaccard, "ROWS_A_CELL", 4)
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for at in r.sample(range(200), 16):
+            copy[at] = f"x{r.randrange(9999)}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
+    held = jaccard.keyed(documents(spark, rows), "doc_id", "text")
+    cells = jaccard.describe(held, 5, 80, jaccard.first_pivots(held, 5)).selectExpr("inline(cells)").count()
+    assert 0 < cells <= 3 * len(rows)
+    assert result(spark, rows, width=5, percent=80) == brute(rows, 5, 80)
+
+
 def test_hot_copies_link_through_one_cell(spark):
     text = [f"w{i}" for i in range(100)]
     near = lambda i: " ".join([*text[: i % 90], f"x{i}", *text[i % 90 + 1 :]])
