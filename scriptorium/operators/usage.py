@@ -145,13 +145,14 @@ class BlockOfAttempts:
 
 
 def throttled(attempts: DataFrame, user: str, ts: str, order: str, window_ms: int = THROTTLE_MS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """attempts with accepted: at least window_ms, in whole milliseconds, after the user's last accepted one; a user's first is accepted.
+    """attempts with accepted: at least window_ms, of times rounded to milliseconds, after the user's last accepted one; a user's first is accepted.
 
     A fold over a user's attempts, ordered by ts and order with nulls last, where an attempt without ts is neither accepted nor refused unless
     it is the first; users with over block_rows of them are folded in blocks, at once in many tasks.
     """
     at = F.col(ts).cast("timestamp")
-    rows = attempts.select(user, F.unix_millis(at).alias("ms"), at.alias("_at"), order, F.col(ts).isNull().alias("_untimed"), F.col(order).isNull().alias("_unnamed"))
+    half = F.when(F.unix_micros(at) < 0, 499).otherwise(500)  # unix_millis cuts off; halves go away from 1970
+    rows = attempts.select(user, F.unix_millis(F.timestamp_micros(F.unix_micros(at) + half)).alias("ms"), at.alias("_at"), order, F.col(ts).isNull().alias("_untimed"), F.col(order).isNull().alias("_unnamed"))
 
     def step(last: int | str | None, x: dict) -> tuple[int | str | None, tuple]:
         ok = True if last == NO_ATTEMPT else None if x["ms"] is None or last is None else x["ms"] - last >= window_ms

@@ -4,11 +4,13 @@ import json
 import random
 from functools import partial
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.operators import ledger as L
 from scriptorium.operators import usage as U
+from scriptorium.plans.catalogue import ORACLES, QUERIES
 
 KINDS = list(dict.fromkeys(L.KINDS.values()))
 
@@ -112,6 +114,20 @@ def test_attempts_are_ordered_by_their_stamps_and_not_by_milliseconds_and_those_
         assert {(r["u"], r["e"]): r["accepted"] for r in U.throttled(rows, "u", "ts", "e", 5_000, block_rows).collect()} == want
 
 
+def test_throttle_query_equals_its_sql_at_half_milliseconds_and_without_users(spark, tmp_path):
+    window = 7_200_000_000
+    near = [f for half in (0, 400, 499, 500, 501, 999) for f in (half, half + window - 1000, half + window - 500, half + window - 1, half + window, half + window + 499)]
+    given = [(u, base + us) for u, base in ((1, 1_700_000_000_000_000), (2, -7 * window), (3, -window // 2)) for us in near]
+    given += [(u + 10 * i, 1_700_000_000_000_000 + us) for i, us in enumerate(near, 1) for u, us in ((1, 700), (1, us))] + [(u, None) for u in (1, 4, 4)] + [(None, us) for us in (5, None, 4, 3 * window)]
+    rows = spark.createDataFrame([(i, u, us) for i, (u, us) in enumerate(given)], "event_id long, user_id long, us long")
+    rows.select("event_id", "user_id", F.timestamp_micros("us").cast("timestamp_ntz").alias("ts")).write.parquet(f"{tmp_path}/events.parquet")
+    found = [tuple(r) for r in QUERIES["verification_throttle"](spark, str(tmp_path)).select("user_id", "event_id", "accepted").collect()]
+    duck = duckdb.connect()
+    duck.sql(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    want = duck.sql(f"select user_id, event_id, accepted from ({ORACLES['verification_throttle']})").fetchall()
+    assert sorted(map(str, found)) == sorted(map(str, want))
+
+
 def test_no_rows(spark):
     assert L.folded(hot(spark, 0), block_rows=1).count() == 0
     assert partial(U.BlockOfAttempts, 5)().result()["starts"] == []
