@@ -13,7 +13,8 @@ Distance here is Jaccard distance, and RADIUS the largest distance of a link.
    (all within reach of each other), members outside all balls meet all members in blocks, a pair of blocks to a task.
 4. Documents that resemble no other are at distance near 1 from all pivots, so the outer cell holds most of them and new pivots would
    not divide it. Inside it, signatures tell apart what is compared: sizes are cut into bands, a band's hash space into more classes
-   than linked sets can have differing elements, and sets that have a class's elements in common form a region. A sketch, one byte for
+   than linked sets can have differing elements, and sets that have a class's elements in common form a region. There are half as many
+   classes again, and each set leaves out that many of its thinnest ones, so that common passages make few regions. A sketch, one byte for
    each of about twice as many classes, then tells which members could link to another of their region, as each differing element
    changes one class; the rest leave before any text moves. Regions are joined like cells, around the member of least name; regions of
    one band and pivot are one region.
@@ -84,9 +85,9 @@ def band_of(size: int, percent: int) -> tuple[int, int]:
 
 @lru_cache(maxsize=256)
 def classes(band: int, percent: int) -> tuple[int, np.ndarray]:
-    """The number of classes that may be empty in a set that leaves its empty classes out, and where the classes begin."""
+    """The number of classes that a set leaves out, and where the classes begin."""
     differing = next(d for k, (_, _, _, d) in enumerate(bands(percent)) if k == band)
-    slack = 1 + differing // 16 if differing else 0
+    slack = 1 + differing // 2 if differing else 0
     n = differing + 1 + slack
     return slack, np.array([(j << 64) // n for j in range(n)], dtype=np.uint64)
 
@@ -94,8 +95,9 @@ def classes(band: int, percent: int) -> tuple[int, np.ndarray]:
 def fragments(own: np.ndarray, percent: int) -> np.ndarray:
     """Names of the regions of a set, as signed 64-bit numbers that end in the number of their band.
 
-    Linked sets agree in slack + 1 classes or more. A set with at most slack empty classes therefore agrees with each of its links
-    in a class that is not empty, and leaves the empty ones out; so no region gathers the sets that lack a class.
+    Linked sets agree in slack + 1 classes or more. A set leaves out the slack of its classes that have the fewest elements, ties by
+    name. Of the classes that linked sets agree in, the last in this order has slack others before it in both, so both keep it; and no
+    region gathers the sets that lack a class, or that have one shingle of a common passage there and nothing else.
     """
     out = []
     at, lowest = band_of(len(own), percent)
@@ -104,11 +106,10 @@ def fragments(own: np.ndarray, percent: int) -> np.ndarray:
         slack, begins = classes(band, percent)
         first = np.searchsorted(own, begins)
         last = np.append(first[1:], len(own))
-        empty = last == first
         sums = upto[last] - upto[first]
         number = np.arange(len(begins), dtype=np.uint64) + U(band << 32)
         named = shingles.mix(sums ^ shingles.mix(number * U(0x9E3779B97F4A7C15) + U(1))) & ~U(BANDS - 1) | U(band)
-        out.append(named if empty.sum() > slack else named[~empty])
+        out.append(named[np.lexsort((named, last - first))[slack:]])
     return np.concatenate(out).view(np.int64)
 
 
@@ -454,10 +455,13 @@ def with_partners(located: DataFrame, percent: int) -> DataFrame:
             for i in range(len(rows) - 1):
                 # Rows come by size, so those that are small enough to link follow directly.
                 end = i + 1 + np.searchsorted(sizes[i + 1 :], sizes[i] * 100 // percent, side="right")
-                differing = (sizes[i] + sizes[i + 1 : end]) * (100 - percent) // (100 + percent)
-                near = (own[i + 1 : end] != own[i]).sum(axis=1) <= differing
-                stays[i] |= near.any()
-                stays[i + 1 : end] |= near
+                asked = i + 1 + (np.flatnonzero(~stays[i + 1 : end]) if stays[i] else np.arange(end - i - 1))  # two that stay need no comparison
+                if not len(asked):
+                    continue
+                differing = (sizes[i] + sizes[asked]) * (100 - percent) // (100 + percent)
+                near = asked[(own[asked] != own[i]).sum(axis=1) <= differing]
+                stays[near] = True
+                stays[i] |= len(near) > 0
             kept = [r for r, s in zip(rows, stays.tolist(), strict=True) if s]
             yield pa.RecordBatch.from_arrays([pa.array([region] * len(kept), pa.int64()), *[pa.array([r[i] for r in kept], pa.int64()) for i in range(3)]], names=["region", "node", "k", "n"])
 

@@ -149,6 +149,43 @@ def test_linked_sets_share_a_region():
                 assert set(jaccard.fragments(own, 90)) & set(jaccard.fragments(other, 90)), size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_sets_with_common_shingles_share_a_region_if_they_link(percent):
+    r = np.random.default_rng(percent)
+    draw = lambda n: r.integers(0, 2**63, n, dtype=np.uint64)
+    common = draw(40)
+    for size in [*range(1, 40), 90, 300, 900]:
+        for _ in range(8):
+            own = np.unique(np.concatenate([draw(size), r.permutation(common)[: r.integers(0, 41)]]))
+            gone = r.integers(0, len(own) * 2 * (100 - percent) // (100 + percent) + 1)
+            other = np.unique(np.concatenate([r.permutation(own)[gone:], draw(r.integers(0, gone + 1))]))
+            both = len(np.intersect1d(own, other))
+            if 100 * both >= percent * (len(own) + len(other) - both):
+                assert set(jaccard.fragments(own, percent)) & set(jaccard.fragments(other, percent)), size
+
+
+def test_a_common_line_makes_few_regions(spark):
+    r = random.Random(4)
+    line = " ".join(f"c{i}" for i in range(9))
+    rows = [(i, " ".join([*(f"w{r.randrange(10**6)}" for _ in range(r.randrange(150, 250))), line])) for i in range(1200)]
+    rows += [(5000 + i, rows[i][1] + " more") for i in range(10)]
+    described = jaccard.describe(jaccard.keyed(documents(spark, rows), "doc_id", "text"), 5, 80, [])
+    sizes = [m["count"] for m in jaccard.region_members(described).groupBy("region").count().collect()]
+    assert sum(sizes) < 600 and max(sizes) <= 150  # 2,981 and 199 where only empty classes are left out
+    found = result(spark, rows, width=5, percent=80)
+    assert [x[2] for x in found if x[0] >= 5000] == list(range(10)) and len({x[2] for x in found}) == 1200
+
+
+def test_rows_that_have_a_partner_already_are_not_compared_again(spark):
+    """Ten rows in pairs and three without partner; a row that only one with a partner is near to stays too."""
+    sketch = lambda x: bytes([x] * 100)
+    chain = [bytes([1] * 60), bytes([1] * 54 + [2] * 6), bytes([1] * 48 + [2] * 12)]  # each is near to the next alone, by 6 bytes of 60
+    rows = [(1, i, i, 100, sketch(i // 2)) for i in range(10)] + [(1, 20 + i, i, 100, sketch(30 + i)) for i in range(3)]
+    rows += [(2, i, i, 30 + i, c) for i, c in enumerate(chain)] + [(2, 9, 9, 30, sketch(9)[:60])]
+    found = jaccard.with_partners(spark.createDataFrame(rows, "region long, node long, k long, n long, sketch binary"), 80).collect()
+    assert sorted((x["region"], x["node"]) for x in found) == [(1, i) for i in range(10)] + [(2, i) for i in range(3)]
+
+
 def test_shingles_equal_tuples():
     texts = ["A b c d a B c", "a b", "", None, "x\x1cy z w", "é É e", " ".join(f"w{i % 7}" for i in range(5000))]
     for t, s in zip(texts, shingles.sets([t.encode() if t else t for t in texts], 3), strict=True):
